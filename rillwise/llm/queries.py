@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rillwise.llm import exact_dedup, packing, simhash
+from rillwise.llm import exact_dedup, packing, simhash, substring_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": packing.op1_best_fit_packing,
+        "op2_substring_dedup": substring_dedup.op2_substring_dedup,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+        "op5_toxicity": toxicity.op5_toxicity,
         "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     }
 
