@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rillwise.llm import exact_dedup, packing, simhash, substring_dedup, toxicity
+from rillwise.llm import decontamination, exact_dedup, packing, simhash, substring_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,10 +14,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_best_fit_packing": packing.op1_best_fit_packing,
         "op2_substring_dedup": substring_dedup.op2_substring_dedup,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+        "op4_benchmark_decontamination": decontamination.op4_benchmark_decontamination,
         "op5_toxicity": toxicity.op5_toxicity,
         "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
+        "pipeline": pipeline,
     }
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def oracle_sql() -> dict[str, str]:
     return {"op3_exact_dedup": exact_dedup.ORACLE}

@@ -163,3 +163,120 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Near-duplicates by similarity: what is indexed (words of a shingle, 64-bit parts), what is verified, keys, and bits that may differ.
+INDEXED, VERIFIED = (2, 4), (5, 8)
+KEYS = 64
+SIMILARITY = 0.8
+
+
+def allowed_bits(similarity: float, parts: int) -> int:
+    """Of 64 * parts bits, how many differ at that Jaccard similarity of shingle sets, and half a standard deviation more."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    n = 64 * parts
+    return int(n * p + 0.5 * np.sqrt(n * p * (1 - p)))
+
+
+def position_triples(keys: int = KEYS, width: int = 8 * INDEXED[1]) -> np.ndarray:
+    """Sets of three byte positions, spread evenly: each position is in as many as any other, give or take one."""
+    order = np.argsort(tx.mix(np.arange(1, 3 * keys + width, dtype=np.uint64)), kind="stable") % width
+    out: list[tuple[int, ...]] = []
+    for step in range(1, width):
+        for p in range(width):
+            triple = tuple(sorted({p, (p + step) % width, (p + 3 * step + 1 + int(order[p]) % 3) % width}))
+            if len(triple) == 3 and triple not in out:
+                out.append(triple)
+            if len(out) == keys:
+                return np.array(out)
+    return np.array(out)
+
+
+def wide_majority(h: np.ndarray, parts: int) -> np.ndarray:
+    """64 * parts bits as uint64: each shingle hash gives as many parts; a bit is set where over half of the shingles set it."""
+    ones = np.zeros(64 * parts, np.int64)
+    for i in range(0, len(h), 4096):
+        wide = tx.mix(h[i : i + 4096, None] + np.arange(parts, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        ones += np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
+    return np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)
+
+
+def _shingle_sets(raw: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each text the sets (hashes) of its shingles that are indexed and that are verified; fewer words: the whole sequence."""
+    for part in tx.chunks(raw):
+        words = tx.Words([t.lower() for t in raw[part]])
+        h = words.hashes()
+        g = [tx.grams(h, n) for n, _ in (INDEXED, VERIFIED)]
+        for a, b in zip(words.ptr[:-1], words.ptr[1:]):
+            yield tuple(np.unique(x[a : b - n + 1]) if b - a >= n else np.array([h[a:b].sum()]) if b > a else h[:0] for x, n in zip(g, (INDEXED[0], VERIFIED[0])))
+
+
+def wide_forest(group: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of links that connect the rows of group (fingerprints of several parts) as all links within bits would.
+
+    Each row is compared only with those not yet reached, so a group of copies is left after a few comparisons.
+    """
+    rest = np.arange(len(group))
+    us, vs = [], []
+    while len(rest):
+        todo, rest = [rest[0]], rest[1:]
+        while todo and len(rest):
+            i = todo.pop()
+            near = np.bitwise_count(group[rest] ^ group[i]).sum(axis=1) <= bits
+            us.append(np.full(near.sum(), i))
+            vs.append(rest[near])
+            todo += rest[near].tolist()
+            rest = rest[~near]
+    return (np.concatenate(us), np.concatenate(vs)) if us else (rest[:0], rest[:0])
+
+
+def similar_components(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, component_id: the least doc_id that a document reaches over pairs whose five-word shingles are that similar.
+
+    Bits that differ between SimHash fingerprints measure similarity. Pairs of 0.8 differ in about 15 % of the bits, so no
+    byte is sure to be shared and no minimum is guaranteed: the index keys triples of positional bytes of a fingerprint
+    of two-word shingles (an edit changes two of these but five of the others), of which such pairs share several, and
+    fingerprints of five-word shingles verify. Rows without a doc_id and texts without words are left out: they are no copies.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    triples = position_triples()
+
+    def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ids, out = batch["doc_id"].to_numpy(), []
+            for doc, (indexed, verified) in zip(ids, _shingle_sets(tx.utf8(batch["text"]))):
+                if len(verified):
+                    index = wide_majority(indexed, INDEXED[1]).view(np.uint8)[triples].astype(np.int64)
+                    keys = (np.arange(len(triples)) << 24) + (index << np.array([0, 8, 16])).sum(axis=1)
+                    out.append((doc, keys, wide_majority(verified, VERIFIED[1]).tobytes()))
+            yield pd.DataFrame(out, columns=["doc_id", "keys", "fp"]).astype({"doc_id": ids.dtype})
+
+    known = docs.filter("doc_id is not null").select("doc_id", "text")
+    wide = saved(known.mapInPandas(prints, f"doc_id {kind}, keys array<long>, fp binary"), "wide-fingerprints")
+    entries = wide.groupBy("fp", "keys").agg(F.min("doc_id").alias("least"))
+    met = entries.select("least", "fp", F.explode("keys").alias("key")).groupBy("key").agg(F.collect_list(F.struct("least", "fp")).alias("held")).filter(F.size("held") > 1)
+    bits = allowed_bits(similarity, VERIFIED[1])
+
+    def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            us, vs = [], []
+            for held in batch["held"]:
+                group = np.frombuffer(b"".join(x["fp"] for x in held), np.uint64).reshape(len(held), -1)
+                u, v = wide_forest(group, bits)
+                us += [held[i]["least"] for i in u]
+                vs += [held[i]["least"] for i in v]
+            yield pd.DataFrame({"u": us, "v": vs}, dtype=object)
+
+    found = saved(met.mapInPandas(links, f"u {kind}, v {kind}").distinct(), "similar")
+    same = wide.join(entries, ["fp", "keys"]).filter("doc_id <> least").select(F.col("doc_id").alias("u"), F.col("least").alias("v"))
+    labels = connected_components(found.unionByName(same))
+    return labels.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+
+
+def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of docs but for those whose near-duplicate group has a smaller doc_id; all columns stay.
+
+    One document of each group stays, the least doc_id; documents without near-duplicates all stay.
+    """
+    gone = similar_components(docs, similarity).filter("doc_id <> component_id").select(F.col("doc_id").alias("_doc_id"))
+    return docs.join(gone, F.col("doc_id") == F.col("_doc_id"), "left_anti")
