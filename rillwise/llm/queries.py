@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rillwise.llm import decontamination, exact_dedup, license_scan, lm_score, packing, secret_scan, simhash, substring_dedup, toxicity
+from rillwise.llm import decontamination, exact_dedup, license_scan, lm_score, packing, quality, secret_scan, simhash, substring_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_benchmark_decontamination": decontamination.op4_benchmark_decontamination,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_secret_scan": secret_scan.op6_secret_scan,
+        "op7_quality_classifier": quality.op7_quality_classifier,
         "op8_lm_score": lm_score.op8_lm_score,
         "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
         "op10_license_scan": license_scan.op10_license_scan,
