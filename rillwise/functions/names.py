@@ -5,7 +5,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 # Words that do not identify a place on their own, and street types with their common name.
 GENERIC = (
@@ -51,7 +51,7 @@ def _street_types_agree(q: Column, name: Column) -> Column:
     return (F.size(a) == 0) | (F.size(b) == 0) | F.arrays_overlap(a, b)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _all_similar(want: pd.Series, have: pd.Series) -> pd.Series:
     def one(want, have) -> bool:
         joined = "".join(have)
