@@ -1 +1,79 @@
+"""Place resolution queries."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from rillwise.functions.geo import in_bbox
+from rillwise.functions.names import GENERIC, name_matches, name_matches_native
+from rillwise.operators import places as p
+from rillwise.plans.adapters import adapted, adapters_sql
+from rillwise.plans.registry import query
+
+F_ = 1 / 298.257223563
+
+
+def lambert(a: str, b: str, c: str, d: str) -> str:
+    """SQL of the geodesic distance between (a, b) and (c, d)."""
+    b1, b2 = f"atan({1 - F_!r} * tan(radians({a})))", f"atan({1 - F_!r} * tan(radians({c})))"
+    q = f"(sin(({b2} - {b1}) / 2) ** 2 + cos({b1}) * cos({b2}) * sin(radians({d} - {b}) / 2) ** 2)"
+    s, m, h = f"(2 * asin(sqrt{q}))", f"(({b1} + {b2}) / 2)", f"(({b2} - {b1}) / 2)"
+    return f"CASE WHEN {q} = 0 THEN 0 ELSE 6378137.0 * ({s} - {F_ / 2!r} * (({s} - sin({s})) * (sin({m}) * cos({h}) / cos({s} / 2)) ** 2 + ({s} + sin({s})) * (cos({m}) * sin({h}) / sin({s} / 2)) ** 2)) END"
+
+
+CANDS = adapters_sql("cands")
+WORDS = ", ".join(f"'{w}'" for w in GENERIC)
+TOKENS = "regexp_extract_all(lower({}), '[a-z0-9]+')"
+
+
+def candidates(spark, sf_dir):
+    c = adapted(spark, sf_dir, "cands").dropDuplicates(["query_id", "cand_id", "kind", "extent_m"])
+    return c.withColumn("rank", F.struct("cand_id", "kind", F.coalesce("extent_m", F.lit(-1.0)).alias("e")))
+
+
+@query("F8_J25_choose_candidate", f"""WITH {CANDS}, u AS (SELECT DISTINCT * FROM cands), t AS (SELECT *, [t FOR t IN {TOKENS.format('query_text')} IF t NOT IN ({WORDS}) AND NOT regexp_full_match(t, '\\d+(st|nd|rd|th)?') AND length(t) > 2] AS want, {TOKENS.format('cand_name')} AS have FROM u),
+g AS (SELECT *, lat BETWEEN 22.45 AND 22.70 AND lon BETWEEN 88.20 AND 88.50 AS ins FROM t),
+m AS (SELECT *, ins AND len(want) > 0 AND len([w FOR w IN want IF contains(array_to_string(have, ''), w) OR len([h FOR h IN have IF levenshtein(w, h) <= greatest(length(w), length(h)) * (1 - 0.8)]) > 0]) = len(want) AS named FROM g),
+f AS (SELECT *, named AND kind <> 'place' AND coalesce(extent_m, 0) <= 750 AS fine FROM m),
+b AS (SELECT query_id, max(len(want)) AS w, count(*) FILTER (ins) AS ni, count(*) FILTER (named) AS nn, count(*) FILTER (fine) AS nf FROM f GROUP BY 1),
+o AS (SELECT * FROM f WHERE fine QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cand_id, kind, coalesce(extent_m, -1)) = 1),
+d AS (SELECT f.query_id, max({lambert('o.lat', 'o.lon', 'f.lat', 'f.lon')}) AS spread FROM f JOIN o ON f.query_id = o.query_id WHERE f.fine GROUP BY 1),
+s AS (SELECT b.query_id, CASE WHEN w = 0 THEN 'too_generic' WHEN ni = 0 THEN 'outside' WHEN nn = 0 THEN 'name_mismatch' WHEN nf = 0 THEN 'too_vague' WHEN spread > 1000 THEN 'ambiguous' ELSE 'ok' END AS status FROM b LEFT JOIN d USING (query_id))
+SELECT s.query_id, status, CASE WHEN status = 'ok' THEN o.cand_id END AS cand_id FROM s LEFT JOIN o USING (query_id)""")
+def choose(spark, sf_dir):
+    inside = in_bbox(F.col("lat"), F.col("lon"), (88.20, 22.45, 88.50, 22.70))
+    return p.choose_candidate(candidates(spark, sf_dir), inside).select("query_id", "status", "cand_id")
+
+
+@query("J12_apply_overrides", f"WITH {adapters_sql('pockets')} SELECT rec_id, CASE WHEN rec_id % 10 = 0 THEN 'manual' WHEN lat IS NOT NULL THEN 'geocoder' END AS method, round(CASE WHEN rec_id % 10 = 0 THEN 22.5 ELSE lat END, 4) AS lat FROM pockets")
+def overrides(spark, sf_dir):
+    rows = adapted(spark, sf_dir, "pockets")
+    manual = rows.filter("rec_id % 10 = 0").select("rec_id", F.lit(22.5).alias("lat"), F.lit(88.3).alias("lon"))
+    return p.apply_overrides(rows, manual, ["rec_id"]).select("rec_id", "method", F.round("lat", 4).alias("lat"))
+
+
+@query("J13_uncached_queries", f"WITH {CANDS} SELECT DISTINCT query_text FROM cands WHERE query_text NOT IN (SELECT query_text FROM cands WHERE query_id % 5 = 0) AND len([t FOR t IN {TOKENS.format('query_text')} IF t NOT IN ({WORDS}) AND NOT regexp_full_match(t, '\\d+(st|nd|rd|th)?') AND length(t) > 2]) > 0")
+def uncached(spark, sf_dir):
+    c = adapted(spark, sf_dir, "cands")
+    return p.uncached_queries(c, c.filter("query_id % 5 = 0"))
+
+
+@query("O4_first_candidate", f"WITH {CANDS} SELECT query_id, min(cand_id) AS cand_id FROM cands WHERE kind <> 'place' GROUP BY 1")
+def first(spark, sf_dir):
+    return p.first_candidate(adapted(spark, sf_dir, "cands").filter("kind <> 'place'"), ["query_id"], "cand_id", [])
+
+
+@query("P29_name_matches")
+def fuzzy(spark, sf_dir):
+    """Exact fuzzy matching (similarity ratio) beside its native approximation."""
+    c = adapted(spark, sf_dir, "cands")
+    q, n = F.col("query_text"), F.col("cand_name")
+    return c.select("query_id", "cand_id", name_matches(q, n).alias("exact"), name_matches_native(q, n).alias("native"))
+
+
+@query("A25_consistency_outliers", f"""WITH RECURSIVE {adapters_sql('ward_pts')}, e AS (SELECT a.rec_id AS u, b.rec_id AS v FROM ward_pts a JOIN ward_pts b ON a.ward = b.ward AND a.rec_id <> b.rec_id WHERE {lambert('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 2500),
+w AS (SELECT rec_id AS node, rec_id AS root FROM ward_pts UNION SELECT e.v, w.root FROM w JOIN e ON e.u = w.node WHERE w.root < e.v), l AS (SELECT node, min(root) AS c FROM w GROUP BY 1),
+z AS (SELECT ward, c, count(*) AS n FROM l JOIN ward_pts ON rec_id = node GROUP BY 1, 2), k AS (SELECT ward, max(n) AS top, sum(n) AS total FROM z GROUP BY 1), t AS (SELECT z.ward, count(*) > 1 AS tie, max(c) AS c FROM z JOIN k ON z.ward = k.ward AND n = top GROUP BY 1)
+SELECT rec_id, p.ward, tie AS no_majority FROM ward_pts p JOIN l ON node = rec_id JOIN t ON t.ward = p.ward JOIN k ON k.ward = p.ward WHERE total > 1 AND (tie OR l.c <> t.c)""")
+def outliers(spark, sf_dir):
+    return p.consistency_outliers(adapted(spark, sf_dir, "ward_pts"), "ward", p.WARD_M)
