@@ -37,10 +37,12 @@ LABELLERS = (
     ("upper", 0.06, 0.3),
     ("repeats", 0.03, 0.2),
     ("pairs_again", 0.2, 0.4),
-    ("open_lines", 0.15, 0.45),
+    ("open_lines", 0.1, 0.3),
     ("no_stop", 0.95, 0.985),
     ("length_off", 0.9, 1.6),
 )
+#: Labellers that see the same kind of bad text.
+KINDS = (("punctuation", "odd"), ("upper",), ("repeats", "pairs_again"), ("open_lines", "no_stop", "length_off"))
 
 
 def statistics(raw: list[bytes]) -> np.ndarray:
@@ -52,21 +54,22 @@ def statistics(raw: list[bytes]) -> np.ndarray:
         low = tx.Words([t.lower() for t in raw[part]])
         h = low.hashes()
         first = np.r_[words.first[:-1], len(words.buf)]
-        shares = lambda table: np.diff(np.r_[0, np.cumsum(table[words.buf])][first]) / np.maximum(1, np.diff(first) - 1)
-        n = np.diff(words.ptr)
-        word_share = lambda x: np.diff(np.r_[0, np.cumsum(x)][words.ptr]) / np.maximum(1, n)
+        n, size = np.diff(words.ptr), np.diff(first) - 1
+        # shares and means lean towards what prose usually has (as if so many bytes or words of it stood there): short texts say little
+        shares = lambda table, usual, lean=200: (np.diff(np.r_[0, np.cumsum(table[words.buf])][first]) + lean * usual) / (size + lean)
+        word_share = lambda x, usual=0.0, lean=20: (np.diff(np.r_[0, np.cumsum(x)][words.ptr]) + lean * usual) / (n + lean)
         inner = np.r_[False, np.diff(words.text) == 0] if len(h) else np.zeros(0, bool)
         again = np.zeros(len(n))
         pair = tx.mix(np.r_[h[:1], h[:-1]] * np.uint64(3) + h)
         for i, (a, b) in enumerate(zip(words.ptr[:-1], words.ptr[1:])):
-            again[i] = 1 - len(np.unique(pair[a:b])) / (b - a) if b > a else 0
+            again[i] = (b - a - len(np.unique(pair[a:b]))) / (b - a + 20)
         lines = [[x for x in (y.strip() for y in t.split(b"\n")) if x] for t in raw[part]]
-        size = (words.end - words.start).astype(float)
+        letters = (words.end - words.start).astype(float)
         out.append(np.stack([
-            shares(PUNCTUATION), shares(ODD), shares(UPPER),
+            shares(PUNCTUATION, 0.025), shares(ODD, 0.0), shares(UPPER, 0.016),
             word_share(np.r_[False, h[1:] == h[:-1]][: len(h)] & inner), again,
-            np.array([sum(x[-1:] not in b".!?:;\"')" for x in own) / max(1, len(own)) for own in lines]),
-            1 - word_share(np.isin(h, stop)), np.abs(word_share(size) - 5.2), n,
+            np.array([sum(x[-1:] not in b".!?:;\"')" for x in own) / (len(own) + 2) for own in lines]),
+            1 - word_share(np.isin(h, stop), 0.14), np.abs(word_share(letters, 5.2) - 5.2), n,
         ], axis=1))
     return np.concatenate([*out, np.zeros((0, len(LABELLERS) + 1))])
 
@@ -84,24 +87,33 @@ def pattern(v: np.ndarray) -> np.ndarray:
 
 
 def label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior of good for each vote pattern, and each labeller's accuracy, by expectation-maximisation (labellers independent given the class)."""
-    m = len(LABELLERS)
+    """Posterior of good for each vote pattern, and each labeller's accuracy, by expectation-maximisation.
+
+    A labeller sees some kinds of bad text only, so bad is several classes, one for each kind; votes are independent given the class.
+    """
+    m, classes = len(LABELLERS), 1 + len(KINDS)
     v = patterns[:, None] // 3 ** np.arange(m) % 3 - 1
-    prior = 0.8
-    p = np.full((m, 2, 3), 0.0)  # of labeller, class, vote
-    p[:, 1], p[:, 0] = [0.2, 0.1, 0.7], [0.2, 0.5, 0.3]
+    prior = np.array([0.8, *[0.2 / len(KINDS)] * len(KINDS)])
+    p = np.full((m, classes, 3), 0.0)  # of labeller, class, vote
+    p[:, 0] = [0.2, 0.02, 0.78]
+    p[:, 1:] = [0.3, 0.1, 0.6]
+    for c, kind in enumerate(KINDS, 1):
+        p[[i for i, x in enumerate(LABELLERS) if x[0] in kind], c] = [0.2, 0.7, 0.1]
     n = counts.astype(float)
-    good = np.full(len(n), prior)
+    share = np.zeros((len(n), classes))
     for _ in range(rounds):
-        like = np.stack([np.log(p[np.arange(m), c, v + 1]).sum(axis=1) for c in (0, 1)], axis=1) + np.log([1 - prior, prior])
-        good = 1 / (1 + np.exp(np.clip(like[:, 0] - like[:, 1], -500, 500)))
-        prior = float(np.clip((n * good).sum() / max(1e-9, n.sum()), 0.02, 0.98))
-        for c, w in ((0, n * (1 - good)), (1, n * good)):
+        like = np.stack([np.log(p[np.arange(m), c, v + 1]).sum(axis=1) for c in range(classes)], axis=1) + np.log(prior)
+        share = np.exp(like - like.max(axis=1, keepdims=True))
+        share /= share.sum(axis=1, keepdims=True)
+        weight = share * n[:, None]
+        prior = weight.sum(axis=0) + 1e-3 * max(1.0, n.sum())
+        prior /= prior.sum()
+        for c in range(classes):
             for k in range(3):
-                p[:, c, k] = ((v == k - 1) * w[:, None]).sum(axis=0) + 1
+                p[:, c, k] = ((v == k - 1) * weight[:, c : c + 1]).sum(axis=0) + 1
             p[:, c] /= p[:, c].sum(axis=1, keepdims=True)
-    accuracy = prior * p[:, 1, 2] + (1 - prior) * p[:, 0, 1]
-    return good, accuracy
+    accuracy = prior[0] * p[:, 0, 2] + (prior[None, 1:] * p[:, 1:, 1]).sum(axis=1)
+    return share[:, 0], accuracy
 
 
 def features(raw: list[bytes], stats: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -121,7 +133,7 @@ def features(raw: list[bytes], stats: np.ndarray) -> Iterator[tuple[np.ndarray,
             own = salt[bins[part.start + i] + 16 * np.arange(m)]
             slot, n = np.unique(np.r_[h[a:b], shape[a:b]] % np.uint64(SLOTS), return_counts=True)
             norm = np.sqrt((n * n).sum()) or 1.0
-            yield np.r_[slot, own % np.uint64(SLOTS)].astype(np.int64), np.r_[n / norm, np.full(m, 0.5)]
+            yield np.r_[slot, own % np.uint64(SLOTS)].astype(np.int64), np.r_[n / norm, np.full(m, 1.0)]
 
 
 def train(vectors: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray) -> np.ndarray:
