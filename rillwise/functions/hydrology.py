@@ -17,6 +17,15 @@ RAIN_REFERENCE_MM = 90.0
 STRIP_M, VELOCITY_MS, INLET_MIN, RUNOFF, RUNOFF_MIN = 40.0, 0.9, 10.0, (0.65, 0.90), 180.0
 
 
+def at_most(x: Column, limit: float) -> Column:
+    """Null stays null: least() alone would take the limit for it."""
+    return F.when(x.isNotNull(), F.least(x, F.lit(limit)))
+
+
+def at_least(x: Column, limit: float) -> Column:
+    return F.when(x.isNotNull(), F.greatest(x, F.lit(limit)))
+
+
 def manning_capacity(diameter_mm: Column, slope: float = SLOPE, n: float = MANNING_N) -> Column:
     """Full-bore flow in m3/s; null for a diameter that is no number or beyond 100 to 3000 mm."""
     if n <= 0 or slope <= 0:
@@ -70,7 +79,7 @@ def nowcast(rain: Column) -> Column:
 
 def adjusted_probability(susceptibility: Column, mm: Column, hours: Column) -> Column:
     """Susceptibility (rounded to 4 decimals) under rain and over hours, at most 1."""
-    return F.round(F.least(F.round(susceptibility, 4) * rainfall_multiplier(mm) * (1 + 0.1 * hours / 60), F.lit(1.0)), 4)
+    return F.round(at_most(F.round(susceptibility, 4) * rainfall_multiplier(mm) * (1 + 0.1 * hours / 60), 1.0), 4)
 
 
 def drain_alert(load: Column) -> Column:
@@ -78,30 +87,29 @@ def drain_alert(load: Column) -> Column:
 
 
 def drain_hazard(load: Column, distance_m: Column) -> Column:
-    reach = F.greatest(F.lit(0.0), 1 - distance_m / 300)
-    return F.coalesce(0.9 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), (load - 0.75) / 1.25)) * reach, F.lit(0.0))
+    return F.coalesce(0.9 * at_least(at_most((load - 0.75) / 1.25, 1.0), 0.0) * at_least(1 - distance_m / 300, 0.0), F.lit(0.0))
 
 
 def scenario_risk(susceptibility: Column, mm: Column, hazard: Column, depth_cm: Column) -> Column:
     """Union of rain-driven risk and drain hazard; without rain, standing depth sets the multiplier."""
-    dry = 0.3 * F.least(depth_cm / 10, F.lit(1.0))
+    dry = 0.3 * at_most(depth_cm / 10, 1.0)
     m = F.when(mm == 0, dry).otherwise(rainfall_multiplier(mm))
-    return 1 - (1 - F.least(susceptibility * m, F.lit(1.0))) * (1 - hazard)
+    return 1 - (1 - at_most(susceptibility * m, 1.0)) * (1 - hazard)
 
 
 def runoff_coefficient(minutes: Column) -> Column:
-    return RUNOFF[0] + (RUNOFF[1] - RUNOFF[0]) * F.least(minutes / RUNOFF_MIN, F.lit(1.0))
+    return RUNOFF[0] + (RUNOFF[1] - RUNOFF[0]) * at_most(minutes / RUNOFF_MIN, 1.0)
 
 
 def pipe_load(intensity_mm_h: Column, minutes: Column, area_m2: Column, path_m: Column, capacity: Column) -> Column:
     """tc_min, fraction, inflow (m3/s), load (inflow by capacity) and overflow (m3 over the storm) of a pipe under a storm."""
     tc = INLET_MIN + path_m / VELOCITY_MS / 60
-    fraction = F.least(minutes / tc, F.lit(1.0))
+    fraction = at_most(minutes / tc, 1.0)
     inflow = runoff_coefficient(minutes) * intensity_mm_h / 1000 / 3600 * area_m2 * fraction
     return F.struct(
         tc.alias("tc_min"), fraction.alias("fraction"), inflow.alias("inflow"),
         F.when(capacity > 0, inflow / capacity).alias("load"),
-        F.when(capacity > 0, F.greatest(inflow - capacity, F.lit(0.0)) * minutes * 60).alias("overflow"),
+        F.when(capacity > 0, at_least(inflow - capacity, 0.0) * minutes * 60).alias("overflow"),
     )
 
 
@@ -139,8 +147,8 @@ def water_depth_cm(rain_mm_h: Column, minutes: Column, imperviousness: Column, d
     hours = minutes / 60.0
     rain = rain_mm_h / (1 + 0.3 * (hours - 1)) * hours
     runoff = rain * (0.30 + imperviousness / 100 * 0.65) / 1000 * CELL_AREA_M2
-    efficiency = F.greatest(F.lit(0.2), 1 - rain_mm_h / 200)
-    removed = drain_capacity * hours * efficiency * F.greatest(F.lit(0.3), 1 - distance_to_drain / 100)
-    shape = F.greatest(F.lit(0.5), 2 - elevation / 10) * F.greatest(F.lit(0.3), 1 - slope / 5)
-    depth = F.greatest(F.lit(0.0), runoff - removed) / CELL_AREA_M2 * shape * 100 + floods * 0.5
-    return F.greatest(F.lit(0.0), F.round(depth, 1))
+    efficiency = at_least(1 - rain_mm_h / 200, 0.2)
+    removed = drain_capacity * hours * efficiency * at_least(1 - distance_to_drain / 100, 0.3)
+    shape = at_least(2 - elevation / 10, 0.5) * at_least(1 - slope / 5, 0.3)
+    depth = at_least(runoff - removed, 0.0) / CELL_AREA_M2 * shape * 100 + floods * 0.5
+    return at_least(F.round(depth, 1), 0.0)

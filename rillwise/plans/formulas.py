@@ -52,11 +52,11 @@ def nowcast(spark, sf_dir):
     return n.select("event_id", now["level"].alias("level"), now["score"].alias("score"), adjusted.alias("adjusted"), h.condition(F.col("r"), F.col("event_id") % 100).alias("condition"))
 
 
-@query("P14_P15_P16_scenario", f"""WITH {adapters_sql('route_segs')}, n AS (SELECT *, k3 / 20.0e0 AS load, k1 % 400 * 1.0e0 AS dist, CASE WHEN seq = 1 THEN 0.0e0 ELSE k2 % 120 * 1.0e0 END AS mm, k1 % 15 * 1.0e0 AS depth FROM route_segs),
-z AS (SELECT *, coalesce(0.9 * greatest(0, least(1, (load - .75) / 1.25)) * greatest(0, 1 - dist / 300), 0) AS hazard, CASE WHEN mm = 0 THEN 0.3 * least(depth / 10, 1) ELSE 0.3 + 0.7 * least(mm / 90, 1) END AS m FROM n)
-SELECT route_id, seq, k1, k2, k3, k4, k5, CASE WHEN load >= 1.5 THEN 'RED' WHEN load >= 1 THEN 'ORANGE' WHEN load >= .75 THEN 'YELLOW' ELSE 'GREEN' END AS alert, round(hazard, 4) AS hazard, round(1 - (1 - least(prob * m, 1)) * (1 - hazard) + 1e-9, 6) AS risk FROM z""")
+@query("P14_P15_P16_scenario", f"""WITH {adapters_sql('route_segs')}, n AS (SELECT *, CASE WHEN k2 % 5 <> 0 THEN k3 / 20.0e0 END AS load, k1 % 400 * 1.0e0 AS dist, CASE WHEN seq = 1 THEN 0.0e0 ELSE k2 % 120 * 1.0e0 END AS mm, k1 % 15 * 1.0e0 AS depth FROM route_segs),
+z AS (SELECT *, CASE WHEN load IS NULL THEN 0 ELSE 0.9 * greatest(0, least(1, (load - .75) / 1.25)) * greatest(0, 1 - dist / 300) END AS hazard, CASE WHEN mm = 0 THEN 0.3 * least(depth / 10, 1) ELSE 0.3 + 0.7 * least(mm / 90, 1) END AS m FROM n)
+SELECT route_id, seq, k1, k2, k3, k4, k5, CASE WHEN load IS NULL THEN 'UNKNOWN' WHEN load >= 1.5 THEN 'RED' WHEN load >= 1 THEN 'ORANGE' WHEN load >= .75 THEN 'YELLOW' ELSE 'GREEN' END AS alert, round(hazard, 4) AS hazard, CASE WHEN prob IS NOT NULL THEN round(1 - (1 - least(prob * m, 1)) * (1 - hazard) + 1e-9, 6) END AS risk FROM z""")
 def scenario(spark, sf_dir):
-    n = adapted(spark, sf_dir, "route_segs").withColumn("load", F.col("k3") / 20).withColumn("dist", (F.col("k1") % 400).cast("double"))
+    n = adapted(spark, sf_dir, "route_segs").withColumn("load", F.when(F.col("k2") % 5 != 0, F.col("k3") / 20)).withColumn("dist", (F.col("k1") % 400).cast("double"))
     n = n.withColumn("mm", F.when(F.col("seq") == 1, 0.0).otherwise(F.col("k2") % 120)).withColumn("depth", (F.col("k1") % 15).cast("double"))
     n = n.withColumn("hazard", h.drain_hazard(F.col("load"), F.col("dist")))
     risk = h.scenario_risk(F.col("prob"), F.col("mm"), F.col("hazard"), F.col("depth"))

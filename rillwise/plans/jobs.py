@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rillwise.functions.geo import utm_to_latlon
-from rillwise.functions.hydrology import coverage_class, drain_alert, drain_hazard, manning_capacity, rainfall_multiplier, risk_level, scenario_risk
+from rillwise.functions.hydrology import at_most, coverage_class, drain_alert, drain_hazard, manning_capacity, rainfall_multiplier, risk_level, scenario_risk
 from rillwise.operators import checks, layers, models, network, spatial
 from rillwise.plans.adapters import ADAPTERS, adapted, adapters_sql, table
 from rillwise.plans.formulas import depths, hex_grid
@@ -143,3 +143,68 @@ def last_good(spark, sf_dir):
 @query("T3_backoff_stream")
 def backoff(spark, sf_dir):
     return stream.run_available(stream.backoff_stream(event_stream(spark, sf_dir)), "backoff")
+
+
+@query("E2_route_flood_risk", f"WITH {adapters_sql('route_segs')} SELECT route_id, count(*) AS n, round(100.0 * count(prob) / count(*), 1) AS coverage_pct, CASE WHEN count(prob) > 0 THEN round(least(max(prob) * (0.3 + 0.7 * 40 / 90), 1) + 1e-9, 4) END AS most FROM route_segs GROUP BY 1")
+def route_flood_risk(spark, sf_dir):
+    """Routes under 40 mm of rain: segment risk, coverage and the largest."""
+    segs = adapted(spark, sf_dir, "route_segs").withColumn("prob", at_most(F.col("prob") * rainfall_multiplier(F.lit(40.0)), 1.0))
+    return segs.groupBy("route_id").agg(F.count("*").alias("n"), F.round(F.avg(F.col("prob").isNotNull().cast("int")) * 100, 1).alias("coverage_pct"), F.round(F.max("prob") + 1e-9, 4).alias("most"))
+
+
+@query("P35_model_features", f"WITH {adapters_sql('wx')} SELECT event_id, round(CASE WHEN event_id % 4 = 0 THEN NULL ELSE try_cast(trim(rain_raw) AS DOUBLE) END, 4) AS slope_pct, round(coalesce(CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END, 0.0), 4) AS elevation FROM wx")
+def model_features(spark, sf_dir):
+    """Segment keys under the model's names: the first key that is there, text that is no number is null."""
+    w = adapted(spark, sf_dir, "wx").select("event_id", F.when(F.col("event_id") % 4 != 0, F.col("rain_raw")).alias("slope"), F.when(F.col("event_id") % 3 != 0, F.col("value")).alias("elevation_m"), F.lit("0.0").alias("elevation"))
+    named = renamed_features(w, {"slope_pct": ["slope"], "elevation": ["elevation_m", "elevation"]})
+    return named.select("event_id", F.round("slope_pct", 4).alias("slope_pct"), F.round("elevation", 4).alias("elevation"))
+
+
+def renamed_features(df: DataFrame, names: dict[str, list[str]]) -> DataFrame:
+    from rillwise.functions.feeds import to_float
+
+    rest = [c for c in df.columns if c not in {x for own in names.values() for x in own}]
+    return df.select(*rest, *[F.coalesce(*[to_float(F.col(c)) for c in own]).alias(name) for name, own in names.items()])
+
+
+@query("O7_clamped_limit", f"WITH {adapters_sql('cands')} SELECT query_id, cand_id FROM (SELECT DISTINCT query_id, cand_id FROM cands) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cand_id) <= 1")
+def clamped(spark, sf_dir):
+    return clamped_limit(adapted(spark, sf_dir, "cands").select("query_id", "cand_id").distinct(), ["query_id"], ["cand_id"], 0).select("query_id", "cand_id")
+
+
+def clamped_limit(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
+    """The first n rows of each key; n is held between 1 and 10."""
+    return spatial.top_k(df, keys, order, min(max(n, 1), 10))
+
+
+@query("E10_resolve_pockets")
+def resolve_pockets(spark, sf_dir):
+    """Queries with their chosen place: cleaned text, verified positions first, and outliers of their ward sent back."""
+    from rillwise.functions.geo import in_bbox
+    from rillwise.operators import places
+    from rillwise.plans.places import candidates
+
+    chosen = places.choose_candidate(candidates(spark, sf_dir), in_bbox(F.col("lat"), F.col("lon")))
+    manual = chosen.filter("query_id % 50 = 0").select("query_id", F.lit(22.55).alias("lat"), F.lit(88.35).alias("lon"))
+    placed = saved(places.apply_overrides(chosen.drop("method"), manual, ["query_id"]).withColumn("ward", F.col("query_id") % 144), "placed")
+    out = places.consistency_outliers(placed.select(F.col("query_id").alias("rec_id"), "ward", "lat", "lon"), "ward", places.WARD_M)
+    return placed.join(out.select(F.col("rec_id").alias("query_id"), F.lit(True).alias("outlier")), "query_id", "left").withColumn("outlier", F.coalesce("outlier", F.lit(False)))
+
+
+@query("E8_train_job")
+def train_job(spark, sf_dir):
+    """Training behind a gate: rows with a wrong label stop it; the model's record otherwise."""
+    rows = located(spark, sf_dir)
+    if rows.filter("label is null or label not in (0, 1)").limit(1).count():
+        raise ValueError("training rows are not valid")
+    return models.model_metadata(models.train_susceptibility(rows, FEATURES, rounds=3), rows, FEATURES, "real_v1")
+
+
+@query("E12_georef_sheets")
+def georef(spark, sf_dir):
+    """Control points of each sheet under its fit, with the gates that it passes."""
+    from rillwise.operators import drawings
+
+    g = adapted(spark, sf_dir, "gcps")
+    fits = saved(drawings.fit_similarity(g, mx0=591500.0, my0=2487900.0), "fits")
+    return drawings.apply_transform(g, fits).join(fits.select("sheet", "rms_m", "loo_m", "usable"), "sheet").select("sheet", "gcp_id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), F.round("rms_m", 3).alias("rms_m"), "usable")

@@ -82,11 +82,11 @@ def colours(spark, sf_dir):
 
 
 @query("J14_T4_attach_rainfall", f"""WITH {adapters_sql('route_segs', 'wx')}, w AS (SELECT station, arg_max(abs(value), event_id) AS rain FROM wx WHERE outcome = 'ok' GROUP BY 1)
-SELECT route_id, count(*) AS n, round(max(w.rain), 4) AS rain, round(avg(least(prob * (0.3 + 0.7 * least(w.rain / 90, 1)), 1)) + 1e-9, 5) AS mean FROM route_segs s LEFT JOIN w ON w.station = s.trip_id % 150 GROUP BY route_id""")
+SELECT route_id, count(*) AS n, round(max(w.rain), 4) AS rain, round(avg(CASE WHEN prob IS NOT NULL THEN least(prob * (0.3 + 0.7 * least(w.rain / 90, 1)), 1) END) FILTER (w.rain IS NOT NULL) + 1e-9, 5) AS mean FROM route_segs s LEFT JOIN w ON w.station = s.trip_id % 150 GROUP BY route_id""")
 def attach_rainfall(spark, sf_dir):
-    from rillwise.functions.hydrology import rainfall_multiplier
+    from rillwise.functions.hydrology import at_most, rainfall_multiplier
 
     wx = adapted(spark, sf_dir, "wx").filter("outcome = 'ok'").groupBy("station").agg(F.max_by(F.abs("value"), "event_id").alias("rain"))
     s = adapted(spark, sf_dir, "route_segs").join(wx, F.col("trip_id") % 150 == F.col("station"), "left")
-    p = F.when(F.col("rain").isNotNull(), F.least(F.col("prob") * rainfall_multiplier(F.col("rain")), F.lit(1.0)))
+    p = F.when(F.col("rain").isNotNull(), at_most(F.col("prob") * rainfall_multiplier(F.col("rain")), 1.0))
     return s.groupBy("route_id").agg(F.count("*").alias("n"), F.round(F.max("rain"), 4).alias("rain"), F.round(F.avg(p) + r.EDGE, 5).alias("mean"))

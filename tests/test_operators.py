@@ -159,3 +159,13 @@ def test_sources(spark, tmp_path):
 def test_lambert_distance(spark):
     d = spark.range(1).select(geo.geodesic_m(F.lit(22.5), F.lit(88.3), F.lit(22.5), F.lit(88.4)), geo.geodesic_m(F.lit(1.0), F.lit(1.0), F.lit(1.0), F.lit(1.0))).first()
     assert d[0] == pytest.approx(10289.5, rel=1e-3) and d[1] == 0.0 and not math.isnan(d[1])
+
+
+def test_nothing_is_made_up(spark):
+    """Least and greatest skip nulls; the formulas must not."""
+    n, one = F.lit(None).cast("double"), F.lit(1.0)
+    got = spark.range(1).select(
+        h.adjusted_probability(n, one, one), h.drain_hazard(n, one), h.drain_hazard(F.lit(2.0), n), h.scenario_risk(n, one, one, one), h.pipe_load(n, one, one, one, one)["load"],
+        h.pipe_load(one, one, one, one, n)["overflow"], h.water_depth_cm(one, one, one, one, n, one, one, one), geo.haversine_m(n, one, one, one), h.rainfall_multiplier(n),
+    ).first()
+    assert list(got) == [None, 0.0, 0.0, None, None, None, None, None, 1.0]
