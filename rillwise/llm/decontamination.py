@@ -79,6 +79,7 @@ def shared_passages(docs: DataFrame, items: _Items) -> DataFrame:
 
     Passages are the word hashes round the places, cut where the text is: no text moves.
     """
+    tx.small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(items)
     kind = docs.schema["doc_id"].dataType.simpleString()
 

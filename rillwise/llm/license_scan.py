@@ -140,6 +140,7 @@ def license_blocks(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates
     beyond ASCII, A-Z in lower case. Null and empty texts have no words and no matches. Equal templates match alike.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
+    tx.small_batches(docs.sparkSession)
     prepared = Templates(phrases, templates, threshold)
     prepared.order(token_counts(docs, prepared))
     shared = docs.sparkSession.sparkContext.broadcast(prepared)

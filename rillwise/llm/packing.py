@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from rillwise.llm import text as tx
 from rillwise.store import saved
 
 CAPACITY = 1024
@@ -85,6 +86,7 @@ def cut_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | N
     Only longer documents are cut: all their pieces but the first are full. ids are little-endian unsigned 32-bit numbers.
     Null and empty texts give the separator alone. Reads doc_id and text; a null doc_id is kept.
     """
+    tx.small_batches(docs.sparkSession)
     path, tail = vocabulary or default_vocabulary(), np.array([separator], "<u4").tobytes()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -162,6 +162,7 @@ def quality(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
             own, n = np.unique(pattern(votes(statistics(tx.utf8(batch["text"])))), return_counts=True)
             yield pd.DataFrame({"pattern": own, "n": n})
 
+    tx.small_batches(docs.sparkSession)
     counted = docs.select("text").mapInPandas(vote, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").toPandas()  # 3 ** labellers at most
     patterns = counted["pattern"].to_numpy(np.int64)
     posterior, accuracy = label_model(patterns, counted["n"].to_numpy())

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.utils import AnalysisException
 
+from rillwise.llm import text as tx
 from rillwise.store import saved, scratch
 
 
@@ -101,6 +102,7 @@ def scan(files: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, text: s
     and its findings count once. Offsets are code points, the end is exclusive. Files without text have no findings.
     """
     spark = files.sparkSession
+    tx.small_batches(spark)
     versions = spark.createDataFrame([(r.version, i) for i, r in enumerate(rules)], "version string, rule int")
     seen = _read(spark, f"{ledger}/seen", LEDGER).join(F.broadcast(versions), "version").select("blob", "version").distinct()
     done = seen.groupBy("blob").agg(F.collect_set("version").alias("done"))

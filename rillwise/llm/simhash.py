@@ -151,6 +151,7 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -
     One row for each row of docs, of which only doc_id and text are read. Null and empty texts have fingerprint 0 and are
     linked by it. Rows without a doc_id are linked too but name no component unless all of theirs have none (then null).
     """
+    tx.small_batches(docs.sparkSession)
     prints = saved(fingerprints(docs, shingle), "fingerprints")
     fps = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     labels = connected_components(fingerprint_links(fps, bits))
@@ -239,6 +240,7 @@ def similar_components(docs: DataFrame, similarity: float = SIMILARITY) -> DataF
     fingerprints of five-word shingles verify. Rows without a doc_id and texts without words are left out: they are no copies.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
+    tx.small_batches(docs.sparkSession)
     triples = position_triples()
 
     def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

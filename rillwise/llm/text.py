@@ -17,6 +17,17 @@ _BYTE, _WORD = _U(0x9E3779B97F4A7C15), _U(0xD1342543DE82EF95)
 _powers: dict[tuple[int, bool], np.ndarray] = {}
 
 
+#: Rows of an Arrow batch: texts are long, and Spark's own 10,000 of them fill a worker.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark) -> None:
+    """From now on the session sends workers BATCH_ROWS rows at once, unless it was told another number than Spark's own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def utf8(texts) -> list[bytes]:
     """Null counts as empty."""
     return [b"" if t is None or t != t else t.encode("utf-8", "surrogatepass") for t in texts]

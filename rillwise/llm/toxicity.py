@@ -154,6 +154,7 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 
 def fit(docs: DataFrame, labels: DataFrame, bounds: dict[int, int] = EXAMPLES, n_terms: int = TERMS) -> Index:
     """The index of a bounded sample of labels; the driver gets n_terms term counts and the examples' sparse vectors."""
+    tx.small_batches(docs.sparkSession)
     examples = saved(choose_examples(docs, labels, bounds), "examples")
     shares = {r["toxic"]: r["n"] for r in labels.filter("toxic in (0, 1)").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     size = {r["toxic"]: r["n"] for r in examples.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -203,6 +204,7 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
     A null or empty text, and one without a known term, gets the share of toxic examples that have no neighbour either.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
+    tx.small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by the sample and the vocabulary
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
