@@ -202,10 +202,9 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
                 rooms.pop(0)
             each = room // size
             full = min(times, left // each)
-            rest = left - full * each if full < times else 0
-            rest = min(rest, each - 1) if full < times else 0
+            rest = min(left - full * each, each - 1) if full < times else 0
             if full:
-                open_[room - full_room(each, size)].append((full, [*items, (size, each)]))
+                open_[room - each * size].append((full, [*items, (size, each)]))
             if rest:
                 open_[room - rest * size].append((1, [*items, (size, rest)]))
             if items and times - full - bool(rest):
@@ -214,10 +213,6 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
     return [p for group in open_.values() for p in group]
 
 
-def full_room(each: int, size: int) -> int:
-    return each * size
-
-
 def plan(counts: dict[int, int], capacity: int) -> pd.DataFrame:
     """Where the pieces of each length go: of those with rank `rank` and on, `each` to a sequence from `sequence` on, at `offset`."""
     fixed, rest = reduce_instance(counts, capacity)
