@@ -98,16 +98,18 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     Ranges of one document may overlap; joined, they are the maximal repeats. doc_id names the text: rows that repeat a
     doc_id are taken for the same text. Rows without a doc_id neither give nor get repeats; null texts have no words.
     """
+    tx.small_batches(docs.sparkSession)
     found = saved(_occurrences(docs, window, anchor), "anchors")
-    shared = found.groupBy("seed").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("seed")
+    # what is joined is written first: both sides of each join are then plain exchanges, whose hot keys Spark can split
+    shared = saved(found.groupBy("seed").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("seed"), "shared-seeds")
     found = saved(found.join(shared, "seed"), "shared-anchors")
     classes = saved(found.groupBy("seed", "cover").agg(F.min(F.struct("doc_id", "first", "span")).alias("one")), "classes")
-    several = classes.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed")
+    several = saved(classes.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed"), "several")
     asked = saved(classes.join(several, "seed").select("seed", "cover", "one.doc_id", "one.first", "one.span"), "asked")
     seen = saved(_windows(docs, asked, window), "windows")
-    before = seen.groupBy("seed", "hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
+    before = saved(seen.groupBy("seed", "hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most"), "before")
     matched = seen.join(before.select("seed", "hash", "least"), ["seed", "hash"]).filter("doc_id > least").groupBy("seed", "cover").agg(F.min("shift").alias("low"), F.max("shift").alias("high"))
-    known = classes.select("seed", "cover", F.col("one.doc_id").alias("least")).join(matched, ["seed", "cover"], "left")
+    known = saved(classes.select("seed", "cover", F.col("one.doc_id").alias("least")).join(matched, ["seed", "cover"], "left"), "known")
     settled = found.join(known, ["seed", "cover"]).withColumn("all", F.col("doc_id") > F.col("least")).filter("all or low is not null")
     low, high = F.when(F.col("all"), F.lit(0)).otherwise(F.col("low")), F.when(F.col("all"), F.col("span")).otherwise(F.col("high"))
     return settled.select("doc_id", (F.col("first") + low).alias("begin"), (F.col("first") + high + window).alias("end"))
@@ -116,6 +118,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
 def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """doc_id, n_words, n_removed, kept, spans for each row of docs: kept are the words that stay, joined by one space; spans the maximal repeats."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    tx.small_batches(docs.sparkSession)
     ranges = saved(repeated_spans(docs, window, anchor), "repeats")
     ranges = ranges.groupBy("doc_id").agg(F.collect_set(F.struct("begin", "end")).alias("ranges")).withColumnRenamed("doc_id", "_doc")
     schema = f"doc_id {kind}, n_words long, n_removed long, kept string, spans array<struct<begin:long,end:long>>"
