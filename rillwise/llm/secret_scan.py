@@ -106,7 +106,10 @@ def scan(files: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, text: s
     versions = spark.createDataFrame([(r.version, i) for i, r in enumerate(rules)], "version string, rule int")
     seen = _read(spark, f"{ledger}/seen", LEDGER).join(F.broadcast(versions), "version").select("blob", "version").distinct()
     done = seen.groupBy("blob").agg(F.collect_set("version").alias("done"))
-    unseen = blobs(files, text).join(done, "blob", "left").filter(F.size(F.coalesce("done", F.array().cast("array<string>"))) < len(rules))
+    if seen.isEmpty():  # nothing to compare with: the texts need no second shuffle
+        unseen = blobs(files, text).withColumn("done", F.lit(None).cast("array<string>"))
+    else:
+        unseen = blobs(files, text).join(done, "blob", "left").filter(F.size(F.coalesce("done", F.array().cast("array<string>"))) < len(rules))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
