@@ -1,8 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman alignment scores the passages.
+"""Benchmark decontamination: shared n-grams join passages to test items, Smith-Waterman alignment scores the passages.
 
 Test items go to the tasks in blocks of bounded size, each against all documents; one pass finds every 5-gram that a
-document shares with an item. How many documents hold each is counted over all of them, and an item's seeds are those
-that are rare for that item: frequent phrases seed nothing, while an item that is itself copied often keeps its seeds.
+document shares with an item, and each such pair is aligned unless its words alone rule the threshold out. How many
+documents hold each n-gram is counted over all of them: the pair's seeds are those that are rare for the item. They are
+reported and decide nothing, as what is rare depends on the other documents.
 """
 
 from __future__ import annotations
@@ -113,12 +114,20 @@ def shared_passages(docs: DataFrame, items: _Items) -> DataFrame:
     return tagged.mapInPandas(run, f"doc_id {kind}, row long, item int, grams array<long>, passages array<array<long>>")
 
 
-def _aligner(words):
-    """A column function of (item, passages): the best passage's score. words: broadcast word hashes of the items."""
+def may_score(item: np.ndarray, passage: np.ndarray, threshold: float) -> bool:
+    """Whether the item's words that the passage holds would do if all of them matched; no alignment scores more."""
+    return MATCH * np.isin(item, passage).sum() >= threshold * MATCH * len(item) - 1e-6
+
+
+def _aligner(words, threshold: float):
+    """A column function of (item, passages): the best passage's score, 0 if below threshold. words: broadcast word hashes of the items."""
 
     @F.pandas_udf("double")
     def align(item: pd.Series, passages: pd.Series) -> pd.Series:
-        best = [max(smith_waterman(words.value[i], np.asarray(p, np.int64).view(np.uint64)) for p in ps) for i, ps in zip(item, passages)]
+        best = []
+        for i, ps in zip(item, passages):
+            own = [np.asarray(p, np.int64).view(np.uint64) for p in ps]
+            best.append(max((smith_waterman(words.value[i], p) for p in own if may_score(words.value[i], p, threshold)), default=0.0))
         return pd.Series(best, dtype=float)
 
     return align
@@ -129,7 +138,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
     Words are runs of letters and digits, in lower case. Items without a word match nothing; an item shorter than five
     words is matched by its whole sequence. Null texts are empty. Equal items each give a row. Nothing is left out for
-    being frequent but as a seed: a pair needs one seed that is rare for its item.
+    being frequent; seeds counts the shared n-grams that are rare for the item, and may be 0.
     """
     spark = docs.sparkSession
     sized = benchmark.filter("item_id is not null").select("item_id", "text", F.coalesce(F.length("text"), F.lit(0)).alias("n"))
@@ -148,8 +157,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
         rare = held.join(F.broadcast(quartile), "item").filter(F.col("held") <= RARE * F.col("quartile")).select("item", "gram")
         seeded = each.join(rare, ["item", "gram"]).groupBy("row", "item").agg(F.count("*").alias("seeds"))
 
-        scored = met.join(seeded, ["row", "item"]).withColumn("score", _aligner(words)("item", "passages")).filter(F.col("score") >= threshold)
-        out.append(scored.join(F.broadcast(names), "item").select("doc_id", "row", "item_id", "seeds", "score"))
+        scored = met.select("doc_id", "row", "item", _aligner(words, threshold)("item", "passages").alias("score")).filter(F.col("score") >= threshold)
+        known = scored.join(seeded, ["row", "item"], "left").withColumn("seeds", F.coalesce("seeds", F.lit(0)))
+        out.append(known.join(F.broadcast(names), "item").select("doc_id", "row", "item_id", "seeds", "score"))
     if not out:
         kinds = (docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString())
         return spark.createDataFrame([], f"doc_id {kinds[0]}, row long, item_id {kinds[1]}, seeds long, score double")

@@ -254,6 +254,14 @@ def test_often_copied_item_keeps_its_seeds(spark):
     assert dc.contaminated(frame(spark, rows), spark.createDataFrame([(1, item)], "item_id long, text string")).count() == 150
 
 
+def test_quoted_in_part_beside_a_whole_copy(spark):
+    item = [f"i{k}" for k in range(40)]
+    texts = [" ".join(item)] + [" ".join(item[:28]) + f" {long_text(30, k)}" for k in range(100)] + [" ".join(item[:9]) + f" {long_text(30, k)}" for k in range(100, 110)]
+    got = dc.contaminated(frame(spark, list(enumerate(texts))), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).toPandas().set_index("doc_id")
+    assert sorted(got.index) == list(range(101)) and got.loc[0, "score"] == 1 and (got.loc[1:, "score"] == 0.7).all()
+    assert got.loc[0, "seeds"] == 12 and (got.loc[1:, "seeds"] == 0).all()
+
+
 # toxicity
 
 
