@@ -9,6 +9,8 @@ a key only links of a spanning forest leave the task, so a group of copies gives
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -166,112 +168,109 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Near-duplicates by similarity: what is indexed (words of a shingle, 64-bit parts), what is verified, keys, and bits that may differ.
-INDEXED, VERIFIED = (2, 4), (5, 8)
-KEYS = 64
+#: Near-duplicates by similarity: words of a shingle, and the Jaccard similarity of shingle sets that links.
+WORDS = 5
 SIMILARITY = 0.8
+#: One document of so many is counted to find common shingles, which are common if so many of those hold them; at most so many are sent to the tasks.
+SAMPLED, COMMON, SENT = 16, 8, 100_000
 
 
-def allowed_bits(similarity: float, parts: int) -> int:
-    """Of 64 * parts bits, how many differ at that Jaccard similarity of shingle sets, and half a standard deviation more."""
-    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    n = 64 * parts
-    return int(n * p + 0.5 * np.sqrt(n * p * (1 - p)))
-
-
-def position_triples(keys: int = KEYS, width: int = 8 * INDEXED[1]) -> np.ndarray:
-    """Sets of three byte positions, spread evenly: each position is in as many as any other, give or take one."""
-    order = np.argsort(tx.mix(np.arange(1, 3 * keys + width, dtype=np.uint64)), kind="stable") % width
-    out: list[tuple[int, ...]] = []
-    for step in range(1, width):
-        for p in range(width):
-            triple = tuple(sorted({p, (p + step) % width, (p + 3 * step + 1 + int(order[p]) % 3) % width}))
-            if len(triple) == 3 and triple not in out:
-                out.append(triple)
-            if len(out) == keys:
-                return np.array(out)
-    return np.array(out)
-
-
-def wide_majority(h: np.ndarray, parts: int) -> np.ndarray:
-    """64 * parts bits as uint64: each shingle hash gives as many parts; a bit is set where over half of the shingles set it."""
-    ones = np.zeros(64 * parts, np.int64)
-    for i in range(0, len(h), 4096):
-        wide = tx.mix(h[i : i + 4096, None] + np.arange(parts, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        ones += np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
-    return np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)
-
-
-def _shingle_sets(raw: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each text the sets (hashes) of its shingles that are indexed and that are verified; fewer words: the whole sequence."""
+def shingle_sets(raw: list[bytes]) -> Iterator[np.ndarray]:
+    """Of each text the set (sorted hashes) of its runs of five words; a text of fewer words is one shingle, one without words none."""
     for part in tx.chunks(raw):
         words = tx.Words([t.lower() for t in raw[part]])
         h = words.hashes()
-        g = [tx.grams(h, n) for n, _ in (INDEXED, VERIFIED)]
+        g = tx.grams(h, WORDS)
         for a, b in zip(words.ptr[:-1], words.ptr[1:]):
-            yield tuple(np.unique(x[a : b - n + 1]) if b - a >= n else np.array([h[a:b].sum()]) if b > a else h[:0] for x, n in zip(g, (INDEXED[0], VERIFIED[0])))
+            yield np.unique(g[a : b - WORDS + 1]) if b - a >= WORDS else tx.grams(h[a:b], b - a) if b > a else h[:0]
 
 
-def wide_forest(group: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of links that connect the rows of group (fingerprints of several parts) as all links within bits would.
+def _common_shingles(docs: DataFrame) -> np.ndarray:
+    """Common shingles, the most common last. They only order the sets: what is linked does not depend on them."""
 
-    Each row is compared only with those not yet reached, so a group of copies is left after a few comparisons.
-    """
-    rest = np.arange(len(group))
-    us, vs = [], []
-    while len(rest):
-        todo, rest = [rest[0]], rest[1:]
-        while todo and len(rest):
-            i = todo.pop()
-            near = np.bitwise_count(group[rest] ^ group[i]).sum(axis=1) <= bits
-            us.append(np.full(near.sum(), i))
-            vs.append(rest[near])
-            todo += rest[near].tolist()
-            rest = rest[~near]
-    return (np.concatenate(us), np.concatenate(vs)) if us else (rest[:0], rest[:0])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for s in shingle_sets(tx.utf8(batch["text"])):
+                yield pd.DataFrame({"g": s.view(np.int64)})
+
+    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0).select("text")
+    counted = sample.mapInPandas(run, "g long").groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON)
+    rows = counted.orderBy(F.desc("n"), "g").limit(SENT).collect()
+    return np.array([r["g"] for r in rows][::-1], np.int64).view(np.uint64)
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose sets are that similar."""
+    u, v = sets.select(F.col("id").alias("u"), F.col("grams").alias("a")), sets.select(F.col("id").alias("v"), F.col("grams").alias("b"))
+    both = F.size(F.array_intersect("a", "b"))
+    return pairs.join(v, "v").join(u, "u").filter(both >= similarity * (F.size("a") + F.size("b") - both) - 1e-9).select("u", "v")
 
 
 def similar_components(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, component_id: the least doc_id that a document reaches over pairs whose five-word shingles are that similar.
 
-    Bits that differ between SimHash fingerprints measure similarity. Pairs of 0.8 differ in about 15 % of the bits, so no
-    byte is sure to be shared and no minimum is guaranteed: the index keys triples of positional bytes of a fingerprint
-    of two-word shingles (an edit changes two of these but five of the others), of which such pairs share several, and
-    fingerprints of five-word shingles verify. Rows without a doc_id and texts without words are left out: they are no copies.
+    Exact: every link is verified by Jaccard similarity, and no similar pair of two components is left out. Sets are put in
+    one order, common shingles last; similar sets share one of their first n - ceil(similarity * n) + 1 shingles, the keys.
+    Two rounds compare each key's documents with one of them only, the second with one that the first reached, so that
+    groups of copies become one component; then documents of a key that are still in different components meet. All
+    are joins that adaptive execution can split: no task holds a key. Rows without a doc_id and texts without words are
+    left out: they are no copies.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     tx.small_batches(docs.sparkSession)
-    triples = position_triples()
+    known = docs.filter("doc_id is not null").select("doc_id", "text")
+    last = _common_shingles(known)
+    by = np.argsort(last)
+    shared = docs.sparkSession.sparkContext.broadcast((last[by], by))
 
-    def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common, rank = shared.value
         for batch in batches:
             ids, out = batch["doc_id"].to_numpy(), []
-            for doc, (indexed, verified) in zip(ids, _shingle_sets(tx.utf8(batch["text"]))):
-                if len(verified):
-                    index = wide_majority(indexed, INDEXED[1]).view(np.uint8)[triples].astype(np.int64)
-                    keys = (np.arange(len(triples)) << 24) + (index << np.array([0, 8, 16])).sum(axis=1)
-                    out.append((doc, keys, wide_majority(verified, VERIFIED[1]).tobytes()))
-            yield pd.DataFrame(out, columns=["doc_id", "keys", "fp"]).astype({"doc_id": ids.dtype})
-
-    known = docs.filter("doc_id is not null").select("doc_id", "text")
-    wide = saved(known.mapInPandas(prints, f"doc_id {kind}, keys array<long>, fp binary"), "wide-fingerprints")
-    entries = wide.groupBy("fp", "keys").agg(F.min("doc_id").alias("least"))
-    met = entries.select("least", "fp", F.explode("keys").alias("key")).groupBy("key").agg(F.collect_list(F.struct("least", "fp")).alias("held")).filter(F.size("held") > 1)
-    bits = allowed_bits(similarity, VERIFIED[1])
-
-    def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for doc, s in zip(ids, shingle_sets(tx.utf8(batch["text"]))):
+                n = len(s)
+                if not n:
+                    continue
+                digest, keys = hashlib.blake2b(s.tobytes(), digest_size=16).digest(), s
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+                    keys = s[np.argsort(np.where(common[at] == s, rank[at] + 1, 0), kind="stable")]
+                out.append((doc, n, digest, keys[: n - math.ceil(similarity * n - 1e-9) + 1].view(np.int64)))
+            yield pd.DataFrame(out, columns=["doc_id", "n", "digest", "keys"]).astype({"doc_id": ids.dtype})
+
+    def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            us, vs = [], []
-            for held in batch["held"]:
-                group = np.frombuffer(b"".join(x["fp"] for x in held), np.uint64).reshape(len(held), -1)
-                u, v = wide_forest(group, bits)
-                us += [held[i]["least"] for i in u]
-                vs += [held[i]["least"] for i in v]
-            yield pd.DataFrame({"u": us, "v": vs}, dtype=object)
-
-    found = saved(met.mapInPandas(links, f"u {kind}, v {kind}").distinct(), "similar")
-    same = wide.join(entries, ["fp", "keys"]).filter("doc_id <> least").select(F.col("doc_id").alias("u"), F.col("least").alias("v"))
-    labels = connected_components(found.unionByName(same))
+            yield pd.DataFrame({"id": batch["doc_id"], "grams": [s.view(np.int64) for s in shingle_sets(tx.utf8(batch["text"]))]})
+
+    wide = saved(known.mapInPandas(prefixes, f"doc_id {kind}, n int, digest binary, keys array<long>"), "prefixes")
+    entries = saved(wide.groupBy("digest", "n", "keys").agg(F.min("doc_id").alias("id")), "distinct-sets")
+    same = wide.select("doc_id", "digest").join(entries.select("digest", "id"), "digest").filter("doc_id <> id").select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
+    links = saved(same, "similar")
+
+    live = entries.select("id", "n", F.posexplode("keys").alias("at", "key")).withColumn("component", F.col("id")).withColumn("alone", F.lit(True))
+    sets = None
+    for turn in range(3):
+        mixed = live.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("key")
+        live = saved(live.join(saved(mixed, "keys"), "key"), "postings")
+        if sets is None:
+            ids = saved(live.select(F.col("id").alias("doc_id")).distinct(), "candidates")
+            sets = saved(known.join(ids, "doc_id", "left_semi").mapInPandas(grams, f"id {kind}, grams array<long>"), "sets")
+        if turn < 2:
+            nth = F.xxhash64("id") if turn == 0 else F.bitwise_not(F.xxhash64("id"))
+            one = F.min(F.struct("alone", nth.alias("nth"), "id", "n", "at", "component")).alias("one")
+            other = saved(live.groupBy("key").agg(one).select("key", *(F.col(f"one.{c}").alias(f"{c}2") for c in ("id", "n", "at", "component"))), "pivots")
+        else:
+            other = live.select("key", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "at", "component")))
+        # at the first shingle that two sets share, what follows in both must hold the overlap that the similarity asks for
+        enough = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) >= similarity / (1 + similarity) * (F.col("n") + F.col("n2")) - 1e-9
+        met = live.join(other, "key").filter(F.col("component") != F.col("component2")).filter(enough)
+        met = met.filter("id < id2") if turn == 2 else met
+        pairs = saved(met.select(F.least("id", "id2").alias("u"), F.greatest("id", "id2").alias("v")).distinct(), "pairs")
+        links = saved(links.unionByName(_similar(pairs, sets, similarity)), "similar")
+        labels = connected_components(links)
+        if turn < 2:
+            to = labels.select(F.col("node").alias("id"), F.col("component").alias("to"))
+            live = live.join(to, "id", "left").select("id", "n", "at", "key", F.coalesce("to", "id").alias("component"), F.col("to").isNull().alias("alone"))
     return labels.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
 
 

@@ -480,6 +480,32 @@ def test_similar_documents(spark):
     assert left == {1, 4, 5, 6, 7, 8}
 
 
+def test_similar_documents_against_brute_force(spark, monkeypatch):
+    """Families whose members are 0.6 to 1 like their first and often less than 0.8 like each other; a line that all hold."""
+    monkeypatch.setattr(sh, "SAMPLED", 1, raising=False)
+    rng, rows = np.random.default_rng(5), []
+    line = long_text(12, 99).split()
+    for family in range(25):
+        base = long_text(int(rng.integers(5, 300)), 1000 + family).split()
+        for _ in range(12):
+            edits = rng.choice(len(base), min(len(base), int(rng.integers(0, 1 + len(base) // 20))), replace=False)
+            rows.append(" ".join([f"e{rng.integers(1 << 40)}" if k in edits else w for k, w in enumerate(base)] + line))
+    rows += ["a b", "b a", "a  B", "one two three four", "one two three four", *(long_text(40, 5000 + k) + " " + " ".join(line) for k in range(30))]
+    words = [t.lower().split() for t in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
+    root = list(range(len(rows)))
+    border = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            similarity = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+            border += 0.7 < similarity < 0.9
+            if similarity >= 0.8 and root[i] != root[j]:
+                a, b = min(root[i], root[j]), max(root[i], root[j])
+                root = [a if x == b else x for x in root]
+    got = dict(sh.similar_components(frame(spark, list(enumerate(rows))).repartition(5)).collect())
+    assert border > 100 and [got.get(i, i) for i in range(len(rows))] == root
+
+
 # licenses
 
 
