@@ -506,6 +506,23 @@ def test_similar_documents_against_brute_force(spark, monkeypatch):
     assert border > 100 and [got.get(i, i) for i in range(len(rows))] == root
 
 
+def test_a_family_of_edited_copies_meets_few_pairs(spark, monkeypatch):
+    """No list of a key's members in one task, and pairs in proportion to the family."""
+    kept, saved = {}, sh.saved
+
+    def count(df, name):
+        out = saved(df, name)
+        kept.setdefault(name, []).append((out.count(), [f.dataType.typeName() for f in out.schema]))
+        return out
+
+    monkeypatch.setattr(sh, "saved", count)
+    base, n = long_text(200, 7).split(), 300
+    rows = [(i, " ".join(w if k != 5 + i % 190 else f"e{i}" for k, w in enumerate(base))) for i in range(n)]
+    got = sh.similar_components(frame(spark, rows)).toPandas()
+    assert len(got) == n and set(got["component_id"]) == {0}
+    assert 0 < sum(rows for rows, _ in kept["pairs"]) < 4 * n and all("array" not in types for _, types in kept["postings"])
+
+
 # licenses
 
 
