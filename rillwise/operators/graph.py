@@ -27,9 +27,8 @@ def connected_components(edges: DataFrame, src: str = "u", dst: str = "v") -> Da
     Rounds grow with the logarithm of the longest path; each round's edges are written to the shared folder.
     """
     u, v = F.col(src), F.col(dst)
-    now = edges.filter(u.isNotNull() & v.isNotNull()).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v"))
-    nodes = saved(now.filter("u = v").select("u").distinct(), "loops")
-    now = saved(now.filter("u <> v").distinct(), "edges")
+    now = saved(edges.filter(u.isNotNull() & v.isNotNull()).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct(), "edges")
+    nodes, now = now.filter("u = v").select("u"), now.filter("u <> v")
     mark = None
     while True:
         now = saved(_star(_star(now, large=True), large=False), "edges")
