@@ -25,12 +25,15 @@ CACHED = 250_000
 
 
 class _Encoder(dict):
-    """A chunk's ids as bytes of little-endian unsigned 32-bit numbers."""
+    """A chunk's ids as bytes of little-endian unsigned 32-bit numbers. Strings of the file's added tokens have their own ids."""
 
     def __init__(self, vocabulary: str):
         import tiktoken
 
-        self.plain = tiktoken.Encoding("byte_bpe", **_ranks(vocabulary), special_tokens={}).encode_ordinary
+        ranks, added = _ranks(vocabulary)
+        self.plain = tiktoken.Encoding("byte_bpe", **ranks, special_tokens={}).encode_ordinary
+        self.added = {text: np.array([i], "<u4").tobytes() for text, i in added.items()}
+        self.apart = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) or r"(?!)")
 
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= CACHED:
@@ -39,6 +42,13 @@ class _Encoder(dict):
         return ids
 
     def __call__(self, text: str) -> bytes:
+        out, at = [], 0
+        for found in self.apart.finditer(text):
+            out += [self.ordinary(text[at : found.start()]), self.added[found[0]]]
+            at = found.end()
+        return b"".join([*out, self.ordinary(text[at:])]) if out else self.ordinary(text)
+
+    def ordinary(self, text: str) -> bytes:
         """Where no space is beside white space, pieces of the pattern never cross a space that starts a word."""
         if _BESIDE.search(text):
             return np.array(self.plain(text), "<u4").tobytes()
@@ -49,8 +59,8 @@ class _Encoder(dict):
 _BESIDE = re.compile(r" \s| \Z")
 
 
-def _ranks(vocabulary: str) -> dict:
-    """Pattern and ranks of a byte-level vocabulary file of the tokenizers library."""
+def _ranks(vocabulary: str) -> tuple[dict, dict[str, int]]:
+    """Pattern and ranks of a byte-level vocabulary file of the tokenizers library, and its added tokens."""
     import json
 
     import public_tokenizers
@@ -60,9 +70,9 @@ def _ranks(vocabulary: str) -> dict:
     byte = {c: b for b, c in shown.items()}
     with open(vocabulary, encoding="utf-8") as f:
         model = json.load(f)
-    added = {x["content"] for x in model["added_tokens"]}
+    added = {x["content"]: x["id"] for x in model["added_tokens"]}
     ranks = {bytes(byte[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in added}
-    return {"pat_str": public_tokenizers.PATTERN, "mergeable_ranks": ranks}
+    return {"pat_str": public_tokenizers.PATTERN, "mergeable_ranks": ranks}, added
 
 
 def default_vocabulary() -> str:
@@ -260,6 +270,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length") ->
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, packed. A very long text costs its own encoding in one task and is cut into many pieces."""
     return packed_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
