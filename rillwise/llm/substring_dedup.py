@@ -2,9 +2,11 @@
 
 Every window of 50 words holds one anchor: the least 18-gram among its 33 (winnowing), chosen by content alone, so equal
 windows have equal anchors at equal places. Only anchors that more than one document holds are followed. Occurrences of an
-anchor are extended both ways over the words that its windows cover. Those with the same anchor and the same extension are
-one class, settled by its least doc_id; where an anchor has several classes, one occurrence of each is compared window by
-window. No pairs of documents are formed: a group costs as many rows as it has windows, however many documents hold it.
+anchor are extended both ways over the words that its windows cover, and compared by BLAKE2b digests of these words as they
+stand in the text. Those with the same anchor and the same extension are one class, settled by its least doc_id; where an
+anchor has several classes, one occurrence of each is compared window by window, by digests of the windows' words again.
+Anchor and digest agree in 128 bits together, which no unequal words can be made to do. No pairs of documents are formed: a
+group costs as many rows as it has windows, however many documents hold it.
 """
 
 from __future__ import annotations
@@ -36,8 +38,23 @@ def sliding_argmin(x: np.ndarray, width: int) -> np.ndarray:
     return (least & np.uint64((1 << place) - 1)).astype(np.int64)
 
 
+class _Plain:
+    """The words of some texts joined by one space, for digests of runs of words."""
+
+    def __init__(self, words: tx.Words):
+        size = words.end - words.start
+        self.end = np.cumsum(size + 1) - 1
+        self.start = self.end - size
+        self.line = b" ".join(words.buf.tobytes().split())
+
+    def digest(self, begin: np.ndarray, end: np.ndarray, salt: np.ndarray) -> np.ndarray:
+        """Of the words from begin to before end, and of a number beside them."""
+        a, b, line = self.start[begin].tolist(), self.end[end - 1].tolist(), self.line
+        return np.fromiter((tx.digest64(b"%d " % s + line[x:y]) for x, y, s in zip(a, b, salt.tolist())), np.uint64, len(a))
+
+
 def anchors(words: tx.Words, window: int, anchor: int) -> dict[str, np.ndarray] | None:
-    """Runs of windows that share an anchor: text, first (window), last, anchor's hash, and the hash of all that they cover."""
+    """Runs of windows that share an anchor: text, first (window), last, anchor's hash, and the digest of its place and of all words that they cover."""
     h = words.hashes()
     if len(h) < window:
         return None
@@ -51,7 +68,7 @@ def anchors(words: tx.Words, window: int, anchor: int) -> dict[str, np.ndarray]
     first, last = first[ok[first]], last[ok[first]]
     if not len(first):
         return None
-    cover = tx.spans(h, first, last + window) ^ tx.mix((at[first] - first).astype(np.uint64))
+    cover = _Plain(words).digest(first, last + window, at[first] - first)
     return {"text": text[first], "first": first - words.ptr[text[first]], "last": last - words.ptr[text[first]], "seed": g[at[first]], "cover": cover}
 
 
@@ -80,14 +97,13 @@ def _windows(docs: DataFrame, asked: DataFrame, window: int) -> DataFrame:
             raw = tx.utf8(batch["text"])
             for part in tx.chunks(raw):
                 words = tx.Words(raw[part])
-                h = tx.grams(words.hashes(), window)
                 rows = [(doc, ptr, x) for doc, ptr, asked in zip(batch["doc_id"][part], words.ptr, batch["asked"][part]) for x in asked]
                 if rows:
                     n = np.array([x["span"] + 1 for _, _, x in rows])
                     shift = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                     at = np.repeat([ptr + x["first"] for _, ptr, x in rows], n) + shift
                     each = lambda values: np.repeat(np.array(values), n)
-                    yield pd.DataFrame({"doc_id": each([d for d, _, _ in rows]), "seed": each([x["seed"] for _, _, x in rows]), "cover": each([x["cover"] for _, _, x in rows]), "shift": shift.astype(np.int16), "hash": tx.signed(h[at])})
+                    yield pd.DataFrame({"doc_id": each([d for d, _, _ in rows]), "seed": each([x["seed"] for _, _, x in rows]), "cover": each([x["cover"] for _, _, x in rows]), "shift": shift.astype(np.int16), "hash": tx.signed(_Plain(words).digest(at, at + window, np.zeros_like(at)))})
 
     return docs.select("doc_id", "text").join(wanted, "doc_id").mapInPandas(run, f"doc_id {kind}, seed long, cover long, shift short, hash long")
 
@@ -144,5 +160,6 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the 50-word windows that an earlier document holds; spans are the maximal repeats. A very long text costs one row an anchor."""
     found = without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"), "spans")
