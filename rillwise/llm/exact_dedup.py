@@ -2,15 +2,18 @@
 
 The stream keeps one state row for each digest, in RocksDB on the executors' disks and without expiry: how often it came,
 the row that stays (largest doc_id) and where its content lies. No text enters the state. Digests seen more than once are
-hits: their full texts are compared, by grouping the input on digest and text, whose copies collapse before the shuffle.
+hits: a bounded bitmap of them goes to the texts, and those that may be hits are grouped by digest and full text, whose
+copies collapse before the shuffle. Other texts don't move.
 """
 
 from __future__ import annotations
 
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from rillwise.llm.bitmap import may_hold
+from rillwise.llm.text import content_key as digest
 from rillwise.store import saved, scratch
 
 STATE = {
@@ -34,11 +37,6 @@ def _settings(spark: SparkSession, conf: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def digest(text: Column) -> Column:
-    """SHA-256 of the text's UTF-8 bytes, lowercase hex; null counts as empty."""
-    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
-
-
 def digest_state(keys: DataFrame, checkpoint: str, updates: str) -> DataFrame:
     """Run a stream of (digest, doc_id, row_tag, locator) until all that is available is in the state.
 
@@ -62,6 +60,7 @@ def digest_state(keys: DataFrame, checkpoint: str, updates: str) -> DataFrame:
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256, locator: one row for each row of docs, of which only doc_id and text are read.
 
+    The locator is the file and place in the digest table (row_tag) of the row that stays; a very long text costs one digest.
     Equal texts form a group, of which the row with the largest doc_id stays (nulls are least; of rows that agree in doc_id
     too, one). A null text counts as empty. An empty table gives an empty result. Other columns have no influence.
     """
@@ -76,8 +75,9 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     rows = spark.read.schema(rows.schema).parquet(incoming)
 
     text = F.coalesce(F.col("text"), F.lit("")).alias("text")
-    same = docs.select(digest(F.col("text")).alias("digest"), text).groupBy("digest", "text").agg(F.count("*").alias("n"))
-    hits = state.filter("group_size > 1").select("digest", "group_size")
+    hits = saved(state.filter("group_size > 1").select("digest", "group_size"), "hits")
+    met = may_hold(docs.select(digest(F.col("text")).alias("digest"), text), F.col("digest"), hits, "digest")
+    same = met.groupBy("digest", "text").agg(F.count("*").alias("n"))
     differ = same.join(hits, "digest").filter("n <> group_size").select("digest").distinct()
     if differ.isEmpty():
         out = rows.join(state, "digest")
@@ -110,6 +110,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the copy that stays."""
     return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
