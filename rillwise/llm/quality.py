@@ -150,12 +150,8 @@ def train(vectors: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray) -> n
     return w
 
 
-def quality(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, posterior, score (0 to 1: good is likelier), votes of each row of docs, of which doc_id and text are read.
-
-    Null and empty texts get bad votes. Repeated rows are scored alike; an empty table gives an empty result.
-    """
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def vote_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The vote patterns of all rows, ascending, and how often each comes (3 ** labellers patterns at most)."""
 
     def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -163,10 +159,32 @@ def quality(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
             yield pd.DataFrame({"pattern": own, "n": n})
 
     tx.small_batches(docs.sparkSession)
-    counted = docs.select("text").mapInPandas(vote, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").toPandas()  # 3 ** labellers at most
-    patterns = counted["pattern"].to_numpy(np.int64)
-    posterior, accuracy = label_model(patterns, counted["n"].to_numpy())
-    chosen = saved(docs.select("doc_id", "text").orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit("quality")), "doc_id").limit(sample), "quality-sample")
+    counted = docs.select("text").mapInPandas(vote, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").toPandas()
+    return counted["pattern"].to_numpy(np.int64), counted["n"].to_numpy(np.int64)
+
+
+def labeller_accuracies(docs: DataFrame) -> dict[str, float]:
+    """Of each labeller the estimated share of documents that it votes right on, without any label."""
+    _, accuracy = label_model(*vote_counts(docs))
+    return {x[0]: float(a) for x, a in zip(LABELLERS, accuracy)}
+
+
+def quality(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """doc_id, posterior, score (0 to 1: good is likelier), votes of each row of docs, of which doc_id and text are read.
+
+    Null and empty texts get bad votes. Repeated rows are scored alike; where a doc_id has several texts, the least may be
+    trained on. Rows without a doc_id are scored, not trained on. An empty table gives an empty result. A very long text is
+    read once a pass, in the task that holds it.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    patterns, counts = vote_counts(docs)
+    posterior, _ = label_model(patterns, counts)
+    order = F.xxhash64(F.col("doc_id").cast("string"), F.lit("quality"))
+    # ids first, no more than the sample: texts stay where they are, but for those chosen
+    ids = docs.filter("doc_id is not null").select("doc_id").distinct().orderBy(order, "doc_id").limit(sample)
+    own = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")
+    chosen = saved(own.groupBy("doc_id").agg(F.min("text").alias("text")), "quality-sample")
 
     def sparse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -192,5 +210,6 @@ def quality(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the scorer's verdict and the label model's posterior."""
     found = quality(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "score", "posterior", (F.col("score") >= KEEP).alias("keep"))
