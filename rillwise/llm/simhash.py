@@ -3,30 +3,29 @@
 Fingerprints of 64 bits that differ in at most d bits share at least 8 - d of their 8 positional bytes. Postings of one
 positional byte would be as long as the table, so the index is keyed by sets of positions: a family of 4-byte sets such
 that any 5 shared bytes hold one of them. Fingerprints that meet under a key have their shared bytes tallied, pairs
-with fewer than the guaranteed minimum go, and the rest are verified bit by bit. Equal fingerprints are one entry; within
-a key only links of a spanning forest leave the task, so a group of copies gives no pairs.
+with fewer than the guaranteed minimum go, and the rest are verified bit by bit. Equal fingerprints are one entry. Keys
+meet by joins: with one fingerprint each first, so that a group of copies gives no pairs, then, under keys of five bytes,
+those that are still apart with each other.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from rillwise.llm import text as tx
+from rillwise.llm import bitmap, text as tx
 from rillwise.operators.graph import connected_components
 from rillwise.store import saved
 
 BITS = 3
 SHINGLE = 3
 SEED = 42
-#: Entries of one key that are compared with each other directly; beyond it their possible neighbours are looked up.
-DIRECT = 8192
 
 
 def position_sets(shared: int, size: int, width: int = 8) -> list[tuple[int, ...]]:
@@ -84,67 +83,72 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, fp long")
 
 
-def _near(x: np.uint64, many: np.ndarray, bits: int) -> np.ndarray:
-    """Which of many share enough positional bytes with x, and of these which differ in few enough bits."""
-    shared = (many.view(np.uint8).reshape(-1, 8) == np.array([x]).view(np.uint8)).sum(axis=1)
-    left = np.flatnonzero(shared >= 8 - bits)
-    return left[np.bitwise_count(many[left] ^ x) <= bits]
-
-
-def forest(group: np.ndarray, bits: int, free: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect the group's distinct fingerprints as all links within bits would. free: bit positions in which they can differ."""
-    left = np.sort(group)
-    us, vs = [], []
-    probe = None
-    if len(left) > DIRECT:
-        flips = [sum(1 << b for b in c) for k in range(1, bits + 1) for c in combinations(free, k)]
-        probe = np.array(flips, np.uint64)
-    seen = np.zeros(len(left), bool)
-    for root in range(len(left)):
-        if seen[root]:
-            continue
-        seen[root] = True
-        todo = [root]
-        while todo:
-            i = todo.pop()
-            if probe is None:
-                rest = np.flatnonzero(~seen)
-                near = rest[_near(left[i], left[rest], bits)] if len(rest) else rest
-            else:
-                want = left[i] ^ probe
-                at = np.minimum(np.searchsorted(left, want), len(left) - 1)
-                near = at[(left[at] == want) & ~seen[at]]
-            seen[near] = True
-            todo += near.tolist()
-            us.append(np.full(len(near), left[i]))
-            vs.append(left[near])
-    return (np.concatenate(us), np.concatenate(vs)) if us else (left[:0], left[:0])
-
-
-def fingerprint_links(fps: DataFrame, bits: int = BITS) -> DataFrame:
-    """(u, v): links between the distinct fingerprints in column fp whose components are those of all pairs within bits."""
+def linked_components(postings: DataFrame, close: Column, verify: Callable[[DataFrame], DataFrame] | None = None, finer: Callable[[DataFrame], DataFrame] | None = None, links: DataFrame | None = None) -> DataFrame:
+    """(node, component) over links between the ids that meet under a key; nodes without a link are not returned.
+
+    postings: key, id and what `close`, a condition on a posting and another one (whose columns end in 2), reads. verify
+    takes saved pairs (u, v) that are close and returns those that are links. Two rounds compare each key's ids with one of
+    them only, the second with one that the first reached, so that groups of copies become one component; then ids of a key
+    that are still in different components meet, under the finer keys that `finer` makes of their postings. All of these
+    are joins of written tables, which adaptive execution can split: no task holds a key.
+    """
+    live = postings.withColumn("component", F.col("id")).withColumn("alone", F.lit(True))
+    own = [c for c in live.columns if c not in ("key", "alone")]
+    for turn in range(3):
+        if turn == 2 and finer:
+            live = finer(live)
+        mixed = live.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("key")
+        live = saved(live.join(saved(mixed, "keys"), "key"), "postings")
+        if turn < 2:
+            nth = F.xxhash64("id") if turn == 0 else F.bitwise_not(F.xxhash64("id"))
+            one = F.min(F.struct("alone", nth.alias("nth"), *own)).alias("one")
+            other = saved(live.groupBy("key").agg(one).select("key", *(F.col(f"one.{c}").alias(f"{c}2") for c in own)), "pivots")
+        else:
+            other = live.select("key", *(F.col(c).alias(f"{c}2") for c in own))
+        met = live.join(other, "key").filter(F.col("component") != F.col("component2")).filter(close)
+        met = met.filter("id < id2") if turn == 2 else met
+        pairs = saved(met.select(F.least("id", "id2").alias("u"), F.greatest("id", "id2").alias("v")).distinct(), "pairs")
+        found = verify(pairs) if verify else pairs
+        links = saved(links.unionByName(found) if links is not None else found, "similar")
+        labels = connected_components(links)
+        if turn < 2:
+            to = labels.select(F.col("node").alias("id"), F.col("component").alias("to"))
+            kept = [c for c in live.columns if c not in ("component", "alone")]
+            live = live.join(to, "id", "left").select(*kept, F.coalesce("to", "id").alias("component"), F.col("to").isNull().alias("alone"))
+    return labels
+
+
+def fingerprint_components(fps: DataFrame, bits: int = BITS) -> DataFrame:
+    """(node, component) of the distinct fingerprints in column fp, over all pairs within bits; only those with a link."""
     shared = 8 - bits
     if shared < 1:
         raise ValueError("bytes guarantee no match for so many bits")
     sets = position_sets(shared, min(4, shared))
-    masks = [sum(255 << 8 * p for p in s) for s in sets]
-    masks = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keys = F.explode(F.array(*[F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(m)).alias("bytes")) for i, m in enumerate(masks)]))
-    postings = fps.select("fp", keys.alias("key")).select("fp", "key.part", "key.bytes")
-    met = postings.groupBy("part", "bytes").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
-    fixed = [set(s) for s in sets]
+    byte = lambda x, p: F.shiftrightunsigned(x, 8 * p).bitwiseAND(F.lit(255))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for part, group in zip(batch["part"], batch["fps"]):
-                free = [8 * p + b for p in range(8) if p not in fixed[part] for b in range(8)]
-                out.append(forest(np.asarray(group, np.int64).view(np.uint64), bits, free))
-            if out:
-                u, v = (np.concatenate(x).view(np.int64) for x in zip(*out))
-                yield pd.DataFrame({"u": u, "v": v})
+    def key(part: int, positions: tuple[int, ...]) -> Column:
+        out = F.lit(part).cast("long")
+        for p in positions:
+            out = F.shiftleft(out, 8).bitwiseOR(byte(F.col("fp"), p))
+        return out
 
-    return met.mapInPandas(run, "u long, v long").distinct()
+    postings = fps.select(F.col("fp").alias("id"), F.explode(F.array(*[key(i, s) for i, s in enumerate(sets)])).alias("key"))
+    # tally of the bytes that two share; fewer than guaranteed can't be near, the others are verified bit by bit
+    tally = sum(((byte(F.col("id"), p) == byte(F.col("id2"), p)).cast("int") for p in range(8)), F.lit(0))
+    close = (tally >= shared) & (F.bit_count(F.col("id").bitwiseXOR(F.col("id2"))) <= bits)
+
+    def finer(live: DataFrame) -> DataFrame:
+        """Each posting under one more byte of those that its key leaves open: near ones share `shared` bytes, more than the key has."""
+        width = len(sets[0])
+        if shared <= width:
+            return live
+        part = F.shiftright("key", 8 * width)
+        more = F.array(*[F.struct(F.lit(p).alias("at"), byte(F.col("id"), p).alias("byte")) for p in range(8)])
+        fixed = F.element_at(F.array(*[F.array(*[F.lit(p) for p in s]) for s in sets]), part.cast("int") + 1)
+        rest = live.withColumn("fixed", fixed).withColumn("more", F.explode(more)).filter(~F.array_contains("fixed", F.col("more.at")))
+        return rest.withColumn("key", F.shiftleft(F.shiftleft("key", 3).bitwiseOR(F.col("more.at").cast("long")), 8).bitwiseOR(F.col("more.byte"))).drop("fixed", "more")
+
+    return linked_components(postings, close, finer=finer)
 
 
 def near_components(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
@@ -156,7 +160,7 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -
     tx.small_batches(docs.sparkSession)
     prints = saved(fingerprints(docs, shingle), "fingerprints")
     fps = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    labels = connected_components(fingerprint_links(fps, bits))
+    labels = fingerprint_components(fps, bits)
     whole = fps.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = whole.groupBy("component").agg(F.min("least").alias("component_id"))
     to = whole.join(least, "component").select("fp", "component_id")
@@ -164,6 +168,7 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its fingerprint and component. A very long text costs one hash a word in one task, and 8 bytes after it."""
     found = near_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -199,11 +204,18 @@ def _common_shingles(docs: DataFrame) -> np.ndarray:
     return np.array([r["g"] for r in rows][::-1], np.int64).view(np.uint64)
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose sets are that similar."""
-    u, v = sets.select(F.col("id").alias("u"), F.col("grams").alias("a")), sets.select(F.col("id").alias("v"), F.col("grams").alias("b"))
-    both = F.size(F.array_intersect("a", "b"))
-    return pairs.join(v, "v").join(u, "u").filter(both >= similarity * (F.size("a") + F.size("b") - both) - 1e-9).select("u", "v")
+#: Longs of a set's parity bitmap: bits that differ are no more than the shingles that only one of two sets has.
+PARITY = 16
+
+
+def _parity(shingles: np.ndarray) -> np.ndarray:
+    odd = np.bincount((shingles >> np.uint64(40)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) % 2
+    return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
+
+
+def _overlap(n: Column, n2: Column, similarity: float) -> Column:
+    """Shingles that sets of these sizes share at least if they are that similar."""
+    return F.ceil(similarity / (1 + similarity) * (n + n2) - 1e-9)
 
 
 def similar_components(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -211,66 +223,74 @@ def similar_components(docs: DataFrame, similarity: float = SIMILARITY) -> DataF
 
     Exact: every link is verified by Jaccard similarity, and no similar pair of two components is left out. Sets are put in
     one order, common shingles last; similar sets share one of their first n - ceil(similarity * n) + 1 shingles, the keys.
-    Two rounds compare each key's documents with one of them only, the second with one that the first reached, so that
-    groups of copies become one component; then documents of a key that are still in different components meet. All
-    are joins that adaptive execution can split: no task holds a key. Rows without a doc_id and texts without words are
-    left out: they are no copies.
+    A first pass counts keys; a bounded bitmap of those that several documents hold goes to a second, which lets only
+    them become postings. Pairs that meet are tried by size and place, then by parity bitmaps, and last by the sets, which
+    only documents of such pairs send. Rows without a doc_id and texts without words are left out: they are no copies.
+    A very long text costs a key for each fifth of its words.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    tx.small_batches(docs.sparkSession)
+    spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
+    tx.small_batches(spark)
     known = docs.filter("doc_id is not null").select("doc_id", "text")
     last = _common_shingles(known)
     by = np.argsort(last)
-    shared = docs.sparkSession.sparkContext.broadcast((last[by], by))
+    order = spark.sparkContext.broadcast((last[by], by))
+
+    def keys_of(s: np.ndarray) -> np.ndarray:
+        common, rank = order.value
+        if len(common):
+            at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+            s = s[np.argsort(np.where(common[at] == s, rank[at] + 1, 0), kind="stable")]
+        return s[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1] if len(s) else s
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for part in np.array_split(batch["text"].to_numpy(), max(1, -(-len(batch) // 500))):
+                yield pd.DataFrame({"key": np.concatenate([keys_of(s) for s in shingle_sets(tx.utf8(part))] + [np.zeros(0, np.uint64)]).view(np.int64)})
 
-    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        common, rank = shared.value
+    def described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids, out = batch["doc_id"].to_numpy(), []
-            for doc, s in zip(ids, shingle_sets(tx.utf8(batch["text"]))):
-                n = len(s)
-                if not n:
-                    continue
-                digest, keys = hashlib.blake2b(s.tobytes(), digest_size=16).digest(), s
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-                    keys = s[np.argsort(np.where(common[at] == s, rank[at] + 1, 0), kind="stable")]
-                out.append((doc, n, digest, keys[: n - math.ceil(similarity * n - 1e-9) + 1].view(np.int64)))
-            yield pd.DataFrame(out, columns=["doc_id", "n", "digest", "keys"]).astype({"doc_id": ids.dtype})
+            sets = list(shingle_sets(tx.utf8(batch["text"])))
+            yield pd.DataFrame({"id": batch["doc_id"], "n": np.array([len(s) for s in sets], np.int32), "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], "parity": [_parity(s) for s in sets]})
+
+    several = saved(known.mapInPandas(counted, "key long").groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "shared-keys")
+    bits = spark.sparkContext.broadcast(bitmap.collected(several, "key"))
+
+    def posted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ids = batch["doc_id"].to_numpy()
+            for rows in np.array_split(np.arange(len(batch)), max(1, -(-len(batch) // 500))):
+                who, n, at, key = [], [], [], []
+                for i, s in zip(rows, shingle_sets(tx.utf8(batch["text"].iloc[rows]))):
+                    own = keys_of(s)
+                    met = np.flatnonzero(bitmap.holds(bits.value, own))
+                    who.append(np.full(len(met), i)), n.append(np.full(len(met), len(s), np.int32)), at.append(met.astype(np.int32)), key.append(own[met].view(np.int64))
+                if who:
+                    yield pd.DataFrame({"key": np.concatenate(key), "id": ids[np.concatenate(who)], "n": np.concatenate(n), "at": np.concatenate(at)})
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"id": batch["doc_id"], "grams": [s.view(np.int64) for s in shingle_sets(tx.utf8(batch["text"]))]})
 
-    wide = saved(known.mapInPandas(prefixes, f"doc_id {kind}, n int, digest binary, keys array<long>"), "prefixes")
-    entries = saved(wide.groupBy("digest", "n", "keys").agg(F.min("doc_id").alias("id")), "distinct-sets")
-    same = wide.select("doc_id", "digest").join(entries.select("digest", "id"), "digest").filter("doc_id <> id").select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
-    links = saved(same, "similar")
-
-    live = entries.select("id", "n", F.posexplode("keys").alias("at", "key")).withColumn("component", F.col("id")).withColumn("alone", F.lit(True))
-    sets = None
-    for turn in range(3):
-        mixed = live.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("key")
-        live = saved(live.join(saved(mixed, "keys"), "key"), "postings")
-        if sets is None:
-            ids = saved(live.select(F.col("id").alias("doc_id")).distinct(), "candidates")
-            sets = saved(known.join(ids, "doc_id", "left_semi").mapInPandas(grams, f"id {kind}, grams array<long>"), "sets")
-        if turn < 2:
-            nth = F.xxhash64("id") if turn == 0 else F.bitwise_not(F.xxhash64("id"))
-            one = F.min(F.struct("alone", nth.alias("nth"), "id", "n", "at", "component")).alias("one")
-            other = saved(live.groupBy("key").agg(one).select("key", *(F.col(f"one.{c}").alias(f"{c}2") for c in ("id", "n", "at", "component"))), "pivots")
-        else:
-            other = live.select("key", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "at", "component")))
-        # at the first shingle that two sets share, what follows in both must hold the overlap that the similarity asks for
-        enough = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) >= similarity / (1 + similarity) * (F.col("n") + F.col("n2")) - 1e-9
-        met = live.join(other, "key").filter(F.col("component") != F.col("component2")).filter(enough)
-        met = met.filter("id < id2") if turn == 2 else met
-        pairs = saved(met.select(F.least("id", "id2").alias("u"), F.greatest("id", "id2").alias("v")).distinct(), "pairs")
-        links = saved(links.unionByName(_similar(pairs, sets, similarity)), "similar")
-        labels = connected_components(links)
-        if turn < 2:
-            to = labels.select(F.col("node").alias("id"), F.col("component").alias("to"))
-            live = live.join(to, "id", "left").select("id", "n", "at", "key", F.coalesce("to", "id").alias("component"), F.col("to").isNull().alias("alone"))
+    entries = saved(known.mapInPandas(described, f"id {kind}, n int, digest binary, parity array<long>").filter("n > 0"), "described")
+    first = saved(entries.groupBy("digest").agg(F.min("id").alias("first")), "distinct-sets")
+    same = saved(entries.select("id", "digest").join(first, "digest").filter("id <> first").select(F.col("id").alias("u"), F.col("first").alias("v")), "same-sets")
+    # sets that are equal meet once, as the first of them
+    postings = known.mapInPandas(posted, f"key long, id {kind}, n int, at int").join(same.select(F.col("u").alias("id")), "id", "left_anti")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        u, v = (entries.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("parity").alias(f"parity_{x}")) for x in "uv")
+        differ = F.aggregate(F.zip_with("parity_u", "parity_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+        n = F.col("n_u") + F.col("n_v")
+        near = saved(pairs.join(u, "u").join(v, "v").filter(differ <= n - 2 * _overlap(F.col("n_u"), F.col("n_v"), similarity)).select("u", "v"), "near-pairs")
+        ids = saved(near.select(F.col("u").alias("id")).unionByName(near.select(F.col("v").alias("id"))).distinct(), "asked-sets")
+        sets = saved(bitmap.may_hold(known, F.col("doc_id"), ids, "id").mapInPandas(grams, f"id {kind}, grams array<long>"), "sets")
+        both = F.size(F.array_intersect("a", "b"))
+        met = near.join(sets.select(F.col("id").alias("u"), F.col("grams").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("grams").alias("b")), "v")
+        return met.filter(both >= similarity * (F.size("a") + F.size("b") - both) - 1e-9).select("u", "v")
+
+    # at the first shingle that two sets share, what follows in both must hold the overlap that the similarity asks for
+    close = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) >= _overlap(F.col("n"), F.col("n2"), similarity)
+    labels = linked_components(postings, close, verify, links=same)
     return labels.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
 
 
