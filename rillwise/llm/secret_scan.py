@@ -2,7 +2,8 @@
 
 Every version of a content is a blob, named by the digest of its bytes. The ledger holds the (blob, rule version) pairs
 that were scanned, and the findings. A scan reads only unseen pairs: each new blob once, however many paths hold it, and
-old blobs only under new rule versions. Findings are then joined back to all paths.
+old blobs only under new rule versions. Digests decide what is unseen; a bounded bitmap of the unseen ones goes to the
+texts, so that only texts to be scanned (and few others) move. Findings are then joined back to all paths.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.utils import AnalysisException
 
 from rillwise.llm import text as tx
+from rillwise.llm.bitmap import may_hold
 from rillwise.store import saved, scratch
 
 
@@ -59,18 +61,21 @@ def _compiled(rule: Rule) -> re.Pattern:
 _LONG_HEX = re.compile(r"[0-9a-f]{16}")
 
 
-def find_spans(text: str, rules: tuple[Rule, ...]) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of each match in code points, leftmost and non-overlapping for each rule; too short ones are dropped."""
+def rule_spans(text: str, rules: tuple[Rule, ...]) -> list[tuple[Rule, int, int]]:
+    """(rule, start, end) of each match in code points, leftmost and non-overlapping for each rule; too short ones are dropped."""
     out, low = [], text.lower()
     for rule in rules:
         if rule.hints and not any(h in low for h in rule.hints) or rule.kind == "hex" and not _LONG_HEX.search(text):
             continue
-        for m in _patterns(rule).finditer(text):
-            if len(m[rule.group]) >= rule.least:
-                out.append((rule.kind, m.start(), m.end()))
+        out += [(rule, m.start(), m.end()) for m in _patterns(rule).finditer(text) if len(m[rule.group]) >= rule.least]
     return out
 
 
+def find_spans(text: str, rules: tuple[Rule, ...]) -> list[tuple[str, int, int]]:
+    """As rule_spans, with the rules' kinds."""
+    return [(rule.kind, start, end) for rule, start, end in rule_spans(text, rules)]
+
+
 _cache: dict[Rule, re.Pattern] = {}
 
 
@@ -89,10 +94,8 @@ LEDGER = "blob string, version string"
 FINDINGS = "blob string, version string, kind string, start long, end long"
 
 
-def blobs(files: DataFrame, text: str = "text") -> DataFrame:
-    """(blob, text): each content once. Copies collapse before the shuffle; a null text counts as empty."""
-    content = F.coalesce(F.col(text), F.lit("")).alias("text")
-    return files.select(content).groupBy("text").agg(F.count("*").alias("n")).select(F.sha2(F.col("text").cast("binary"), 256).alias("blob"), "text")
+def _digests(files: DataFrame, text: str) -> DataFrame:
+    return files.select(tx.content_key(F.col(text)).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
 def scan(files: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
@@ -100,26 +103,26 @@ def scan(files: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, text: s
 
     Scans only pairs that the ledger lacks and appends them, findings first: a run that is lost in between is scanned again
     and its findings count once. Offsets are code points, the end is exclusive. Files without text have no findings.
+    Repeated rows are one blob; a very long text is one blob, scanned in one task. Rules of one kind have versions of their own.
     """
     spark = files.sparkSession
     tx.small_batches(spark)
     versions = spark.createDataFrame([(r.version, i) for i, r in enumerate(rules)], "version string, rule int")
     seen = _read(spark, f"{ledger}/seen", LEDGER).join(F.broadcast(versions), "version").select("blob", "version").distinct()
-    done = seen.groupBy("blob").agg(F.collect_set("version").alias("done"))
-    if seen.isEmpty():  # nothing to compare with: the texts need no second shuffle
-        unseen = blobs(files, text).withColumn("done", F.lit(None).cast("array<string>"))
-    else:
-        unseen = blobs(files, text).join(done, "blob", "left").filter(F.size(F.coalesce("done", F.array().cast("array<string>"))) < len(rules))
+    done = seen.groupBy("blob").agg(F.collect_set("version").alias("done"))  # no more than there are rules
+    own = _digests(files, text)
+    lacking = own.select("blob").distinct().join(done, "blob", "left").filter(F.size(F.coalesce("done", F.array().cast("array<string>"))) < len(rules))
+    todo = saved(lacking, "unseen")
+    contents = may_hold(own, F.col("blob"), todo, "blob").groupBy("blob").agg(F.min("text").alias("text"))  # copies are one before they move
+    unseen = contents.join(todo, "blob")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for blob, content, done in zip(batch["blob"], batch["text"], batch["done"]):
-                todo = tuple(r for r in rules if done is None or r.version not in done)
-                found = find_spans(content, todo)
-                by = {r.kind: r.version for r in todo}
-                out += [(blob, by[kind], kind, start, end) for kind, start, end in found]
-                out += [(blob, r.version, None, None, None) for r in todo]
+                new = tuple(r for r in rules if done is None or r.version not in done)
+                out += [(blob, rule.version, rule.kind, start, end) for rule, start, end in rule_spans(content, new)]
+                out += [(blob, r.version, None, None, None) for r in new]
             yield pd.DataFrame(out, columns=["blob", "version", "kind", "start", "end"]).astype({"start": "Int64", "end": "Int64"})
 
     fresh = saved(unseen.select("blob", "text", "done").mapInPandas(run, FINDINGS), "scanned")
@@ -133,13 +136,24 @@ def findings_by_path(files: DataFrame, found: DataFrame, keys: list[str], text:
     """keys, blob and spans (kind, start, end; by start, then as rules come) of every row of files, found or not."""
     order = F.create_map(*[F.lit(x) for i, r in enumerate(RULES) for x in (r.kind, i)])
     spans = found.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", order[F.col("kind")].alias("rule"), "end", "kind"))).alias("spans"))
-    paths = files.select(*keys, F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256).alias("blob"))
+    spans = saved(spans, "spans")  # both sides of the join are plain exchanges then, and a blob that many paths hold can be split
+    paths = files.select(*keys, tx.content_key(F.col(text)).alias("blob"))
     return paths.join(spans, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(spans.schema["spans"].dataType)))
 
 
+def arrivals(docs: DataFrame, parts: int = 2) -> list[DataFrame]:
+    """What is there after each of so many arrivals: rows arrive by a hash of doc_id, and stay. The last is docs."""
+    turn = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(parts))
+    return [*(docs.filter(turn <= k) for k in range(parts - 1)), docs]
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its findings, by a ledger that has seen half of the rows before the whole table comes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = findings_by_path(docs, scan(docs, scratch(spark, "secrets")), ["doc_id"])
+    ledger = scratch(spark, "secrets")
+    for there in arrivals(docs):
+        found = scan(there, ledger)
+    found = findings_by_path(docs, found, ["doc_id"])
     kinds = [r.kind for r in BASE]
     line = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     base = F.filter("spans", lambda x: x["kind"].isin(kinds))
