@@ -3,8 +3,8 @@
 Blocks are all runs of as many consecutive words as a template has, and a quarter more. A block holds a template if it
 has at least the threshold's share of the template's distinct tokens. Tokens are ordered by how often the whole corpus
 has them: a block that reaches the threshold has one of the template's prefix tokens (its rarest ones), so only places of
-these are looked at; texts without enough tokens of the template (length filter) and prefix tokens too late in the
-order to leave enough behind them (positional filter) go unread. Phrases are templates with all tokens, in their order.
+these are looked at; texts without enough tokens of the template (length filter) and places of prefix tokens round which
+too few tokens come later in the order (positional filter) go unread. Phrases are templates with all tokens, in their order.
 """
 
 from __future__ import annotations
@@ -39,16 +39,13 @@ TEMPLATES = {
 }
 
 
-def _lower(texts) -> list[bytes]:
-    return [t.lower() for t in tx.utf8(texts)]
-
-
 @dataclass
 class Template:
     label: str
     tokens: np.ndarray  # ids in the order of the text
     ordered: bool
     least: int = 0  # distinct tokens that a block must share
+    order: np.ndarray | None = None  # distinct tokens by frequency, the rarest first
     prefix: np.ndarray | None = None
 
 
@@ -57,7 +54,7 @@ class Templates:
 
     def __init__(self, phrases: dict[str, str], templates: dict[str, str], threshold: float):
         texts = [(label, phrase, True) for phrase, label in phrases.items()] + [(label, text, False) for label, text in templates.items()]
-        words = tx.Words(_lower([t for _, t, _ in texts]), tx.ALNUM)
+        words = tx.Words(tx.lower([t for _, t, _ in texts]), tx.ALNUM)
         h = words.hashes()
         self.vocabulary = np.unique(h)
         self.all = []
@@ -77,7 +74,7 @@ class Templates:
         for t in self.all:
             own = np.unique(t.tokens)
             own = own[np.lexsort((own, counts[own]))]
-            t.prefix = own[: len(own) - t.least + 1]
+            t.order, t.prefix = own, own[: len(own) - t.least + 1]
 
 
 def token_counts(docs: DataFrame, templates: Templates) -> np.ndarray:
@@ -87,7 +84,7 @@ def token_counts(docs: DataFrame, templates: Templates) -> np.ndarray:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n = np.zeros(len(shared.value.vocabulary), np.int64)
         for batch in batches:
-            raw = _lower(batch["text"])
+            raw = tx.lower(batch["text"])
             for part in tx.chunks(raw):
                 ids = shared.value.ids(tx.Words(raw[part], tx.ALNUM))
                 n += np.bincount(ids[ids >= 0], minlength=len(n))
@@ -108,36 +105,66 @@ def phrase_places(ids: np.ndarray, template: Template) -> list[int]:
     return [int(s) for s in starts if s >= 0 and s + n <= len(ids) and (ids[s : s + n] == template.tokens).all()]
 
 
-def best_containment(ids: np.ndarray, template: Template) -> float:
-    """Largest share of the template's distinct tokens in a block that has a prefix token; 0 without such a block."""
-    own = np.unique(template.tokens)
-    there = np.isin(ids, own)
+def _seeds(ids: np.ndarray, template: Template, size: int) -> list[int]:
+    """Places of prefix tokens that may be the first token, in the order of frequency, which a block shares with the template.
+
+    Positional filter: after a token of rank i the template has n - 1 - i tokens, and what the words round the place hold
+    of these must do with it.
+    """
+    own, n = template.order, len(template.order)
+    rank = np.full(int(max(own.max(), ids.max())) + 2, n)  # the last entry is that of -1: no token
+    rank[own] = np.arange(n)
+    rank = rank[ids]
+    out = []
+    for p in np.flatnonzero(rank <= n - template.least):
+        near = rank[max(0, p - size + 1) : p + size]
+        if 1 + len(np.unique(near[(near > rank[p]) & (near < n)])) >= template.least:
+            out.append(int(p))
+    return out
+
+
+def blocks(ids: np.ndarray, template: Template) -> list[tuple[int, int, float]]:
+    """(start, end, containment) of each text block that holds the template.
+
+    A block begins at a token of the template and has as many words as the template and a quarter more; those that reach
+    the threshold and overlap are one, from its first token to behind its last, with the largest containment of them.
+    """
+    n = len(template.order)
+    there = np.isin(ids, template.order)
     if len(np.unique(ids[there])) < template.least:  # length filter
-        return 0.0
+        return []
     size = math.ceil(SLACK * len(template.tokens))
+    seeds = _seeds(ids, template, size)
+    if not seeds:
+        return []
     places = np.flatnonzero(there)
-    best = 0
-    for p in np.flatnonzero(np.isin(ids, template.prefix)):
-        near = places[np.searchsorted(places, p - size + 1) : np.searchsorted(places, p + size)]
-        begin, held = 0, {}
-        for q in near:
-            held[ids[q]] = held.get(ids[q], 0) + 1
-            while near[begin] <= q - size:
-                held[ids[near[begin]]] -= 1
-                if not held[ids[near[begin]]]:
-                    del held[ids[near[begin]]]
-                begin += 1
-            best = max(best, len(held))
-        if best == len(own):
-            break
-    return best / len(own)
+    gap = np.searchsorted(seeds, places)
+    seeds_ = np.r_[-size, seeds, len(ids) + size]
+    near = places[(places - seeds_[gap] < size) | (seeds_[gap + 1] - places < size)].tolist()
+    out: list[tuple[int, int, float]] = []
+    held: dict[int, int] = {}
+    behind = 0
+    for begin, p in enumerate(near):
+        while behind < len(near) and near[behind] < p + size:
+            held[ids[near[behind]]] = held.get(ids[near[behind]], 0) + 1
+            behind += 1
+        if len(held) >= template.least:
+            start, end, share = p, near[behind - 1] + 1, len(held) / n
+            if out and start < out[-1][1]:
+                start, share = out[-1][0], max(share, out.pop()[2])
+            out.append((start, end, share))
+        held[ids[p]] -= 1
+        if not held[ids[p]]:
+            del held[ids[p]]
+    return out
 
 
 def license_blocks(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, n_words, places (label, start) of the phrases, matches (label, containment) of the templates that reach the threshold.
+    """doc_id, n_words, places (label, start) of the phrases, matches (label, start, end, containment): every block that reaches the threshold.
 
     One row for each row of docs, of which doc_id and text are read; words are runs of letters, digits and characters
-    beyond ASCII, A-Z in lower case. Null and empty texts have no words and no matches. Equal templates match alike.
+    beyond ASCII, A-Z in lower case. Null and empty texts have no words and no matches. Equal templates match alike. A very
+    long text is read in one task; only its places round prefix tokens are looked at.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     tx.small_batches(docs.sparkSession)
@@ -149,7 +176,7 @@ def license_blocks(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates
         templates = shared.value
         rare = np.unique(np.concatenate([t.prefix for t in templates.all]))
         for batch in batches:
-            raw, docs = _lower(batch["text"]), batch["doc_id"].to_numpy()
+            raw, docs = tx.lower(batch["text"]), batch["doc_id"].to_numpy()
             for part in tx.chunks(raw):
                 words = tx.Words(raw[part], tx.ALNUM)
                 ids, n = templates.ids(words), np.diff(words.ptr)
@@ -160,14 +187,15 @@ def license_blocks(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates
                     for t in templates.all:
                         if t.ordered:
                             places[i] += [{"label": t.label, "start": s} for s in phrase_places(own, t)]
-                        elif (c := best_containment(own, t)) * len(np.unique(t.tokens)) >= t.least:
-                            matches[i].append({"label": t.label, "containment": c})
+                        else:
+                            matches[i] += [{"label": t.label, "start": a, "end": b, "containment": c} for a, b, c in blocks(own, t)]
                 yield pd.DataFrame({"doc_id": docs[part], "n_words": n, "places": places, "matches": matches})
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_words long, places array<struct<label:string,start:long>>, matches array<struct<label:string,containment:double>>")
+    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_words long, places array<struct<label:string,start:long>>, matches array<struct<label:string,start:long,end:long,containment:double>>")
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its phrases, its blocks (label:start:end) and labels."""
     found = license_blocks(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     names = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
     base = F.col("places.label")
@@ -181,4 +209,5 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         names(base).alias("base_labels"),
         names(F.concat(base, F.col("matches.label"))).alias("labels"),
         F.when(F.size("places") > 0, 1.0).otherwise(contained).alias("score"),
+        F.array_join(F.transform("matches", lambda m: F.concat_ws(":", m["label"], m["start"], m["end"])), ",").alias("blocks"),
     )
