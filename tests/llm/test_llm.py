@@ -378,6 +378,32 @@ def test_secrets_on_documents(spark, docs):
         assert row.base_sha256 == hashlib.sha256(",".join(f"{s[3]}:{s[0]}:{s[2]}" for s in spans).encode()).hexdigest()
 
 
+def test_added_spans_against_plain_patterns(spark, docs):
+    """Every rule by itself, without hints."""
+    texts = [*docs["text"], "x ghp_" + "a" * 36 + " xoxb-" + "1" * 24 + " SK_LIVE sk_live_" + "b" * 20 + " https://me:secret1@host eyJ" + ".".join(["abcdefgh9"] * 3), "-----BEGIN EC PRIVATE KEY-----\nAAAA\n-----END EC PRIVATE KEY----- glpat-" + "c" * 20]
+    for text in texts:
+        want = [(r.kind, m.start(), m.end()) for r in ss.RULES for m in re.finditer(r.pattern, text, re.A | (re.I if r.ignore_case else 0)) if len(m[r.group]) >= r.least]
+        assert ss.find_spans(text, ss.RULES) == want
+    assert {k for k, _, _ in ss.find_spans(" ".join(texts[-2:]), ss.RULES)} >= {r.kind for r in ss.MORE}
+
+
+def test_arrivals_change_nothing(spark, odd):
+    """A ledger that saw part of the rows before, and one that saw none, give the same spans; an empty table gives none."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    once = ss.findings_by_path(docs, ss.scan(docs, ss.scratch(spark, "ledger")), ["doc_id"])
+    line = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",").alias("spans")
+    assert once.select("doc_id", line).exceptAll(ss.op6_secret_scan(spark, SF).select("doc_id", "spans")).count() == 0
+    ledger = ss.scratch(spark, "ledger")
+    for there in ss.arrivals(odd):
+        ss.scan(there, ledger)
+    assert spark.read.parquet(f"{ledger}/seen").count() == len(ss.RULES) * odd.select(F.coalesce("text", F.lit(""))).distinct().count()
+    assert ss.scan(frame(spark, []), ss.scratch(spark, "ledger")).count() == 0
+    twice = (ss.Rule("x", "a+", 1), ss.Rule("x", "b+", 1))
+    ledger = ss.scratch(spark, "ledger")
+    ss.scan(odd, ledger, twice[:1])
+    assert ss.scan(odd, ledger, twice).filter("kind = 'x'").count() == 2
+
+
 # quality
 
 
@@ -565,20 +591,50 @@ def test_licenses(spark, odd):
     assert ls.license_blocks(odd).count() == 12
 
 
-def test_containment_against_brute_force():
-    rng = np.random.default_rng(4)
-    for _ in range(200):
+def brute_blocks(ids, t):
+    """Blocks by their definition: runs from each token of the template on, the ones that reach the threshold joined where they overlap."""
+    own, size, out = set(t.tokens.tolist()), math.ceil(ls.SLACK * len(t.tokens)), []
+    for p in range(len(ids)):
+        inside = [q for q in range(p, min(len(ids), p + size)) if ids[q] in own]
+        held = len({ids[q] for q in inside})
+        if ids[p] in own and held >= t.least:
+            new = (p, inside[-1] + 1, held / len(own))
+            if out and p < out[-1][1]:
+                new = (out[-1][0], new[1], max(new[2], out.pop()[2]))
+            out.append(new)
+    return out
+
+
+def test_blocks_against_brute_force():
+    rng, found = np.random.default_rng(4), 0
+    for _ in range(600):
         n = int(rng.integers(3, 9))
         t = ls.Template("t", rng.permutation(20)[:n], False, math.ceil(0.8 * n - 1e-9))
         counts = rng.integers(1, 50, 20)
         own = np.unique(t.tokens)
-        own = own[np.lexsort((own, counts[own]))]
-        t.prefix = own[: n - t.least + 1]
-        ids = rng.integers(-1, 20, rng.integers(0, 40))
-        size = math.ceil(ls.SLACK * n)
-        best = max((len(set(ids[i : i + size]) & set(t.tokens.tolist())) for i in range(max(1, len(ids)))), default=0)
-        got = ls.best_containment(ids, t) * n
-        assert round(got) == best if best >= t.least else got < t.least
+        t.order = own[np.lexsort((own, counts[own]))]
+        t.prefix = t.order[: n - t.least + 1]
+        ids = np.where(rng.random(60) < 0.5, rng.choice(own, 60), rng.integers(-1, 20, 60))[: int(rng.integers(1, 61))]
+        want = brute_blocks(ids.tolist(), t)
+        found += len(want)
+        assert ls.blocks(ids, t) == want
+    assert found > 300
+
+
+def test_blocks_on_documents(spark):
+    """Against brute force over whole texts; the notices stand in the given table."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    extra = frame(spark, [(-1, " ".join(ls.TEMPLATES.values()) + " " + long_text(50) + " " + ls.TEMPLATES["mit"] + " x " + ls.TEMPLATES["mit"].replace("hereby ", "")), (-2, ls.TEMPLATES["bsd"].upper() * 2)])
+    both = docs.select("doc_id", "text").unionByName(extra.select("doc_id", "text"))
+    got = {r["doc_id"]: sorted((m["label"], m["start"], m["end"], round(m["containment"], 9)) for m in r["matches"]) for r in ls.license_blocks(both).collect()}
+    templates = ls.Templates(ls.PHRASES, ls.TEMPLATES, ls.THRESHOLD)
+    texts = both.toPandas()
+    for doc, text in zip(texts["doc_id"], texts["text"]):
+        ids = templates.ids(tx.Words(tx.lower([text]), tx.ALNUM)).tolist()
+        if len(ids) < 3000:
+            assert got[doc] == sorted((t.label, a, b, round(c, 9)) for t in templates.all if not t.ordered and len(set(ids) & set(t.tokens.tolist())) >= t.least for a, b, c in brute_blocks(ids, t))
+    assert len(got[-1]) > 10 and [m[0] for m in got[-2]] == ["bsd"] * len(got[-2])
 
 
 def test_phrases_on_documents(spark, docs):
