@@ -1,9 +1,9 @@
-"""Benchmark decontamination: shared n-grams join passages to test items, Smith-Waterman alignment scores the passages.
+"""Benchmark decontamination: shared n-grams join documents to test items, Smith-Waterman alignment scores edited copies.
 
-Test items go to the tasks in blocks of bounded size, each against all documents; one pass finds every 5-gram that a
-document shares with an item, and each such pair is aligned unless its words alone rule the threshold out. How many
-documents hold each n-gram is counted over all of them: the pair's seeds are those that are rare for the item. They are
-reported and decide nothing, as what is rare depends on the other documents.
+A bounded bitmap of the items' 5-grams goes to the documents; those that may hold one send their words and 5-grams, which
+join the items' 5-grams. Each pair that shares one is aligned once, over the whole text, unless its words alone rule the
+threshold out. How many documents hold each n-gram is counted over all of them: the pair's seeds are those that are rare
+for the item. They are reported and decide nothing, as what is rare depends on the other documents.
 """
 
 from __future__ import annotations
@@ -12,24 +12,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rillwise.llm import text as tx
+from rillwise.llm import bitmap, text as tx
 from rillwise.store import saved
 
 GRAM = 5
 #: An n-gram is rare for an item if at most so many times as many documents hold it as hold the item's lower quartile.
 RARE = 4
 THRESHOLD = 0.4
-#: 5-grams of test items sent to the tasks at once (8 bytes each, and the items' words).
-BLOCK_GRAMS = 2_000_000
 MATCH, MISMATCH, GAP = 1.0, -1.0, -0.6
 
 
-def _lower(texts) -> list[bytes]:
-    return [t.lower() for t in tx.utf8(texts)]
-
-
 def smith_waterman(item: np.ndarray, passage: np.ndarray) -> float:
     """Best local alignment of two word sequences, as a share of the item's perfect score (0 if either is empty)."""
     if not len(item) or not len(passage):
@@ -44,74 +38,58 @@ def smith_waterman(item: np.ndarray, passage: np.ndarray) -> float:
     return best / (MATCH * len(item))
 
 
-def _passages(places: np.ndarray, length: int, total: int) -> list[tuple[int, int]]:
-    """Word ranges round the places of shared n-grams; those that touch are one, at most so long that the item fits twice."""
-    out: list[list[int]] = []
-    for p in np.sort(places).tolist():
-        begin, end = max(0, p - length), min(total, p + GRAM + length)
-        if out and begin <= out[-1][1] and end - out[-1][0] <= 6 * length + 2 * GRAM:
-            out[-1][1] = end
-        else:
-            out.append([begin, end])
-    return [(a, b) for a, b in out]
-
-
-class _Items:
-    """Word hashes of a block of items, and their n-grams: hash (sorted) with item and length of the item."""
-
-    def __init__(self, ids: list, texts: list[str]):
-        words = tx.Words(_lower(texts), tx.ALNUM)
-        h = words.hashes()
-        self.ids = ids
-        self.words = [h[a:b] for a, b in zip(words.ptr[:-1], words.ptr[1:])]
-        g, item = [], []
-        for i, w in enumerate(self.words):
-            grams = np.unique(tx.grams(w, min(GRAM, len(w)))) if len(w) else w
-            g.append(grams)
-            item.append(np.full(len(grams), i))
-        self.gram, self.item = np.concatenate([*g, np.zeros(0, np.uint64)]), np.concatenate([*item, np.zeros(0, np.int64)]).astype(np.int64)
-        order = np.lexsort((self.item, self.gram))
-        self.gram, self.item = self.gram[order], self.item[order]
-        self.lengths = sorted({min(GRAM, len(w)) for w in self.words if len(w)})
-
-
-def shared_passages(docs: DataFrame, items: _Items) -> DataFrame:
-    """doc_id, row, item, grams (shared n-grams), passages of each document and item that share one; row tells repeated rows apart.
-
-    Passages are the word hashes round the places, cut where the text is: no text moves.
+def _keys(words: np.ndarray, n: int) -> np.ndarray:
+    """Of each run of n words; runs of different lengths have different ones."""
+    return tx.mix(tx.grams(words, n) ^ np.uint64(n))
+
+
+def _lists(arrays: list[np.ndarray]) -> pd.Series:
+    return pd.Series([tx.signed(x) for x in arrays], dtype=object)
+
+
+def item_table(benchmark: DataFrame) -> DataFrame:
+    """item (a number), item_id, words (hashes, in order), grams (distinct n-grams, or the whole item if it is shorter) of each item with a word."""
+    kind = benchmark.schema["item_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            words = tx.Words(tx.lower(batch["text"]), tx.ALNUM)
+            h = words.hashes()
+            own = [h[a:b] for a, b in zip(words.ptr[:-1], words.ptr[1:])]
+            grams = [np.unique(_keys(w, min(GRAM, len(w)))) if len(w) else w for w in own]
+            yield pd.DataFrame({"item": batch["item"], "item_id": batch["item_id"], "words": _lists(own), "grams": _lists(grams)})
+
+    numbered = benchmark.filter("item_id is not null").select(F.monotonically_increasing_id().alias("item"), "item_id", "text")
+    return numbered.mapInPandas(run, f"item long, item_id {kind}, words array<long>, grams array<long>").filter(F.size("words") > 0)
+
+
+def sharing_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """row (a number), doc_id, key (of the content), grams, words of each row of docs that may share an n-gram with an item.
+
+    A bounded bitmap of the items' n-grams goes to the texts: of other documents nothing leaves the scan.
     """
-    tx.small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(items)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
+    tx.small_batches(spark)
+    sizes = [r[0] for r in items.select(F.least(F.size("words"), F.lit(GRAM))).distinct().collect()]  # 5 at most
+    bits = spark.sparkContext.broadcast(bitmap.collected(items.select(F.explode("grams").alias("gram")), "gram"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        items = shared.value
         for batch in batches:
-            raw, docs, rows = _lower(batch["text"]), batch["doc_id"].to_numpy(), batch["row"].to_numpy()
+            raw = tx.lower(batch["text"])
             for part in tx.chunks(raw):
-                words, out = tx.Words(raw[part], tx.ALNUM), []
-                h, text = words.hashes(), words.text
-                for n in items.lengths:
-                    g = tx.grams(h, n)
-                    at = np.minimum(np.searchsorted(items.gram, g), max(0, len(items.gram) - 1))
-                    hit = np.flatnonzero((items.gram[at] == g) & tx.runs(words.ptr, n)[: len(g)]) if len(g) else ()
-                    for i in hit:
-                        k = at[i]
-                        while k < len(items.gram) and items.gram[k] == g[i]:
-                            if min(GRAM, len(items.words[items.item[k]])) == n:
-                                out.append((text[i], items.item[k], i, g[i]))
-                            k += 1
-                found = pd.DataFrame(out, columns=["text", "item", "at", "gram"])
-                for (t, item), group in found.groupby(["text", "item"]):
-                    own = h[words.ptr[t] : words.ptr[t + 1]]
-                    yield pd.DataFrame({
-                        "doc_id": docs[part][t : t + 1], "row": rows[part][t : t + 1], "item": [int(item)],
-                        "grams": [np.unique(group["gram"].to_numpy(np.uint64)).view(np.int64)],
-                        "passages": [[own[a:b].view(np.int64) for a, b in _passages(group["at"].to_numpy() - words.ptr[t], len(items.words[item]), len(own))]],
-                    })
-
-    tagged = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
-    return tagged.mapInPandas(run, f"doc_id {kind}, row long, item int, grams array<long>, passages array<array<long>>")
+                words = tx.Words(raw[part], tx.ALNUM)
+                h, text, met = words.hashes(), words.text, {}
+                for n in sizes:
+                    g = _keys(h, n)
+                    hit = np.flatnonzero(bitmap.holds(bits.value, g) & tx.runs(words.ptr, n)[: len(g)])
+                    for t in np.unique(text[hit]):
+                        met.setdefault(int(t), []).append(g[hit[text[hit] == t]])
+                rows = batch.iloc[part].iloc[list(met)].reset_index(drop=True)
+                found, own = [np.unique(np.concatenate(g)) for g in met.values()], [h[words.ptr[t] : words.ptr[t + 1]] for t in met]
+                yield pd.DataFrame({"row": rows["row"], "doc_id": rows["doc_id"], "key": rows["key"], "grams": _lists(found), "words": _lists(own)})
+
+    tagged = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", tx.content_key(F.col("text")).alias("key"), "text")
+    return tagged.mapInPandas(run, f"row long, doc_id {kind}, key string, grams array<long>, words array<long>")
 
 
 def may_score(item: np.ndarray, passage: np.ndarray, threshold: float) -> bool:
@@ -119,65 +97,51 @@ def may_score(item: np.ndarray, passage: np.ndarray, threshold: float) -> bool:
     return MATCH * np.isin(item, passage).sum() >= threshold * MATCH * len(item) - 1e-6
 
 
-def _aligner(words, threshold: float):
-    """A column function of (item, passages): the best passage's score, 0 if below threshold. words: broadcast word hashes of the items."""
+def _aligner(threshold: float):
+    """A column function of (item's words, document's words): the best alignment's score, 0 if it can't reach the threshold."""
 
     @F.pandas_udf("double")
-    def align(item: pd.Series, passages: pd.Series) -> pd.Series:
-        best = []
-        for i, ps in zip(item, passages):
-            own = [np.asarray(p, np.int64).view(np.uint64) for p in ps]
-            best.append(max((smith_waterman(words.value[i], p) for p in own if may_score(words.value[i], p, threshold)), default=0.0))
-        return pd.Series(best, dtype=float)
+    def align(items: pd.Series, texts: pd.Series) -> pd.Series:
+        pairs = [(np.asarray(i, np.int64), np.asarray(t, np.int64)) for i, t in zip(items, texts)]
+        return pd.Series([smith_waterman(i, t) if may_score(i, t, threshold) else 0.0 for i, t in pairs], dtype=float)
 
     return align
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, row, item_id, seeds, score of the documents and items whose best passage scores threshold or more.
-
-    Words are runs of letters and digits, in lower case. Items without a word match nothing; an item shorter than five
-    words is matched by its whole sequence. Null texts are empty. Equal items each give a row. Nothing is left out for
-    being frequent; seeds counts the shared n-grams that are rare for the item, and may be 0.
+    """doc_id, row, key, item_id, seeds, score of the documents and items that share an n-gram and align with threshold or more.
+
+    The score is that of the whole text's best alignment with the item, so nothing depends on where the shared n-grams lie
+    or how long the copy is. Words are runs of letters and digits, in lower case. Items without a word match nothing; an
+    item shorter than five words is matched by its whole sequence. Null texts are empty. Equal items each give a row, as do
+    repeated rows of docs; row tells these apart, key is the content's digest. No pair is left out for what is frequent:
+    seeds counts the shared n-grams that are rare for the item, and may be 0. A very long text costs its words (8 bytes
+    each) if it shares an n-gram, and one alignment for each item that it shares one with.
     """
-    spark = docs.sparkSession
-    sized = benchmark.filter("item_id is not null").select("item_id", "text", F.coalesce(F.length("text"), F.lit(0)).alias("n"))
-    block = F.floor(F.sum("n").over(W.orderBy("item_id", "text").rowsBetween(W.unboundedPreceding, -1)) / (2 * BLOCK_GRAMS))
-    placed = saved(sized.withColumn("block", F.coalesce(block, F.lit(0))), "items")
-    out = []
-    for (number,) in placed.select("block").distinct().orderBy("block").toLocalIterator():
-        rows = placed.filter(F.col("block") == number).orderBy("item_id", "text").collect()  # bounded by BLOCK_GRAMS
-        items = _Items([r["item_id"] for r in rows], [r["text"] for r in rows])
-        names = spark.createDataFrame([(i, x) for i, x in enumerate(items.ids)], f"item int, item_id {benchmark.schema['item_id'].dataType.simpleString()}")
-        words = spark.sparkContext.broadcast(items.words)
-        met = saved(shared_passages(docs, items), "passages")
-        each = met.select("row", "item", F.explode("grams").alias("gram"))
-        held = each.groupBy("item", "gram").agg(F.count("*").alias("held"))
-        quartile = held.groupBy("item").agg(F.percentile("held", F.lit(0.25)).alias("quartile"))
-        rare = held.join(F.broadcast(quartile), "item").filter(F.col("held") <= RARE * F.col("quartile")).select("item", "gram")
-        seeded = each.join(rare, ["item", "gram"]).groupBy("row", "item").agg(F.count("*").alias("seeds"))
-
-        scored = met.select("doc_id", "row", "item", _aligner(words, threshold)("item", "passages").alias("score")).filter(F.col("score") >= threshold)
-        known = scored.join(seeded, ["row", "item"], "left").withColumn("seeds", F.coalesce("seeds", F.lit(0)))
-        out.append(known.join(F.broadcast(names), "item").select("doc_id", "row", "item_id", "seeds", "score"))
-    if not out:
-        kinds = (docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString())
-        return spark.createDataFrame([], f"doc_id {kinds[0]}, row long, item_id {kinds[1]}, seeds long, score double")
-    found = out[0]
-    for more in out[1:]:
-        found = found.unionByName(more)
-    return found
+    items = saved(item_table(benchmark), "items")
+    met = saved(sharing_documents(docs, items), "sharing")
+    each = saved(met.select("row", F.explode("grams").alias("gram")), "shared-grams")
+    asked = saved(items.select("item", F.explode("grams").alias("gram")), "asked-grams")
+    held = each.groupBy("gram").agg(F.count("*").alias("held"))
+    known = saved(asked.join(held, "gram"), "held-grams")
+    quartile = known.groupBy("item").agg(F.percentile("held", F.lit(0.25)).alias("quartile"))
+    rare = saved(known.join(quartile, "item").select("item", "gram", (F.col("held") <= RARE * F.col("quartile")).alias("rare")), "rare-grams")
+    pairs = saved(each.join(rare, "gram").groupBy("row", "item").agg(F.sum(F.col("rare").cast("long")).alias("seeds")), "pairs")
+
+    asking = pairs.join(items.select("item", "item_id", F.col("words").alias("asked")), "item")
+    score = _aligner(threshold)("asked", "words").alias("score")
+    return asking.join(met.drop("grams"), "row").select("doc_id", "row", "key", "item_id", "seeds", score).filter(F.col("score") >= threshold)
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every contaminated document: doc_id, its best item_id (ties: the least), n_items, seeds and score of that item."""
     docs, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     found = contaminated(docs, benchmark)
-    best = found.groupBy("doc_id", "row").agg(F.max(F.struct("score", (-F.col("item_id")).alias("item"), "seeds")).alias("best"), F.countDistinct("item_id").alias("n_items"))
-    return best.select("doc_id", (-F.col("best.item")).alias("item_id"), "n_items", F.col("best.seeds").alias("seeds"), F.round("best.score", 6).alias("score"))
+    best = found.groupBy("doc_id", "row").agg(F.min(F.struct((-F.col("score")).alias("less"), "item_id", "seeds")).alias("best"), F.countDistinct("item_id").alias("n_items"))
+    return best.select("doc_id", F.col("best.item_id").alias("item_id"), "n_items", F.col("best.seeds").alias("seeds"), F.round(-F.col("best.less"), 6).alias("score"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs without a passage of a test item, with all their columns."""
-    gone = saved(contaminated(docs, benchmark, threshold).select(F.col("doc_id").alias("_doc_id")).distinct(), "contaminated")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc_id")), "left_anti")
+    """The rows of docs that align with no test item, with all their columns; another text of a contaminated one's doc_id stays."""
+    gone = saved(contaminated(docs, benchmark, threshold).select(F.col("doc_id").alias("_doc_id"), F.col("key").alias("_key")).distinct(), "contaminated")
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (tx.content_key(F.col("text")) == F.col("_key")), "left_anti")
