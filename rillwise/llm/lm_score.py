@@ -19,6 +19,8 @@ from rillwise.llm import text as tx
 from rillwise.store import saved
 
 BLOCK_DOCS = 2048
+#: Bytes of text for each shard of the n-gram space, and for each task of documents.
+SHARD_BYTES = 16 << 20
 FOLDS = 10
 #: Fold that is never trained on, and fold that the mixture weights are learned on.
 TEST, TUNE = 0, 1
@@ -34,7 +36,7 @@ def fold(doc_id: Column) -> Column:
 
 def tokens(texts) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens (each text's words in lower case, then its end), and where each text's begin, and one more."""
-    raw, out, ptr = [t.lower() for t in tx.utf8(texts)], [], [0]
+    raw, out, ptr = tx.lower(texts), [], [0]
     for part in tx.chunks(raw):
         words = tx.Words(raw[part])
         out.append(np.insert(words.hashes(), words.ptr[1:], END))
@@ -56,19 +58,35 @@ def _shard(gram: np.ndarray, shards: int) -> np.ndarray:
     return ((gram >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Byte planes of 64-bit numbers: the upper ones are mostly zeros, which the shuffle's compression removes."""
+    return x.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _numbers(data: bytes, kind=np.int64) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(8, -1).T.copy().view(kind).ravel()
+
+
 def _packed(sorted_: np.ndarray) -> bytes:
-    """Differences by byte planes: the upper ones are zeros, which the shuffle's compression removes."""
-    return np.diff(sorted_, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+    return _planes(np.diff(sorted_, prepend=np.uint64(0)))
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(data, np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel(), dtype=np.uint64)
+    return np.cumsum(_numbers(data, np.uint64), dtype=np.uint64)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text, fold and grp: the block, parted into the tuning fold and the rest. Rows without a doc_id are blocks of their own."""
-    block = F.coalesce(F.floor(F.col("doc_id") / BLOCK_DOCS), F.lit(-1))
-    return docs.select("doc_id", "text", fold(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("fold")).withColumn("grp", 2 * block + (F.col("fold") == TUNE).cast("long"))
+def keyed(docs: DataFrame, blocks: int = 1) -> DataFrame:
+    """doc_id, text, fold and grp: the block, parted into the tuning fold and the rest.
+
+    Whole numbers as doc_ids lie in blocks of neighbours, others are dealt to so many blocks by a hash, and rows without a
+    doc_id to as many by a hash of their text.
+    """
+    doc = F.col("doc_id")
+    dealt = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    whole = docs.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long")
+    block = F.floor(doc / BLOCK_DOCS).cast("long") if whole else dealt(doc)
+    block = F.when(doc.isNull(), dealt(F.col("text")) + F.lit(1 << 60)).otherwise(block)
+    return docs.select("doc_id", "text", fold(F.coalesce(doc.cast("string"), F.lit(""))).alias("fold")).withColumn("grp", 2 * block + (F.col("fold") == TUNE).cast("long"))
 
 
 def questions(docs: DataFrame, shards: int) -> DataFrame:
@@ -82,46 +100,48 @@ def questions(docs: DataFrame, shards: int) -> DataFrame:
                 out = []
                 for size, gram in ((1, token), (2, pairs(token))):
                     distinct, place = np.unique(gram, return_inverse=True)
-                    count = np.bincount(place, weights=weight, minlength=len(distinct)).astype(np.uint32)
+                    count = np.bincount(place, weights=weight, minlength=len(distinct)).astype(np.int64)
                     cut = np.searchsorted(_shard(distinct, shards), np.arange(shards + 1))
-                    out += [(s, grp, size, _packed(distinct[a:b]), count[a:b].tobytes()) for s, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
+                    out += [(s, grp, size, _packed(distinct[a:b]), _planes(count[a:b])) for s, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
                 yield pd.DataFrame(out, columns=["shard", "grp", "size", "grams", "counts"])
 
     return docs.mapInPandas(run, "shard int, grp long, size int, grams binary, counts binary")
 
 
+def answer(batch: pd.DataFrame) -> pd.DataFrame:
+    """What answers tells of one shard."""
+    out, shard = [], int(batch["shard"].iloc[0])
+    for size, rows in batch.groupby("size"):
+        grams = [_unpacked(x) for x in rows["grams"]]
+        counts = [_numbers(x) for x in rows["counts"]]
+        tune = np.repeat(rows["grp"].to_numpy() % 2 == 1, [len(g) for g in grams])
+        all_, n = np.concatenate(grams), np.concatenate(counts)
+        distinct, place = np.unique(all_, return_inverse=True)
+        whole, kept = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+        np.add.at(whole, place, n)  # whole numbers throughout: no count wraps or is rounded
+        np.add.at(kept, place[~tune], n[~tune])
+        starts = np.cumsum([0, *map(len, grams)])
+        by: dict[int, list[np.ndarray]] = {}
+        for grp, a, b in zip(rows["grp"], starts[:-1], starts[1:]):
+            by.setdefault(grp, []).append(place[a:b])
+        for grp, own in by.items():
+            at = own[0] if len(own) == 1 else np.unique(np.concatenate(own))
+            out.append((shard, grp, size, _planes(kept[at]) if grp % 2 else b"", _planes(whole[at]), 0, 0, 0))
+        out.append((shard, None, size, None, None, int((whole > 0).sum()), int(whole.sum()), int(kept.sum())))
+    return pd.DataFrame(out, columns=["shard", "grp", "size", "kept", "whole", "distinct", "total", "kept_total"]).assign(grp=pd.array([x[1] for x in out], "Int64"))
+
+
 def answers(asked: DataFrame) -> DataFrame:
     """(shard, grp, size, kept, whole): counts without and with the tuning fold, in the order of the block's distinct n-grams there.
 
-    A row without grp tells of a shard how many distinct training n-grams there are (kept: of size) and how often (whole).
+    A row without grp tells of a shard how many distinct training n-grams there are, and how often they come with and without the tuning fold.
     """
-
-    def run(batch: pd.DataFrame) -> pd.DataFrame:
-        out, shard = [], int(batch["shard"].iloc[0])
-        for size, rows in batch.groupby("size"):
-            grams = [_unpacked(x) for x in rows["grams"]]
-            counts = [np.frombuffer(x, np.uint32).astype(np.int64) for x in rows["counts"]]
-            tune = np.repeat(rows["grp"].to_numpy() % 2 == 1, [len(g) for g in grams])
-            all_, n = np.concatenate(grams), np.concatenate(counts)
-            distinct, place = np.unique(all_, return_inverse=True)
-            whole = np.bincount(place, weights=n, minlength=len(distinct)).astype(np.int64)
-            kept = np.bincount(place, weights=np.where(tune, 0, n), minlength=len(distinct)).astype(np.int64)
-            starts = np.cumsum([0, *map(len, grams)])
-            by: dict[int, list[np.ndarray]] = {}
-            for grp, a, b in zip(rows["grp"], starts[:-1], starts[1:]):
-                by.setdefault(grp, []).append(place[a:b])
-            for grp, own in by.items():
-                at = own[0] if len(own) == 1 else np.unique(np.concatenate(own))
-                out.append((shard, grp, size, kept[at].astype(np.uint32).tobytes() if grp % 2 else b"", whole[at].astype(np.uint32).tobytes(), 0, 0))
-            out.append((shard, None, size, None, None, int((whole > 0).sum()), int(whole.sum())))
-        return pd.DataFrame(out, columns=["shard", "grp", "size", "kept", "whole", "distinct", "total"]).astype({"grp": "Int64"})
-
-    return asked.groupBy("shard").applyInPandas(run, "shard int, grp long, size int, kept binary, whole binary, distinct long, total long")
+    return asked.groupBy("shard").applyInPandas(answer, "shard int, grp long, size int, kept binary, whole binary, distinct long, total long, kept_total long")
 
 
 def _counts(answer: pd.DataFrame, size: int, column: str) -> np.ndarray:
     own = answer[answer["size"] == size].sort_values("shard")
-    return np.frombuffer(b"".join(own[column]), np.uint32).astype(float)
+    return np.concatenate([_numbers(x) for x in own[column]] + [np.zeros(0, np.int64)]).astype(float)
 
 
 def _looked_up(token: np.ndarray, answer: pd.DataFrame, column: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -177,14 +197,17 @@ def lm_scores(docs: DataFrame) -> DataFrame:
 
     Scores are log10 probabilities of the whole text: base_score by single tokens with 0.1 added to each count, score by
     the interpolated model. Null and empty texts have one token, the end. Without training documents all counts are 0.
+    Repeated rows are counted and scored each. A very long text lies in one block, whose n-grams are in one task's memory.
     """
     spark = docs.sparkSession
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tx.small_batches(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = keyed(docs)
-    told = saved(answers(questions(rows, shards)), "counts")
-    single = told.filter("grp is null and size = 1").agg(F.sum("distinct"), F.sum("total")).first()
-    vocabulary, total = single[0] or 0, single[1] or 0
+    size, = docs.agg(F.sum(F.octet_length("text"))).first()
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // SHARD_BYTES))
+    rows = keyed(docs, shards)
+    told = saved(answers(questions(rows, shards).repartition(shards, "shard")), "counts")
+    single = told.filter("grp is null and size = 1").agg(F.sum("distinct"), F.sum("total"), F.sum("kept_total")).first()
+    vocabulary, total, kept_total = (x or 0 for x in single)
     told = told.filter("grp is not null").select("shard", "grp", "size", "kept", "whole")
     uniform = 1 / (vocabulary + 1)
 
@@ -193,11 +216,11 @@ def lm_scores(docs: DataFrame) -> DataFrame:
             return pd.DataFrame({"bucket": [], "two": [], "one": [], "n": []}, dtype=np.int64)
         token, _ = tokens(texts["text"])
         c, context, both = _looked_up(token, answer, "kept")
-        cells = np.stack([bucket(context), _bin(both / np.maximum(context, 1)), _bin(c / max(1, total))])
+        cells = np.stack([bucket(context), _bin(both / np.maximum(context, 1)), _bin(c / max(1, kept_total))])
         distinct, n = np.unique(cells, axis=1, return_counts=True)
         return pd.DataFrame({"bucket": distinct[0], "two": distinct[1], "one": distinct[2], "n": n})
 
-    tune = rows.filter(F.col("fold") == TUNE).groupBy("grp").cogroup(told.filter("grp % 2 = 1").groupBy("grp"))
+    tune = rows.filter(F.col("fold") == TUNE).repartition(shards, "grp").groupBy("grp").cogroup(told.filter("grp % 2 = 1").repartition(shards, "grp").groupBy("grp"))
     histogram = tune.applyInPandas(held, "bucket long, two long, one long, n long").groupBy("bucket", "two", "one").agg(F.sum("n").alias("n"))
     weights = mixture_weights(histogram.toPandas(), uniform)  # as many rows as there are cells
 
@@ -212,9 +235,10 @@ def lm_scores(docs: DataFrame) -> DataFrame:
         add = lambda x: np.add.reduceat(x, ptr[:-1])  # noqa: E731  each text has a token
         return pd.DataFrame({"doc_id": texts["doc_id"], "held_out": texts["fold"] == TEST, "n_tokens": np.diff(ptr), "n_known": add((c > 0).astype(np.int64)), "train_tokens": total, "base_score": add(base), "score": add(np.log10(p))})
 
-    out = rows.groupBy("grp").cogroup(told.drop("kept").groupBy("grp"))
+    out = rows.repartition(shards, "grp").groupBy("grp").cogroup(told.drop("kept").repartition(shards, "grp").groupBy("grp"))
     return out.applyInPandas(scored, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its scores."""
     return lm_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))
