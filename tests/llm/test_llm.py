@@ -304,6 +304,80 @@ def test_quoted_in_part_beside_a_whole_copy(spark):
     assert got.loc[0, "seeds"] == 12 and (got.loc[1:, "seeds"] == 0).all()
 
 
+def whole_text_scores(texts, items, threshold=dc.THRESHOLD):
+    """Smith-Waterman of every document that shares a 5-gram (or a whole shorter item) with an item, over its whole text, cell by cell."""
+    split = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    out = {}
+    for doc, text in texts.items():
+        w = split(text)
+        for item, asked in items.items():
+            q = split(asked)
+            n = min(dc.GRAM, len(q))
+            if not n or not {tuple(q[i : i + n]) for i in range(len(q) - n + 1)} & {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}:
+                continue
+            at = {x: [j for j, y in enumerate(w) if y == x] for x in set(q)}
+            row, best = np.zeros(len(w) + 1), 0.0
+            for x in q:
+                gain = np.full(len(w), dc.MISMATCH)
+                gain[at[x]] = dc.MATCH
+                now = [0.0]
+                for d, up, g in zip(row[:-1].tolist(), row[1:].tolist(), gain.tolist()):
+                    now.append(max(0.0, d + g, up + dc.GAP, now[-1] + dc.GAP))
+                row = np.array(now)
+                best = max(best, row.max())
+            if best / len(q) >= threshold - 1e-9:
+                out[doc, item] = round(best / len(q), 6)
+    return out
+
+
+def test_leaks_against_whole_texts(spark):
+    """Edited copies: words put in, left out and changed, up to one in two, in long texts and short ones."""
+    rng = np.random.default_rng(11)
+    items = {i: " ".join(f"q{i}x{k % 37}" for k in range(int(rng.integers(3, 60)))) for i in range(12)}
+    items[12] = items[3]
+    texts = {}
+    for doc in range(400):
+        copied = items[int(rng.integers(12))].split()
+        out, rate = [], rng.random() * 0.5
+        for k, w in enumerate(copied):
+            r = rng.random()
+            out += [w] if r > rate or 4 < k < 10 else [f"z{rng.integers(9)}", w][int(rng.integers(2)) :] * int(rng.integers(3))
+        texts[doc] = " ".join([long_text(int(rng.integers(0, 30)), doc), *out, long_text(int(rng.integers(0, 60)), 999 - doc)])
+    spread = " ".join(w if k == 0 or k % 5 else f"{w} filler" for k, w in enumerate(items[0].split()))
+    texts[400], texts[401] = spread, " ".join(x for w in items[1].split()[:5] + items[1].split() for x in (w, "filler")) + " " + " ".join(items[1].split()[:5])
+    got = dc.contaminated(frame(spark, list(texts.items())), spark.createDataFrame(list(items.items()), "item_id long, text string"))
+    got = {(r["doc_id"], r["item_id"]): round(r["score"], 6) for r in got.collect()}
+    want = whole_text_scores(texts, items)
+    assert got == want and len(want) > 200
+
+
+def test_leaks_on_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, benchmark = (pd.read_parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    short = docs[docs["text"].str.len() < 6000]
+    want = whole_text_scores(dict(zip(short["doc_id"], short["text"])), dict(zip(benchmark["item_id"], benchmark["text"])))
+    best = {}
+    for (doc, item), score in want.items():
+        best[doc] = max(best.get(doc, (0, 0)), (float(score), -item))
+    got = dc.op4_benchmark_decontamination(spark, sf).toPandas()
+    got = got[got["doc_id"].isin(short["doc_id"])]
+    assert {d: (s, -i) for d, s, i in zip(got["doc_id"], got["score"], got["item_id"])} == best and len(best) > 10
+
+
+def test_leaks_odd_rows(spark, odd):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    assert dc.contaminated(odd, bench).count() == 0 and dc.contaminated(frame(spark, []), bench).count() == 0
+    assert dc.drop_contaminated(frame(spark, []), bench).count() == 0
+    item = " ".join(f"i{k}" for k in range(30))
+    rows = frame(spark, [(1, item), (1, "another text"), (None, item), (2, item), (2, item)])
+    own = spark.createDataFrame([(5, item), (4, item), (4, item)], "item_id long, text string")
+    assert [r["text"] for r in dc.drop_contaminated(rows, own).collect()] == ["another text"]
+    assert dc.contaminated(rows, own).count() == 4 * 3
+    named = spark.createDataFrame([("d", item)], "doc_id string, text string")
+    found = dc.contaminated(named, spark.createDataFrame([("b", item), ("a", item)], "item_id string, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {("d", "a"), ("d", "b")}
+
+
 # toxicity
 
 
@@ -467,6 +541,60 @@ def test_interpolation_by_hand(spark):
     assert both.tolist() == want
 
 
+def test_interpolated_scores_token_by_token(spark, monkeypatch):
+    """The model's score of every text from plain counts; the weights are learned by the same formula on the tuning fold."""
+    rng, seen = np.random.default_rng(8), {}
+    rows = [(d, " ".join(rng.choice(WORDS[:30], int(rng.integers(0, 40))))) for d in range(120)]
+    learn = lm.mixture_weights
+    monkeypatch.setattr(lm, "mixture_weights", lambda h, u: seen.setdefault("weights", learn(seen.setdefault("histogram", h), u)))
+    got = table(lm.lm_scores(frame(spark, rows)))
+    part = {d: zlib.crc32(str(d).encode()) % 10 for d, _ in rows}
+    tokens = {d: [None, *t.split(), None] for d, t in rows}
+
+    def counted(folds):
+        one, two = collections.Counter(), collections.Counter()
+        for d, w in tokens.items():
+            if part[d] in folds:
+                one.update(w[1:])
+                two.update(zip(w, w[1:]))
+        return one, two, sum(one.values())
+
+    one, two, total = counted(set(range(1, 10)))
+    uniform = 1 / (len(one) + 1)
+    for d, w in tokens.items():
+        logs = 0.0
+        for pair in zip(w, w[1:]):
+            context = one[pair[0]]
+            a, b, c = seen["weights"][0 if not context else 1 + int(math.log2(context))]
+            logs += math.log10(a * two[pair] / max(context, 1) + b * one[pair[1]] / total + c * uniform)
+        assert got.loc[got["doc_id"] == d, "score"].item() == pytest.approx(logs)
+    one, two, total = counted(set(range(2, 10)))
+    cells = collections.Counter()
+    for d, w in tokens.items():
+        if part[d] == lm.TUNE:
+            for pair in zip(w, w[1:]):
+                cells[int(lm.bucket(np.array([one[pair[0]]]))[0]), int(lm._bin(np.array([two[pair] / max(one[pair[0]], 1)]))[0]), int(lm._bin(np.array([one[pair[1]] / total]))[0])] += 1
+    assert {tuple(x[:3]): x[3] for x in seen["histogram"].itertuples(index=False, name=None)} == cells
+
+
+def test_language_model_counts_beyond_32_bits():
+    big = np.array([2**32 + 5, 7], np.int64)
+    assert lm._numbers(lm._planes(big)).tolist() == big.tolist()
+    asked = pd.DataFrame({"shard": [0, 0], "grp": [0, 2], "size": [1, 1], "grams": [lm._packed(np.array([3, 9], np.uint64))] * 2, "counts": [lm._planes(big)] * 2})
+    answer = next(x for x in [lm.answer(asked)])
+    assert lm._counts(answer[answer["grp"] == 0], 1, "whole").tolist() == [2 * (2**32 + 5), 14]
+
+
+def test_language_model_other_ids(spark):
+    """Strings as doc_id, and many rows without one, which are dealt to several blocks."""
+    texts = [long_text(20, k) for k in range(60)]
+    named = spark.createDataFrame([(f"d{k}", t) for k, t in enumerate(texts)], "doc_id string, text string")
+    got = lm.lm_scores(named).toPandas()
+    assert len(got) == 60 and got["score"].lt(0).all() and got["held_out"].sum() == sum(zlib.crc32(f"d{k}".encode()) % 10 == 0 for k in range(60))
+    nameless = frame(spark, [(None, t) for t in texts])
+    assert lm.keyed(nameless, 8).select("grp").distinct().count() > 4 and lm.lm_scores(nameless).count() == 60
+
+
 def test_language_model_odd_rows(spark, odd):
     got = lm.lm_scores(odd).toPandas()
     assert len(got) == 12 and np.isfinite(got["score"]).all() and (got["score"] < 0).all()
