@@ -20,7 +20,7 @@ from rillwise.store import saved
 
 BLOCK_DOCS = 2048
 #: Bytes of text for each shard of the n-gram space, and for each task of documents.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 6 << 20
 FOLDS = 10
 #: Fold that is never trained on, and fold that the mixture weights are learned on.
 TEST, TUNE = 0, 1
