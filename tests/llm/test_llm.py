@@ -381,27 +381,86 @@ def test_leaks_odd_rows(spark, odd):
 # toxicity
 
 
-def brute_nearest(index, term, weight, k):
-    dense = np.zeros(len(index.label))
-    blocks = index.block_max.shape[1]
-    for t, w in zip(term, weight):
-        a, b = index.ptr[t * blocks], index.ptr[(t + 1) * blocks]
-        np.add.at(dense, index.example[a:b], w * index.weight[a:b])
-    order = np.lexsort((np.arange(len(dense)), -np.round(dense, 12)))[:k]
-    return [int(i) for i in order if dense[i] > 0]
+def brute_terms(text):
+    """Counts of the words and of their beginnings, each word once for every length."""
+    out = collections.Counter()
+    for w in re.findall(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", text.encode().lower()):
+        out[w] += 1
+        for n in ty.STARTS:
+            out[(w[:n], n) if len(w) > n else w] += 1
+    return out
+
+
+def test_scores_by_hand(spark):
+    """Scores and evidence of all documents from plain dictionaries: every term of every example, every cosine, no index."""
+    documents, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    index = ty.fit(documents, ty.training_labels(labels))
+    texts = {r["doc_id"]: r["text"] for r in documents.collect()}
+    known = {r["doc_id"]: r["toxic"] for r in ty.training_labels(labels).collect()}
+    n1, n0 = sum(known.values()), len(known) - sum(known.values())
+    held = {0: collections.Counter(), 1: collections.Counter()}
+    for d, y in known.items():
+        held[y].update(brute_terms(texts[d]).keys())
+    value = {t: float(ty.term_values(np.array([held[1][t]]), np.array([held[0][t]]), n1, n0)[0]) for t in held[0] | held[1]}
+
+    def vector(text):
+        v = {t: (1 + math.log(c)) * value[t] for t, c in brute_terms(text).items() if t in value}
+        norm = math.sqrt(sum(x * x for x in v.values())) or 1
+        return {t: x / norm for t, x in v.items()}
+
+    examples = {d: vector(texts[d]) for d in index.ids.tolist()}
+    assert set(examples) == set(known)
+    for row in ty.score(documents, index).collect():
+        own = vector(texts[row["doc_id"]])
+        cosine = {d: sum(x * v[t] for t, x in own.items() if t in v) for d, v in examples.items()}
+        best = sorted((c for c in cosine.values() if c > 0), reverse=True)[: ty.NEAREST]
+        got = [(e["doc_id"], e["cosine"]) for e in row["evidence"]]
+        assert [c for _, c in got] == pytest.approx(best, abs=1e-9) and all(c == pytest.approx(cosine[d], abs=1e-9) for d, c in got)
+        w = [c * c for _, c in got]
+        vote = sum(x * known[d] for x, (d, _) in zip(w, got)) / sum(w) if w else -1
+        assert row["score"] == pytest.approx(float(np.interp(vote, *index.steps)), abs=1e-6)
 
 
 def test_block_max_search_is_exact(spark, docs):
     documents, labels = (spark.read.parquet(f"{SF}/../sf0.01/{t}.parquet") for t in ("documents", "labels"))
     index = ty.fit(documents, ty.training_labels(labels))
-    for term, weight in index.vectors([t.lower() for t in tx.utf8(docs["text"])]):
+    assert len(index.label) > 2 * ty.BLOCK
+    for term, weight in index.vectors(tx.lower(docs["text"])):
         who, cosine = index.nearest(term, weight, 5)
-        assert who.tolist() == brute_nearest(index, term, weight, 5) and (cosine <= 1 + 1e-9).all()
+        dense = np.zeros(len(index.label))
+        for t, w in zip(term, weight):
+            a, b = index.postings[index.cells[t]], index.postings[index.cells[t + 1]]
+            np.add.at(dense, index.example[a:b], w * index.weight[a:b])
+        order = np.lexsort((np.arange(len(dense)), -np.round(dense, 12)))[:5]
+        assert who.tolist() == [int(i) for i in order if dense[i] > 0] and (cosine <= 1 + 1e-9).all()
     toxic = ["stupid worthless idiot moron", None, "", "x", "the of and"]
     got = ty.score(frame(spark, list(enumerate(toxic))), index).toPandas()
     assert got["score"].between(0, 1).all() and (got["score"][1:] < 0.7).all()
 
 
+def test_toxicity_odd_rows(spark, odd):
+    labels = spark.createDataFrame([(1, 1, 1), (5, 1, 0), (5, 1, 1), (6, 1, 0), (None, 1, 1), (8, 1, None), (99, 1, 1)], "doc_id long, quality int, toxic int")
+    got = ty.score(odd, ty.fit(odd, labels)).toPandas()
+    assert len(got) == 12 and got["score"].between(0, 1).all()
+    assert ty.score(frame(spark, []), ty.fit(odd, labels)).count() == 0 and ty.fit(frame(spark, []), labels).label.size == 0
+    chosen = {r["doc_id"]: r["toxic"] for r in ty.choose_examples(odd, labels).collect()}
+    assert chosen == {1: 1, 5: 1, 6: 0}
+    named = spark.createDataFrame([("a", "bad bad"), ("b", "good words")], "doc_id string, text string")
+    own = spark.createDataFrame([("a", 1), ("b", 0)], "doc_id string, toxic int")
+    assert ty.score(named, ty.fit(named, own)).count() == 2
+
+
+def test_toxic_namesakes(spark):
+    """A toxic text goes, another of the same doc_id stays."""
+    documents, labels = (spark.read.parquet(f"{SF}/../sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    index = ty.fit(documents, ty.training_labels(labels))
+    worst = ty.score(documents, index).orderBy(F.desc("score")).first()
+    text = documents.filter(F.col("doc_id") == worst["doc_id"]).first()["text"]
+    extra = spark.createDataFrame([(-1, text), (-1, "plain words of the day"), (-1, None)], "doc_id long, text string")
+    left = ty.drop_toxic(documents.select("doc_id", "text").unionByName(extra), labels).filter("doc_id = -1").collect()
+    assert worst["score"] >= 0.7 and sorted(r["text"] or "" for r in left) == ["", "plain words of the day"]
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     got = ty.op5_toxicity(spark, sf).toPandas().merge(pd.read_parquet(f"{sf}/labels.parquet"), on="doc_id")
