@@ -23,7 +23,7 @@ from rillwise.store import saved
 EXAMPLES = {1: 512, 0: 1024}
 NEAREST = 15
 BLOCK = 128
-STARTS = (4, 5, 6, 8)
+STARTS = (5,)
 REJECT = 0.7
 
 
@@ -192,6 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, bounds: dict[int, int] = EXAMPLES) -
             yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "term": pd.Series([t for t, _ in vectors], dtype=object), "weight": pd.Series([w for _, w in vectors], dtype=object)})
 
     rows = examples.select("doc_id", "text", F.col("toxic").cast("long")).mapInPandas(run, f"doc_id {kind}, toxic long, term array<long>, weight array<double>").toPandas()
+    sent.destroy()
     # alike examples side by side: a block's bound is then close to its examples
     heavy = [t[int(np.argmax(w))] if len(t) else -1 for t, w in zip(rows["term"], rows["weight"])]
     rows = rows.assign(heavy=heavy).sort_values(["heavy", "doc_id"], ignore_index=True)
@@ -217,6 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, bounds: dict[int, int] = EXAMPLES) -
             yield pd.DataFrame({"example": [i for i, _ in own], "vote": [index.vote(*index.nearest(*x, leave=i)) for i, x in own]})
 
     votes = examples.repartition(8, "doc_id").select("doc_id", "text").mapInPandas(alone, "example long, vote double").toPandas().sort_values("example")
+    full.destroy()
     if len(votes):
         index.steps = isotonic(votes["vote"].to_numpy(), label, importance)
     return index
