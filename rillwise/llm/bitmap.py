@@ -9,8 +9,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Bits of a bitmap (16 MB), and of one of its pages (what Spark's bitmap functions put in one row).
-SLOTS = 1 << 27
+#: Bits of a bitmap (8 MB), and of one of its pages (what Spark's bitmap functions put in one row).
+SLOTS = 1 << 26
 PAGE = 1 << 15
 
 
