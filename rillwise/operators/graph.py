@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from rillwise.store import saved
+from rillwise.store import discard, saved
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -29,9 +29,12 @@ def connected_components(edges: DataFrame, src: str = "u", dst: str = "v") -> Da
     u, v = F.col(src), F.col(dst)
     now = saved(edges.filter(u.isNotNull() & v.isNotNull()).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct(), "edges")
     nodes, now = now.filter("u = v").select("u"), now.filter("u <> v")
-    mark = None
+    mark, before = None, None
     while True:
-        now = saved(_star(_star(now, large=True), large=False), "edges")
+        after = saved(_star(_star(now, large=True), large=False), "edges")
+        if before is not None:
+            discard(before)
+        now = before = after
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark:
             break
