@@ -20,7 +20,7 @@ from rillwise.llm import text as tx
 from rillwise.store import saved
 
 #: Bound of what is fitted on: labelled examples of each class.
-EXAMPLES = {1: 512, 0: 1024}
+EXAMPLES = {1: 512, 0: 1280}
 NEAREST = 15
 BLOCK = 128
 STARTS = (5,)
