@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rillwise.llm import bitmap, text as tx
 from rillwise.operators.graph import connected_components
-from rillwise.store import saved
+from rillwise.store import discard, saved
 
 BITS = 3
 SHINGLE = 3
@@ -93,12 +93,13 @@ def linked_components(postings: DataFrame, close: Column, verify: Callable[[Data
     are joins of written tables, which adaptive execution can split: no task holds a key.
     """
     live = postings.withColumn("component", F.col("id")).withColumn("alone", F.lit(True))
-    own = [c for c in live.columns if c not in ("key", "alone")]
+    own, done = [c for c in live.columns if c not in ("key", "alone")], []
     for turn in range(3):
         if turn == 2 and finer:
             live = finer(live)
-        mixed = live.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("key")
-        live = saved(live.join(saved(mixed, "keys"), "key"), "postings")
+        mixed = saved(live.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("key"), "keys")
+        live = saved(live.join(mixed, "key"), "postings")
+        discard(mixed, *done)
         if turn < 2:
             nth = F.xxhash64("id") if turn == 0 else F.bitwise_not(F.xxhash64("id"))
             one = F.min(F.struct("alone", nth.alias("nth"), *own)).alias("one")
@@ -111,6 +112,8 @@ def linked_components(postings: DataFrame, close: Column, verify: Callable[[Data
         found = verify(pairs) if verify else pairs
         links = saved(links.unionByName(found) if links is not None else found, "similar")
         labels = connected_components(links)
+        discard(pairs, other)
+        done = [live]  # until the next turn's postings are written
         if turn < 2:
             to = labels.select(F.col("node").alias("id"), F.col("component").alias("to"))
             kept = [c for c in live.columns if c not in ("component", "alone")]
@@ -204,13 +207,27 @@ def _common_shingles(docs: DataFrame) -> np.ndarray:
     return np.array([r["g"] for r in rows][::-1], np.int64).view(np.uint64)
 
 
-#: Longs of a set's parity bitmap: bits that differ are no more than the shingles that only one of two sets has.
-PARITY = 16
+#: Most bits of a set's parity bitmap.
+PARITY = 1 << 15
 
 
-def _parity(shingles: np.ndarray) -> np.ndarray:
-    odd = np.bincount((shingles >> np.uint64(40)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) % 2
-    return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
+def _parity(shingles: np.ndarray) -> bytes:
+    """Of each number modulo the width, whether an odd number of shingles has it; twice as wide as the set is large, at least 1,024."""
+    width = min(PARITY, max(1024, 1 << (2 * len(shingles)).bit_length()))
+    odd = np.bincount((shingles >> np.uint64(40)).astype(np.int64) % width, minlength=width) % 2
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def _differing(one: pd.Series, other: pd.Series) -> pd.Series:
+    """Bits in which two parity bitmaps differ, the wider folded to the other's width: no more than the shingles that only one of the sets has."""
+    out = []
+    for a, b in zip(one, other):
+        x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+        while len(x) != len(y):
+            x, y = (x, y) if len(x) > len(y) else (y, x)
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        out.append(int(np.bitwise_count(x ^ y).sum(dtype=np.int64)))
+    return pd.Series(out, dtype="int64")
 
 
 def _overlap(n: Column, n2: Column, similarity: float) -> Column:
@@ -271,7 +288,7 @@ def similar_components(docs: DataFrame, similarity: float = SIMILARITY) -> DataF
         for batch in batches:
             yield pd.DataFrame({"id": batch["doc_id"], "grams": [s.view(np.int64) for s in shingle_sets(tx.utf8(batch["text"]))]})
 
-    entries = saved(known.mapInPandas(described, f"id {kind}, n int, digest binary, parity array<long>").filter("n > 0"), "described")
+    entries = saved(known.mapInPandas(described, f"id {kind}, n int, digest binary, parity binary").filter("n > 0"), "described")
     first = saved(entries.groupBy("digest").agg(F.min("id").alias("first")), "distinct-sets")
     same = saved(entries.select("id", "digest").join(first, "digest").filter("id <> first").select(F.col("id").alias("u"), F.col("first").alias("v")), "same-sets")
     # sets that are equal meet once, as the first of them
@@ -279,14 +296,16 @@ def similar_components(docs: DataFrame, similarity: float = SIMILARITY) -> DataF
 
     def verify(pairs: DataFrame) -> DataFrame:
         u, v = (entries.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("parity").alias(f"parity_{x}")) for x in "uv")
-        differ = F.aggregate(F.zip_with("parity_u", "parity_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
         n = F.col("n_u") + F.col("n_v")
-        near = saved(pairs.join(u, "u").join(v, "v").filter(differ <= n - 2 * _overlap(F.col("n_u"), F.col("n_v"), similarity)).select("u", "v"), "near-pairs")
+        met = pairs.join(u, "u").join(v, "v").withColumn("differ", F.pandas_udf(_differing, "long")("parity_u", "parity_v"))
+        near = saved(met.filter(F.col("differ") <= n - 2 * _overlap(F.col("n_u"), F.col("n_v"), similarity)).select("u", "v"), "near-pairs")
         ids = saved(near.select(F.col("u").alias("id")).unionByName(near.select(F.col("v").alias("id"))).distinct(), "asked-sets")
         sets = saved(bitmap.may_hold(known, F.col("doc_id"), ids, "id").mapInPandas(grams, f"id {kind}, grams array<long>"), "sets")
         both = F.size(F.array_intersect("a", "b"))
         met = near.join(sets.select(F.col("id").alias("u"), F.col("grams").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("grams").alias("b")), "v")
-        return met.filter(both >= similarity * (F.size("a") + F.size("b") - both) - 1e-9).select("u", "v")
+        found = saved(met.filter(both >= similarity * (F.size("a") + F.size("b") - both) - 1e-9).select("u", "v"), "verified")
+        discard(near, ids, sets)
+        return found
 
     # at the first shingle that two sets share, what follows in both must hold the overlap that the similarity asks for
     close = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) >= _overlap(F.col("n"), F.col("n2"), similarity)
