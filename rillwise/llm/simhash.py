@@ -10,6 +10,7 @@ those that are still apart with each other.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import math
 from collections.abc import Callable, Iterator
@@ -310,6 +311,8 @@ def similar_components(docs: DataFrame, similarity: float = SIMILARITY) -> DataF
     # at the first shingle that two sets share, what follows in both must hold the overlap that the similarity asks for
     close = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) >= _overlap(F.col("n"), F.col("n2"), similarity)
     labels = linked_components(postings, close, verify, links=same)
+    bits.destroy(), order.destroy()
+    gc.collect()  # Python lets go of the plans of all rounds, and so does the JVM
     return labels.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
 
 

@@ -9,6 +9,7 @@ leave-one-out votes.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -219,6 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame, bounds: dict[int, int] = EXAMPLES) -
 
     votes = examples.repartition(8, "doc_id").select("doc_id", "text").mapInPandas(alone, "example long, vote double").toPandas().sort_values("example")
     full.destroy()
+    gc.collect()  # sparse vectors and plans that are done with
     if len(votes):
         index.steps = isotonic(votes["vote"].to_numpy(), label, importance)
     return index
