@@ -127,9 +127,13 @@ def distinctive(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(names.distinctive_tokens(text), " ").alias("tokens"))
 
 
-@query("P27_clean_query", r"""SELECT p_partkey, p_name || ' Street' AS cleaned FROM part""")
+@query("P27_clean_query", r"""SELECT p_partkey, p_name || CASE p_partkey % 4 WHEN 0 THEN ' Street' WHEN 1 THEN ' Road' WHEN 2 THEN ' Lane' ELSE '' END AS cleaned FROM part""")
 def clean(spark, sf_dir):
-    raw = F.concat(F.lit("46, "), F.col("p_name"), F.lit(" St. (portion) near "), F.col("p_brand"), F.lit(" & more"))
+    kind, name, brand = F.col("p_partkey") % 4, F.col("p_name"), F.col("p_brand")
+    raw = (
+        F.when(kind == 0, F.concat(F.lit("46, "), name, F.lit(" St. (portion) near "), brand, F.lit(" & more"))).when(kind == 1, F.concat(name, F.lit("  Rd opp. "), brand))
+        .when(kind == 2, F.concat(F.lit("12/A, 7-B , 14 "), name, F.lit(" Ln in front of "), brand)).otherwise(F.concat(F.lit("junction of "), name, F.lit(" and "), brand))
+    )
     return table(spark, sf_dir, "part").select("p_partkey", names.clean_query(raw).alias("cleaned"))
 
 
