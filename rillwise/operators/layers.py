@@ -116,3 +116,23 @@ def report_json(checks: DataFrame) -> DataFrame:
     """One JSON report of (check, severity, n) rows: ok, and the checks by severity."""
     named = lambda level: F.array_sort(F.collect_list(F.when(F.col("severity") == level, F.col("check"))))
     return checks.agg((F.count_if(F.col("severity") == "ERROR") == 0).alias("ok"), named("ERROR").alias("errors"), named("WARN").alias("warnings")).select(F.to_json(F.struct("ok", "errors", "warnings")).alias("report"))
+
+
+def invalid_polygons(edges: DataFrame, polygon: str, cell: float = 500.0) -> DataFrame:
+    """(polygon, problem): "unclosed" if an end is left over, "short" with fewer than three edges, "self_intersection" where two edges cross.
+
+    edges: polygon, x0, y0, x1, y1. Edges lie in all grid cells that they reach, so only those of one polygon and cell meet.
+    Edges that only touch, as neighbours do, don't cross.
+    """
+    ends = edges.select(polygon, F.explode(F.array(*[F.struct(F.round(f"x{k}", 3).alias("x"), F.round(f"y{k}", 3).alias("y"), F.lit(d).alias("d")) for k, d in ((0, 1), (1, -1))])).alias("e"))
+    unclosed = ends.groupBy(polygon, "e.x", "e.y").agg(F.sum("e.d").alias("d")).filter("d <> 0").select(polygon).distinct()
+    short = edges.groupBy(polygon).agg(F.count("*").alias("n")).filter("n < 3").select(polygon)
+    cells = lambda c: F.sequence(F.floor(F.least(f"{c}0", f"{c}1") / cell), F.floor(F.greatest(f"{c}0", f"{c}1") / cell))
+    placed = edges.withColumn("_cx", F.explode(cells("x"))).withColumn("_cy", F.explode(cells("y")))
+    other = placed.select(polygon, "_cx", "_cy", *[F.col(c).alias(f"b{c}") for c in ("x0", "y0", "x1", "y1")])
+    side = lambda px, py, qx, qy, rx, ry: F.signum((F.col(qx) - F.col(px)) * (F.col(ry) - F.col(py)) - (F.col(qy) - F.col(py)) * (F.col(rx) - F.col(px)))
+    a, b = ("x0", "y0", "x1", "y1"), ("bx0", "by0", "bx1", "by1")
+    crossing = (side(*a, *b[:2]) * side(*a, *b[2:]) < 0) & (side(*b, *a[:2]) * side(*b, *a[2:]) < 0)
+    crossed = placed.join(other, [polygon, "_cx", "_cy"]).filter(crossing).select(polygon).distinct()
+    named = [df.select(polygon, F.lit(name).alias("problem")) for df, name in ((unclosed, "unclosed"), (short, "short"), (crossed, "self_intersection"))]
+    return named[0].unionByName(named[1]).unionByName(named[2])

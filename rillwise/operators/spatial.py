@@ -130,8 +130,9 @@ def nearest_anywhere(points: DataFrame, targets: DataFrame, target: str, start:
     """(point_id, target, distance) of the nearest target without a limit: rings twice as wide each round, for points not done yet."""
     from rillwise.store import saved
 
-    known = targets.filter("tx is not null and ty is not null").select(target, "tx", "ty")
-    left = points.filter("x is not null and y is not null").select("point_id", "x", "y")
+    # a place that is no number is near nothing, however far the rings reach
+    known = targets.filter("abs(tx) < double('inf') and abs(ty) < double('inf')").select(target, "tx", "ty")
+    left = points.filter("abs(x) < double('inf') and abs(y) < double('inf')").select("point_id", "x", "y")
     done, reach = None, start
     if known.isEmpty():
         return left.join(known.limit(0).withColumn("distance", F.lit(0.0)).drop("tx", "ty").withColumn("point_id", F.lit(None).cast(left.schema["point_id"].dataType)), "point_id").select("point_id", "distance", target)
