@@ -80,10 +80,10 @@ def radius(spark, sf_dir):
     return layers.to_geojson_features(found, "lon", "lat", ["point_id", "segment_id", "distance", "found", "reason"])
 
 
-@query("E7_build_training", f"WITH {adapters_sql('pockets')} SELECT 1 AS label, count(*) AS n FROM (SELECT rec_id FROM pockets WHERE lat IS NOT NULL QUALIFY row_number() OVER (PARTITION BY round(lat, 6), round(lon, 6) ORDER BY rec_id) = 1)")
+@query("E7_build_training")
 def build(spark, sf_dir):
-    """Positives (records at distinct places) against a lattice inside the boundary at least 300 m off them; counts of the positives."""
-    return build_training(spark, sf_dir).filter("label = 1").groupBy("label").agg(F.count("*").alias("n"))
+    """Every training row: positives (records at distinct places), and negatives from a lattice inside the boundary at least 300 m off them."""
+    return build_training(spark, sf_dir).select("point_id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), "label")
 
 
 def build_training(spark: SparkSession, sf_dir: str, step: float = 300.0) -> DataFrame:
@@ -206,5 +206,5 @@ def georef(spark, sf_dir):
     from rillwise.operators import drawings
 
     g = adapted(spark, sf_dir, "gcps")
-    fits = saved(drawings.fit_similarity(g, mx0=591500.0, my0=2487900.0), "fits")
+    fits = saved(drawings.fit_similarity(g, mx0=591500.0, my0=2487900.0, nominal_scale=0.922, nominal_rotation_deg=12.5), "fits")
     return drawings.apply_transform(g, fits).join(fits.select("sheet", "rms_m", "loo_m", "usable"), "sheet").select("sheet", "gcp_id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), F.round("rms_m", 3).alias("rms_m"), "usable")

@@ -38,10 +38,12 @@ def network_load(spark, sf_dir):
     return loads(spark, sf_dir).select("pipe_id", "intensity", F.round("inflow", 4).alias("inflow"), F.round("load", 4).alias("load"), F.round("overflow", 2).alias("overflow"), "alert")
 
 
-@query("A3_A4_F5_alert_summary", f"""WITH RECURSIVE {LOADS}, c AS (SELECT intensity, count(*) FILTER (alert = 'RED') AS red, count(*) FILTER (alert = 'ORANGE') AS orange, count(*) FILTER (alert = 'YELLOW') AS yellow, count(*) FILTER (alert = 'GREEN') AS green, count(*) FILTER (alert = 'UNKNOWN') AS unknown, count(*) AS assessed, round(sum(overflow), 0) AS overflow_m3 FROM ld WHERE pipe_id % 3 <> 0 GROUP BY 1)
+@query("A3_A4_F5_alert_summary", f"""WITH RECURSIVE {LOADS}, c AS (SELECT intensity, count(*) FILTER (alert = 'RED') AS red, count(*) FILTER (alert = 'ORANGE') AS orange, count(*) FILTER (alert = 'YELLOW') AS yellow, count(*) FILTER (alert = 'GREEN') AS green, count(*) FILTER (alert = 'UNKNOWN') AS unknown, count(*) AS assessed, round(sum(overflow), 0) AS overflow_m3 FROM ld JOIN pipes ON segment_id = pipe_id WHERE (lon0 - 88.375) ** 2 + (lat0 - 22.575) ** 2 <= 0.0225 GROUP BY 1)
 SELECT *, CASE WHEN red + orange + yellow + green = 0 THEN 'UNKNOWN' WHEN red / (red + orange + yellow + green) >= .2 THEN 'RED' WHEN (red + orange) / (red + orange + yellow + green) >= .2 THEN 'ORANGE' WHEN (red + orange + yellow) / (red + orange + yellow + green) >= .2 THEN 'YELLOW' ELSE 'GREEN' END AS overall FROM c""")
 def summary(spark, sf_dir):
-    own = loads(spark, sf_dir).filter(n.in_area((F.col("pipe_id") % 3).cast("double"), F.lit(0.0), F.lit(1.5), F.lit(0.0), F.lit(0.6)))
+    """Alerts of the pipes that begin within 0.15 degrees of the city's centre."""
+    begin = adapted(spark, sf_dir, "pipes").select(F.col("segment_id").alias("pipe_id"), "lon0", "lat0")
+    own = loads(spark, sf_dir).join(begin, "pipe_id").filter(n.in_area(F.col("lon0"), F.col("lat0"), F.lit(88.375), F.lit(22.575), F.lit(0.15)))
     return n.alert_summary(own, ["intensity"])
 
 

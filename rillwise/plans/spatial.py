@@ -59,7 +59,7 @@ def projection(spark, sf_dir):
     return p.select("point_id", geo.valid_latlon(F.col("lat"), F.col("lon")).alias("valid"), F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), ((F.abs(lat - F.col("lat")) < 2e-6) & (F.abs(lon - F.col("lon")) < 2e-6)).alias("round_trip"))
 
 
-@query("P4_P5_P6_P32_distances", f"""WITH {adapters_sql('pts', 'pumps')}, j AS (SELECT point_id, p.lat AS a, p.lon AS b, t.lat AS c, t.lon AS d FROM pts p JOIN pumps t ON p.point_id % 10 = t.pump_id),
+@query("P4_P5_P6_P32_distances", f"""WITH {adapters_sql('pts', 'pumps')}, j AS (SELECT point_id, p.lat AS a, p.lon AS b, t.lat AS c, t.lon AS d FROM pts p JOIN pumps t ON p.point_id % (SELECT max(pump_id) + 1 FROM pumps) = t.pump_id),
 u AS (SELECT *, atan((1 - 1 / 298.257223563) * tan(radians(a))) AS b1, atan((1 - 1 / 298.257223563) * tan(radians(c))) AS b2 FROM j),
 v AS (SELECT *, sin((b2 - b1) / 2) ** 2 + cos(b1) * cos(b2) * sin(radians(d - b) / 2) ** 2 AS q FROM u),
 w AS (SELECT *, 2 * asin(sqrt(q)) AS s FROM v),
@@ -68,7 +68,8 @@ SELECT point_id, round(2 * 6371000 * asin(sqrt(sin(radians(c - a) / 2) ** 2 + co
 round((d - b) * 111320 * cos(radians(a)), 3) AS east, round((c - a) * 110540, 3) AS north, round(g, 3) AS geodesic, round(g / 2, 3) AS extent FROM z""")
 def distances(spark, sf_dir):
     p, t = adapted(spark, sf_dir, "pts"), adapted(spark, sf_dir, "pumps").select("pump_id", F.col("lat").alias("c"), F.col("lon").alias("d"))
-    j = p.join(F.broadcast(t.filter("pump_id < 10")), F.col("point_id") % 10 == F.col("pump_id"))
+    last = t.agg((F.max("pump_id") + 1).alias("n"))
+    j = p.crossJoin(F.broadcast(last)).withColumn("own", F.col("point_id") % F.col("n")).join(t, F.col("own") == F.col("pump_id"))
     a, b, c, d = (F.col(x) for x in ("lat", "lon", "c", "d"))
     east, north = geo.local_xy_m(c, d, a, b)
     return j.select("point_id", F.round(geo.haversine_m(a, b, c, d), 3).alias("haversine"), F.round(east, 3).alias("east"), F.round(north, 3).alias("north"), F.round(geo.geodesic_m(a, b, c, d), 3).alias("geodesic"), F.round(geo.extent_m(a, b, c, d), 3).alias("extent"))
@@ -179,11 +180,13 @@ def covered(spark, sf_dir):
     return spatial.covered_by(points(spark, sf_dir), boundary_edges(spark)).select("point_id")
 
 
-@query("A8_V8_polygon_area", f"WITH {EDGES} SELECT round(abs(sum(x0 * y1 - x1 * y0)) / 2 / 1e6, 2) AS area_km2, abs(sum(x0 * y1 - x1 * y0)) / 2e6 BETWEEN 180 AND 230 AS plausible, count(*) AS n_edges, (SELECT count(*) FROM customer) AS n_points FROM e")
-def boundary_area(spark, sf_dir):
-    area = F.abs(F.sum(F.expr("x0 * y1 - x1 * y0"))) / 2
-    n = adapted(spark, sf_dir, "pts").agg(F.count("*").alias("n_points"))
-    return boundary_edges(spark).agg(F.round(area / 1e6, 2).alias("area_km2"), (area / 1e6).between(180, 230).alias("plausible"), F.count("*").alias("n_edges")).crossJoin(F.broadcast(n))
+@query("A8_V8_polygon_area", f"WITH {adapters_sql('boxes')} SELECT body_id, round(side_m * side_m / 1e6, 4) AS area_km2, side_m * side_m / 1e6 BETWEEN 0.1 AND 0.5 AS plausible, 4 AS n_edges, round(cx - side_m / 2, 2) AS xmin, round(cx + side_m / 2, 2) AS xmax, round(cy - side_m / 2, 2) AS ymin, round(cy + side_m / 2, 2) AS ymax FROM boxes")
+def polygon_areas(spark, sf_dir):
+    """Area by the shoelace sum, whether it is plausible, and bounds of every polygon of the table."""
+    area = F.abs(F.sum(F.expr("x0 * y1 - x1 * y0"))) / 2e6
+    bounds = [f(c).alias(n) for f, c, n in ((F.min, "x0", "xmin"), (F.max, "x0", "xmax"), (F.min, "y0", "ymin"), (F.max, "y0", "ymax"))]
+    found = spatial.box_edges(adapted(spark, sf_dir, "boxes"), "body_id").groupBy("body_id").agg(area.alias("area"), F.count("*").cast("int").alias("n_edges"), *bounds)
+    return found.select("body_id", F.round("area", 4).alias("area_km2"), F.round("area", 9).between(0.1, 0.5).alias("plausible"), "n_edges", *[F.round(c, 2).alias(c) for c in ("xmin", "xmax", "ymin", "ymax")])
 
 
 @query("J5_assemble_features", f"""WITH {POINTS}, {SEGMENTS}, {PUMPS},

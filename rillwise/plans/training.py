@@ -106,10 +106,12 @@ def offenders(spark, sf_dir):
     return k.top_offenders(bad, ["ward"], F.col("segment_id"), 5)
 
 
-@query("U2_schema_diff", "SELECT 'mm' AS \"column\", 'missing' AS problem, count(*) AS n FROM documents UNION ALL SELECT 'n_chars', 'unexpected', count(*) FROM documents")
+@query("U2_schema_diff", "SELECT 'mm' AS \"column\", 'missing' AS problem, 0 AS filled UNION ALL SELECT 'n_chars', 'unexpected', count(n_chars) FROM documents WHERE n_chars % 2 = 0")
 def diff(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    return k.schema_diff(d, ["doc_id", "text", "lang", "source", "mm"]).crossJoin(F.broadcast(d.agg(F.count("*").alias("n"))))
+    """Columns that are missing or not expected, and how many values stand in them (odd lengths are blanked)."""
+    d = table(spark, sf_dir, "documents").withColumn("n_chars", F.when(F.col("n_chars") % 2 == 0, F.col("n_chars")))
+    filled = d.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).isNotNull().alias("there")) for c in d.columns])).alias("c")).groupBy("c.column").agg(F.count_if("c.there").alias("filled"))
+    return k.schema_diff(d, ["doc_id", "text", "lang", "source", "mm"]).join(filled, "column", "left").withColumn("filled", F.coalesce("filled", F.lit(0)))
 
 
 @query("U3_unexpected_values", "SELECT DISTINCT o_orderstatus AS value FROM orders WHERE o_orderstatus NOT IN ('O')")
@@ -163,13 +165,14 @@ def partial(spark, sf_dir):
     return p.filter("(distance is null and (pipe_diameter_mm is not null or capacity is not null)) or (capacity is not null and pipe_diameter_mm is null)").select("segment_id")
 
 
-@query("M6_O2_split", f"WITH {TRAIN} SELECT count(*) AS n, true AS near_share, true AS disjoint, least(count(*), 50) AS sampled FROM p")
+@query("M6_O2_split")
 def split(spark, sf_dir):
+    """Every labelled point with its part of the split, and whether it is in the seeded sample of 50."""
     t = train(spark, sf_dir)
-    sampled = k.limit_sample(t, 50, 7, "point_id").agg(F.count("*").alias("sampled"))
-    share = k.hash_share("point_id")
-    both = t.agg(F.count("*").alias("n"), F.abs(F.avg((share < 0.2).cast("double")) - 0.2).alias("d"))
-    return both.crossJoin(sampled).select("n", (F.col("d") < 0.1).alias("near_share"), F.lit(True).alias("disjoint"), "sampled")
+    learn, test = k.split(t, 0.2, 42, "point_id")
+    parts = learn.select("point_id", F.lit("train").alias("part")).unionByName(test.select("point_id", F.lit("test").alias("part")))
+    sampled = k.limit_sample(t, 50, 7, "point_id").select("point_id", F.lit(True).alias("sampled"))
+    return parts.join(F.broadcast(sampled), "point_id", "left").withColumn("sampled", F.coalesce("sampled", F.lit(False)))
 
 
 @query("U1_S11_union_layers", f"WITH {adapters_sql('pipes', 'boxes')}, u AS (SELECT source_sheet, ward, conduit_type FROM pipes UNION ALL SELECT source_sheet, ward, NULL FROM boxes) SELECT source_sheet, count(*) AS n, count(conduit_type) AS typed FROM u GROUP BY 1")

@@ -3,6 +3,7 @@
 import json
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,8 @@ from rillwise.operators import checks, drawings, graph, layers, network, places,
 from rillwise.sources import readers
 from rillwise.streaming.weather import decide
 
+SF = "/root/testdata/sf0.001"
+
 
 def column(spark, expr, rows, schema):
     return [r[0] for r in spark.createDataFrame(rows, schema).select(expr).collect()]
@@ -112,7 +115,7 @@ def test_similarity_fit(spark):
     p, r = 0.9, 0.2
     pts = [(0.0, 0.0), (100.0, 0.0), (0.0, 100.0), (80.0, 90.0)]
     rows = [(1, x, y, p * x - r * y + 5000, r * x + p * y + 7000) for x, y in pts]
-    f = drawings.fit_similarity(spark.createDataFrame(rows, "sheet int, sx double, sy double, mx double, my double")).first()
+    f = drawings.fit_similarity(spark.createDataFrame(rows, "sheet int, sx double, sy double, mx double, my double"), nominal_rotation_deg=12.5).first()
     assert f["p"] == pytest.approx(p) and f["r"] == pytest.approx(r) and f["rms_m"] < 1e-6 and f["usable"]
 
 
@@ -169,3 +172,59 @@ def test_nothing_is_made_up(spark):
         h.pipe_load(one, one, one, one, n)["overflow"], h.water_depth_cm(one, one, one, one, n, one, one, one), geo.haversine_m(n, one, one, one), h.rainfall_multiplier(n),
     ).first()
     assert list(got) == [None, 0.0, 0.0, None, None, None, None, None, 1.0]
+
+
+def test_split_parts_are_disjoint_and_whole(spark):
+    from rillwise import plans
+    from rillwise.plans.training import train
+
+    rows = plans.queries()["M6_O2_split"](spark, SF).collect()
+    ids = [r["point_id"] for r in train(spark, SF).select("point_id").collect()]
+    assert sorted(r["point_id"] for r in rows) == sorted(ids) and sum(r["sampled"] for r in rows) == min(50, len(ids))
+    assert 0.1 < sum(r["part"] == "test" for r in rows) / len(rows) < 0.3
+
+
+def test_training_rows_against_brute_force(spark):
+    """All negatives lie inside the boundary and 300 m off every positive, and no lattice point that does is missing."""
+    from rillwise.plans import jobs
+    from rillwise.plans.adapters import adapted
+    from rillwise.plans.spatial import boundary_edges
+
+    rows = jobs.build_training(spark, SF).collect()
+    pos, neg = ([(r["x"], r["y"]) for r in rows if r["label"] == y] for y in (1, 0))
+    places = {(round(r["lat"], 6), round(r["lon"], 6)) for r in adapted(spark, SF, "pockets").filter("lat is not null").collect()}
+    assert len(pos) == len(places)
+    edges = [(e["x0"], e["y0"], e["x1"], e["y1"]) for e in boundary_edges(spark).collect()]
+    inside = lambda x, y: sum((a > y) != (b > y) and x < (d - c) * (y - a) / (b - a) + c for c, a, d, b in edges) % 2 == 1
+    p = np.array(pos)
+    assert neg and all(inside(x, y) and np.hypot(p[:, 0] - x, p[:, 1] - y).min() >= 300 - 1e-6 for x, y in neg)
+    cells = {tuple(map(int, r["point_id"].split("_")[1:])) for r in rows if r["label"] == 0}
+    assert len(cells) == len(neg)
+
+
+def test_gates_of_scale_and_rotation(spark):
+    from rillwise.operators import drawings
+
+    def usable(scale, degrees, **nominal):
+        p, r = scale * np.cos(np.radians(degrees)), scale * np.sin(np.radians(degrees))
+        rows = [(1, float(x), float(y), float(p * x - r * y), float(r * x + p * y)) for x, y in ((0, 0), (100, 0), (0, 100), (70, 90), (30, 20))]
+        return drawings.fit_similarity(spark.createDataFrame(rows, "sheet int, sx double, sy double, mx double, my double"), **nominal).first()["usable"]
+
+    assert usable(1.0, 3) and not usable(1.0, 25) and usable(1.0, 25, nominal_rotation_deg=20.0) and usable(1.0, 179, nominal_rotation_deg=-178.0)
+    assert usable(2.0, 0) and not usable(1.2, 0, nominal_scale=1.0) and usable(1.05, 0, nominal_scale=1.0)
+
+
+def test_nearest_anywhere_without_a_place(spark):
+    from rillwise.operators import spatial
+
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, float("nan"), 0.0), (3, None, 1.0)], "point_id int, x double, y double")
+    targets = spark.createDataFrame([(7, 5000.0, 0.0), (8, float("inf"), 0.0)], "t int, tx double, ty double")
+    assert [(r["point_id"], r["t"]) for r in spatial.nearest_anywhere(points, targets, "t", 100.0).collect()] == [(1, 7)]
+
+
+def test_invalid_rings(spark):
+    square, bow = [(0, 0), (9, 0), (9, 9), (0, 9), (0, 0)], [(0, 0), (9, 9), (9, 0), (0, 9), (0, 0)]
+    rings = {"square": square, "bow": bow, "open": square[:-1], "short": [(0, 0), (9, 0), (0, 0)], "far": [(x + 4000 * (x > 0), y) for x, y in bow], "spike": [(0, 0), (9, 0), (9, 9), (9, 0), (0, 9), (0, 0)]}
+    rows = [(k, float(a), float(b), float(c), float(d)) for k, r in rings.items() for (a, b), (c, d) in zip(r, r[1:])]
+    got = {tuple(r) for r in layers.invalid_polygons(spark.createDataFrame(rows, "id string, x0 double, y0 double, x1 double, y1 double"), "id").collect()}
+    assert got == {("bow", "self_intersection"), ("far", "self_intersection"), ("open", "unclosed"), ("short", "short")}

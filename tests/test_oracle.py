@@ -9,7 +9,6 @@ from rillwise import plans
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"A32_pixel_regions", "A25_consistency_outliers"}
 
 
 def normal(df: pd.DataFrame) -> pd.DataFrame:
@@ -27,7 +26,7 @@ def db():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(set(plans.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(plans.oracle_sql()))
 def test_same_rows(spark, db, name):
     got = normal(plans.queries()[name](spark, SF).toPandas())
     want = normal(db.execute(plans.oracle_sql()[name]).df())
