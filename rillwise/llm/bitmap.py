@@ -40,7 +40,7 @@ def collected(keys: DataFrame, name: str) -> np.ndarray:
     # the numbers are hashes already: their lowest bits are the slot
     slot = F.col(name).bitwiseAND(F.lit(SLOTS - 1))
     marked = keys.filter(F.col(name).isNotNull()).select(F.floor(slot / PAGE).cast("int").alias("page"), (slot % PAGE).alias("bit"))
-    for row in marked.groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():
+    for row in marked.groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():  # SLOTS bits at most
         page = np.frombuffer(bytes(row["bits"]), np.uint8)
         out[row["page"] * (PAGE // 8) : (row["page"] + 1) * (PAGE // 8)] = page
     return out
