@@ -100,6 +100,18 @@ def group_touching(edges: DataFrame, polygon: str, reach: float = 500.0) -> Data
     return connected_components(met.unionByName(loops)).select(F.col("node").alias(polygon), "component")
 
 
+def bodies(polygons: DataFrame, components: DataFrame, polygon: str, sheet: str, ward: str) -> DataFrame:
+    """(component, parts, sheets, wards): how many polygons each body has, and the distinct sheets and wards they come from, sorted."""
+    some = lambda c: F.array_join(F.transform(F.sort_array(F.collect_set(c)), lambda x: x.cast("string")), ",")  # noqa: E731  # as many as there are sheets or wards
+    return polygons.join(components, polygon).groupBy("component").agg(F.count("*").alias("parts"), some(sheet).alias("sheets"), some(ward).alias("wards"))
+
+
+def label_agreement(layer: DataFrame, labels: DataFrame, key: str, sheet: str, value: str) -> DataFrame:
+    """(sheet, agree, disagree): rows whose value is that of their label, or another, where both are known."""
+    met = layer.join(labels.select(key, F.col(value).alias("_label")), key).filter(F.col(value).isNotNull() & F.col("_label").isNotNull())
+    return met.groupBy(sheet).agg(F.count_if(F.col(value) == F.col("_label")).alias("agree"), F.count_if(F.col(value) != F.col("_label")).alias("disagree"))
+
+
 def assign_ids(df: DataFrame, prefix: Column, key: str, order: list[str]) -> DataFrame:
     """df with id: the prefix and a running number of five digits within the key."""
     n = F.row_number().over(W.partitionBy(key).orderBy(*order))

@@ -24,8 +24,8 @@ def located(spark: SparkSession, sf_dir: str) -> DataFrame:
     return saved(assemble_features(train(spark, sf_dir), segments(spark, sf_dir), targets(spark, sf_dir, "pumps")), "features")
 
 
-def fitted(spark: SparkSession, sf_dir: str, rounds: int = 5):
-    return models.train_susceptibility(located(spark, sf_dir), FEATURES, rounds=rounds)
+def fitted(spark: SparkSession, sf_dir: str):
+    return models.train_susceptibility(located(spark, sf_dir), FEATURES)
 
 
 @query("M1_M3_E1_location_risk")
@@ -38,13 +38,13 @@ def location_risk(spark, sf_dir):
 
 @query("M2_spatial_cv")
 def cv(spark, sf_dir):
-    return models.spatial_cv(located(spark, sf_dir), FEATURES, 3, rounds=3)
+    return models.spatial_cv(located(spark, sf_dir), FEATURES)
 
 
 @query("M8_O6_model_metadata")
 def metadata(spark, sf_dir):
     rows = located(spark, sf_dir)
-    return models.model_metadata(models.train_susceptibility(rows, FEATURES, rounds=5), rows, FEATURES, "real_v1")
+    return models.model_metadata(models.train_susceptibility(rows, FEATURES), rows, FEATURES, "real_v1")
 
 
 @query("M4_M5_M7_predict_batch")
@@ -52,8 +52,8 @@ def batch(spark, sf_dir):
     names = ["mm", "minutes", "imperviousness", "drain_capacity", "distance_to_drain", "elevation", "slope", "historical_floods"]
     rows = depths(spark, sf_dir).join(adapted(spark, sf_dir, "cells"), "cell_id").withColumn("label", (F.col("depth") > 10).cast("int"))
     rest, test = checks.split(rows, 0.2, 42, "cell_id")
-    deep = models.train_depth(rest, names, rounds=5)
-    flood = models.train_susceptibility(rest, names, rounds=5)
+    deep = models.train_depth(rest, names)
+    flood = models.train_susceptibility(rest, names)
     return models.predict_batch(test, deep, flood, names).select("cell_id", "mm", "minutes", "depth_cm", "probability", "level", "colour")
 
 
@@ -145,6 +145,25 @@ def backoff(spark, sf_dir):
     return stream.run_available(stream.backoff_stream(event_stream(spark, sf_dir)), "backoff")
 
 
+@query("T5_hourly_stream", f"WITH {adapters_sql('wx')} SELECT station, strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, count(*) AS n FROM wx GROUP BY ALL HAVING max(date_trunc('hour', ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM wx) - INTERVAL 10 MINUTE")
+def hourly(spark, sf_dir):
+    """Hours that the watermark has closed."""
+    out = stream.run_available(stream.hourly_stream(event_stream(spark, sf_dir)), "hourly")
+    return out.select("station", F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "n")
+
+
+@query("T4_score_stream", f"""WITH {adapters_sql('route_segs', 'wx')}, w AS (SELECT station, abs(value) AS rain FROM wx WHERE outcome = 'ok' QUALIFY row_number() OVER (PARTITION BY station ORDER BY ts DESC, event_id DESC) = 1)
+SELECT route_id, seq, k1, k2, round(rain, 4) AS rain, CASE WHEN prob IS NOT NULL THEN round(least(prob * (0.3 + 0.7 * least(rain / 90, 1)), 1), 4) END AS probability FROM route_segs s JOIN w ON w.station = s.trip_id % 150""")
+def score_stream(spark, sf_dir):
+    """Route segments under the rain that their station read last."""
+    path = scratch(spark, "scored-segments")
+    segs = adapted(spark, sf_dir, "route_segs").withColumn("station", F.col("trip_id") % 150)
+    seen = event_stream(spark, sf_dir).filter("outcome = 'ok'").select("station", "ts", "event_id", F.abs("value").alias("rain"))
+    stream.score_stream(seen, segs, path).awaitTermination()
+    now = stream.current_scores(spark, path, ["route_id", "seq", "k1", "k2", "k3", "k4", "k5"])
+    return now.select("route_id", "seq", "k1", "k2", F.round("rain", 4).alias("rain"), F.round("probability", 4).alias("probability"))
+
+
 @query("E2_route_flood_risk", f"WITH {adapters_sql('route_segs')} SELECT route_id, count(*) AS n, round(100.0 * count(prob) / count(*), 1) AS coverage_pct, CASE WHEN count(prob) > 0 THEN round(least(max(prob) * (0.3 + 0.7 * 40 / 90), 1) + 1e-9, 4) END AS most FROM route_segs GROUP BY 1")
 def route_flood_risk(spark, sf_dir):
     """Routes under 40 mm of rain: segment risk, coverage and the largest."""

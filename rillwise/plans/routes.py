@@ -22,6 +22,20 @@ def route_scores(spark, sf_dir):
     return scores(spark, sf_dir)
 
 
+@query("A6_route_metrics", f"""WITH {SEGS}, r AS (SELECT o_orderkey AS route_id, 1000.0 + o_orderkey % 5003 AS distance_m, CASE WHEN o_orderkey % 3 <> 0 THEN (o_orderkey % 10) / 10.0 END AS score FROM orders),
+s AS (SELECT route_id, count(*) AS n, avg(prob) AS mean, max(prob) AS most, count(*) FILTER (prob > .25 OR (prob IS NULL AND seq % 2 = 0)) AS risky FROM route_segs WHERE route_id % 4 <> 0 GROUP BY 1)
+SELECT route_id, round(coalesce(mean, score) + 1e-9, 4) AS mean, round(coalesce(most, score), 4) AS most, CAST(CASE WHEN n > 0 THEN round(risky * distance_m / n) WHEN coalesce(mean, score) > .3 THEN round(distance_m * .2) ELSE 0 END AS BIGINT) AS exposed_m FROM r LEFT JOIN s USING (route_id)""")
+def metrics(spark, sf_dir):
+    """All orders as routes; every fourth has no segments, and segments without a probability may still have a level."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("route_id"))
+    key = F.col("route_id")
+    routes = orders.select("route_id", (1000.0 + key % 5003).alias("distance_m"), F.when(key % 3 != 0, (key % 10) / 10.0).alias("score"))
+    level = F.when(F.col("prob").isNull(), F.when(F.col("seq") % 2 == 0, "MODERATE")).when(F.col("prob") > 0.25, "MODERATE").otherwise("LOW")
+    segs = adapted(spark, sf_dir, "route_segs").filter("route_id % 4 <> 0").select("route_id", "prob", level.alias("level"))
+    m = r.route_metrics(routes, segs)
+    return m.select("route_id", F.round(F.col("mean") + r.EDGE, 4).alias("mean"), F.round("most", 4).alias("most"), "exposed_m")
+
+
 @query("E3_W2_safe_routes", f"""WITH {SCORES}, k AS (SELECT *, row_number() OVER (PARTITION BY trip_id ORDER BY score NULLS LAST, route_id) AS rn, count(score) OVER (PARTITION BY trip_id) AS ns, count(*) OVER (PARTITION BY trip_id) AS n_routes, min(score) OVER (PARTITION BY trip_id) AS low FROM sc),
 b AS (SELECT trip_id, n_routes, ns, low, max(CASE WHEN rn = 1 AND score IS NOT NULL THEN route_id END) AS best_route, max(CASE WHEN rn = 1 THEN score END) AS best_score, max(CASE WHEN rn = 2 THEN score END) AS next_score FROM k GROUP BY ALL)
 SELECT trip_id, best_route, best_score, next_score, round(next_score - best_score + 1e-9, 4) AS gap, CASE WHEN ns > 0 THEN low >= .5 END AS all_risky,
@@ -90,3 +104,11 @@ def attach_rainfall(spark, sf_dir):
     s = adapted(spark, sf_dir, "route_segs").join(wx, F.col("trip_id") % 150 == F.col("station"), "left")
     p = F.when(F.col("rain").isNotNull(), at_most(F.col("prob") * rainfall_multiplier(F.col("rain")), 1.0))
     return s.groupBy("route_id").agg(F.count("*").alias("n"), F.round(F.max("rain"), 4).alias("rain"), F.round(F.avg(p) + r.EDGE, 5).alias("mean"))
+
+
+@query("G5_sample_lines", f"""WITH {VERTICES}, l AS (SELECT DISTINCT route_id, length FROM ms)
+SELECT route_id, count(*) AS n, max(i) AS last FROM (SELECT route_id, unnest(range(0, greatest(1, CAST(ceil((length - 1e-6) / 2000.0) AS BIGINT)))) AS i FROM l) GROUP BY 1""")
+def line_samples(spark, sf_dir):
+    """Places every 2,000 m without the end: how many each route has, and the number of the last."""
+    s = r.sample_routes(vertices(spark, sf_dir), "route_id", ORDER, 2000.0, include_endpoint=False)
+    return s.groupBy("route_id").agg(F.count("*").alias("n"), F.max("i").alias("last"))
