@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rillwise.functions.geo import utm_to_latlon
 from rillwise.functions.hydrology import at_most, coverage_class, drain_alert, drain_hazard, manning_capacity, rainfall_multiplier, risk_level, scenario_risk
-from rillwise.operators import checks, layers, models, network, spatial
+from rillwise.operators import checks, layers, models, network, spatial, validation
 from rillwise.plans.adapters import ADAPTERS, adapted, adapters_sql, table
 from rillwise.plans.formulas import depths, hex_grid
 from rillwise.plans.registry import query
@@ -99,13 +99,31 @@ def build_training(spark: SparkSession, sf_dir: str, step: float = 300.0) -> Dat
     return pos.withColumn("label", F.lit(1)).unionByName(neg.withColumn("label", F.lit(0)))
 
 
-@query("E9_merge_layers", f"WITH {adapters_sql('pipes')} SELECT source_sheet, count(*) AS n FROM pipes GROUP BY 1")
+@query("E9_merge_layers", f"""WITH {adapters_sql('pipes')}, k AS (SELECT segment_id, ward FROM pipes UNION ALL SELECT 1000000 + segment_id, ward FROM pipes WHERE segment_id % 4 = 0)
+SELECT segment_id, 'kmc_w' || ward || '_' || lpad(CAST(row_number() OVER (PARTITION BY ward ORDER BY segment_id) AS VARCHAR), 5, '0') AS id FROM k""")
 def merge(spark, sf_dir):
-    """Sheets merged: lines that repeat one of an earlier sheet go, the rest is counted by sheet."""
-    s = segments(spark, sf_dir)
-    ranked = s.join(F.broadcast(layers.sheet_rank(s, "source_sheet", "segment_id")), "source_sheet")
-    kept = layers.dedupe_lines(ranked.select("segment_id", "source_sheet", "rank", "x0", "y0", "x1", "y1"))
-    return kept.groupBy("source_sheet").agg(F.count("*").alias("n"))
+    """The layer and a later sheet that repeats it a metre off, every fourth line far off: what is left, with new ids."""
+    p = adapted(spark, sf_dir, "pipes").select("segment_id", "ward", "conduit_type", "pipe_diameter_mm")
+    s = segments(spark, sf_dir).select("segment_id", "x0", "y0", "x1", "y1").join(p, "segment_id").withColumn("rank", F.lit(1))
+    move = F.when(F.col("segment_id") % 4 == 0, 50000.0).otherwise(1.0)
+    later = s.withColumns({"x0": F.col("x0") + move, "x1": F.col("x1") + move, "rank": F.lit(2), "segment_id": F.col("segment_id") + 1000000})
+    source = F.when(F.col("pipe_diameter_mm").isNotNull(), "label")
+    return merge_layers([s, later], source).select("segment_id", "id")
+
+
+def merge_layers(sheets: list[DataFrame], source: Column) -> DataFrame:
+    """Lines of all sheets with ids by ward, without those that repeat a line of an earlier sheet. Raises if a drainage rule is broken.
+
+    sheets: segment_id, rank, x0, y0, x1, y1, ward, conduit_type, pipe_diameter_mm.
+    """
+    every = sheets[0]
+    for sheet in sheets[1:]:
+        every = every.unionByName(sheet)
+    kept = saved(layers.dedupe_lines(every.withColumn("diameter_source", source)), "merged-lines")
+    broken = [r["check"] for r in layers.rule_counts(kept, layers.drainage_rules()).filter("severity = 'ERROR'").collect()]  # a row a rule
+    if broken:
+        raise ValueError(f"layer is not valid: {', '.join(sorted(broken))}")
+    return layers.assign_ids(kept, F.concat(F.lit("kmc_w"), F.col("ward"), F.lit("_")), "ward", ["segment_id"])
 
 
 @query("E11_S13_data_status", "SELECT 'pipes' AS layer, count(*) AS n, 'LOADED' AS state FROM part UNION ALL SELECT 'pumps', count(*), 'LOADED' FROM supplier UNION ALL SELECT 'pockets', count(*), 'LOADED' FROM orders")
@@ -153,7 +171,7 @@ def hourly(spark, sf_dir):
 
 
 @query("T4_score_stream", f"""WITH {adapters_sql('route_segs', 'wx')}, w AS (SELECT station, abs(value) AS rain FROM wx WHERE outcome = 'ok' QUALIFY row_number() OVER (PARTITION BY station ORDER BY ts DESC, event_id DESC) = 1)
-SELECT route_id, seq, k1, k2, round(rain, 4) AS rain, CASE WHEN prob IS NOT NULL THEN round(least(prob * (0.3 + 0.7 * least(rain / 90, 1)), 1), 4) END AS probability FROM route_segs s JOIN w ON w.station = s.trip_id % 150""")
+SELECT route_id, seq, k1, k2, round(rain, 4) AS rain, CASE WHEN prob IS NOT NULL THEN round(least(prob * (0.3 + 0.7 * least(rain / 90, 1)), 1) + 1e-9, 4) END AS probability FROM route_segs s JOIN w ON w.station = s.trip_id % 150""")
 def score_stream(spark, sf_dir):
     """Route segments under the rain that their station read last."""
     path = scratch(spark, "scored-segments")
@@ -161,7 +179,7 @@ def score_stream(spark, sf_dir):
     seen = event_stream(spark, sf_dir).filter("outcome = 'ok'").select("station", "ts", "event_id", F.abs("value").alias("rain"))
     stream.score_stream(seen, segs, path).awaitTermination()
     now = stream.current_scores(spark, path, ["route_id", "seq", "k1", "k2", "k3", "k4", "k5"])
-    return now.select("route_id", "seq", "k1", "k2", F.round("rain", 4).alias("rain"), F.round("probability", 4).alias("probability"))
+    return now.select("route_id", "seq", "k1", "k2", F.round("rain", 4).alias("rain"), F.round(F.col("probability") + 1e-9, 4).alias("probability"))
 
 
 @query("E2_route_flood_risk", f"WITH {adapters_sql('route_segs')} SELECT route_id, count(*) AS n, round(100.0 * count(prob) / count(*), 1) AS coverage_pct, CASE WHEN count(prob) > 0 THEN round(least(max(prob) * (0.3 + 0.7 * 40 / 90), 1) + 1e-9, 4) END AS most FROM route_segs GROUP BY 1")
@@ -212,11 +230,20 @@ def resolve_pockets(spark, sf_dir):
 
 @query("E8_train_job")
 def train_job(spark, sf_dir):
-    """Training behind a gate: rows with a wrong label stop it; the model's record otherwise."""
-    rows = located(spark, sf_dir)
-    if rows.filter("label is null or label not in (0, 1)").limit(1).count():
-        raise ValueError("training rows are not valid")
-    return models.model_metadata(models.train_susceptibility(rows, FEATURES, rounds=3), rows, FEATURES, "real_v1")
+    """The model's record with its cross-validation, from the labelled points that are first at their place."""
+    rows = located(spark, sf_dir).withColumn("label_source", F.when(F.col("label") == 1, "record"))
+    return trained(rows, FEATURES, "record")
+
+
+def trained(rows: DataFrame, features: list[str], source: str) -> DataFrame:
+    """Training behind a gate: raises if a training rule is broken; else one row: metadata, folds, auc (mean over folds)."""
+    expected = rows.columns
+    broken = [r["check"] for r in validation.validate_training(rows, expected, source, ["lat", "lon"]).filter("severity = 'ERROR'").collect()]  # a row a rule
+    if broken or rows.filter("label is null or label not in (0, 1)").limit(1).count():
+        raise ValueError(f"training rows are not valid: {', '.join(sorted(broken)) or 'labels'}")
+    once = saved(checks.first_by(rows, [F.round("lat", 6), F.round("lon", 6)], ["point_id"]), "training-rows")
+    folds = models.spatial_cv(once, features).agg(F.count("*").alias("folds"), F.round(F.avg("auc"), 4).alias("auc"))
+    return models.model_metadata(models.train_susceptibility(once, features), once, features, "real_v1").crossJoin(F.broadcast(folds))  # one row each
 
 
 @query("E12_georef_sheets")
