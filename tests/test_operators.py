@@ -228,3 +228,41 @@ def test_invalid_rings(spark):
     rows = [(k, float(a), float(b), float(c), float(d)) for k, r in rings.items() for (a, b), (c, d) in zip(r, r[1:])]
     got = {tuple(r) for r in layers.invalid_polygons(spark.createDataFrame(rows, "id string, x0 double, y0 double, x1 double, y1 double"), "id").collect()}
     assert got == {("bow", "self_intersection"), ("far", "self_intersection"), ("open", "unclosed"), ("short", "short")}
+
+
+def test_layer_rules(spark):
+    from rillwise.operators import validation as v
+
+    schema = "id long, geom_type string, coords array<struct<x: double, y: double>>"
+    ring = lambda d: [(88.30, 22.50), (88.30 + d, 22.50), (88.30 + d, 22.50 + d), (88.30, 22.50 + d), (88.30, 22.50)]
+    rows = [
+        (1, "Polygon", ring(0.01)), (2, "Polygon", ring(0.01)[::-1]), (3, "Polygon", ring(1e-6)), (3, "Polygon", ring(0.02)), (4, "Polygon", []), (5, None, None),
+        (6, "Point", [(88.30, 22.50)]), (7, "Polygon", [(88.30, 22.50), (None, 22.50)]), (None, "Polygon", ring(1.0)),
+    ]
+    spec = v.LayerSpec("id", ("Polygon",), ("id", "name"), ("id",), min_area_m2=1.0)
+    got = {r["check"]: (r["n"], r["items"]) for r in v.validate_layer(spark.createDataFrame(rows, schema), spec).collect()}
+    assert got == {
+        "null:id": (1, ""), "null_geometry": (1, "5"), "empty_geometry": (1, "4"), "geometry_type": (1, "6"), "not_finite": (1, "7"), "outside": (1, ""), "tiny": (1, "3"),
+        "duplicate_id": (2, "3"), "duplicate_geometry": (1, "2"), "missing:name": (1, None),
+    }
+    empty = v.validate_layer(spark.createDataFrame([], schema), spec).collect()
+    assert {r["check"] for r in empty} == {"empty_layer", "missing:name"}
+    area = spark.createDataFrame(rows[:1], schema).select(v.ring_area_m2(F.col("coords"))).first()[0]
+    assert abs(area / (1113.2 * 1113.2 * 0.92388) - 1) < 0.01
+
+
+def test_training_gate(spark):
+    from rillwise.plans.jobs import trained
+
+    rows = spark.createDataFrame([(1, 22.5, 88.3, 1, "guess"), (2, 22.6, 88.4, 0, None)], "point_id long, lat double, lon double, label int, label_source string")
+    with pytest.raises(ValueError, match="label_source"):
+        trained(rows, ["lat"], "record")
+
+
+def test_route_without_segments(spark):
+    from rillwise.operators import routes as r
+
+    routes = spark.createDataFrame([(1, 1000.0, 0.5), (2, 1000.0, None), (3, 900.0, None)], "route_id long, distance_m double, score double")
+    segs = spark.createDataFrame([(3, 0.3, "LOW"), (3, None, "HIGH"), (3, 0.1, None)], "route_id long, prob double, level string")
+    got = {x["route_id"]: (x["most"], x["exposed_m"]) for x in r.route_metrics(routes, segs).collect()}
+    assert got == {1: (0.5, 200), 2: (None, 0), 3: (0.3, 600)}
