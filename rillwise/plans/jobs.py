@@ -72,12 +72,14 @@ def simulate(spark, sf_dir):
 
 @query("E6_radius_risk")
 def radius(spark, sf_dir):
-    """A hexagonal grid round every pump as GeoJSON features with the drain found near each place."""
+    """A hexagonal grid round every pump as GeoJSON features with each place's risk under 40 mm of rain."""
     centres = targets(spark, sf_dir, "pumps").select("pump_id", F.col("tx").alias("cx"), F.col("ty").alias("cy"))
     grid = hex_grid(centres, 500.0, 200.0).withColumn("point_id", F.concat_ws(":", "pump_id", "i", "j"))
     lat, lon = utm_to_latlon(F.col("x"), F.col("y"))
-    found = spatial.nearest_line(grid.withColumn("lat", lat).withColumn("lon", lon), segments(spark, sf_dir), 500.0)
-    return layers.to_geojson_features(found, "lon", "lat", ["point_id", "segment_id", "distance", "found", "reason"])
+    places = grid.select("point_id", "x", "y", lat.alias("lat"), lon.alias("lon"))
+    own = assemble_features(places, segments(spark, sf_dir), targets(spark, sf_dir, "pumps")).withColumn("rain_mm", F.lit(40.0))
+    scored = models.score_segments(own, fitted(spark, sf_dir), FEATURES)
+    return layers.to_geojson_features(scored, "lon", "lat", ["point_id", "drain_m", "pump_m", "susceptibility", "probability", "level"])
 
 
 @query("E7_build_training")
