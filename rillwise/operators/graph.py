@@ -8,15 +8,15 @@ from rillwise.store import discard, saved
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step. Large: a node's larger neighbours move to its least neighbour; small: the others do, and the node with them."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    near = both if large else both.filter("v < u")
+    """One star step. Large: a node's larger neighbours move to its least neighbour; small: the others do, and the node with them.
+
+    An edge's u is its larger end, so the small step needs each edge once, and its node as an edge to itself that moves too.
+    """
+    seen = [("u", "v"), ("v", "u")] if large else [("u", "v"), ("u", "u")]
+    near = edges.select(F.explode(F.array(*[F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in seen])).alias("e")).select("e.*")
     least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     moved = near.join(least, "u")
-    if large:
-        out = moved.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        out = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+    out = (moved.filter("v > u") if large else moved).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return out.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
