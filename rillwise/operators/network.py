@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rillwise.functions.hydrology import STRIP_M, drain_alert, pipe_load
-from rillwise.store import saved
+from rillwise.store import discard, saved
 
 LEVELS = ("RED", "ORANGE", "YELLOW", "GREEN", "UNKNOWN")
 WORST_SHARE = 0.20
+#: Rounds whose settled pipes become one table.
+FLUSHED = 32
 
 
 def accumulate(edges: DataFrame, strip_m: float = STRIP_M) -> DataFrame:
@@ -16,7 +20,8 @@ def accumulate(edges: DataFrame, strip_m: float = STRIP_M) -> DataFrame:
 
     A pipe's own strip and what reaches it split evenly among the pipes that leave its lower node; the path is the longest.
     Each round settles the pipes whose upstream pipes are all settled; pipes of a loop keep what reached them before it.
-    A round is one join and one aggregation over the pipes that are still open, written to the shared folder.
+    A round is one join and one aggregation over the pipes that are still open, written to the shared folder; settled pipes are
+    gathered into fewer tables as rounds go on.
     """
     fan = edges.groupBy("up_node").agg(F.count("*").alias("_fan"))
     arriving = edges.groupBy("down_node").agg(F.count("*").alias("_wait"))
@@ -25,12 +30,17 @@ def accumulate(edges: DataFrame, strip_m: float = STRIP_M) -> DataFrame:
         start.select("pipe_id", "up_node", "down_node", "length_m", F.coalesce("_wait", F.lit(0)).alias("_wait"), F.coalesce("_fan", F.lit(0)).alias("_fan"), (F.col("length_m") * strip_m).alias("area_m2"), F.col("length_m").alias("path_m")),
         "pipes",
     )
-    done = None
+    done, rounds = [], []
     while True:
         ready = open_.filter("_wait = 0")
         if ready.isEmpty():
             break
-        done = ready if done is None else done.unionByName(ready)
+        rounds.append(open_)
+        if len(rounds) == FLUSHED:
+            # the last of them stays: the next round reads it
+            done.append(saved(reduce(DataFrame.unionByName, [r.filter("_wait = 0") for r in rounds[:-1]]), "settled"))
+            discard(*rounds[:-1])
+            rounds = rounds[-1:]
         sent = ready.filter("_fan > 0").groupBy(F.col("down_node").alias("up_node")).agg(F.sum(F.col("area_m2") / F.col("_fan")).alias("_area"), F.max("path_m").alias("_path"), F.count("*").alias("_came"))
         rest = open_.filter("_wait > 0").join(sent, "up_node", "left")
         open_ = saved(
@@ -41,7 +51,7 @@ def accumulate(edges: DataFrame, strip_m: float = STRIP_M) -> DataFrame:
             ),
             "pipes",
         )
-    out = open_ if done is None else done.unionByName(open_)
+    out = reduce(DataFrame.unionByName, [*done, *(r.filter("_wait = 0") for r in rounds), open_])
     return out.select("pipe_id", "up_node", "down_node", "length_m", "area_m2", "path_m")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rillwise.operators.graph import connected_components
+from rillwise.operators.quantiles import percentiles
 
 
 def pixel_of(x: Column, y: Column, x0: float, y0: float, dx: float, dy: float) -> tuple[Column, Column]:
@@ -41,7 +42,9 @@ def to_orthometric(points: DataFrame, geoid: DataFrame) -> DataFrame:
 
 
 def raster_stats(raster: DataFrame) -> DataFrame:
-    return raster.agg(F.count("*").alias("pixels"), F.round(F.avg(F.col("z").isNull().cast("double")) * 100, 4).alias("nodata_pct"), F.round(F.min("z"), 4).alias("least"), F.round(F.percentile("z", F.lit(0.5)), 4).alias("median"), F.round(F.max("z"), 4).alias("most"))
+    """One row: pixels, share without data, least, median and largest height."""
+    median, = percentiles(raster, F.col("z"), [0.5])
+    return raster.agg(F.count("*").alias("pixels"), F.round(F.avg(F.col("z").isNull().cast("double")) * 100, 4).alias("nodata_pct"), F.round(F.min("z"), 4).alias("least"), F.round(F.lit(median).cast("double"), 4).alias("median"), F.round(F.max("z"), 4).alias("most"))
 
 
 def pixel_regions(mask: DataFrame, pixel_area: float, least_area: float, width: int = 1 << 20) -> DataFrame:

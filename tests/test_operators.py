@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from rillwise.functions import feeds, geo, hydrology as h, names
-from rillwise.operators import checks, drawings, graph, layers, network, places, routes, spatial
+from rillwise.operators import checks, drawings, graph, layers, network, places, quantiles, routes, spatial, weather
 from rillwise.sources import readers
+from rillwise.store import saved
 from rillwise.streaming.weather import decide
 
 SF = "/root/testdata/sf0.001"
@@ -68,6 +69,23 @@ def test_accumulation_with_split_and_loop(spark):
     assert got[4] == (1600.0, 40.0) and got[5] == (400.0, 10.0)  # a loop keeps what reached it
 
 
+def test_accumulation_of_long_chain(spark, monkeypatch):
+    monkeypatch.setattr(network, "FLUSHED", 3)
+    edges = [(i, i, i + 1, 10.0) for i in range(8)]
+    got = {r["pipe_id"]: (r["area_m2"], r["path_m"]) for r in network.accumulate(spark.createDataFrame(edges, "pipe_id int, up_node int, down_node int, length_m double")).collect()}
+    assert got == {i: ((i + 1) * 10.0 * network.STRIP_M, (i + 1) * 10.0) for i in range(8)}
+
+
+def test_places_in_chains_and_rings(spark):
+    both = lambda pairs: [(a, b) for a, b in pairs] + [(b, a) for a, b in pairs]
+    links = both([(5, 2), (2, 9), (9, 7), (7, 1)]) + both([(20, 21), (21, 22), (22, 23), (23, 20)]) + both([(30, 31)])
+    dashes = spark.createDataFrame([(i,) for i in (1, 2, 5, 7, 9, 20, 21, 22, 23, 30, 31, 40)], "dash_id int")
+    got = {r["dash_id"]: (r["chain"], r["place"], r["n"]) for r in drawings.build_chains(dashes, spark.createDataFrame(links, "dash_id int, to_id int")).collect()}
+    assert [got[i] for i in (1, 7, 9, 2, 5)] == [(1, p, 5) for p in range(5)]
+    assert [got[i] for i in (20, 21, 22, 23)] == [(20, 0, 4), (20, 1, 4), (20, 2, 4), (20, 1, 4)]
+    assert got[30] == (30, 0, 2) and got[31] == (30, 1, 2) and got[40] == (40, 0, 1)
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (5, 5), (3, 1), (None, 1)]
     got = {tuple(r) for r in graph.connected_components(spark.createDataFrame(edges, "u int, v int")).collect()}
@@ -77,6 +95,46 @@ def test_components(spark):
     assert graph.connected_components(spark.createDataFrame([], "u int, v int")).count() == 0
 
 
+@pytest.mark.parametrize("values", [[], [3.0], [2.0] * 50 + [7.0], [1.0, 2.0], list(range(1000)), [1e-300, 1.0, 1e300, -1e308, 1.7e308], [0.1 * i**5 for i in range(300)] * 3])
+def test_percentiles_are_exact(spark, values):
+    rows = [(float(v),) for v in values] + [(None,), (math.nan,), (math.inf,)]
+    got = quantiles.percentiles(spark.createDataFrame(rows, "v double"), F.col("v"), [0.0, 0.5, 0.9, 1.0])
+    want = [None] * 4 if not values else np.percentile(np.array(values, float), [0, 50, 90, 100])
+    assert got == [None] * 4 if not values else np.allclose(got, want.astype(float), rtol=1e-12, atol=0)
+
+
+def test_components_read_their_edges_few_times(spark):
+    edges = saved(spark.createDataFrame([(2, 1), (3, 2)], "u int, v int"), "edges")
+    step = graph._star(graph._star(edges, large=True), large=False)
+    assert step._jdf.queryExecution().optimizedPlan().toString().count("Relation") <= 4
+
+
+def test_spans_of_a_station_hang_together(spark):
+    rng, start = np.random.default_rng(3), 1_700_000_000
+    rows, n = [], 0
+    for station in (1, 2):
+        t = start
+        for _ in range(250):
+            t += int(rng.choice([0, 5, 70, 900, 4000, 30000, 200000], p=[0.1, 0.3, 0.2, 0.2, 0.1, 0.07, 0.03]))
+            rows.append((n, station, t, str(rng.choice(["ok", "rate_limited", "auth", "unavailable"], p=[0.15, 0.55, 0.1, 0.2])), float(n)))
+            n += 1
+    calls = spark.createDataFrame(rows, "event_id int, station int, s long, outcome string, value double").withColumn("ts", F.timestamp_seconds("s"))
+    want = {}
+    for station in (1, 2):
+        own, good, streak = [r for r in rows if r[1] == station], None, 0
+        for i, (event, _, s, outcome, value) in enumerate(own):
+            good = (s, value) if outcome == "ok" else good
+            streak = 0 if outcome == "ok" else streak + (outcome == "rate_limited")
+            shown = good[1] if good and s - good[0] <= 6 * 3600 else None
+            ttl = {"ok": 1800, "auth": 900, "rate_limited": 300}.get(outcome, 120)
+            hour = sum(s - 3600 < r[2] <= s for r in own)
+            want[event] = (shown, streak, hour, s - own[i - 1][2] if i else None, min(ttl, own[i + 1][2] - s) if i + 1 < len(own) else ttl)
+    by = lambda df, c: {r["event_id"]: r[c] for r in df.collect()}
+    budget = weather.call_budget(calls)
+    got = [by(weather.last_good_asof(calls), "shown"), by(weather.backoff_schedule(calls), "streak"), by(budget, "hour_calls"), by(budget, "gap_s"), by(weather.cache_intervals(calls), "valid_s")]
+    assert {e: tuple(g[e] for g in got) for e in want} == want
+
+
 def test_nearest_line_reasons(spark):
     p = spark.createDataFrame([(1, 0.0, 5.0), (2, None, None), (3, 9e5, 9e5)], "point_id int, x double, y double")
     s = spark.createDataFrame([(7, -10.0, 0.0, 10.0, 0.0), (6, -10.0, 10.0, 10.0, 10.0)], "segment_id int, x0 double, y0 double, x1 double, y1 double")
