@@ -112,9 +112,11 @@ def linked_components(postings: DataFrame, close: Column, verify: Callable[[Data
         pairs = saved(met.select(F.least("id", "id2").alias("u"), F.greatest("id", "id2").alias("v")).distinct(), "pairs")
         found = verify(pairs) if verify else pairs
         links = saved(links.unionByName(found) if links is not None else found, "similar")
-        labels = connected_components(links)
-        discard(pairs, other)
+        labels = saved(connected_components(links), "labels")
+        discard(pairs, other, links)
         done = [live]  # until the next turn's postings are written
+        # what was reached stays linked by its component
+        links = labels.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
         if turn < 2:
             to = labels.select(F.col("node").alias("id"), F.col("component").alias("to"))
             kept = [c for c in live.columns if c not in ("component", "alone")]
