@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rillwise.llm import decontamination, exact_dedup, license_scan, lm_score, packing, quality, secret_scan, simhash, substring_dedup, toxicity
+from rillwise.llm import byte_bpe, decontamination, exact_dedup, fill_in_middle, license_scan, lm_score, packing, periodic_runs, quality, secret_scan, simhash, substring_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lm_score": lm_score.op8_lm_score,
         "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
         "op10_license_scan": license_scan.op10_license_scan,
+        "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
+        "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+        "op13_byte_bpe": byte_bpe.op13_byte_bpe,
         "pipeline": pipeline,
     }
 
@@ -32,4 +35,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.ORACLE}
+    return {"op3_exact_dedup": exact_dedup.ORACLE, "op11_fill_in_middle": fill_in_middle.ORACLE}
