@@ -154,13 +154,28 @@ def observations(spark, sf_dir):
     return out.select("station", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
 
 
-@query("T2_last_good_stream", f"""WITH {adapters_sql('wx')}, g AS (SELECT a.event_id, a.station, a.ts, a.outcome, b.ts AS gts, b.value AS gv FROM wx a ASOF LEFT JOIN (SELECT * FROM wx WHERE outcome = 'ok') b ON a.station = b.station AND a.ts >= b.ts), z AS (SELECT *, floor(epoch(ts)) - floor(epoch(gts)) AS age FROM g)
+#: What the watermark has passed once all is read: whole seconds up to ten minutes before the last call.
+PASSED = "passed AS (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM wx WHERE floor(epoch(ts)) + 1 <= (SELECT floor(epoch_ms(max(ts)) / 1000.0) FROM wx) - 600)"
+
+
+@query("T2_last_good_stream", f"""WITH {adapters_sql('wx')}, {PASSED}, g AS (SELECT a.event_id, a.station, a.outcome, a.s, b.s AS gs, b.value AS gv FROM passed a ASOF LEFT JOIN (SELECT * FROM passed WHERE outcome = 'ok') b ON a.station = b.station AND a.ts >= b.ts), z AS (SELECT *, s - gs AS age FROM g)
 SELECT event_id, station, outcome, round(CASE WHEN age <= 21600 THEN gv END, 4) AS shown, coalesce(age <= 21600 AND outcome <> 'ok', false) AS stale, CASE WHEN age <= 21600 THEN floor(age / 60) END AS age_min FROM z""")
 def last_good(spark, sf_dir):
     return stream.run_available(stream.last_good_stream(event_stream(spark, sf_dir)), "last-good").withColumn("shown", F.round("shown", 4))
 
 
-@query("T3_backoff_stream")
+@query("T3_backoff_stream", f"""WITH RECURSIVE {adapters_sql('wx')}, {PASSED}, numbered AS (SELECT *, row_number() OVER (PARTITION BY station ORDER BY ts, event_id) AS k FROM passed),
+steps AS (
+  SELECT station, 0::BIGINT AS k, NULL::BIGINT AS event_id, NULL::VARCHAR AS verdict, []::BIGINT[] AS times, 0::BIGINT AS retry_at, 0::BIGINT AS streak FROM (SELECT DISTINCT station FROM passed)
+  UNION ALL
+  SELECT station, k, event_id, verdict, CASE WHEN verdict = 'allowed' THEN list_append(recent, s) ELSE recent END,
+         CASE WHEN verdict <> 'allowed' THEN retry_at ELSE s + CASE outcome WHEN 'ok' THEN 0 WHEN 'rate_limited' THEN CAST(least(300 * 2 ** (least(run, 10) - 1), 3600) AS BIGINT) WHEN 'auth' THEN 900 ELSE 120 END END,
+         CASE WHEN verdict = 'allowed' THEN run ELSE streak END
+  FROM (SELECT *, CASE WHEN s < retry_at THEN 'backing_off' WHEN len(recent) >= 20 THEN 'hourly_limit' WHEN len(recent) > 0 AND s - recent[-1] < 60 THEN 'too_soon' ELSE 'allowed' END AS verdict
+        FROM (SELECT n.station, n.k, n.event_id, n.s, n.outcome, p.retry_at, p.streak, list_filter(p.times, lambda t: t > n.s - 3600) AS recent,
+                     CASE WHEN n.outcome = 'ok' THEN 0 WHEN n.outcome = 'rate_limited' THEN p.streak + 1 ELSE p.streak END AS run
+              FROM steps p JOIN numbered n ON n.station = p.station AND n.k = p.k + 1)))
+SELECT event_id, station, verdict, retry_at FROM steps WHERE k > 0""")
 def backoff(spark, sf_dir):
     return stream.run_available(stream.backoff_stream(event_stream(spark, sf_dir)), "backoff")
 

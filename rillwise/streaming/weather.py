@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from rillwise.functions.hydrology import at_most, rainfall_multiplier
 from rillwise.operators.weather import AUTH_BACKOFF, BACKOFF, BACKOFF_MOST, CALLS_AN_HOUR, FAILURE_TTL, GAP, STALE, calls_per_hour
-from rillwise.store import scratch
+from rillwise.store import scratch, settings
 
 
 def weather_stream(observations: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -19,29 +17,113 @@ def weather_stream(observations: DataFrame, delay: str = "10 minutes") -> DataFr
     return observations.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["station", "ts"])
 
 
-def _ordered(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(batches).sort_values(["ts", "event_id"], ignore_index=True)
+class _InOrder(StatefulProcessor):
+    """Holds each station's calls until the watermark has passed their second, then takes them by time and event_id.
 
+    A map holds the calls that still wait, numbered within their second, and a timer at its end takes them out again: of a
+    station no more is in memory than the calls of one second, and no more in the state than the watermark has not passed.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.counts = handle.getMapState("counts", "second long", "n long")
+        self.waiting = handle.getMapState("waiting", "second long, i long", "us long, event_id long, outcome string, value double")
+
+    def timer(self, second: int) -> None:
+        self.handle.registerTimer(1000 * (second + 1))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        for r in rows:
+            second = r.us // 1_000_000
+            n = self.counts.getValue((second,))[0] if self.counts.containsKey((second,)) else 0
+            self.waiting.updateValue((second, n), (r.us, r.event_id, r.outcome, r.value))
+            self.counts.updateValue((second,), (n + 1,))
+            if n == 0:
+                self.timer(second)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        second = expiredTimerInfo.getExpiryTimeInMs() // 1000 - 1
+        if self.counts.containsKey((second,)):
+            numbered = [(second, i) for i in range(self.counts.getValue((second,))[0])]
+            for _, event_id, outcome, value in sorted((tuple(self.waiting.getValue(k)) for k in numbered), key=lambda c: c[:2]):
+                yield self.step(key[0], second, event_id, outcome, value)
+            for k in numbered:
+                self.waiting.removeKey(k)
+            self.counts.removeKey((second,))
+        self.forget(second)
+
+    def step(self, station: int, now: int, event_id: int, outcome: str, value: float | None) -> Row:
+        raise NotImplementedError
+
+    def forget(self, now: int) -> None:
+        """Drops what no later call can need."""
+
+    def close(self) -> None:
+        pass
+
+
+class LastGood(_InOrder):
+    """State beside the waiting calls: a station's last good reading, for six hours."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.last = handle.getValueState("last", "at long, value double")
+
+    def step(self, station, now, event_id, outcome, value):
+        if outcome == "ok":
+            self.last.update((now, value))
+            self.timer(now + STALE)
+        last = self.last.get()
+        age = None if last is None else now - last[0]
+        if age is None or age > STALE:
+            return Row(event_id=event_id, station=station, outcome=outcome, shown=None, stale=False, age_min=None)
+        return Row(event_id=event_id, station=station, outcome=outcome, shown=last[1], stale=outcome != "ok", age_min=age // 60)
+
+    def forget(self, now):
+        last = self.last.get()
+        if last is not None and last[0] + STALE <= now:
+            self.last.clear()
 
-def last_good_stream(calls: DataFrame) -> DataFrame:
-    """Each call with what it shows: its own value, or the station's last good one no older than six hours, marked stale."""
 
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get if state.exists else None
-        rows = []
-        for r in _ordered(batches).itertuples():
-            now = int(r.ts.timestamp())
-            if r.outcome == "ok":
-                last = (now, float(r.value))
-            age = now - last[0] if last else None
-            usable = age is not None and age <= STALE
-            rows.append((r.event_id, key[0], r.outcome, last[1] if usable else None, usable and r.outcome != "ok", age // 60 if usable else None))
-        if last:
-            state.update(last)
-        yield pd.DataFrame(rows, columns=["event_id", "station", "outcome", "shown", "stale", "age_min"]).astype({"age_min": "Int64"})
+class BackOff(_InOrder):
+    """State beside the waiting calls: the allowed calls of the last hour (20 at most), and the next try with the streak of rate limits."""
 
-    out = "event_id long, station long, outcome string, shown double, stale boolean, age_min long"
-    return calls.groupBy("station").applyInPandasWithState(run, out, "at long, value double", "append", GroupStateTimeout.NoTimeout)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.times = handle.getListState("times", "at long")
+        self.next = handle.getValueState("next", "retry_at long, streak int")
+
+    def step(self, station, now, event_id, outcome, value):
+        retry_at, streak = self.next.get() or (0, 0)
+        times, retry_at, streak, verdict = decide([t[0] for t in self.times.get()], retry_at, streak, now, outcome)
+        self.times.put([(t,) for t in times]) if times else self.times.clear()
+        self.next.update((retry_at, streak))
+        if verdict == "allowed":
+            self.timer(now + 3600)
+        return Row(event_id=event_id, station=station, verdict=verdict, retry_at=retry_at)
+
+    def forget(self, now):
+        if self.times.exists():
+            left = [t for t in self.times.get() if t[0] > now - 3600]
+            self.times.put(left) if left else self.times.clear()
+
+
+#: State of the processors is in RocksDB, on the executors' disks, with checkpoints in the shared folder.
+STATE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+def _by_station(calls: DataFrame, processor: _InOrder, schema: str, delay: str) -> DataFrame:
+    rows = calls.withWatermark("ts", delay).select("station", "ts", F.unix_micros("ts").alias("us"), "event_id", "outcome", F.col("value").cast("double").alias("value"))
+    return rows.groupBy("station").transformWithState(processor, schema, "append", "eventTime")
+
+
+def last_good_stream(calls: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """Each call that the watermark has passed with what it shows: its own value, or the station's last good one no older than six hours, marked stale.
+
+    calls: station, ts, event_id, outcome, value, in any order; those that come later than the delay are dropped, as the watermark does.
+    """
+    return _by_station(calls, LastGood(), "event_id long, station long, outcome string, shown double, stale boolean, age_min long", delay)
 
 
 def decide(times: list[int], retry_at: int, streak: int, now: int, outcome: str) -> tuple[list[int], int, int, str]:
@@ -61,19 +143,9 @@ def decide(times: list[int], retry_at: int, streak: int, now: int, outcome: str)
     return [*times, now], now + wait, streak, "allowed"
 
 
-def backoff_stream(calls: DataFrame) -> DataFrame:
-    """Each call with its verdict. State of a station: at most an hour's allowed calls, the next try and the streak."""
-
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times, retry_at, streak = state.get if state.exists else ([], 0, 0)
-        rows = []
-        for r in _ordered(batches).itertuples():
-            times, retry_at, streak, verdict = decide(list(times), retry_at, streak, int(r.ts.timestamp()), r.outcome)
-            rows.append((r.event_id, key[0], verdict, retry_at))
-        state.update((list(times), retry_at, streak))
-        yield pd.DataFrame(rows, columns=["event_id", "station", "verdict", "retry_at"])
-
-    return calls.groupBy("station").applyInPandasWithState(run, "event_id long, station long, verdict string, retry_at long", "times array<long>, retry_at long, streak int", "append", GroupStateTimeout.NoTimeout)
+def backoff_stream(calls: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """Each call that the watermark has passed with its verdict and the station's next try; calls as for last_good_stream."""
+    return _by_station(calls, BackOff(), "event_id long, station long, verdict string, retry_at long", delay)
 
 
 def hourly_stream(calls: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -109,6 +181,7 @@ def run_available(stream: DataFrame, name: str) -> DataFrame:
     """Process what is there, exactly once into Parquet, and return it as a table."""
     spark: SparkSession = stream.sparkSession
     out = scratch(spark, name)
-    q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(spark, f"{name}-state")).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
+    with settings(spark, STATE):
+        q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(spark, f"{name}-state")).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
