@@ -184,6 +184,8 @@ WORDS = 5
 SIMILARITY = 0.8
 #: One document of so many is counted to find common shingles, which are common if so many of those hold them; at most so many are sent to the tasks.
 SAMPLED, COMMON, SENT = 16, 8, 100_000
+#: Shared keys up to which a bitmap of them is made: an eighth of its bits.
+MARKED = bitmap.SLOTS // 8
 
 
 def shingle_sets(raw: list[bytes]) -> Iterator[np.ndarray]:
@@ -238,14 +240,15 @@ def _overlap(n: Column, n2: Column, similarity: float) -> Column:
     return F.ceil(similarity / (1 + similarity) * (n + n2) - 1e-9)
 
 
-def similar_components(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def similar_components(docs: DataFrame, similarity: float = SIMILARITY, most_marked: int = MARKED) -> DataFrame:
     """doc_id, component_id: the least doc_id that a document reaches over pairs whose five-word shingles are that similar.
 
     Exact: every link is verified by Jaccard similarity, and no similar pair of two components is left out. Sets are put in
     one order, common shingles last; similar sets share one of their first n - ceil(similarity * n) + 1 shingles, the keys.
     A first pass counts keys; a bounded bitmap of those that several documents hold goes to a second, which lets only
     them become postings. Pairs that meet are tried by size and place, then by parity bitmaps, and last by the sets, which
-    only documents of such pairs send. Rows without a doc_id and texts without words are left out: they are no copies.
+    only documents of such pairs send. doc_id names one text: see drop_near_copies for tables where it doesn't. Rows without
+    a doc_id and texts without words are left out: they are no copies. With more than most_marked shared keys no bitmap is made.
     A very long text costs a key for each fifth of its words.
     """
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
@@ -273,7 +276,9 @@ def similar_components(docs: DataFrame, similarity: float = SIMILARITY) -> DataF
             yield pd.DataFrame({"id": batch["doc_id"], "n": np.array([len(s) for s in sets], np.int32), "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], "parity": [_parity(s) for s in sets]})
 
     several = saved(known.mapInPandas(counted, "key long").groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "shared-keys")
-    bits = spark.sparkContext.broadcast(bitmap.collected(several, "key"))
+    # a bitmap that most keys would pass is of no use: then all keys become postings, and a join finds the shared ones
+    sparse = several.count() <= most_marked
+    bits = spark.sparkContext.broadcast(bitmap.collected(several, "key") if sparse else None)
 
     def posted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -282,7 +287,7 @@ def similar_components(docs: DataFrame, similarity: float = SIMILARITY) -> DataF
                 who, n, at, key = [], [], [], []
                 for i, s in zip(rows, shingle_sets(tx.utf8(batch["text"].iloc[rows]))):
                     own = keys_of(s)
-                    met = np.flatnonzero(bitmap.holds(bits.value, own))
+                    met = np.flatnonzero(bitmap.holds(bits.value, own)) if bits.value is not None else np.arange(len(own))
                     who.append(np.full(len(met), i)), n.append(np.full(len(met), len(s), np.int32)), at.append(met.astype(np.int32)), key.append(own[met].view(np.int64))
                 if who:
                     yield pd.DataFrame({"key": np.concatenate(key), "id": ids[np.concatenate(who)], "n": np.concatenate(n), "at": np.concatenate(at)})
@@ -295,7 +300,8 @@ def similar_components(docs: DataFrame, similarity: float = SIMILARITY) -> DataF
     first = saved(entries.groupBy("digest").agg(F.min("id").alias("first")), "distinct-sets")
     same = saved(entries.select("id", "digest").join(first, "digest").filter("id <> first").select(F.col("id").alias("u"), F.col("first").alias("v")), "same-sets")
     # sets that are equal meet once, as the first of them
-    postings = known.mapInPandas(posted, f"key long, id {kind}, n int, at int").join(same.select(F.col("u").alias("id")), "id", "left_anti")
+    postings = known.mapInPandas(posted, f"key long, id {kind}, n int, at int")
+    postings = (postings if sparse else postings.join(several, "key", "left_semi")).join(same.select(F.col("u").alias("id")), "id", "left_anti")
 
     def verify(pairs: DataFrame) -> DataFrame:
         u, v = (entries.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("parity").alias(f"parity_{x}")) for x in "uv")
@@ -321,7 +327,19 @@ def similar_components(docs: DataFrame, similarity: float = SIMILARITY) -> DataF
 def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs but for those whose near-duplicate group has a smaller doc_id; all columns stay.
 
-    One document of each group stays, the least doc_id; documents without near-duplicates all stay.
+    One row of each group stays, that of the least doc_id; documents without near-duplicates all stay, and so do rows without
+    a doc_id. Where a doc_id comes more than once, rows are judged each by its own text: of equal doc_ids in a group one stays.
     """
-    gone = similar_components(docs, similarity).filter("doc_id <> component_id").select(F.col("doc_id").alias("_doc_id"))
-    return docs.join(gone, F.col("doc_id") == F.col("_doc_id"), "left_anti")
+    known = docs.filter("doc_id is not null")
+    if known.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        gone = similar_components(docs, similarity).filter("doc_id <> component_id").select(F.col("doc_id").alias("_doc_id"))
+        return docs.join(gone, F.col("doc_id") == F.col("_doc_id"), "left_anti")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    numbered = saved(docs.toDF(*names).withColumn("row", F.monotonically_increasing_id()), "numbered")
+    own = F.col(names[docs.columns.index("doc_id")])
+    rows = numbered.filter(own.isNotNull()).select(F.col("row").alias("doc_id"), F.col(names[docs.columns.index("text")]).alias("text"))
+    groups = similar_components(rows, similarity).select(F.col("doc_id").alias("row"), "component_id")
+    placed = saved(groups.join(numbered.select("row", own.alias("own")), "row"), "groups")
+    stays = placed.groupBy("component_id").agg(F.min(F.struct("own", "row")).alias("first"))
+    gone = placed.join(stays, "component_id").filter("row <> first.row").select("row")
+    return numbered.join(gone, "row", "left_anti").drop("row").toDF(*docs.columns)

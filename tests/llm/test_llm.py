@@ -745,8 +745,23 @@ def test_similar_documents_against_brute_force(spark, monkeypatch):
             if similarity >= 0.8 and root[i] != root[j]:
                 a, b = min(root[i], root[j]), max(root[i], root[j])
                 root = [a if x == b else x for x in root]
-    got = dict(sh.similar_components(frame(spark, list(enumerate(rows))).repartition(5)).collect())
-    assert border > 100 and [got.get(i, i) for i in range(len(rows))] == root
+    table = frame(spark, list(enumerate(rows))).repartition(5)
+    for most in (sh.MARKED, 0):  # with a bitmap of the shared keys, and by a join alone
+        got = dict(sh.similar_components(table, most_marked=most).collect())
+        assert border > 100 and [got.get(i, i) for i in range(len(rows))] == root
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_near_copies_under_one_doc_id(spark, kind):
+    """Rows are judged by their own text where a doc_id has several."""
+    base = long_text(200, 31)
+    near = " ".join("e" if k == 100 else w for k, w in enumerate(base.split()))
+    rows = [(3, base), (7, near), (7, long_text(200, 32)), (9, long_text(200, 33)), (9, long_text(200, 33)), (None, base), (None, base), (5, None), (5, None), (6, "")]
+    docs = frame(spark, rows).withColumn("doc_id", F.col("doc_id").cast(kind))
+    left = sh.drop_near_copies(docs)
+    want = [rows[i] for i in (0, 2, 3, 5, 6, 7, 8, 9)]
+    assert left.columns == docs.columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in left.collect()) == sorted((str(a), str(b)) for a, b in want)
 
 
 def test_a_family_of_edited_copies_meets_few_pairs(spark, monkeypatch):
@@ -854,6 +869,15 @@ def test_pipeline(spark, docs):
     check_packing(packed)
 
 
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    frame(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    assert cp.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline_odd_rows(spark, odd):
     import corpus_pipeline as cp
 
