@@ -38,13 +38,6 @@ def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
 
 
-def geometry_key(*coords: Column) -> Column:
-    """A hash of a two-vertex line that its direction does not change."""
-    x0, y0, x1, y1 = coords
-    ends = F.array_sort(F.array(F.struct(x0.alias("x"), y0.alias("y")), F.struct(x1.alias("x"), y1.alias("y"))))
-    return F.sha2(F.to_json(ends), 256)
-
-
 def classification_metrics(df: DataFrame, fold: str, label: str, score: str, threshold: float = 0.5) -> DataFrame:
     """Confusion, accuracy, precision, recall, F1 (0 where undefined) and ROC AUC (average ranks for ties; null with one class) of each fold.
 

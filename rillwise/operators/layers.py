@@ -124,6 +124,14 @@ def to_geojson_features(df: DataFrame, lon: str, lat: str, properties: list[str]
     return df.select(F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(*properties).alias("properties"))).alias("feature"))
 
 
+def polygon_features(df: DataFrame, properties: list[str]) -> DataFrame:
+    """One column `feature`: a JSON feature for each row of parts (parts of rings of x, y); a row of several parts is a MultiPolygon."""
+    numbers = F.transform("parts", lambda part: F.transform(part, lambda ring: F.transform(ring, lambda v: F.array(v["x"], v["y"]))))
+    geometry = lambda kind, c: F.to_json(F.struct(F.lit(kind).alias("type"), c.alias("coordinates")))
+    shape = F.when(F.size("parts") == 1, geometry("Polygon", numbers[0])).otherwise(geometry("MultiPolygon", numbers))
+    return df.select(F.concat(F.lit('{"type":"Feature","geometry":'), shape, F.lit(',"properties":'), F.to_json(F.struct(*properties)), F.lit("}")).alias("feature"))
+
+
 def report_json(checks: DataFrame) -> DataFrame:
     """One JSON report of (check, severity, n) rows: ok, and the checks by severity."""
     named = lambda level: F.array_sort(F.collect_list(F.when(F.col("severity") == level, F.col("check"))))

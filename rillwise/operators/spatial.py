@@ -89,7 +89,7 @@ def within_distance(points: DataFrame, targets: DataFrame, radius: float, key: s
     return points.join(near, key, "left_semi")
 
 
-def covered_by(points: DataFrame, edges: DataFrame, key: str = "point_id", polygon: str = "polygon_id", band: float = 1000.0) -> DataFrame:
+def covered_by(points: DataFrame, edges: DataFrame, key: str = "point_id", polygon: str = "polygon_id", band: float = 100.0) -> DataFrame:
     """(key, polygon) of points that lie in a polygon or on its edge. edges: polygon, x0, y0, x1, y1 of all rings (even-odd rule).
 
     Edges are dealt to the bands of y that they cross, so a point meets only edges beside it.

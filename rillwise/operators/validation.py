@@ -6,7 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from rillwise.functions.geo import CITY_BOX, haversine_m, in_bbox, local_xy_m
+from rillwise.functions import shapes
+from rillwise.functions.geo import CITY_BOX, in_bbox
 from rillwise.operators.checks import schema_diff
 
 #: Ids listed for each rule; unique positives below which a model is a prototype; usual share of positives; share of rows with terrain.
@@ -29,28 +30,8 @@ class LayerSpec:
     min_area_m2: float | None = None
 
 
-def _sides(coords: Column) -> Column:
-    n = F.size(coords)
-    return F.arrays_zip(F.slice(coords, 1, n - 1).alias("a"), F.slice(coords, F.lit(2), n - 1).alias("b"))
-
-
-def line_length_m(coords: Column) -> Column:
-    return F.aggregate(_sides(coords), F.lit(0.0), lambda s, e: s + haversine_m(e["a"]["y"], e["a"]["x"], e["b"]["y"], e["b"]["x"]))
-
-
-def ring_area_m2(coords: Column) -> Column:
-    """Area of a closed ring on the plane that touches at its first vertex."""
-    first = coords[0]
-
-    def part(s: Column, e: Column) -> Column:
-        (ax, ay), (bx, by) = (local_xy_m(e[k]["y"], e[k]["x"], first["y"], first["x"]) for k in "ab")
-        return s + ax * by - bx * ay
-
-    return F.abs(F.aggregate(_sides(coords), F.lit(0.0), part)) / 2
-
-
 def _row_rules(df: DataFrame, spec: LayerSpec) -> dict[str, Column]:
-    kind, coords = F.col("geom_type"), F.col("coords")
+    kind, coords, parts = F.col("geom_type"), F.col("_vertices"), F.col("_parts")
     present = kind.isNotNull() & coords.isNotNull()
     usable = present & (F.size(coords) > 0)
     number = lambda v: ~F.isnan(v) & (F.abs(v) < float("inf"))
@@ -60,27 +41,29 @@ def _row_rules(df: DataFrame, spec: LayerSpec) -> dict[str, Column]:
     rules = {f"null:{c}": F.col(c).isNull() for c in spec.non_null if c in df.columns}
     rules |= {"null_geometry": ~present, "empty_geometry": present & (F.size(coords) == 0), "geometry_type": usable & ~kind.isin(*spec.types), "not_finite": usable & ~finite, "outside": usable & finite & ~within}
     if spec.min_length_m is not None:
-        rules["short"] = fine & (line_length_m(coords) < spec.min_length_m)
+        rules["short"] = fine & (shapes.length_m(parts) < spec.min_length_m)
     if spec.min_area_m2 is not None:
-        rules["tiny"] = fine & (ring_area_m2(coords) < spec.min_area_m2)
+        rules["tiny"] = fine & (shapes.area_m2(parts) < spec.min_area_m2)
     return rules
 
 
 def validate_layer(df: DataFrame, spec: LayerSpec) -> DataFrame:
     """(check, n, items): rows that break each rule, and their first 25 ids. A rule that no row breaks has no line.
 
-    df: the layer's columns with geom_type and coords (array of x, y). "missing:COLUMN" and "empty_layer" have no items.
-    A row may break several rules. Of equal geometries, whatever their direction, all but the least id count; of equal ids
-    all rows do. Length and area are judged on rows that are otherwise fine. Nulls as ids are no duplicates.
+    df: the layer's columns with geom_type and parts (parts of rings of x, y) or, for shapes of one ring, coords (array of
+    x, y). "missing:COLUMN" and "empty_layer" have no items. A row may break several rules. Of equal geometries, wherever
+    their rings start and whichever way they go, all but the least id count; of equal ids all rows do. Length and area (less
+    holes) are judged on rows that are otherwise fine. Nulls as ids are no duplicates.
     """
     spark, key = df.sparkSession, F.col(spec.id_column)
+    df = df.withColumn("_parts", F.col("parts") if "parts" in df.columns else F.when(F.col("coords").isNotNull(), F.array(F.array("coords"))))
+    df = df.withColumn("_vertices", shapes.vertices(F.col("_parts")))
     broken = F.filter(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for name, bad in _row_rules(df, spec).items()]), lambda c: c.isNotNull())
     rows = df.select(key.alias("id"), F.explode(broken).alias("check")).groupBy("check", "id").agg(F.count("*").alias("n"))
     again = df.filter(key.isNotNull()).groupBy(key.alias("id")).agg(F.count("*").alias("n")).filter("n > 1").select(F.lit("duplicate_id").alias("check"), "id", "n")
-    shape = F.sha2(F.least(F.to_json("coords"), F.to_json(F.reverse("coords"))), 256)
-    shapes = df.filter("geom_type is not null and size(coords) > 0").groupBy(shape.alias("shape"), key.alias("id")).agg(F.count("*").alias("n"))
-    several = shapes.groupBy("shape").agg(F.min("id").alias("first"), F.sum("n").alias("all")).filter("all > 1").drop("all")
-    copies = shapes.join(several, "shape").withColumn("n", F.col("n") - F.col("id").eqNullSafe(F.col("first")).cast("long")).filter("n > 0")
+    formed = df.filter("geom_type is not null and size(_vertices) > 0").groupBy(shapes.shape_key(F.col("_parts")).alias("shape"), key.alias("id")).agg(F.count("*").alias("n"))
+    several = formed.groupBy("shape").agg(F.min("id").alias("first"), F.sum("n").alias("all")).filter("all > 1").drop("all")
+    copies = formed.join(several, "shape").withColumn("n", F.col("n") - F.col("id").eqNullSafe(F.col("first")).cast("long")).filter("n > 0")
     faults = rows.unionByName(again).unionByName(copies.select(F.lit("duplicate_geometry").alias("check"), "id", "n"))
     # ids of a rule are counted before they are ranked, and ranks stop at the number listed
     ranked = faults.groupBy("check", "id").agg(F.sum("n").alias("n")).withColumn("_r", F.row_number().over(W.partitionBy("check").orderBy("id"))).filter(F.col("_r") <= LISTED)

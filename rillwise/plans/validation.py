@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rillwise.operators import validation as v
+from rillwise.functions import shapes
+from rillwise.operators import layers, spatial, validation as v
 from rillwise.plans.adapters import adapted, adapters_sql
 from rillwise.plans.registry import query
 from rillwise.plans.training import EXPANDED, expanded
+from rillwise.sources import readers
+from rillwise.store import scratch
 
 #: Pipes with faults of every kind; {pipes} is the table.
 FAULTY = """SELECT *, CASE WHEN n % 41 = 0 THEN y0 WHEN n % 43 = 0 THEN 22.51e0 ELSE y0 + dy_m / 110574.0e0 END AS y1, CASE WHEN n % 41 = 0 THEN x0 WHEN n % 43 = 0 THEN 88.31e0 ELSE x0 + dx_m / 102000.0e0 END AS x1
@@ -48,3 +51,52 @@ def training(spark, sf_dir):
     lat = F.when((F.col("point_id") % 17 == 0) & (F.col("scenario") == "dry"), F.col("lat") + 1).otherwise(F.col("lat"))
     y = x.select("point_id", "label", lat.alias("lat"), "lon", F.when((F.col("label") == 1) & (F.col("point_id") % 13 != 0), "record").alias("label_source"), F.when(F.col("point_id") % 10 != 0, F.col("score")).alias("elevation"))
     return v.validate_training(y, [*y.columns, "slope"], "record", ["elevation"])
+
+
+RINGS = "box AS (SELECT body_id, 88.21e0 + cx / 1.1e5 AS lon, 22.41e0 + cy / 1.1e5 AS lat, side_m / 2.2e5 AS h, body_id % 3 = 0 AS hollow FROM boxes)"
+PLOTS = f"""{adapters_sql('boxes')}, {RINGS}, plot AS (SELECT body_id AS plot_id, * FROM box UNION ALL SELECT body_id + 1000000, * FROM box WHERE body_id % 7 = 0 UNION ALL SELECT body_id + 2000000, * FROM box WHERE body_id % 11 = 0
+UNION ALL SELECT body_id + 3000000, body_id, lon, lat, h, false FROM box WHERE body_id % 13 = 0),
+area AS (SELECT *, 111320.0 * 110540 * 4 * h * h * (cos(radians(lat + first * h)) - CASE WHEN hollow THEN cos(radians(lat + first * h / 2)) / 4 ELSE 0 END) AS m2 FROM (SELECT *, CASE WHEN plot_id BETWEEN 1000000 AND 2999999 THEN 1 ELSE -1 END AS first FROM plot))"""
+
+
+def plots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes as polygons, every third with a hole; copies whose rings start elsewhere, that go the other way, and that have lost their hole."""
+    b = adapted(spark, sf_dir, "boxes").select("body_id", (88.21 + F.col("cx") / 1.1e5).alias("lon"), (22.41 + F.col("cy") / 1.1e5).alias("lat"), (F.col("side_m") / 2.2e5).alias("h"))
+
+    def ring(size: float, first: int = 0, turn: int = 1):
+        at = [[(-1, -1), (1, -1), (1, 1), (-1, 1)][(first + turn * k) % 4] for k in range(5)]
+        return F.array(*[F.struct((F.col("lon") + i * size * F.col("h")).alias("x"), (F.col("lat") + j * size * F.col("h")).alias("y")) for i, j in at])
+
+    hollow = F.col("body_id") % 3 == 0
+    two = lambda first, turn: F.array(F.when(hollow, F.array(ring(1, first, turn), ring(0.5, first, turn))).otherwise(F.array(ring(1, first, turn))))
+    own = [(0, None, two(0, 1)), (1_000_000, 7, two(2, 1)), (2_000_000, 11, two(3, -1)), (3_000_000, 13, F.array(F.array(ring(1))))]
+    copies = [F.when(F.lit(n is None) | (F.col("body_id") % (n or 1) == 0), F.struct((F.col("body_id") + add).alias("plot_id"), parts.alias("parts"))) for add, n, parts in own]
+    return b.select(F.explode(F.filter(F.array(*copies), lambda c: c.isNotNull())).alias("p")).select("p.*", F.lit("Polygon").alias("geom_type"))
+
+
+@query("V1_polygon_layer", f"""WITH {PLOTS}, f AS (SELECT 'tiny' AS "check", plot_id AS id FROM area WHERE m2 < 60000 UNION ALL SELECT 'duplicate_geometry', plot_id FROM plot WHERE plot_id > 3000000 AND body_id % 3 <> 0 OR plot_id BETWEEN 1000000 AND 2999999),
+r AS (SELECT *, row_number() OVER (PARTITION BY "check" ORDER BY id) AS k FROM f) SELECT "check", count(*) AS n, string_agg(id, ',' ORDER BY id) FILTER (k <= 25) AS items FROM r GROUP BY 1""")
+def polygon_layer(spark, sf_dir):
+    """A layer of polygons with holes: copies are found however their rings are written, and holes don't count as area."""
+    return v.validate_layer(plots(spark, sf_dir), v.LayerSpec("plot_id", ("Polygon", "MultiPolygon"), min_area_m2=60_000.0))
+
+
+@query("S1_read_geojson", f"""WITH {PLOTS} SELECT CASE WHEN plot_id % 2 = 0 THEN 'MultiPolygon' ELSE 'Polygon' END AS geom_type, hollow, count(*) AS features, CAST(sum((1 + hollow::INT) * (1 + (plot_id % 2 = 0)::INT)) AS BIGINT) AS rings,
+CAST(sum(4 * (1 + hollow::INT) * (1 + (plot_id % 2 = 0)::INT)) AS BIGINT) AS edges, round(sum(m2 * (1 + (plot_id % 2 = 0)::INT)) / 1e6, 4) AS km2 FROM area GROUP BY 1, 2""")
+def geojson_rings(spark, sf_dir):
+    """The polygons written as GeoJSON and read again, those with an even number as two parts of the same shape."""
+    twice = F.when(F.col("plot_id") % 2 == 0, F.concat("parts", "parts")).otherwise(F.col("parts"))
+    path = scratch(spark, "geojson")
+    layers.polygon_features(plots(spark, sf_dir).withColumn("parts", twice), ["plot_id"]).write.text(path)
+    read = readers.read_geojson(spark, path, "plots", lines=True).withColumn("plot_id", F.col("properties")["plot_id"].cast("long"))
+    edges = readers.ring_edges(read, ["plot_id"]).groupBy("plot_id").agg(F.count_distinct("part", "ring").alias("rings"), F.count("*").alias("edges"))
+    hollow = F.size(F.col("parts")[0]) > 1
+    return read.join(edges, "plot_id").groupBy("geom_type", hollow.alias("hollow")).agg(F.count("*").alias("features"), F.sum("rings").alias("rings"), F.sum("edges").alias("edges"), F.round(F.sum(shapes.area_m2(F.col("parts"))) / 1e6, 4).alias("km2"))
+
+
+@query("F2_polygons_with_holes", f"""WITH {PLOTS}, {adapters_sql('pts')} SELECT point_id, plot_id FROM pts p JOIN plot b ON abs(p.lon - b.lon) <= h AND abs(p.lat - b.lat) <= h AND NOT (hollow AND abs(p.lon - b.lon) < h / 2 AND abs(p.lat - b.lat) < h / 2)""")
+def covered_with_holes(spark, sf_dir):
+    """Points in polygons, but for those in their holes."""
+    edges = readers.ring_edges(plots(spark, sf_dir), ["plot_id"]).select("plot_id", *[(F.col(c) * 1e5).alias(c) for c in ("x0", "y0", "x1", "y1")])
+    p = adapted(spark, sf_dir, "pts").select("point_id", (F.col("lon") * 1e5).alias("x"), (F.col("lat") * 1e5).alias("y"))
+    return spatial.covered_by(p, edges, polygon="plot_id")

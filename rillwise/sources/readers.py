@@ -4,16 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-GEOJSON = "features array<struct<geometry:struct<type:string,coordinates:string>,properties:map<string,string>>>, crs struct<properties:struct<name:string>>"
+from rillwise.functions import shapes
+
+FEATURE = "geometry struct<type:string,coordinates:string>, properties map<string,string>"
+GEOJSON = f"features array<struct<{FEATURE.replace(' struct', ':struct').replace(' map', ':map')}>>, crs struct<properties:struct<name:string>>"
 POCKETS = ("location_name", "ward", "latitude", "longitude", "source", "year", "severity", "notes")
 
 
-def read_geojson(spark: SparkSession, path: str, layer: str) -> DataFrame:
-    """layer, geom_type, coords (array of x, y in order; rings one after the other), properties of each feature; missing geometry stays null."""
-    raw = spark.read.schema(GEOJSON).option("multiLine", True).json(path)
-    f = raw.select(F.explode("features").alias("f"))
-    numbers = F.transform(F.regexp_extract_all("f.geometry.coordinates", F.lit(r"\[\s*(-?[0-9.eE+-]+\s*,\s*-?[0-9.eE+-]+)"), F.lit(1)), lambda p: F.struct(F.split(p, ",")[0].cast("double").alias("x"), F.split(p, ",")[1].cast("double").alias("y")))
-    return f.select(F.lit(layer).alias("layer"), F.col("f.geometry.type").alias("geom_type"), F.when(F.col("f.geometry.coordinates").isNotNull(), numbers).alias("coords"), F.col("f.properties").alias("properties"))
+def read_geojson(spark: SparkSession, path: str, layer: str, lines: bool = False) -> DataFrame:
+    """layer, geom_type, parts (parts of rings of x, y), coords (all vertices in order), properties of each feature; missing geometry stays null.
+
+    Files hold a FeatureCollection each, which one task reads; with lines each line is a Feature, so that files can be split.
+    """
+    if lines:
+        f = spark.read.schema(FEATURE).json(path).select(F.struct("geometry", "properties").alias("f"))
+    else:
+        f = spark.read.schema(GEOJSON).option("multiLine", True).json(path).select(F.explode("features").alias("f"))
+    kind = F.col("f.geometry.type")
+    shaped = f.select(F.lit(layer).alias("layer"), kind.alias("geom_type"), shapes.parts_of(kind, F.col("f.geometry.coordinates")).alias("parts"), F.col("f.properties").alias("properties"))
+    return shaped.select("layer", "geom_type", "parts", shapes.vertices(F.col("parts")).alias("coords"), "properties")
+
+
+def ring_edges(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys with part, ring (numbers from 0), x0, y0, x1, y1 of each edge of the column parts: what joins by distance and cover read."""
+    rings = df.select(*keys, F.posexplode("parts").alias("part", "_p")).select(*keys, "part", F.posexplode("_p").alias("ring", "_r"))
+    sides = rings.select(*keys, "part", "ring", F.explode(shapes.sides(F.col("_r"))).alias("_e"))
+    return sides.select(*keys, "part", "ring", F.col("_e.a.x").alias("x0"), F.col("_e.a.y").alias("y0"), F.col("_e.b.x").alias("x1"), F.col("_e.b.y").alias("y1"))
 
 
 def read_pockets(spark: SparkSession, path: str) -> DataFrame:

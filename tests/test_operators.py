@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rillwise.functions import feeds, geo, hydrology as h, names
+from rillwise.functions import feeds, geo, hydrology as h, names, shapes
 from rillwise.operators import checks, drawings, graph, layers, network, places, quantiles, routes, spatial, weather
 from rillwise.sources import readers
 from rillwise.store import saved
@@ -305,7 +305,7 @@ def test_layer_rules(spark):
     }
     empty = v.validate_layer(spark.createDataFrame([], schema), spec).collect()
     assert {r["check"] for r in empty} == {"empty_layer", "missing:name"}
-    area = spark.createDataFrame(rows[:1], schema).select(v.ring_area_m2(F.col("coords"))).first()[0]
+    area = spark.createDataFrame(rows[:1], schema).select(shapes.area_m2(F.array(F.array("coords")))).first()[0]
     assert abs(area / (1113.2 * 1113.2 * 0.92388) - 1) < 0.01
 
 
