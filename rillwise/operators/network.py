@@ -15,44 +15,76 @@ WORST_SHARE = 0.20
 FLUSHED = 32
 
 
+def _summary(arcs: DataFrame) -> DataFrame:
+    """A row for each node that arcs end at: how many nodes they still come from, the constants that have reached it, and the arc if there is one alone."""
+    merged = arcs.groupBy("dst", "src").agg(F.sum("scale").alias("scale"), F.sum("add").alias("add"), F.max("far").alias("far"), F.max("least").alias("least"))
+    known = F.col("src").isNull()
+    return merged.groupBy("dst").agg(
+        F.count("src").alias("open"),
+        F.coalesce(F.sum(F.when(known, F.col("add"))), F.lit(0.0)).alias("area"),
+        F.coalesce(F.max(F.when(known, F.col("least"))), F.lit(0.0)).alias("path"),
+        F.max(F.when(~known, F.struct("src", "scale", "add", "far", "least"))).alias("arc"),
+    )
+
+
+def _contracted(arcs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Arcs from settled nodes become constants, those from a node with one arc alone start where that one starts; of open nodes only.
+
+    Arcs move to nodes that are open, so that every node that an arc starts at is looked up once more after it has been settled.
+    """
+    open_ = nodes.filter("open > 0").select(F.col("dst").alias("_from"), F.lit(True).alias("_waits"))
+    known = nodes.join(open_, F.col("arc.src") == F.col("_from"), "left")
+    n = known.select(F.col("dst").alias("src"), "_waits", *[F.col(c).alias(f"_{c}") for c in ("open", "area", "path", "arc")])
+    met = arcs.filter("src is not null").join(n, "src", "left")
+    settled, alone = F.coalesce(F.col("_open") == 0, F.lit(True)), (F.col("_open") == 1) & F.col("_waits")
+    area, path, own = F.coalesce("_area", F.lit(0.0)), F.coalesce("_path", F.lit(0.0)), lambda c: F.col(f"_arc.{c}")
+    moved = met.select(
+        "dst",
+        F.when(settled, None).when(alone, own("src")).otherwise(F.col("src")).alias("src"),
+        F.when(settled, 0.0).when(alone, F.col("scale") * own("scale")).otherwise(F.col("scale")).alias("scale"),
+        F.when(settled, F.col("scale") * area + F.col("add")).when(alone, F.col("scale") * (own("add") + area) + F.col("add")).otherwise(F.col("add")).alias("add"),
+        F.when(settled, 0.0).when(alone, F.col("far") + own("far")).otherwise(F.col("far")).alias("far"),
+        F.when(settled, F.greatest("least", F.col("far") + path)).when(alone, F.greatest("least", F.col("far") + F.greatest(own("least"), path))).otherwise(F.col("least")).alias("least"),
+    )
+    zero = F.lit(0.0)
+    kept = nodes.filter("open > 0").select("dst", F.lit(None).cast(arcs.schema["src"].dataType).alias("src"), zero.alias("scale"), F.col("area").alias("add"), zero.alias("far"), F.col("path").alias("least"))
+    return moved.unionByName(kept)
+
+
 def accumulate(edges: DataFrame, strip_m: float = STRIP_M) -> DataFrame:
     """edges (pipe_id, up_node, down_node, length_m) with area_m2 and path_m gathered from upstream.
 
     A pipe's own strip and what reaches it split evenly among the pipes that leave its lower node; the path is the longest.
-    Each round settles the pipes whose upstream pipes are all settled; pipes of a loop keep what reached them before it.
-    A round is one join and one aggregation over the pipes that are still open, written to the shared folder; settled pipes are
-    gathered into fewer tables as rounds go on.
+    Pipes of a loop, and those below it, keep what reaches them from pipes that are settled.
+
+    What a node receives is a function of what another one does: area = scale * area + add, path = max(least, far + path).
+    Each round joins these arcs once with a row for each node: arcs from settled nodes become constants (leaves are raked),
+    and arcs from a node that waits for one other only start there instead (chains halve). Arcs between the same two nodes
+    are one. So rounds grow with the logarithm of the pipes for chains and trees; every round settles a node, or is the last.
     """
-    fan = edges.groupBy("up_node").agg(F.count("*").alias("_fan"))
-    arriving = edges.groupBy("down_node").agg(F.count("*").alias("_wait"))
-    start = edges.join(arriving.withColumnRenamed("down_node", "up_node"), "up_node", "left").join(fan.withColumnRenamed("up_node", "down_node"), "down_node", "left")
-    open_ = saved(
-        start.select("pipe_id", "up_node", "down_node", "length_m", F.coalesce("_wait", F.lit(0)).alias("_wait"), F.coalesce("_fan", F.lit(0)).alias("_fan"), (F.col("length_m") * strip_m).alias("area_m2"), F.col("length_m").alias("path_m")),
-        "pipes",
+    fan = edges.groupBy(F.col("up_node").alias("_n")).agg(F.count("*").alias("_fan"))
+    split = edges.join(fan, F.col("up_node") == F.col("_n"), "left").withColumn("_own", F.col("length_m") * strip_m)
+    first = split.filter("down_node is not null").select(
+        F.col("down_node").alias("dst"), F.col("up_node").alias("src"), F.coalesce(1.0 / F.col("_fan"), F.lit(0.0)).alias("scale"), F.col("_own").alias("add"), F.col("length_m").cast("double").alias("far"), F.col("length_m").cast("double").alias("least")
     )
-    done, rounds = [], []
+    arcs, done, rounds, waiting = saved(first, "arcs"), [], [], None
     while True:
-        ready = open_.filter("_wait = 0")
-        if ready.isEmpty():
+        nodes = saved(_summary(arcs), "nodes")
+        rounds.append(nodes)
+        left = nodes.filter("open > 0").count()
+        if left == 0 or left == waiting:
             break
-        rounds.append(open_)
+        waiting, after = left, saved(_contracted(arcs, nodes), "arcs")
+        discard(arcs)
+        arcs = after
         if len(rounds) == FLUSHED:
-            # the last of them stays: the next round reads it
-            done.append(saved(reduce(DataFrame.unionByName, [r.filter("_wait = 0") for r in rounds[:-1]]), "settled"))
-            discard(*rounds[:-1])
-            rounds = rounds[-1:]
-        sent = ready.filter("_fan > 0").groupBy(F.col("down_node").alias("up_node")).agg(F.sum(F.col("area_m2") / F.col("_fan")).alias("_area"), F.max("path_m").alias("_path"), F.count("*").alias("_came"))
-        rest = open_.filter("_wait > 0").join(sent, "up_node", "left")
-        open_ = saved(
-            rest.select(
-                "pipe_id", "up_node", "down_node", "length_m", (F.col("_wait") - F.coalesce("_came", F.lit(0))).alias("_wait"), "_fan",
-                (F.col("area_m2") + F.coalesce("_area", F.lit(0.0))).alias("area_m2"),
-                F.greatest(F.col("path_m"), F.coalesce(F.col("_path") + F.col("length_m"), F.lit(0.0))).alias("path_m"),
-            ),
-            "pipes",
-        )
-    out = reduce(DataFrame.unionByName, [*done, *(r.filter("_wait = 0") for r in rounds), open_])
-    return out.select("pipe_id", "up_node", "down_node", "length_m", "area_m2", "path_m")
+            done.append(saved(reduce(DataFrame.unionByName, [r.filter("open = 0") for r in rounds]), "settled"))
+            discard(*rounds)
+            rounds = []
+    reached = reduce(DataFrame.unionByName, [*done, *(r.filter("open = 0") for r in rounds), rounds[-1].filter("open > 0")])
+    own = split.join(reached.select(F.col("dst").alias("_n"), "area", "path"), "_n", "left")
+    area = F.col("_own") + F.coalesce(F.col("area") / F.col("_fan"), F.lit(0.0))
+    return own.select("pipe_id", "up_node", "down_node", "length_m", area.alias("area_m2"), (F.col("length_m") + F.coalesce("path", F.lit(0.0))).alias("path_m"))
 
 
 def network_load(pipes: DataFrame, storms: DataFrame) -> DataFrame:
