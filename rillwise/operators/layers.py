@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from rillwise.functions import shapes
 from rillwise.functions.geo import segment_distance
 from rillwise.operators.graph import connected_components
 from rillwise.operators.spatial import reached_cells
@@ -45,36 +46,57 @@ def unknown_share(df: DataFrame, length: Column, value: str, warn: float = 0.25)
     return df.agg(F.round(share, 4).alias("unknown"), (share > warn).alias("warning"))
 
 
-def line_hausdorff(a: list[Column], b: list[Column]) -> Column:
-    """Between two-vertex lines (x0, y0, x1, y1): the farthest vertex of either from the other line."""
-    far = lambda p, q: F.greatest(segment_distance(p[0], p[1], *q)[0], segment_distance(p[2], p[3], *q)[0])
-    return F.greatest(far(a, b), far(b, a))
-
-
 def sheet_rank(df: DataFrame, sheet: str, order: str) -> DataFrame:
     """(sheet, rank): sheets by their first row."""
     first = df.groupBy(sheet).agg(F.min(order).alias("_first"))
     return first.withColumn("rank", F.dense_rank().over(W.orderBy("_first"))).drop("_first")  # one row for each sheet
 
 
+def _covered_vertices(vertices: DataFrame, sides: DataFrame, asked: DataFrame, tol: float) -> DataFrame:
+    """(a, b) of the asked ones where every vertex of line a lies closer than tol to a side of line b. Vertices meet only sides in their grid cell."""
+    cell = 16.0 * tol
+    low, high = [F.least(f"{c}0", f"{c}1") - tol for c in "xy"], [F.greatest(f"{c}0", f"{c}1") + tol for c in "xy"]
+    cells = lambda lo, hi: F.explode(F.sequence(F.floor(lo / cell), F.floor(hi / cell)))
+    dealt = sides.withColumnRenamed("segment_id", "b").withColumn("_cx", cells(low[0], high[0])).withColumn("_cy", cells(low[1], high[1]))
+    placed = asked.join(vertices.withColumnRenamed("segment_id", "a"), "a").withColumn("_cx", F.floor(F.col("x") / cell)).withColumn("_cy", F.floor(F.col("y") / cell))
+    near = segment_distance(*[F.col(c) for c in ("x", "y", "x0", "y0", "x1", "y1")])[0] < tol
+    met = placed.join(dealt, ["b", "_cx", "_cy"]).filter(near).select("a", "b", "i", "n").distinct()
+    return met.groupBy("a", "b").agg(F.count("*").alias("met"), F.max("n").alias("n")).filter("met = n").select("a", "b")
+
+
 def duplicate_pairs(lines: DataFrame, tol: float = DUPLICATE_M) -> DataFrame:
-    """(later, earlier): lines within tol of a line of a sheet with a lower rank. lines: segment_id, rank, x0, y0, x1, y1."""
-    cell = 100.0 * tol
-    names = ["x0", "y0", "x1", "y1"]
-    a = lines.select(F.col("segment_id").alias("later"), F.col("rank").alias("_ra"), *[F.col(c).alias(f"a{c}") for c in names])
-    a = a.withColumn("_cx", F.floor(F.least("ax0", "ax1") / cell)).withColumn("_cy", F.floor(F.least("ay0", "ay1") / cell))
-    low, high = [F.least(f"{c}0", f"{c}1") for c in "xy"], [F.least(f"{c}0", f"{c}1") for c in "xy"]
-    b = reached_cells(lines, *low, *high, cell).select(F.col("segment_id").alias("earlier"), F.col("rank").alias("_rb"), *names, "_cx", "_cy")  # least corners of duplicates differ by tol at most
-    met = a.join(b, ["_cx", "_cy"]).filter("_rb < _ra")
-    return met.filter(line_hausdorff([F.col(f"a{c}") for c in names], [F.col(c) for c in names]) < tol).select("later", "earlier").distinct()
+    """(later, earlier): lines whose discrete Hausdorff distance to a line of a sheet with a lower rank is less than tol.
+
+    lines: segment_id, rank and line (array of x, y). Such lines have bounding boxes whose corners differ by less than tol, so
+    they meet by the cell of the least corner; then every vertex of either must be closer than tol to some side of the other.
+    """
+    cell, corner = 4.0 * tol, lambda f, c: f(F.transform("line", lambda v: v[c]))
+    boxed = lines.filter("size(line) > 1").select("segment_id", "rank", *[corner(f, c).alias(f"{n}{c}") for n, f in (("low", F.array_min), ("high", F.array_max)) for c in "xy"])
+    later = boxed.select(*[F.col(c).alias(f"_{c}") for c in boxed.columns], F.floor(F.col("lowx") / cell).alias("_cx"), F.floor(F.col("lowy") / cell).alias("_cy"))
+    earlier = reached_cells(boxed, F.col("lowx"), F.col("lowy"), F.col("lowx"), F.col("lowy"), tol, cell)
+    close = F.col("_rank") > F.col("rank")
+    for c in ("lowx", "lowy", "highx", "highy"):
+        close &= F.abs(F.col(c) - F.col(f"_{c}")) < tol
+    pairs = saved(later.join(earlier, ["_cx", "_cy"]).filter(close).select(F.col("_segment_id").alias("a"), F.col("segment_id").alias("b")), "line-pairs")
+    asked = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    own = lines.join(asked.select(F.col("a").alias("segment_id")).distinct(), "segment_id")
+    vertices = own.select("segment_id", F.size("line").alias("n"), F.posexplode("line").alias("i", "v")).select("segment_id", "n", "i", "v.x", "v.y")
+    sides = own.select("segment_id", F.explode(shapes.sides(F.col("line"))).alias("e")).select("segment_id", F.col("e.a.x").alias("x0"), F.col("e.a.y").alias("y0"), F.col("e.b.x").alias("x1"), F.col("e.b.y").alias("y1"))
+    covered = saved(_covered_vertices(vertices, sides, asked, tol), "covered-lines")
+    both = pairs.join(covered, ["a", "b"]).join(covered.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"])
+    return both.select(F.col("a").alias("later"), F.col("b").alias("earlier"))
 
 
 def dedupe_lines(lines: DataFrame, tol: float = DUPLICATE_M) -> DataFrame:
     """Lines but for those that duplicate an accepted line of an earlier sheet; parallels within a sheet stay.
 
-    A line is settled once all its earlier duplicates are: dropped if one of them was accepted. Rounds are as many as the longest chain.
+    lines: segment_id, rank and line (array of x, y), or x0, y0, x1, y1 of lines of two vertices. A line is settled once all its earlier duplicates are: dropped if one of them was accepted. Rounds are as many as the longest chain.
     """
-    pairs = saved(duplicate_pairs(lines, tol), "duplicate-lines")
+    if "line" in lines.columns:
+        shaped = lines.select("segment_id", "rank", "line")
+    else:
+        shaped = lines.select("segment_id", "rank", F.array(*[F.struct(F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y")) for k in "01"]).alias("line"))
+    pairs = saved(duplicate_pairs(shaped, tol), "duplicate-lines")
     dropped = None
     while not pairs.isEmpty():
         open_ = pairs.select("later").distinct()
@@ -113,9 +135,19 @@ def label_agreement(layer: DataFrame, labels: DataFrame, key: str, sheet: str, v
 
 
 def assign_ids(df: DataFrame, prefix: Column, key: str, order: list[str]) -> DataFrame:
-    """df with id: the prefix and a running number of five digits within the key."""
-    n = F.row_number().over(W.partitionBy(key).orderBy(*order))
-    return df.withColumn("id", F.concat(prefix, F.lpad(n.cast("string"), 5, "0")))
+    """df with id: the prefix and a running number of five digits within the key.
+
+    Rows are dealt by ranges of key and order and numbered within their range; each range starts where those before it
+    have come to, so no task holds a whole key.
+    """
+    ranged = saved(df.repartitionByRange(key, *order).withColumn("_range", F.spark_partition_id()), "ranged")
+    counts = ranged.groupBy(F.col(key).alias("_key"), F.col("_range").alias("_r")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("_key").orderBy("_r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_key", "_r", before.alias("_before"))
+    own = ranged.withColumn("_own", F.row_number().over(W.partitionBy(key, "_range").orderBy(*order)))
+    n = (F.col("_own") + F.col("_before")).cast("string")
+    numbered = own.join(starts, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_range") == F.col("_r")))
+    return numbered.select(*df.columns, F.concat(prefix, F.lpad(n, F.greatest(F.length(n), F.lit(5)), "0")).alias("id"))
 
 
 def to_geojson_features(df: DataFrame, lon: str, lat: str, properties: list[str]) -> DataFrame:

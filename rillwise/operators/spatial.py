@@ -12,10 +12,11 @@ def _cell(c: Column, size: float) -> Column:
     return F.floor(c / size).cast("long")
 
 
-def reached_cells(df: DataFrame, xmin: Column, ymin: Column, xmax: Column, ymax: Column, reach: float) -> DataFrame:
-    """df with _cx, _cy: one row for each cell within reach of its bounding box. Cells are as wide as the reach."""
-    xs = F.sequence(_cell(xmin - reach, reach), _cell(xmax + reach, reach))
-    ys = F.sequence(_cell(ymin - reach, reach), _cell(ymax + reach, reach))
+def reached_cells(df: DataFrame, xmin: Column, ymin: Column, xmax: Column, ymax: Column, reach: float, size: float | None = None) -> DataFrame:
+    """df with _cx, _cy: one row for each cell within reach of its bounding box. Cells are as wide as the reach, or as size."""
+    size = size or reach
+    xs = F.sequence(_cell(xmin - reach, size), _cell(xmax + reach, size))
+    ys = F.sequence(_cell(ymin - reach, size), _cell(ymax + reach, size))
     return df.withColumn("_cx", F.explode(xs)).withColumn("_cy", F.explode(ys))
 
 

@@ -9,6 +9,7 @@ from rillwise.functions.hydrology import at_most, coverage_class, drain_alert, d
 from rillwise.operators import checks, layers, models, network, spatial, validation
 from rillwise.plans.adapters import ADAPTERS, adapted, adapters_sql, table
 from rillwise.plans.formulas import depths, hex_grid
+from rillwise.plans.layers import KEPT, sheets as line_sheets
 from rillwise.plans.registry import query
 from rillwise.plans.spatial import assemble_features, boundary_edges, points, projected, segments, targets
 from rillwise.plans.training import train
@@ -101,28 +102,32 @@ def build_training(spark: SparkSession, sf_dir: str, step: float = 300.0) -> Dat
     return pos.withColumn("label", F.lit(1)).unionByName(neg.withColumn("label", F.lit(0)))
 
 
-@query("E9_merge_layers", f"""WITH {adapters_sql('pipes')}, k AS (SELECT segment_id, ward FROM pipes UNION ALL SELECT 1000000 + segment_id, ward FROM pipes WHERE segment_id % 4 = 0)
-SELECT segment_id, 'kmc_w' || ward || '_' || lpad(CAST(row_number() OVER (PARTITION BY ward ORDER BY segment_id) AS VARCHAR), 5, '0') AS id FROM k""")
+@query("E9_merge_layers", f"""WITH {adapters_sql('pipes')}, {KEPT}, k AS (SELECT kept.segment_id, rank, ward FROM kept JOIN pipes p ON p.segment_id = line_no)
+SELECT segment_id, 'kmc_w' || ward || '_' || CASE WHEN i < 100000 THEN lpad(CAST(i AS VARCHAR), 5, '0') ELSE CAST(i AS VARCHAR) END AS id, rank FROM (SELECT *, row_number() OVER (PARTITION BY ward ORDER BY segment_id) AS i FROM k)""")
 def merge(spark, sf_dir):
-    """The layer and a later sheet that repeats it a metre off, every fourth line far off: what is left, with new ids."""
-    p = adapted(spark, sf_dir, "pipes").select("segment_id", "ward", "conduit_type", "pipe_diameter_mm")
-    s = segments(spark, sf_dir).select("segment_id", "x0", "y0", "x1", "y1").join(p, "segment_id").withColumn("rank", F.lit(1))
-    move = F.when(F.col("segment_id") % 4 == 0, 50000.0).otherwise(1.0)
-    later = s.withColumns({"x0": F.col("x0") + move, "x1": F.col("x1") + move, "rank": F.lit(2), "segment_id": F.col("segment_id") + 1000000})
-    source = F.when(F.col("pipe_diameter_mm").isNotNull(), "label")
-    return merge_layers([s, later], source).select("segment_id", "id")
+    """Three sheets as files, read in the order of their names: what is left of them, with new ids."""
+    folder, every = scratch(spark, "sheets"), line_sheets(spark, sf_dir)
+    for rank, name in ((3, "c-late"), (1, "a-first"), (2, "b-second")):
+        own = every.filter(F.col("rank") == rank).drop("rank")
+        (own.drop("pipe_diameter_mm") if rank == 3 else own).write.parquet(f"{folder}/sheet-{name}.parquet")
+    read = readers.read_sheets(spark, f"{folder}/sheet-*.parquet")
+    known = F.when(F.col("pipe_diameter_mm").isNotNull(), "label")
+    return merge_layers(read.withColumn("diameter_source", known)).select("segment_id", "id", "rank")
 
 
-def merge_layers(sheets: list[DataFrame], source: Column) -> DataFrame:
-    """Lines of all sheets with ids by ward, without those that repeat a line of an earlier sheet. Raises if a drainage rule is broken.
+def merge_layers(lines: DataFrame) -> DataFrame:
+    """Lines of all sheets with ids by ward, without those that repeat a line of an earlier sheet. Raises if a rule of layers or of drainage is broken.
 
-    sheets: segment_id, rank, x0, y0, x1, y1, ward, conduit_type, pipe_diameter_mm.
+    lines: segment_id, sheet (in the order of its name), line (array of x, y in metres of UTM 45 N), ward, conduit_type,
+    pipe_diameter_mm, diameter_source.
     """
-    every = sheets[0]
-    for sheet in sheets[1:]:
-        every = every.unionByName(sheet)
-    kept = saved(layers.dedupe_lines(every.withColumn("diameter_source", source)), "merged-lines")
+    ranks = layers.sheet_rank(lines, "sheet", "sheet")
+    kept = saved(layers.dedupe_lines(lines.join(F.broadcast(ranks), "sheet")), "merged-lines")  # a row a sheet
     broken = [r["check"] for r in layers.rule_counts(kept, layers.drainage_rules()).filter("severity = 'ERROR'").collect()]  # a row a rule
+    lonlat = F.transform("line", lambda p: F.struct(utm_to_latlon(p["x"], p["y"])[1].alias("x"), utm_to_latlon(p["x"], p["y"])[0].alias("y")))
+    shaped = kept.select("segment_id", "ward", "conduit_type", F.lit("LineString").alias("geom_type"), lonlat.alias("coords"))
+    spec = validation.LayerSpec("segment_id", ("LineString", "MultiLineString"), ("ward", "conduit_type"), ("conduit_type",), box=(88.0, 22.0, 90.0, 23.0), min_length_m=1.0)
+    broken += [r["check"] for r in validation.validate_layer(shaped, spec).collect()]  # a row a rule
     if broken:
         raise ValueError(f"layer is not valid: {', '.join(sorted(broken))}")
     return layers.assign_ids(kept, F.concat(F.lit("kmc_w"), F.col("ward"), F.lit("_")), "ward", ["segment_id"])

@@ -112,5 +112,10 @@ def model_descriptors(spark: SparkSession, path: str, version: str | None = None
 
 
 def read_sheets(spark: SparkSession, glob: str) -> DataFrame:
-    """All sheets of a glob as one table with source_file; columns that some lack are null there."""
-    return spark.read.option("mergeSchema", True).parquet(glob).withColumn("source_file", F.input_file_name())
+    """All sheets of a glob as one table, with sheet (the name of the Parquet file or folder; the order of sheets is that of their names) and source_file.
+
+    Columns that some sheets lack are null there.
+    """
+    read = spark.read.option("mergeSchema", True).parquet(glob).withColumn("source_file", F.col("_metadata.file_path"))
+    folder, file = F.regexp_extract("source_file", r"/([^/]+)\.parquet/[^/]+$", 1), F.regexp_extract("source_file", r"/([^/]+)\.parquet$", 1)
+    return read.withColumn("sheet", F.when(folder != "", folder).otherwise(file))
