@@ -3,9 +3,13 @@ cell with the distance as its condition, in which no pair meets twice. All lengt
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rillwise.functions.geo import segment_distance
+from rillwise.store import saved
 
 
 def _cell(c: Column, size: float) -> Column:
@@ -127,19 +131,99 @@ def nearest_polygon(points: DataFrame, edges: DataFrame, radius: float, polygon:
     )
 
 
+def search_levels(points: DataFrame, marks: DataFrame, size: float) -> tuple[DataFrame, DataFrame, float, float]:
+    """points (x, y) with _level, all levels, and the origin of the grids: the finest of a pyramid of grids in which a point's own cell holds a mark (tx, ty).
+
+    Cells of level k are size * 2**k wide; the last level is one cell that holds everything. Levels are found for the cells
+    of points, not for points: a row for each occupied cell and level, counted once.
+    """
+    spans = [t.agg(*[f(c).cast("double").alias(n) for n, f, c in (("a", F.min, cx), ("b", F.min, cy), ("c", F.max, cx), ("d", F.max, cy))]) for t, cx, cy in ((points, "x", "y"), (marks, "tx", "ty"))]
+    (x0, y0, x1, y1) = spans[0].unionByName(spans[1]).agg(F.min("a"), F.min("b"), F.max("c"), F.max("d")).first()
+    top = max(0, math.ceil(math.log2(max(x1 - x0, y1 - y0, 1e-9) / size))) + 1
+    at = lambda t, cx, cy: t.withColumn("_bx", _cell(F.col(cx) - x0, size)).withColumn("_by", _cell(F.col(cy) - y0, size))
+    cells = at(points, "x", "y").select("_bx", "_by").distinct().withColumn("asked", F.lit(True))
+    every = cells.unionByName(at(marks, "tx", "ty").select("_bx", "_by").distinct().withColumn("asked", F.lit(False)))
+    rows = every.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(top)))).withColumn("_ux", F.expr("shiftright(_bx, _level)")).withColumn("_uy", F.expr("shiftright(_by, _level)"))
+    marked = rows.filter("not asked").select("_level", "_ux", "_uy").distinct()
+    found = saved(rows.filter("asked").join(marked, ["_level", "_ux", "_uy"]).groupBy("_bx", "_by").agg(F.min("_level").alias("_level")), "cell-levels")
+    return at(points, "x", "y").join(found, ["_bx", "_by"]).drop("_bx", "_by"), found.select("_level").distinct(), x0, y0
+
+
+def _search(points: DataFrame, marks: DataFrame, dealt: Callable[[DataFrame, float, float], DataFrame], size: float) -> DataFrame:
+    """Pairs of points and targets that may be nearest: each point looks at the cells round it as far as a target is sure to lie.
+
+    A mark in a point's own cell of width s is nearer than s * sqrt(2), which cells of twice that width reach with their
+    neighbours; those farther off than this are left out. dealt puts targets (with _level) in the cells that they reach.
+    """
+    placed, levels, x0, y0 = search_levels(points, marks, size)
+    placed = placed.withColumn("_level", F.col("_level") + 1)
+    wide = F.lit(size) * F.pow(F.lit(2.0), F.col("_level"))
+    bound = wide / math.sqrt(2.0)
+    own = placed.withColumn("_wide", wide).withColumn("_bound", bound).withColumn("_ox", F.floor((F.col("x") - x0) / wide)).withColumn("_oy", F.floor((F.col("y") - y0) / wide))
+    off = lambda c, o, d: F.greatest(F.lit(0.0), (F.col(o) + d) * F.col("_wide") - c, c - (F.col(o) + d + 1) * F.col("_wide"))
+    near = [F.when(F.pow(off(F.col("x") - x0, "_ox", i), 2) + F.pow(off(F.col("y") - y0, "_oy", j), 2) <= F.pow("_bound", 2) * (1 + 1e-9), F.struct((F.col("_ox") + i).alias("_cx"), (F.col("_oy") + j).alias("_cy"))) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    looks = own.withColumn("_c", F.explode(F.filter(F.array(*near), lambda c: c.isNotNull()))).select(*points.columns, "_level", "_bound", "_c.*")
+    return looks.join(dealt(levels.select((F.col("_level") + 1).alias("_level")), x0, y0), ["_level", "_cx", "_cy"])
+
+
+def _finite(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows whose places are numbers: others are near nothing."""
+    return df.filter(" and ".join(f"abs({c}) < double('inf')" for c in columns))
+
+
 def nearest_anywhere(points: DataFrame, targets: DataFrame, target: str, start: float) -> DataFrame:
-    """(point_id, target, distance) of the nearest target without a limit: rings twice as wide each round, for points not done yet."""
-    from rillwise.store import saved
-
-    # a place that is no number is near nothing, however far the rings reach
-    known = targets.filter("abs(tx) < double('inf') and abs(ty) < double('inf')").select(target, "tx", "ty")
-    left = points.filter("abs(x) < double('inf') and abs(y) < double('inf')").select("point_id", "x", "y")
-    done, reach = None, start
-    if known.isEmpty():
-        return left.join(known.limit(0).withColumn("distance", F.lit(0.0)).drop("tx", "ty").withColumn("point_id", F.lit(None).cast(left.schema["point_id"].dataType)), "point_id").select("point_id", "distance", target)
-    while not left.isEmpty():
-        found = saved(nearest(near_points(left, known, reach), "point_id", target, []), "nearest")
-        done = found if done is None else done.unionByName(found)
-        left = saved(left.join(found, "point_id", "left_anti"), "left")
-        reach *= 2
-    return done if done is not None else left.withColumn("distance", F.lit(0.0)).withColumn(target, F.lit(None).cast(known.schema[target].dataType)).drop("x", "y")
+    """(point_id, target, distance) of the nearest target (tx, ty) without a limit; start is the width of the finest cells.
+
+    A point meets two joins: with the levels of cells, and with the targets in the cells that it looks at.
+    """
+    known = _finite(targets.select(target, "tx", "ty"), "tx", "ty")
+    left = _finite(points.select("point_id", "x", "y"), "x", "y")
+    if known.isEmpty() or left.isEmpty():
+        return left.limit(0).join(known.limit(0), F.lit(True)).select("point_id", F.lit(0.0).alias("distance"), target)
+
+    def dealt(levels: DataFrame, x0: float, y0: float) -> DataFrame:
+        each = known.crossJoin(F.broadcast(levels)).withColumn("_wide", F.lit(start) * F.pow(F.lit(2.0), F.col("_level")))  # some twenty levels
+        return each.select(target, "tx", "ty", "_level", F.floor((F.col("tx") - x0) / F.col("_wide")).alias("_cx"), F.floor((F.col("ty") - y0) / F.col("_wide")).alias("_cy"))
+
+    pairs = _search(left, known, dealt, start)
+    pairs = pairs.withColumn("distance", F.sqrt(F.pow(F.col("x") - F.col("tx"), 2) + F.pow(F.col("y") - F.col("ty"), 2)))
+    return nearest(pairs.filter(F.col("distance") <= F.col("_bound") * (1 + 1e-9)), "point_id", target, [])
+
+
+def nearest_line_anywhere(points: DataFrame, segments: DataFrame, target: str, start: float) -> DataFrame:
+    """(point_id, target, distance) of the nearest segment (x0, y0, x1, y1) without a limit; as nearest_anywhere. start should be about a segment's length."""
+    known = _finite(segments.select(target, "x0", "y0", "x1", "y1"), "x0", "y0", "x1", "y1")
+    left = _finite(points.select("point_id", "x", "y"), "x", "y")
+    if known.isEmpty() or left.isEmpty():
+        return left.limit(0).join(known.limit(0), F.lit(True)).select("point_id", F.lit(0.0).alias("distance"), target)
+
+    def dealt(levels: DataFrame, x0: float, y0: float) -> DataFrame:
+        each = known.crossJoin(F.broadcast(levels)).withColumn("_wide", F.lit(start) * F.pow(F.lit(2.0), F.col("_level")))  # some twenty levels
+        cells = lambda c, o: F.explode(F.sequence(*[F.floor((f(f"{c}0", f"{c}1") - o) / F.col("_wide")) for f in (F.least, F.greatest)]))
+        return each.withColumn("_cx", cells("x", x0)).withColumn("_cy", cells("y", y0)).drop("_wide")
+
+    pairs = _search(left, known.select(F.col("x0").alias("tx"), F.col("y0").alias("ty")), dealt, start)
+    d, _ = segment_distance(*[F.col(c) for c in ("x", "y", "x0", "y0", "x1", "y1")])
+    return nearest(pairs.withColumn("distance", d).filter(F.col("distance") <= F.col("_bound") * (1 + 1e-9)), "point_id", target, [])
+
+
+def historical_lookup(points: DataFrame, records: DataFrame, boundary: DataFrame | None, radius: float, record: str = "rec_id") -> DataFrame:
+    """points with inside, n_records (within radius, edge included), nearest_m (without a limit) and warning.
+
+    Outside the boundary nothing is known, so both are null, never 0, and nothing is searched for. Without a boundary
+    (edges: polygon_id, x0, y0, x1, y1) all points with a place count and say so in warning.
+    """
+    if boundary is None:
+        placed = points.withColumn("inside", F.lit(None).cast("boolean"))
+        asked = points.filter("x is not null and y is not null")
+    else:
+        held = covered_by(points, boundary).select("point_id").distinct()
+        placed = points.join(held.withColumn("inside", F.lit(True)), "point_id", "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
+        asked = points.join(held, "point_id", "left_semi")
+    asked = asked.select("point_id", "x", "y")
+    near = near_points(asked, records.select(record, "tx", "ty"), radius).groupBy("point_id").agg(F.count("*").alias("_n"))
+    first = nearest_anywhere(asked, records, record, 2 * radius).select("point_id", F.round("distance", 1).alias("nearest_m"))
+    known = F.col("inside") if boundary is not None else F.col("x").isNotNull() & F.col("y").isNotNull()
+    out = placed.join(near, "point_id", "left").join(first, "point_id", "left")
+    n = F.when(known, F.coalesce("_n", F.lit(0)))
+    return out.withColumn("n_records", n).withColumn("warning", F.lit("no boundary" if boundary is None else None).cast("string")).drop("_n")

@@ -138,13 +138,8 @@ m AS (SELECT point_id, min(round({POINT_D}, 4)) AS d FROM p JOIN t ON t.x IS NOT
 SELECT p.point_id, i.point_id IS NOT NULL AS inside, CASE WHEN i.point_id IS NOT NULL THEN coalesce(n, 0) END AS n_records, CASE WHEN i.point_id IS NOT NULL THEN round(d, 1) END AS nearest_m
 FROM p LEFT JOIN i USING (point_id) LEFT JOIN n USING (point_id) LEFT JOIN m USING (point_id)""")
 def historical_lookup(spark, sf_dir):
-    p, t = points(spark, sf_dir), targets(spark, sf_dir, "pockets").select("rec_id", "tx", "ty")
-    inside = spatial.covered_by(p, boundary_edges(spark)).select("point_id", F.lit(True).alias("inside"))
-    near = spatial.near_points(p, t, 250.0).groupBy("point_id").agg(F.count("*").alias("n"))
-    first = spatial.nearest_anywhere(p, t, "rec_id", 500.0)
-    out = p.join(inside, "point_id", "left").join(near, "point_id", "left").join(first, "point_id", "left")
-    own = lambda c: F.when(F.col("inside"), c)
-    return out.select("point_id", F.coalesce("inside", F.lit(False)).alias("inside"), own(F.coalesce("n", F.lit(0))).alias("n_records"), own(F.round("distance", 1)).alias("nearest_m"))
+    p, t = points(spark, sf_dir), targets(spark, sf_dir, "pockets")
+    return spatial.historical_lookup(p, t, boundary_edges(spark), 250.0).select("point_id", "inside", "n_records", "nearest_m")
 
 
 TRAIN = f"{adapters_sql('train')}, {utm_sql('p', 'train')}"
