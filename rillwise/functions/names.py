@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, functions as F
 
 # Words that do not identify a place on their own, and street types with their common name.
 GENERIC = (
@@ -73,29 +70,18 @@ def street_types(c: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(tokens(c), lambda t: named[t]), lambda t: t.isNotNull()))
 
 
-def _street_types_agree(q: Column, name: Column) -> Column:
+def street_types_agree(q: Column, name: Column) -> Column:
     a, b = street_types(q), street_types(name)
     return (F.size(a) == 0) | (F.size(b) == 0) | F.arrays_overlap(a, b)
 
 
-@F.pandas_udf(T.BooleanType())
-def _all_similar(want: pd.Series, have: pd.Series) -> pd.Series:
-    def one(want, have) -> bool:
-        joined = "".join(have)
-        return all(w in joined or any(SequenceMatcher(None, w, h).ratio() >= RATIO for h in have) for w in want)
-
-    return pd.Series([len(w) > 0 and one(w, h) for w, h in zip(want, have)])
-
-
-def name_matches(q: Column, name: Column) -> Column:
-    """Every distinctive token has a partner of similarity 0.8 or is part of the joined name; named street types must agree."""
-    return _all_similar(distinctive_tokens(q), tokens(name)) & _street_types_agree(q, name)
-
-
 def name_matches_native(q: Column, name: Column) -> Column:
-    """The same by edit distance (at most a fifth of the longer token): no Python, other at the margin."""
+    """Names match where every distinctive token is near one of the name by edit distance (at most a fifth of the longer), or in the name's joined tokens.
+
+    A column expression beside rillwise.operators.fuzzy.matched_names, which goes by the similarity ratio: other at the margin.
+    """
     have = tokens(name)
     joined = F.array_join(have, "")
-    near = lambda w: F.exists(have, lambda h: F.levenshtein(w, h) <= F.greatest(F.length(w), F.length(h)) * (1 - RATIO))
+    near = lambda w: F.exists(have, lambda h: F.levenshtein(w, h) <= F.greatest(F.length(w), F.length(h)) * (1 - RATIO) + 1e-9)
     want = distinctive_tokens(q)
-    return (F.size(want) > 0) & F.forall(want, lambda w: F.contains(joined, w) | near(w)) & _street_types_agree(q, name)
+    return (F.size(want) > 0) & F.forall(want, lambda w: F.contains(joined, w) | near(w)) & street_types_agree(q, name)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rillwise.functions.geo import geodesic_m
-from rillwise.functions.names import distinctive_tokens, name_matches_native
+from rillwise.functions.names import distinctive_tokens
+from rillwise.operators.fuzzy import matched_names
 from rillwise.operators.graph import connected_components
 
 # Limits in metres, and kinds of candidates that are too wide.
@@ -13,14 +14,16 @@ UNCERTAINTY_M, AMBIGUITY_M, WARD_M, BOROUGH_M = 750.0, 1000.0, 2500.0, 6000.0
 WIDE = ("country", "region", "postcode", "district", "place")
 
 
-def choose_candidate(cands: DataFrame, inside: Column, matches=name_matches_native) -> DataFrame:
+def choose_candidate(cands: DataFrame, inside: Column) -> DataFrame:
     """One row for each query_id: status and the candidate that is chosen (the first by rank that passes all gates).
 
     Gates in order: too_generic, outside, name_mismatch, too_vague, ambiguous (another precise one farther than 1 km from the
-    first), ok. cands: query_id, rank, cand_id, query_text, cand_name, kind, lat, lon, extent_m. Queries without candidates have no row.
+    first), ok. cands: query_id, rank, cand_id, query_text, cand_name, kind, lat, lon, extent_m. Names are matched by the
+    similarity ratio of their tokens, each pair of texts once. Queries without candidates have no row.
     """
     c = cands.withColumn("_in", F.coalesce(inside, F.lit(False)))
-    c = c.withColumn("_named", F.col("_in") & F.coalesce(matches(F.col("query_text"), F.col("cand_name")), F.lit(False)))
+    named = matched_names(c.filter("_in"), "query_text", "cand_name")
+    c = c.join(named, ["query_text", "cand_name"], "left").withColumn("_named", F.col("_in") & F.coalesce("named", F.lit(False))).drop("named")
     c = c.withColumn("_fine", F.col("_named") & ~F.coalesce(F.col("kind").isin(*WIDE), F.lit(False)) & (F.coalesce("extent_m", F.lit(0.0)) <= UNCERTAINTY_M))
     n = c.groupBy("query_id").agg(
         F.max(F.size(distinctive_tokens(F.col("query_text")))).alias("distinctive"), F.count_if("_in").alias("n_in"), F.count_if("_named").alias("n_named"), F.count_if("_fine").alias("n_fine"),

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rillwise.functions.geo import in_bbox
-from rillwise.functions.names import GENERIC, name_matches, name_matches_native
-from rillwise.operators import places as p
+from rillwise.functions.names import GENERIC, STREET_TYPES, distinctive_tokens, name_matches_native
+from rillwise.operators import fuzzy as fuzzy_names, places as p
 from rillwise.plans.adapters import adapted, adapters_sql
 from rillwise.plans.registry import query
 
@@ -26,16 +26,36 @@ WORDS = ", ".join(f"'{w}'" for w in GENERIC)
 TOKENS = "regexp_extract_all(lower({}), '[a-z0-9]+')"
 
 
+#: Query texts with slips of the pen, so that tokens are near others without being equal.
+SLIPS = "CASE {0} % 6 WHEN 1 THEN replace({1}, 'l', 'll') WHEN 2 THEN replace({1}, 'd', 't') WHEN 3 THEN replace({1}, 'in', 'im') || ' Lane' WHEN 4 THEN replace({1}, 'g', '') || ' street' WHEN 5 THEN '12th ' || upper({1}) || ' Road' ELSE {1} END"
+TYPES = "[CASE " + " ".join(f"WHEN t = '{a}' THEN '{b}'" for a, b in STREET_TYPES.items()) + " END FOR t IN {}]"
+#: Names that match by the similarity ratio: blocks are found by recursion, for distinct pairs of tokens.
+MATCHED = f"""u AS (SELECT DISTINCT * FROM slips), names AS (SELECT DISTINCT query_text, cand_name FROM u),
+tk AS (SELECT *, [t FOR t IN {TOKENS.format('query_text')} IF t NOT IN ({WORDS}) AND NOT regexp_full_match(t, '\\d+(st|nd|rd|th)?') AND length(t) > 2] AS want, {TOKENS.format('cand_name')} AS have FROM names),
+tp AS (SELECT DISTINCT w, unnest(have) AS h FROM (SELECT unnest(want) AS w, have FROM tk)),
+seg AS (SELECT w, h, 0 AS alo, length(w) AS ahi, 0 AS blo, length(h) AS bhi, 0 AS size FROM tp WHERE 2 * least(length(w), length(h)) >= 0.8 * (length(w) + length(h)) UNION ALL
+  SELECT w, h, CASE WHEN side = 0 THEN alo ELSE m.k - m.i END, CASE WHEN side = 0 THEN -m.i ELSE ahi END, CASE WHEN side = 0 THEN blo ELSE m.k - m.j END, CASE WHEN side = 0 THEN -m.j ELSE bhi END, CASE WHEN side = 0 THEN m.k ELSE 0 END
+  FROM (SELECT *, list_max(flatten(list_transform(range(alo, ahi), lambda a: list_transform(range(blo, bhi), lambda b: {{'k': list_max(list_filter(range(0, least(ahi - a, bhi - b) + 1), lambda z: substr(w, a + 1, z) = substr(h, b + 1, z))), 'i': -a, 'j': -b}})))) AS m FROM seg WHERE alo < ahi AND blo < bhi), (VALUES (0), (1)) s(side) WHERE m.k > 0),
+near AS (SELECT w, list(h) AS near FROM (SELECT w, h FROM seg GROUP BY 1, 2 HAVING 2.0 * sum(size) / (length(w) + length(h)) >= 0.8) GROUP BY 1),
+each AS (SELECT query_text, cand_name, have, unnest(want) AS w FROM tk),
+tokened AS (SELECT query_text, cand_name, bool_and(contains(array_to_string(have, ''), w) OR coalesce(list_has_any(have, near), false)) AS ok FROM each LEFT JOIN near USING (w) GROUP BY 1, 2),
+types AS (SELECT query_text, cand_name, list_filter({TYPES.format(TOKENS.format('query_text'))}, lambda x: x IS NOT NULL) AS a, list_filter({TYPES.format(TOKENS.format('cand_name'))}, lambda x: x IS NOT NULL) AS b FROM names),
+matched AS (SELECT t.query_text, t.cand_name, coalesce(ok, false) AND (len(a) = 0 OR len(b) = 0 OR list_has_any(a, b)) AS named, len(want) AS distinctive FROM tk t JOIN types USING (query_text, cand_name) LEFT JOIN tokened USING (query_text, cand_name))"""
+SLIPPED = f"{CANDS}, slips AS (SELECT * REPLACE ({SLIPS.format('query_id', 'query_text')} AS query_text) FROM cands), {MATCHED}"
+
+
+def slipped(spark, sf_dir):
+    return adapted(spark, sf_dir, "cands").withColumn("query_text", F.expr(SLIPS.format("query_id", "query_text")))
+
+
 def candidates(spark, sf_dir):
-    c = adapted(spark, sf_dir, "cands").dropDuplicates(["query_id", "cand_id", "kind", "extent_m"])
+    c = slipped(spark, sf_dir).dropDuplicates(["query_id", "cand_id", "kind", "extent_m"])
     return c.withColumn("rank", F.struct("cand_id", "kind", F.coalesce("extent_m", F.lit(-1.0)).alias("e")))
 
 
-@query("F8_J25_choose_candidate", f"""WITH {CANDS}, u AS (SELECT DISTINCT * FROM cands), t AS (SELECT *, [t FOR t IN {TOKENS.format('query_text')} IF t NOT IN ({WORDS}) AND NOT regexp_full_match(t, '\\d+(st|nd|rd|th)?') AND length(t) > 2] AS want, {TOKENS.format('cand_name')} AS have FROM u),
-g AS (SELECT *, lat BETWEEN 22.45 AND 22.70 AND lon BETWEEN 88.20 AND 88.50 AS ins FROM t),
-m AS (SELECT *, ins AND len(want) > 0 AND len([w FOR w IN want IF contains(array_to_string(have, ''), w) OR len([h FOR h IN have IF levenshtein(w, h) <= greatest(length(w), length(h)) * (1 - 0.8)]) > 0]) = len(want) AS named FROM g),
-f AS (SELECT *, named AND kind <> 'place' AND coalesce(extent_m, 0) <= 750 AS fine FROM m),
-b AS (SELECT query_id, max(len(want)) AS w, count(*) FILTER (ins) AS ni, count(*) FILTER (named) AS nn, count(*) FILTER (fine) AS nf FROM f GROUP BY 1),
+@query("F8_J25_choose_candidate", f"""WITH RECURSIVE {SLIPPED}, g AS (SELECT u.*, distinctive, lat BETWEEN 22.45 AND 22.70 AND lon BETWEEN 88.20 AND 88.50 AS ins, named AS like_ FROM u JOIN matched USING (query_text, cand_name)),
+f AS (SELECT *, ins AND like_ AS named, ins AND like_ AND kind <> 'place' AND coalesce(extent_m, 0) <= 750 AS fine FROM g),
+b AS (SELECT query_id, max(distinctive) AS w, count(*) FILTER (ins) AS ni, count(*) FILTER (named) AS nn, count(*) FILTER (fine) AS nf FROM f GROUP BY 1),
 o AS (SELECT * FROM f WHERE fine QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cand_id, kind, coalesce(extent_m, -1)) = 1),
 d AS (SELECT f.query_id, max({lambert('o.lat', 'o.lon', 'f.lat', 'f.lon')}) AS spread FROM f JOIN o ON f.query_id = o.query_id WHERE f.fine GROUP BY 1),
 s AS (SELECT b.query_id, CASE WHEN w = 0 THEN 'too_generic' WHEN ni = 0 THEN 'outside' WHEN nn = 0 THEN 'name_mismatch' WHEN nf = 0 THEN 'too_vague' WHEN spread > 1000 THEN 'ambiguous' ELSE 'ok' END AS status FROM b LEFT JOIN d USING (query_id))
@@ -63,12 +83,20 @@ def first(spark, sf_dir):
     return p.first_candidate(adapted(spark, sf_dir, "cands").filter("kind <> 'place'"), ["query_id"], "cand_id", [])
 
 
-@query("P29_name_matches")
+@query("P29_name_matches", f"WITH RECURSIVE {SLIPPED} SELECT query_text, cand_name, named, distinctive FROM matched")
 def fuzzy(spark, sf_dir):
-    """Exact fuzzy matching (similarity ratio) beside its native approximation."""
-    c = adapted(spark, sf_dir, "cands")
-    q, n = F.col("query_text"), F.col("cand_name")
-    return c.select("query_id", "cand_id", name_matches(q, n).alias("exact"), name_matches_native(q, n).alias("native"))
+    """Which names match: every pair of texts that meets, by the similarity ratio of their tokens."""
+    found = fuzzy_names.matched_names(slipped(spark, sf_dir), "query_text", "cand_name")
+    return found.withColumn("distinctive", F.size(distinctive_tokens(F.col("query_text"))))
+
+
+@query("P29_native_names", f"""WITH {CANDS}, slips AS (SELECT * REPLACE ({SLIPS.format('query_id', 'query_text')} AS query_text) FROM cands), t AS (SELECT *, [t FOR t IN {TOKENS.format('query_text')} IF t NOT IN ({WORDS}) AND NOT regexp_full_match(t, '\\d+(st|nd|rd|th)?') AND length(t) > 2] AS want, {TOKENS.format('cand_name')} AS have,
+list_filter({TYPES.format(TOKENS.format('query_text'))}, lambda x: x IS NOT NULL) AS a, list_filter({TYPES.format(TOKENS.format('cand_name'))}, lambda x: x IS NOT NULL) AS b FROM slips)
+SELECT query_id, cand_id, len(want) > 0 AND (len(a) = 0 OR len(b) = 0 OR list_has_any(a, b)) AND len([w FOR w IN want IF contains(array_to_string(have, ''), w) OR len([h FOR h IN have IF levenshtein(w, h) <= greatest(length(w), length(h)) * (1 - 0.8) + 1e-9]) > 0]) = len(want) AS named FROM t""")
+def native(spark, sf_dir):
+    """The same question by edit distance, as a column expression."""
+    c = slipped(spark, sf_dir)
+    return c.select("query_id", "cand_id", name_matches_native(F.col("query_text"), F.col("cand_name")).alias("named"))
 
 
 @query("A25_consistency_outliers", f"""WITH RECURSIVE {adapters_sql('ward_pts')}, e AS (SELECT a.rec_id AS u, b.rec_id AS v FROM ward_pts a JOIN ward_pts b ON a.ward = b.ward AND a.rec_id <> b.rec_id WHERE {lambert('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 2500),

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rillwise.functions import feeds, geo, hydrology as h, names, shapes
-from rillwise.operators import checks, drawings, graph, layers, network, places, quantiles, routes, spatial, weather
+from rillwise.operators import checks, drawings, fuzzy, graph, layers, network, places, quantiles, routes, spatial, weather
 from rillwise.sources import readers
 from rillwise.store import saved
 from rillwise.streaming.weather import decide
@@ -150,11 +150,30 @@ def test_point_on_edge_is_inside(spark):
 
 
 def test_names(spark):
-    rows = [("Hossenpur 2nd Lane", "Hossainpur Lane", True), ("Ripon Lane", "Ripon Street", False), ("2nd Lane", "2nd Lane", False), ("Martin Para", "Martinpara", True)]
-    df = spark.createDataFrame(rows, "q string, n string, want boolean").select("want", names.name_matches(F.col("q"), F.col("n")).alias("got"))
-    assert all(r["want"] == r["got"] for r in df.collect())
-    raw = [("46, Middle Rd (portion) near Park",), ("64 Pally & Other",), ("2A, 2B, 2C Chatu Babu Ln",)]
-    assert column(spark, names.clean_query(F.col("t")), raw, "t string") == ["Middle Road", "64 Pally", "Chatu Babu Lane"]
+    rows = [("Hassanpur 2nd Lane", "Hasanpur Lane", True), ("Tulip Lane", "Tulip Street", False), ("2nd Lane", "2nd Lane", False), ("Silver Quay", "Silverquay", True), ("Silver Quay", "Quay", False)]
+    df = spark.createDataFrame(rows, "q string, n string, want boolean")
+    got = {(r.q, r.n): r.named for r in fuzzy.matched_names(df.unionByName(df), "q", "n").collect()}
+    assert got == {(q, n): want for q, n, want in rows}
+    raw = [("46, Middle Rd (portion) near Park",), ("64 Hill & Other",), ("2A, 2B, 2C Heron Ln",)]
+    assert column(spark, names.clean_query(F.col("t")), raw, "t string") == ["Middle Road", "64 Hill", "Heron Lane"]
+
+
+def test_ratios_are_those_of_matching_blocks():
+    from difflib import SequenceMatcher
+
+    rng = np.random.default_rng(7)
+    one, other = (["".join(rng.choice(list("abcé"), rng.integers(0, 12))) for _ in range(3000)] for _ in range(2))
+    want = [SequenceMatcher(None, a, b).ratio() for a, b in zip(one, other)]
+    assert fuzzy.ratios(one, other).tolist() == want and fuzzy.ratios([], []).tolist() == []
+
+
+def test_bounds_lose_no_similar_token(spark):
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("aabcd1"), rng.integers(1, 8))) for _ in range(120)]
+    pairs = [(a, b) for a in words for b in words]
+    got = {tuple(r) for r in fuzzy.similar_tokens(spark.createDataFrame(pairs, "w string, h string")).collect()}
+    r = fuzzy.ratios([a for a, _ in pairs], [b for _, b in pairs])
+    assert got == {p for p, x in zip(pairs, r) if x >= 0.8} and len(got) > 100
 
 
 def test_outliers(spark):
