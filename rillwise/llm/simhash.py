@@ -18,7 +18,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from rillwise.llm import bitmap, text as tx
 from rillwise.operators.graph import connected_components
@@ -84,12 +84,16 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, fp long")
 
 
+#: Pivots that an id is compared with in each of the first two turns.
+TRIED = 2
+
+
 def linked_components(postings: DataFrame, close: Column, verify: Callable[[DataFrame], DataFrame] | None = None, finer: Callable[[DataFrame], DataFrame] | None = None, links: DataFrame | None = None) -> DataFrame:
     """(node, component) over links between the ids that meet under a key; nodes without a link are not returned.
 
     postings: key, id and what `close`, a condition on a posting and another one (whose columns end in 2), reads. verify
-    takes saved pairs (u, v) that are close and returns those that are links. Two rounds compare each key's ids with one of
-    them only, the second with one that the first reached, so that groups of copies become one component; then ids of a key
+    takes saved pairs (u, v) that are close and returns those that are links. Two rounds compare an id with pivots only, one for
+    each key, the second with one that the first reached, so that groups of copies become one component; then ids of a key
     that are still in different components meet, under the finer keys that `finer` makes of their postings. All of these
     are joins of written tables, which adaptive execution can split: no task holds a key.
     """
@@ -104,11 +108,15 @@ def linked_components(postings: DataFrame, close: Column, verify: Callable[[Data
         if turn < 2:
             nth = F.xxhash64("id") if turn == 0 else F.bitwise_not(F.xxhash64("id"))
             one = F.min(F.struct("alone", nth.alias("nth"), *own)).alias("one")
-            other = saved(live.groupBy("key").agg(one).select("key", *(F.col(f"one.{c}").alias(f"{c}2") for c in own)), "pivots")
+            other = saved(live.groupBy("key").agg(one).select("key", F.col("one.nth").alias("nth2"), *(F.col(f"one.{c}").alias(f"{c}2") for c in own)), "pivots")
         else:
             other = live.select("key", *(F.col(c).alias(f"{c}2") for c in own))
         met = live.join(other, "key").filter(F.col("component") != F.col("component2")).filter(close)
-        met = met.filter("id < id2") if turn == 2 else met
+        if turn < 2:
+            # a group's pivots are mostly few: each id tries the first of them now, and the others only if it is still apart from them
+            met = met.groupBy("id", "id2", "nth2").agg(F.lit(1).alias("one")).withColumn("n", F.row_number().over(W.partitionBy("id").orderBy("nth2", "id2"))).filter(F.col("n") <= TRIED)
+        else:
+            met = met.filter("id < id2")
         pairs = saved(met.select(F.least("id", "id2").alias("u"), F.greatest("id", "id2").alias("v")).distinct(), "pairs")
         found = verify(pairs) if verify else pairs
         links = saved(links.unionByName(found) if links is not None else found, "similar")
