@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("formulas", "spatial", "routes", "network", "weather", "training", "raster", "layers", "drawings", "places", "jobs", "validation")
+MODULES = ("formulas", "spatial", "routes", "network", "weather", "training", "raster", "layers", "drawings", "places", "features", "jobs", "validation")
 
 
 def _load() -> None:

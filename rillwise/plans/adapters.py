@@ -33,7 +33,7 @@ ADAPTERS = {
     "dashes": """SELECT p_partkey AS dash_id, CAST(floor(p_partkey / 10.0e0) AS BIGINT) AS row_no, 'L' AS layer, 12.0e0 * (p_partkey % 10) AS x0, 12.0e0 * (p_partkey % 10) + 8 AS x1,
         50.0e0 * floor(p_partkey / 10.0e0) AS y FROM {part} WHERE p_size % 9 <> 0""",
     "line_labels": """SELECT l.l_partkey AS segment_id, l.l_quantity / 50.0e0 * (10 + 8 * p.p_size) AS pos_m, CASE l.l_linenumber % 3 WHEN 0 THEN 300 WHEN 1 THEN 450 ELSE 600 END AS diameter_mm
-        FROM {lineitem} l JOIN {part} p ON p.p_partkey = l.l_partkey WHERE l.l_linenumber <= 2 AND l.l_orderkey % 5 = 0""",
+        FROM {lineitem} l JOIN {part} p ON p.p_partkey = l.l_partkey""",
     "gcps": """SELECT s_nationkey AS sheet, s_suppkey AS gcp_id, ((s_suppkey * 613) % 2003) * 1.0e0 AS sx, ((s_suppkey * 877) % 3001) * 1.0e0 AS sy,
         591500.0e0 + 0.9e0 * ((s_suppkey * 613) % 2003) - 0.2e0 * ((s_suppkey * 877) % 3001) + CASE WHEN s_suppkey % 5 = 0 THEN 7.0e0 ELSE 0.0e0 END AS mx,
         2487900.0e0 + 0.2e0 * ((s_suppkey * 613) % 2003) + 0.9e0 * ((s_suppkey * 877) % 3001) AS my FROM {supplier}""",

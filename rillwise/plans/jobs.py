@@ -11,18 +11,16 @@ from rillwise.plans.adapters import ADAPTERS, adapted, adapters_sql, table
 from rillwise.plans.formulas import depths, hex_grid
 from rillwise.plans.layers import KEPT, sheets as line_sheets
 from rillwise.plans.registry import query
-from rillwise.plans.spatial import assemble_features, boundary_edges, points, projected, segments, targets
+from rillwise.plans.features import FEATURES, featured
+from rillwise.plans.spatial import boundary_edges, points, projected, segments, targets
 from rillwise.plans.training import train
 from rillwise.sources import readers
 from rillwise.store import saved, scratch
 from rillwise.streaming import weather as stream
 
-FEATURES = ["drain_m", "pump_m", "lat", "lon"]
-
-
 def located(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled points with their features, written once: training reads them again and again."""
-    return saved(assemble_features(train(spark, sf_dir), segments(spark, sf_dir), targets(spark, sf_dir, "pumps")), "features")
+    return saved(featured(spark, sf_dir, train(spark, sf_dir)), "features")
 
 
 def fitted(spark: SparkSession, sf_dir: str):
@@ -32,7 +30,7 @@ def fitted(spark: SparkSession, sf_dir: str):
 @query("M1_M3_E1_location_risk")
 def location_risk(spark, sf_dir):
     """Risk of every point under 40 mm of rain, with its coverage class."""
-    own = assemble_features(points(spark, sf_dir), segments(spark, sf_dir), targets(spark, sf_dir, "pumps")).withColumn("rain_mm", F.lit(40.0))
+    own = featured(spark, sf_dir, points(spark, sf_dir)).withColumn("rain_mm", F.lit(40.0))
     scored = models.score_segments(own, fitted(spark, sf_dir), FEATURES)
     return scored.select("point_id", "susceptibility", "probability", "level", coverage_class(F.col("probability"), F.col("drain_m").isNotNull()).alias("coverage"))
 
@@ -61,7 +59,7 @@ def batch(spark, sf_dir):
 @query("E4_simulate_points")
 def simulate(spark, sf_dir):
     """Scenario risk of all points: 60 mm/h for an hour over the points' susceptibility and the load of their drain."""
-    own = assemble_features(points(spark, sf_dir), segments(spark, sf_dir), targets(spark, sf_dir, "pumps"))
+    own = featured(spark, sf_dir, points(spark, sf_dir))
     scored = models.predict(own, fitted(spark, sf_dir), FEATURES)
     pipes = adapted(spark, sf_dir, "pipes").select(F.col("segment_id").alias("pipe_id"), F.when(F.col("conduit_type") == "pipe", 40 * manning_capacity(F.col("pipe_diameter_mm"))).alias("capacity"))
     storm = spark.createDataFrame([(60.0, 60.0)], "intensity double, minutes double")
@@ -78,7 +76,7 @@ def radius(spark, sf_dir):
     grid = hex_grid(centres, 500.0, 200.0).withColumn("point_id", F.concat_ws(":", "pump_id", "i", "j"))
     lat, lon = utm_to_latlon(F.col("x"), F.col("y"))
     places = grid.select("point_id", "x", "y", lat.alias("lat"), lon.alias("lon"))
-    own = assemble_features(places, segments(spark, sf_dir), targets(spark, sf_dir, "pumps")).withColumn("rain_mm", F.lit(40.0))
+    own = featured(spark, sf_dir, places).withColumn("rain_mm", F.lit(40.0))
     scored = models.score_segments(own, fitted(spark, sf_dir), FEATURES)
     return layers.to_geojson_features(scored, "lon", "lat", ["point_id", "drain_m", "pump_m", "susceptibility", "probability", "level"])
 

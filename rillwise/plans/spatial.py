@@ -182,22 +182,3 @@ def polygon_areas(spark, sf_dir):
     bounds = [f(c).alias(n) for f, c, n in ((F.min, "x0", "xmin"), (F.max, "x0", "xmax"), (F.min, "y0", "ymin"), (F.max, "y0", "ymax"))]
     found = spatial.box_edges(adapted(spark, sf_dir, "boxes"), "body_id").groupBy("body_id").agg(area.alias("area"), F.count("*").cast("int").alias("n_edges"), *bounds)
     return found.select("body_id", F.round("area", 4).alias("area_km2"), F.round("area", 9).between(0.1, 0.5).alias("plausible"), "n_edges", *[F.round(c, 2).alias(c) for c in ("xmin", "xmax", "ymin", "ymax")])
-
-
-@query("J5_assemble_features", f"""WITH {POINTS}, {SEGMENTS}, {PUMPS},
-a AS (SELECT point_id, segment_id, round(round({LINE_D}, 4), 1) AS drain_m FROM p JOIN s ON {LINE_D} <= 500 QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY round({LINE_D}, 4), segment_id) = 1),
-b AS (SELECT point_id, pump_id, round(round({POINT_D}, 4), 1) AS pump_m FROM p JOIN t ON {POINT_D} <= 3000 QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY round({POINT_D}, 4), pump_id) = 1)
-SELECT p.point_id, segment_id, drain_m, pump_id, pump_m, array_to_string(list_filter([CASE WHEN drain_m IS NULL THEN 'drain' END, CASE WHEN pump_m IS NULL THEN 'pump' END], lambda x: x IS NOT NULL), ',') AS missing
-FROM p LEFT JOIN a USING (point_id) LEFT JOIN b USING (point_id)""")
-def features(spark, sf_dir):
-    p = points(spark, sf_dir)
-    return assemble_features(p, segments(spark, sf_dir), targets(spark, sf_dir, "pumps")).select("point_id", "segment_id", "drain_m", "pump_id", "pump_m", F.array_join("missing", ",").alias("missing"))
-
-
-def assemble_features(p: DataFrame, segs: DataFrame, pumps: DataFrame) -> DataFrame:
-    """Points with their drain and pump features and the list of those that are missing."""
-    drain = spatial.nearest_line(p, segs, 500.0).select("point_id", "segment_id", F.col("distance").alias("drain_m"))
-    pump = spatial.nearest_point(p, pumps, 3000.0, "pump_id").select("point_id", "pump_id", F.col("distance").alias("pump_m"))
-    out = p.join(drain, "point_id", "left").join(pump, "point_id", "left")
-    gaps = F.array(*[F.when(F.col(c).isNull(), F.lit(n)) for c, n in (("drain_m", "drain"), ("pump_m", "pump"))])
-    return out.withColumn("missing", F.filter(gaps, lambda x: x.isNotNull()))
