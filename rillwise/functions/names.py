@@ -17,43 +17,34 @@ STREET_TYPES = {
 RATIO = 0.8
 
 
-# Words before another place, words that name nothing, phrases of several words with a word for them, and
-# street types cut short.
-BESIDE = "near beside opp opposite infront towards".split()
-EMPTY = "portion part jn".split()
-PHRASES = {"in front of": "infront", "infront of": "infront", "junction of": "jn", "crossing of": "jn"}
+# Words before another place, words that name nothing (both as patterns, in any case), street types cut short,
+# and what a premises number looks like.
+BESIDE = (r"near", r"beside", r"opp\.?", r"opposite", r"infront of", r"in front of", r"towards")
+EMPTY = (r"portion", r"part", r"jn\.?", r"junction of", r"crossing of")
 SHORT = {"Rd": "Road", "St": "Street", "Ln": "Lane"}
-PREMISES = r"^\d[0-9A-Za-z/\-]*"
+PREMISES = r"\d[0-9A-Za-z/\-]*"
+#: The rules in their order: what is found, and what stands there then. A rule that ends a text takes all that follows.
+CLEANING = (
+    (r"\([^)]*\)?", " "),
+    (r"(?s)(\s*&|\s+and\s+[A-Z]).*", ""),
+    (rf"(?is)\s+({'|'.join(BESIDE)})\s.*", ""),
+    (rf"(?i)\b({'|'.join(EMPTY)})\b", " "),
+    (rf"^\s*({PREMISES}\s*,\s*)+({PREMISES}\s+)?", ""),
+    *((rf"\b{short}\b\.?", long) for short, long in SHORT.items()),
+    (r"\s+", " "),
+)
 
 
 def clean_query(c: Column) -> Column:
     """The first place a location text names, with street types written out.
 
-    A text is a list of words: what stands in brackets isn't read; the list ends before an ampersand, before an "and" that a
-    capital follows and before a word of BESIDE; premises numbers with a comma, and one number after them, don't begin it.
+    Brackets are dropped, also one that isn't closed; the text ends before an ampersand, before an "and" that a capital
+    follows and before a word of BESIDE between white space; words of EMPTY are dropped; premises numbers go where each is
+    followed by a comma, and one number after them. Words end at any character that is no letter, digit or underscore.
     """
-    for phrase, word in PHRASES.items():
-        c = F.regexp_replace(c, "(?i)" + phrase.replace(" ", r"\s+"), word)
-    for pattern, put in ((r"\([^)]*\)?", " "), ("&", " & "), (r"\s*,\s*", ", "), (r"\s+", " ")):
-        c = F.regexp_replace(c, pattern, put)
-    words = F.split(F.trim(c), " ")
-    plain = lambda w: F.rtrim(w, F.lit(".,"))
-
-    def ends(w: Column, i: Column) -> Column:
-        after = F.get(words, i + 1)
-        named = (i > 0) & after.isNotNull() & F.lower(plain(w)).isin(*BESIDE)
-        return (w == "&") | ((i > 0) & (w == "and") & F.coalesce(after.rlike("^[A-Z]"), F.lit(False))) | named
-
-    end = F.array_position(F.transform(words, ends), True)
-    words = F.when(end > 0, F.slice(words, 1, F.greatest(end - 1, F.lit(0)).cast("int"))).otherwise(words)
-    words = F.filter(words, lambda w: ~F.lower(plain(w)).isin(*EMPTY))
-    numbers = F.array_position(F.transform(words, lambda w: w.rlike(PREMISES + ",$")), False) - 1
-    numbers = F.when(numbers < 0, F.size(words)).otherwise(numbers)
-    bare = (numbers > 0) & F.coalesce(F.get(words, numbers.cast("int")).rlike(PREMISES + "$"), F.lit(False)) & (numbers + 1 < F.size(words))
-    words = F.slice(words, numbers.cast("int") + 1 + bare.cast("int"), F.size(words))
-    long = F.create_map(*[F.lit(x) for pair in SHORT.items() for x in pair])
-    words = F.transform(words, lambda w: F.when(long[plain(w)].isNotNull(), F.concat(long[plain(w)], F.when(w.endswith(","), ",").otherwise(""))).otherwise(w))
-    return F.trim(F.array_join(words, " "), F.lit(" ,.-"))
+    for pattern, put in CLEANING:
+        c = F.regexp_replace(c, "(?U)" + pattern, put)
+    return F.trim(c, F.lit(" ,.-"))
 
 
 def tokens(c: Column) -> Column:

@@ -127,14 +127,31 @@ def distinctive(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(names.distinctive_tokens(text), " ").alias("tokens"))
 
 
-@query("P27_clean_query", r"""SELECT p_partkey, p_name || CASE p_partkey % 4 WHEN 0 THEN ' Street' WHEN 1 THEN ' Road' WHEN 2 THEN ' Lane' ELSE '' END AS cleaned FROM part""")
+#: Pieces of location texts, many of them words of the cleaning rules; texts are drawn from them by the part's number.
+PIECES = (
+    "46,", " ", "4,5", " ", "12/A, ", "7-B ", "St", " St.", "-", "Rd", " Rd. ", "Ln", ". ", " near ", " NEAR", "opp. ", " opp ", "(portion)", " (from x", ")", " part ", "portion", "jn.", " Jn ", "junction of ", " & ", "&", " and ", "and",
+    "Middle", "hill", " Pally", "22 Bigha", " in front of ", " infront of", "towards ", ", ", "Stone", "Rdx", "  ", "crossing of ", "apart", "-John",
+)
+N_PIECES = 9
+DRAWS = [(37 + 62 * k, 11 * k * k + 3 * k) for k in range(N_PIECES)]
+
+
+def _clean_sql() -> str:
+    pieces = "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in PIECES) + "]"
+    text = " || ".join(f"{pieces}[1 + CAST(floor({a} * p_partkey / 7 + {b}) AS BIGINT) % {len(PIECES)}]" for a, b in DRAWS)
+    cleaned = "raw"
+    for pattern, put in names.CLEANING:
+        cleaned = f"regexp_replace({cleaned}, '{pattern}', '{put}', 'g')"
+    return f"SELECT p_partkey, raw, trim({cleaned}, ' ,.-') AS cleaned FROM (SELECT p_partkey, {text} AS raw FROM part)"
+
+
+@query("P27_clean_query", _clean_sql())
 def clean(spark, sf_dir):
-    kind, name, brand = F.col("p_partkey") % 4, F.col("p_name"), F.col("p_brand")
-    raw = (
-        F.when(kind == 0, F.concat(F.lit("46, "), name, F.lit(" St. (portion) near "), brand, F.lit(" & more"))).when(kind == 1, F.concat(name, F.lit("  Rd opp. "), brand))
-        .when(kind == 2, F.concat(F.lit("12/A, 7-B , 14 "), name, F.lit(" Ln in front of "), brand)).otherwise(F.concat(F.lit("junction of "), name, F.lit(" and "), brand))
-    )
-    return table(spark, sf_dir, "part").select("p_partkey", names.clean_query(raw).alias("cleaned"))
+    """Location texts of many forms, cleaned."""
+    pieces = F.array(*[F.lit(x) for x in PIECES])
+    piece = lambda a, b: F.get(pieces, (F.floor(a * F.col("p_partkey") / 7 + b) % len(PIECES)).cast("int"))
+    raw = F.concat(*[piece(a, b) for a, b in DRAWS])
+    return table(spark, sf_dir, "part").select("p_partkey", raw.alias("raw"), names.clean_query(raw).alias("cleaned"))
 
 
 @query("P37_source_state", f"""WITH {adapters_sql('wx')} SELECT station, max(CASE WHEN outcome = 'ok' THEN 1 ELSE 0 END) = 1 AS success, CASE WHEN station % 5 = 0 THEN 'NOT_CONFIGURED' WHEN bool_or(outcome = 'ok') THEN 'LIVE' ELSE 'ERROR' END AS live,

@@ -67,8 +67,8 @@ def measures(spark, sf_dir):
 
 
 @query("G4_G5_sample_routes", f"""WITH {VERTICES}, ed AS (SELECT *, lead(x) OVER w AS x1, lead(y) OVER w AS y1, lead(measure) OVER w AS m1 FROM ms WINDOW w AS (PARTITION BY route_id ORDER BY part, seq, k1, k2, k3, k4, k5)),
-sm AS (SELECT route_id, i, i * 750.0 AS dist FROM (SELECT route_id, length, unnest(range(0, CAST(ceil(length / 750.0) AS BIGINT) + 1)) AS i FROM (SELECT DISTINCT route_id, length FROM ms)) WHERE i * 750.0 < length - 1e-6),
-pl AS (SELECT sm.route_id, i, dist, x + (dist - measure) / (m1 - measure) * (x1 - x) AS x, y + (dist - measure) / (m1 - measure) * (y1 - y) AS y FROM sm JOIN ed ON sm.route_id = ed.route_id AND m1 > measure AND dist >= measure AND dist < m1),
+pl AS (SELECT route_id, i, i * 750.0 AS dist, x + (i * 750.0 - measure) / (m1 - measure) * (x1 - x) AS x, y + (i * 750.0 - measure) / (m1 - measure) * (y1 - y) AS y
+  FROM (SELECT *, unnest(range(CAST(ceil(measure / 750.0) AS BIGINT), CAST(ceil(least(m1, length - 1e-6) / 750.0) AS BIGINT))) AS i FROM ed WHERE m1 > measure)),
 en AS (SELECT route_id, CASE WHEN length > 1e-6 THEN CAST(ceil((length - 1e-6) / 750) AS BIGINT) ELSE 0 END AS i, length AS dist, x, y FROM ed WHERE m1 IS NULL)
 SELECT route_id, i, round(dist, 1) AS dist, round(x, 1) AS x, round(y, 1) AS y FROM (SELECT * FROM pl UNION ALL SELECT * FROM en)""")
 def samples(spark, sf_dir):

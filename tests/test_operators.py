@@ -343,3 +343,13 @@ def test_route_without_segments(spark):
     segs = spark.createDataFrame([(3, 0.3, "LOW"), (3, None, "HIGH"), (3, 0.1, None)], "route_id long, prob double, level string")
     got = {x["route_id"]: (x["most"], x["exposed_m"]) for x in r.route_metrics(routes, segs).collect()}
     assert got == {1: (0.5, 200), 2: (None, 0), 3: (0.3, 600)}
+
+
+def test_cleaned_places(spark):
+    want = {
+        "4,5 Heron Nagar": "Heron Nagar", "4,5": "5", "46, jn. 7, Mill Rd": "7, Mill Road", "St-John Ln.": "Street-John Lane", "Stone St": "Stone Street", "a (b": "a", "a (b) c": "a c", "x and y": "x and y", "x and Y": "x", "x&y": "x",
+        "near Park": "near Park", "a near": "a near", "a opp. b": "a", "a opposite b": "a", "apart part": "apart", "22 Bigha": "22 Bigha", "2A, 2B, 2C Heron Ln": "Heron Lane", "é Rd, ": "é Road", "": "", "  ,.- ": "",
+    }
+    got = column(spark, names.clean_query(F.col("t")), [(t,) for t in want], "t string")
+    assert dict(zip(want, got)) == want
+    assert column(spark, names.clean_query(F.col("t")), [(None,)], "t string") == [None]
