@@ -79,9 +79,15 @@ def first_by(df: DataFrame, keys: list, order: list) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter("_r = 1").drop("_r")
 
 
+def hash_number(*parts: str | int | Column) -> Column:
+    """A whole number below 2**28 that depends on the parts alone, the same in every engine: the first seven digits of the MD5 of the parts joined by colons."""
+    text = F.concat_ws(":", *[F.lit(str(p)) if isinstance(p, int) else (F.col(p) if isinstance(p, str) else p).cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 7), 16, 10).cast("long")
+
+
 def hash_share(*ids: str, seed: int = 42) -> Column:
     """A number from 0 to 1 that depends on the ids and the seed alone: rows are split alike in every run."""
-    return F.pmod(F.xxhash64(*ids, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    return hash_number(seed, *ids) / float(1 << 28)
 
 
 def split(df: DataFrame, test: float, seed: int, *ids: str) -> tuple[DataFrame, DataFrame]:
@@ -91,7 +97,7 @@ def split(df: DataFrame, test: float, seed: int, *ids: str) -> tuple[DataFrame,
 
 def limit_sample(df: DataFrame, n: int, seed: int, *ids: str) -> DataFrame:
     """n rows without replacement: those least by a seeded hash of their ids."""
-    return df.orderBy(F.xxhash64(*ids, F.lit(seed)), *ids).limit(n)
+    return df.orderBy(hash_number(seed, *ids), *ids).limit(n)
 
 
 def top_offenders(df: DataFrame, keys: list[str], item: Column, n: int = 25) -> DataFrame:

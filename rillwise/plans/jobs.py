@@ -11,9 +11,9 @@ from rillwise.plans.adapters import ADAPTERS, adapted, adapters_sql, table
 from rillwise.plans.formulas import depths, hex_grid
 from rillwise.plans.layers import KEPT, sheets as line_sheets
 from rillwise.plans.registry import query
-from rillwise.plans.features import FEATURES, featured
+from rillwise.plans.features import FEATURES, LAYERS, OF_POINTS, featured
 from rillwise.plans.spatial import boundary_edges, points, projected, segments, targets
-from rillwise.plans.training import train
+from rillwise.plans.training import SCENARIOS, train
 from rillwise.sources import readers
 from rillwise.store import saved, scratch
 from rillwise.streaming import weather as stream
@@ -81,10 +81,35 @@ def radius(spark, sf_dir):
     return layers.to_geojson_features(scored, "lon", "lat", ["point_id", "drain_m", "pump_m", "susceptibility", "probability", "level"])
 
 
-@query("E7_build_training")
+JITTER = "(('0x' || md5('{0}:' || i || ':' || j)[1:7])::BIGINT % 1201 - 600) / 10.0"
+#: Positives and negatives of the training set as points p, in SQL.
+TRAINING_POINTS = f"""pos AS (SELECT CAST(rec_id AS VARCHAR) AS point_id, x, y FROM rk WHERE lat IS NOT NULL QUALIFY row_number() OVER (PARTITION BY round(lat, 6), round(lon, 6) ORDER BY rec_id) = 1),
+box AS (SELECT min(x0) AS a, max(x0) AS b, min(y0) AS c, max(y0) AS d FROM e), gi AS (SELECT *, unnest(range(0, CAST(floor((b - a) / 300) AS BIGINT) + 1)) AS i FROM box), gj AS (SELECT *, unnest(range(0, CAST(floor((d - c) / 300) AS BIGINT) + 1)) AS j FROM gi),
+cand AS (SELECT 'neg_' || i || '_' || j AS point_id, a + i * 300 + {JITTER.format('x')} AS x, c + j * 300 + {JITTER.format('y')} AS y FROM gj),
+within AS (SELECT cand.point_id FROM cand JOIN e ON (e.y0 > cand.y) <> (e.y1 > cand.y) AND cand.x < e.x0 + (cand.y - e.y0) * (e.x1 - e.x0) / (e.y1 - e.y0) GROUP BY 1 HAVING count(*) % 2 = 1),
+close_ AS (SELECT DISTINCT cand.point_id FROM cand JOIN pos ON abs(cand.x - pos.x) < 300 AND abs(cand.y - pos.y) < 300 AND (cand.x - pos.x) ** 2 + (cand.y - pos.y) ** 2 < 90000),
+p AS (SELECT *, 1 AS label FROM pos UNION ALL SELECT *, 0 FROM cand WHERE point_id IN (SELECT point_id FROM within) AND point_id NOT IN (SELECT point_id FROM close_))"""
+TRAINED = ["elevation_m", "slope_pct", "drain_m", "pump_m", "water_m", "pipe_diameter_mm"]
+SCENARIO_ROWS = ", ".join(f"('{a}', {b}::DOUBLE)" for a, b in SCENARIOS)
+
+
+@query("E7_build_training", f"""WITH {LAYERS}, {TRAINING_POINTS}, {OF_POINTS}
+SELECT point_id || '__' || scenario AS row_id, point_id, label, scenario, mm, round(x, 3) AS x, round(y, 3) AS y, round(elevation_m, 4) AS elevation_m, round(slope_pct + 1e-9, 3) AS slope_pct, drain_m, pump_m, water_m, pipe_diameter_mm FROM ft, (VALUES {SCENARIO_ROWS}) v(scenario, mm)""")
 def build(spark, sf_dir):
-    """Every training row: positives (records at distinct places), and negatives from a lattice inside the boundary at least 300 m off them."""
-    return build_training(spark, sf_dir).select("point_id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), "label")
+    """Every training row, written as CSV and read again: positives (records at distinct places), negatives from a lattice, with the features of all layers, under every scenario."""
+    rows = training_rows(featured(spark, sf_dir, build_training(spark, sf_dir)), spark.createDataFrame(SCENARIOS, "scenario string, mm double"))
+    path = scratch(spark, "training-set")
+    readers.write_training(rows, path)
+    return readers.read_training(spark, path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema))
+
+
+@query("E7_A7_training_report", f"""WITH {LAYERS}, {TRAINING_POINTS}, {OF_POINTS} SELECT count(*) AS n_places, count(*) FILTER (label = 1) AS positives, count(*) FILTER (label = 1 AND drain_m IS NOT NULL) AS positives_with_drain,
+{', '.join(f'round(100.0 * count({c}) / count(*) + 1e-9, 2) AS {c}_pct' for c in TRAINED)} FROM ft""")
+def training_report(spark, sf_dir):
+    """How complete the training set is: one row over its places."""
+    f = featured(spark, sf_dir, build_training(spark, sf_dir))
+    known = [F.round(100.0 * F.count(c) / F.count("*") + 1e-9, 2).alias(f"{c}_pct") for c in TRAINED]
+    return f.agg(F.count("*").alias("n_places"), F.count_if(F.col("label") == 1).alias("positives"), F.count_if((F.col("label") == 1) & F.col("drain_m").isNotNull()).alias("positives_with_drain"), *known)
 
 
 def build_training(spark: SparkSession, sf_dir: str, step: float = 300.0) -> DataFrame:
@@ -93,13 +118,20 @@ def build_training(spark: SparkSession, sf_dir: str, step: float = 300.0) -> Dat
     pos = projected(kept).select(F.col("rec_id").cast("string").alias("point_id"), "x", "y")
     box = boundary_edges(spark).agg(F.min("x0").alias("a"), F.max("x0").alias("b"), F.min("y0").alias("c"), F.max("y0").alias("d"))
     grid = box.withColumn("i", F.explode(F.sequence(F.lit(0), F.floor((F.col("b") - F.col("a")) / step)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.floor((F.col("d") - F.col("c")) / step))))
-    jitter = lambda s: (F.pmod(F.xxhash64("i", "j", F.lit(s)), F.lit(1201)) - 600) / 10.0
+    jitter = lambda s: (checks.hash_number(F.lit(s), "i", "j") % 1201 - 600) / 10.0
     cand = grid.select(F.concat_ws("_", F.lit("neg"), "i", "j").alias("point_id"), (F.col("a") + F.col("i") * step + jitter("x")).alias("x"), (F.col("c") + F.col("j") * step + jitter("y")).alias("y"))
     inside = cand.join(spatial.covered_by(cand, boundary_edges(spark)).select("point_id"), "point_id", "left_semi")
     neg = spatial.far_from(inside, pos.select(F.col("x").alias("tx"), F.col("y").alias("ty")), 300.0)
     return pos.withColumn("label", F.lit(1)).unionByName(neg.withColumn("label", F.lit(0)))
 
 
+def training_rows(places: DataFrame, scenarios: DataFrame) -> DataFrame:
+    """A row for each place with its features and each scenario (a few)."""
+    rounded = {"x": F.round("x", 3), "y": F.round("y", 3), "elevation_m": F.round("elevation_m", 4), "slope_pct": F.round(F.col("slope_pct") + 1e-9, 3)}
+    each = places.crossJoin(F.broadcast(scenarios)).withColumn("row_id", F.concat_ws("__", "point_id", "scenario"))
+    return each.select("row_id", "point_id", "label", "scenario", "mm", *[rounded.get(c, F.col(c)).alias(c) for c in ("x", "y", *TRAINED)])
+
+
 @query("E9_merge_layers", f"""WITH {adapters_sql('pipes')}, {KEPT}, k AS (SELECT kept.segment_id, rank, ward FROM kept JOIN pipes p ON p.segment_id = line_no)
 SELECT segment_id, 'kmc_w' || ward || '_' || CASE WHEN i < 100000 THEN lpad(CAST(i AS VARCHAR), 5, '0') ELSE CAST(i AS VARCHAR) END AS id, rank FROM (SELECT *, row_number() OVER (PARTITION BY ward ORDER BY segment_id) AS i FROM k)""")
 def merge(spark, sf_dir):

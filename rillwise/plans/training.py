@@ -165,7 +165,8 @@ def partial(spark, sf_dir):
     return p.filter("(distance is null and (pipe_diameter_mm is not null or capacity is not null)) or (capacity is not null and pipe_diameter_mm is null)").select("segment_id")
 
 
-@query("M6_O2_split")
+@query("M6_O2_split", f"""WITH {adapters_sql('train')}, h AS (SELECT point_id, ('0x' || md5('42:' || point_id)[1:7])::BIGINT / 268435456.0 AS share, row_number() OVER (ORDER BY ('0x' || md5('7:' || point_id)[1:7])::BIGINT, point_id) AS k FROM train)
+SELECT point_id, CASE WHEN share < 0.2 THEN 'test' ELSE 'train' END AS part, k <= 50 AS sampled FROM h""")
 def split(spark, sf_dir):
     """Every labelled point with its part of the split, and whether it is in the seeded sample of 50."""
     t = train(spark, sf_dir)
