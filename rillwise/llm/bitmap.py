@@ -25,13 +25,19 @@ def pages(keys: DataFrame, key: str) -> DataFrame:
     return marked.groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits"))
 
 
-def may_hold(rows: DataFrame, key: Column, keys: DataFrame, name: str) -> DataFrame:
-    """The rows whose key is in column name of keys, and few others. No row moves: the bitmap goes to them."""
+def flagged(rows: DataFrame, key: Column, keys: DataFrame, name: str, flag: str) -> DataFrame:
+    """rows with a flag: whether their key may be in column name of keys (of keys that are not, few have it). No row moves: the bitmap goes to them."""
     slot = _slot(key)
     bit = slot % PAGE
-    found = rows.join(F.broadcast(pages(keys, name).withColumnRenamed("page", "_page").withColumnRenamed("bits", "_bits")), F.floor(slot / PAGE).cast("int") == F.col("_page"))
+    found = rows.join(F.broadcast(pages(keys, name).withColumnRenamed("page", "_page").withColumnRenamed("bits", "_bits")), F.floor(slot / PAGE).cast("int") == F.col("_page"), "left")
     byte = F.conv(F.hex(F.substring(F.col("_bits"), (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return found.filter(F.pmod(F.floor(byte / F.pow(F.lit(2), bit % 8)), F.lit(2)) == 1).drop("_page", "_bits")
+    held = F.pmod(F.floor(byte / F.pow(F.lit(2), bit % 8)), F.lit(2)) == 1
+    return found.withColumn(flag, F.coalesce(held, F.lit(False))).drop("_page", "_bits")
+
+
+def may_hold(rows: DataFrame, key: Column, keys: DataFrame, name: str) -> DataFrame:
+    """The rows whose key is in column name of keys, and few others."""
+    return flagged(rows, key, keys, name, "_held").filter("_held").drop("_held")
 
 
 def collected(keys: DataFrame, name: str) -> np.ndarray:

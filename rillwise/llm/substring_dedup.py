@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rillwise.llm import text as tx
+from rillwise.llm import bitmap, text as tx
 from rillwise.store import saved
 
 WINDOW = 50
@@ -77,20 +77,20 @@ def _occurrences(docs: DataFrame, window: int, anchor: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            raw, ids = tx.utf8(batch["text"]), batch["doc_id"].to_numpy()
+            raw, ids, keys = tx.utf8(batch["text"]), batch["doc_id"].to_numpy(), batch["row_key"].to_numpy()
             for part in tx.chunks(raw):
                 found = anchors(tx.Words(raw[part]), window, anchor)
                 if found:
-                    yield pd.DataFrame({"doc_id": ids[part][found["text"]], "first": found["first"].astype(np.int32), "span": (found["last"] - found["first"]).astype(np.int16), "seed": tx.signed(found["seed"]), "cover": tx.signed(found["cover"])})
+                    yield pd.DataFrame({"doc_id": ids[part][found["text"]], "row_key": keys[part][found["text"]], "first": found["first"].astype(np.int32), "span": (found["last"] - found["first"]).astype(np.int16), "seed": tx.signed(found["seed"]), "cover": tx.signed(found["cover"])})
 
-    known = docs.filter("doc_id is not null").select("doc_id", "text")
-    return known.mapInPandas(run, f"doc_id {kind}, first int, span short, seed long, cover long")
+    known = docs.filter("doc_id is not null").select("doc_id", F.xxhash64("text").alias("row_key"), "text")
+    return known.mapInPandas(run, f"doc_id {kind}, row_key long, first int, span short, seed long, cover long")
 
 
 def _windows(docs: DataFrame, asked: DataFrame, window: int) -> DataFrame:
     """(seed, cover, shift, hash, doc_id) of each window of the asked occurrences."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    wanted = asked.groupBy("doc_id").agg(F.collect_list(F.struct("first", "span", "seed", "cover")).alias("asked"))
+    wanted = asked.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("first", "span", "seed", "cover")).alias("asked"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -105,30 +105,32 @@ def _windows(docs: DataFrame, asked: DataFrame, window: int) -> DataFrame:
                     each = lambda values: np.repeat(np.array(values), n)
                     yield pd.DataFrame({"doc_id": each([d for d, _, _ in rows]), "seed": each([x["seed"] for _, _, x in rows]), "cover": each([x["cover"] for _, _, x in rows]), "shift": shift.astype(np.int16), "hash": tx.signed(_Plain(words).digest(at, at + window, np.zeros_like(at)))})
 
-    return docs.select("doc_id", "text").join(wanted, "doc_id").mapInPandas(run, f"doc_id {kind}, seed long, cover long, shift short, hash long")
+    texts = bitmap.may_hold(docs.select("doc_id", F.xxhash64("text").alias("row_key"), "text"), F.col("row_key"), wanted, "row_key")
+    return texts.join(wanted, ["doc_id", "row_key"]).mapInPandas(run, f"doc_id {kind}, seed long, cover long, shift short, hash long")
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(doc_id, begin, end): word ranges of windows whose word sequence also starts in a document with a smaller doc_id.
+    """(doc_id, row_key, begin, end): word ranges of windows whose word sequence also starts in a document with a smaller doc_id.
 
-    Ranges of one document may overlap; joined, they are the maximal repeats. doc_id names the text: rows that repeat a
-    doc_id are taken for the same text. Rows without a doc_id neither give nor get repeats; null texts have no words.
+    Ranges of one document may overlap; joined, they are the maximal repeats. row_key is the text's hash: of rows that share a
+    doc_id each has the ranges of its own text, and none is judged by another row of its doc_id. Rows without a doc_id neither
+    give nor get repeats; null texts have no words.
     """
     tx.small_batches(docs.sparkSession)
     found = saved(_occurrences(docs, window, anchor), "anchors")
     # what is joined is written first: both sides of each join are then plain exchanges, whose hot keys Spark can split
     shared = saved(found.groupBy("seed").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("seed"), "shared-seeds")
     found = saved(found.join(shared, "seed"), "shared-anchors")
-    classes = saved(found.groupBy("seed", "cover").agg(F.min(F.struct("doc_id", "first", "span")).alias("one")), "classes")
+    classes = saved(found.groupBy("seed", "cover").agg(F.min(F.struct("doc_id", "first", "span", "row_key")).alias("one")), "classes")
     several = saved(classes.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed"), "several")
-    asked = saved(classes.join(several, "seed").select("seed", "cover", "one.doc_id", "one.first", "one.span"), "asked")
+    asked = saved(classes.join(several, "seed").select("seed", "cover", "one.doc_id", "one.row_key", "one.first", "one.span"), "asked")
     seen = saved(_windows(docs, asked, window), "windows")
     before = saved(seen.groupBy("seed", "hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most"), "before")
     matched = seen.join(before.select("seed", "hash", "least"), ["seed", "hash"]).filter("doc_id > least").groupBy("seed", "cover").agg(F.min("shift").alias("low"), F.max("shift").alias("high"))
     known = saved(classes.select("seed", "cover", F.col("one.doc_id").alias("least")).join(matched, ["seed", "cover"], "left"), "known")
     settled = found.join(known, ["seed", "cover"]).withColumn("all", F.col("doc_id") > F.col("least")).filter("all or low is not null")
     low, high = F.when(F.col("all"), F.lit(0)).otherwise(F.col("low")), F.when(F.col("all"), F.col("span")).otherwise(F.col("high"))
-    return settled.select("doc_id", (F.col("first") + low).alias("begin"), (F.col("first") + high + window).alias("end"))
+    return settled.select("doc_id", "row_key", (F.col("first") + low).alias("begin"), (F.col("first") + high + window).alias("end"))
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -136,7 +138,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     kind = docs.schema["doc_id"].dataType.simpleString()
     tx.small_batches(docs.sparkSession)
     ranges = saved(repeated_spans(docs, window, anchor), "repeats")
-    ranges = ranges.groupBy("doc_id").agg(F.collect_set(F.struct("begin", "end")).alias("ranges")).withColumnRenamed("doc_id", "_doc")
+    ranges = ranges.groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("begin", "end")).alias("ranges"))
     schema = f"doc_id {kind}, n_words long, n_removed long, kept string, spans array<struct<begin:long,end:long>>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,7 +158,11 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
                 out.append((doc, len(words), len(words) - len(kept), b" ".join(kept).decode("utf-8", "surrogatepass"), [{"begin": b, "end": e} for b, e in spans]))
             yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept", "spans"]).astype({"doc_id": batch["doc_id"].dtype})
 
-    return docs.select("doc_id", "text").join(ranges, F.col("doc_id") == F.col("_doc"), "left").select("doc_id", "text", "ranges").mapInPandas(run, schema)
+    # texts that no range belongs to stay where they are
+    flagged = bitmap.flagged(docs.select("doc_id", F.xxhash64("text").alias("row_key"), "text"), F.col("row_key"), ranges, "row_key", "_may")
+    met = flagged.filter("_may").join(ranges, ["doc_id", "row_key"], "left").select("doc_id", "text", "ranges")
+    alone = flagged.filter("not _may").select("doc_id", "text", F.lit(None).cast(met.schema["ranges"].dataType).alias("ranges"))
+    return met.unionByName(alone).mapInPandas(run, schema)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
