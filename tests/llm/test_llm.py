@@ -177,6 +177,13 @@ def test_substrings_on_documents(spark, docs):
     assert list(got[["doc_id", "n_words", "n_removed", "kept_sha256"]].itertuples(index=False, name=None)) == want
 
 
+def test_substrings_of_texts_under_one_doc_id(spark):
+    a, filler, other = long_text(100, 41), long_text(60, 42), long_text(400, 43)
+    rows = [(1, a), (2, f"{filler} {a}"), (2, other), (3, other), (3, other), (None, a)]
+    got = {(r.doc_id, r.n_words): r.n_removed for r in sd.without_repeats(frame(spark, rows)).collect()}
+    assert got == {(1, 100): 0, (2, 160): 100, (2, 400): 0, (3, 400): 400, (None, 100): 0}
+
+
 def test_substrings_odd_rows(spark, odd):
     got = sd.without_repeats(odd).toPandas().set_index("doc_id")
     assert len(got) == 12 and got.loc[7, "n_removed"] == 40_000 and got.loc[6, "n_removed"] == 0
@@ -886,3 +893,33 @@ def test_pipeline_odd_rows(spark, odd):
         now = cp.saved(stage(spark, now, SF), name)
     assert {r["doc_id"] for r in now.select("doc_id").distinct().collect()} >= {2, 3, 5, 9}
     assert now.filter(F.col("length") < 1).count() == 0
+
+
+def test_a_common_phrase_forms_few_pairs(spark, monkeypatch):
+    """200 items and 300 documents that share one phrase and little else, and three documents with an item in them."""
+    kept, saved = {}, dc.saved
+
+    def count(df, name):
+        out = saved(df, name)
+        kept[name] = kept.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(dc, "saved", count)
+    phrase = "in the course of this study we"
+    items = spark.createDataFrame([(i, f"{phrase} " + " ".join(f"i{i}x{k}" for k in range(30))) for i in range(200)], "item_id int, text string")
+    body = lambda i: " ".join(f"d{i}y{k}" for k in range(60))
+    leak = lambda i: f"{body(i)} " + " ".join(f"i{i}x{k}" for k in range(25))
+    docs = frame(spark, [(i, f"{body(i)} {phrase} {body(i + 1000)}") for i in range(300)] + [(1000 + i, leak(i)) for i in range(3)])
+    got = {(r.doc_id, r.item_id) for r in dc.contaminated(docs, items).collect()}
+    assert got == {(1000 + i, i) for i in range(3)} and kept["pairs"] < 1000
+
+
+def test_common_passages_are_found_by_their_words(spark, monkeypatch):
+    """An item whose every n-gram is common, in blocks of few items."""
+    monkeypatch.setattr(dc, "SEEDED", 2)
+    monkeypatch.setattr(dc, "BLOCK_WORDS", 60)
+    text = long_text(40, 51)
+    items = spark.createDataFrame([(1, text), (2, long_text(40, 52)), (3, long_text(30, 53))], "item_id int, text string")
+    docs = frame(spark, [(i, f"{long_text(20, 60 + i)} {text if i % 2 else ' '.join(text.split()[:28])}") for i in range(12)])
+    got = {(r.doc_id, r.item_id): (r.seeds, r.score) for r in dc.contaminated(docs, items).collect()}
+    assert {k for k, (_, score) in got.items() if score > 0.6} == {(i, 1) for i in range(12)} and all(seeds == 0 for seeds, _ in got.values())
