@@ -1,6 +1,6 @@
 """Language-model scores by deleted interpolation.
 
-Documents lie in blocks of neighbouring doc_ids. A block asks the shards of the n-gram space for the counts of its
+Documents lie in blocks of neighbouring doc_ids, of about equal bytes. A block asks the shards of the n-gram space for the counts of its
 distinct n-grams and brings its own counts along; a shard adds up what all blocks bring and answers each in the order of
 its question. So counts cover all documents, rows grow with the distinct n-grams of a block, and no n-gram, however
 frequent, costs more than one entry a block. One fold of the training documents is held out of the counts that
@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from rillwise.llm import text as tx
 from rillwise.store import saved
 
-BLOCK_DOCS = 2048
+#: Bytes of text for each block of documents, and from how many times as much a block is parted.
+BLOCK_BYTES, LARGE = 6 << 20, 4
 #: Bytes of text for each shard of the n-gram space, and for each task of documents.
 SHARD_BYTES = 6 << 20
 FOLDS = 10
@@ -75,18 +76,40 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(_numbers(data, np.uint64), dtype=np.uint64)
 
 
-def keyed(docs: DataFrame, blocks: int = 1) -> DataFrame:
+def keyed(docs: DataFrame, blocks: int = 1, low: int = 0, width: float = 1.0) -> DataFrame:
     """doc_id, text, fold and grp: the block, parted into the tuning fold and the rest.
 
-    Whole numbers as doc_ids lie in blocks of neighbours, others are dealt to so many blocks by a hash, and rows without a
-    doc_id to as many by a hash of their text.
+    Whole numbers as doc_ids lie in blocks of neighbours, width numbers from low on each; others are dealt to so many blocks
+    by a hash, and rows without a doc_id to as many by a hash of their text.
     """
     doc = F.col("doc_id")
     dealt = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
-    whole = docs.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long")
-    block = F.floor(doc / BLOCK_DOCS).cast("long") if whole else dealt(doc)
-    block = F.when(doc.isNull(), dealt(F.col("text")) + F.lit(1 << 60)).otherwise(block)
-    return docs.select("doc_id", "text", fold(F.coalesce(doc.cast("string"), F.lit(""))).alias("fold")).withColumn("grp", 2 * block + (F.col("fold") == TUNE).cast("long"))
+    block = F.floor((doc - F.lit(low)) / F.lit(width)).cast("long") if _whole(docs) else dealt(doc)
+    block = F.when(doc.isNull(), dealt(F.col("text")) + F.lit(1 << 59)).otherwise(block)
+    return docs.select("doc_id", "text", fold(F.coalesce(doc.cast("string"), F.lit(""))).alias("fold"), block.alias("_block")).withColumn("grp", 2 * F.col("_block") + (F.col("fold") == TUNE).cast("long"))
+
+
+def _whole(docs: DataFrame) -> bool:
+    return docs.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long")
+
+
+def in_blocks(docs: DataFrame, blocks: int) -> DataFrame:
+    """docs as keyed gives them, in blocks of about BLOCK_BYTES of text however dense doc_ids are: the width of a block goes by their
+    mean distance, and blocks that come out large (doc_ids that are dense in places or repeated) are parted by a hash of the text.
+    Rows that repeat a doc_id and its text stay together.
+    """
+    if _whole(docs):
+        seen = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id"), F.sum(F.octet_length("text"))).first()
+        low, high, n, size = (x or 0 for x in seen)
+        rows = keyed(docs, blocks, low, max(1.0, (high - low + 1) / max(1, n) * max(1.0, BLOCK_BYTES * n / max(1, size))))
+    else:
+        rows = keyed(docs, blocks)
+    sizes = rows.groupBy("_block").agg(F.sum(F.octet_length("text")).alias("size")).filter(F.col("size") > LARGE * BLOCK_BYTES)
+    large = saved(sizes.select("_block", F.ceil(F.col("size") / BLOCK_BYTES).alias("_parts")), "large-blocks")
+    if large.isEmpty():
+        return rows.drop("_block")
+    part = F.coalesce(F.pmod(F.xxhash64("text"), F.col("_parts")), F.lit(0))
+    return rows.join(large, "_block", "left").withColumn("grp", F.col("grp") + 2 * F.shiftleft(part.cast("long"), 36)).drop("_block", "_parts")
 
 
 def questions(docs: DataFrame, shards: int) -> DataFrame:
@@ -198,13 +221,14 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     Scores are log10 probabilities of the whole text: base_score by single tokens with 0.1 added to each count, score by
     the interpolated model. Null and empty texts have one token, the end. Without training documents all counts are 0.
     Repeated rows are counted and scored each. A very long text lies in one block, whose n-grams are in one task's memory.
+    n-grams are told apart by 64-bit hashes that are not verified: some 10**10 distinct ones give a few that share a count.
     """
     spark = docs.sparkSession
     tx.small_batches(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     size, = docs.agg(F.sum(F.octet_length("text"))).first()
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // SHARD_BYTES))
-    rows = keyed(docs, shards)
+    rows = in_blocks(docs, shards)
     told = saved(answers(questions(rows, shards).repartition(shards, "shard")), "counts")
     single = told.filter("grp is null and size = 1").agg(F.sum("distinct"), F.sum("total"), F.sum("kept_total")).first()
     vocabulary, total, kept_total = (x or 0 for x in single)

@@ -60,7 +60,8 @@ def statistics(raw: list[bytes]) -> np.ndarray:
         word_share = lambda x, usual=0.0, lean=20: (np.diff(np.r_[0, np.cumsum(x)][words.ptr]) + lean * usual) / (n + lean)
         inner = np.r_[False, np.diff(words.text) == 0] if len(h) else np.zeros(0, bool)
         again = np.zeros(len(n))
-        pair = tx.mix(np.r_[h[:1], h[:-1]] * np.uint64(3) + h)
+        # the first word of a text has no word before it, whatever text stands there
+        pair = tx.mix(np.where(inner, np.r_[h[:1], h[:-1]], 0).astype(np.uint64) * np.uint64(3) + h)
         for i, (a, b) in enumerate(zip(words.ptr[:-1], words.ptr[1:])):
             again[i] = (b - a - len(np.unique(pair[a:b]))) / (b - a + 20)
         lines = [[x for x in (y.strip() for y in t.split(b"\n")) if x] for t in raw[part]]
