@@ -4,8 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from rillwise.functions.geo import geodesic_m
 from rillwise.operators.graph import connected_components
 from rillwise.operators.quantiles import percentiles
+from rillwise.store import saved
+
+
+#: Metadata of a raster: place of pixel (row, col) = (x0 + ax * col + bx * row, y0 + ay * col + by * row), its size, and the edge of its tiles.
+RASTERS = "raster_id long, x0 double, ax double, bx double, y0 double, ay double, by double, n_rows long, n_cols long, tile int"
 
 
 def pixel_of(x: Column, y: Column, x0: float, y0: float, dx: float, dy: float) -> tuple[Column, Column]:
@@ -13,13 +19,58 @@ def pixel_of(x: Column, y: Column, x0: float, y0: float, dx: float, dy: float) -
     return F.floor((y - y0) / dy).cast("long"), F.floor((x - x0) / dx).cast("long")
 
 
+def affine_pixel(x: Column, y: Column) -> tuple[Column, Column]:
+    """Row and column that hold a place on a grid with the columns of RASTERS, which may be turned or skewed."""
+    u, v = x - F.col("x0"), y - F.col("y0")
+    det = F.col("ax") * F.col("by") - F.col("bx") * F.col("ay")
+    return F.floor((F.col("ax") * v - F.col("ay") * u) / det).cast("long"), F.floor((F.col("by") * u - F.col("bx") * v) / det).cast("long")
+
+
+def tile_catalogue(pixels: DataFrame, rasters: DataFrame) -> DataFrame:
+    """(raster_id, tile_row, tile_col, pixels, known, xmin, ymin, xmax, ymax) of every tile that pixels (raster_id, row, col, z) fill."""
+    placed = pixels.join(F.broadcast(rasters), "raster_id")  # a row a raster
+    x, y = F.col("x0") + F.col("ax") * F.col("c") + F.col("bx") * F.col("r"), F.col("y0") + F.col("ay") * F.col("c") + F.col("by") * F.col("r")
+    tiles = placed.groupBy("raster_id", F.floor(F.col("row") / F.col("tile")).alias("tile_row"), F.floor(F.col("col") / F.col("tile")).alias("tile_col")).agg(
+        F.count("*").alias("pixels"), F.count("z").alias("known"), F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"), F.first(F.struct(*rasters.columns)).alias("g")
+    )
+    corners = F.explode(F.array(*[F.struct(F.col(r).alias("r"), F.col(c).alias("c")) for r in ("r0", "r2") for c in ("c0", "c2")])).alias("k")
+    at = tiles.withColumn("r2", F.col("r1") + 1).withColumn("c2", F.col("c1") + 1).select("raster_id", "tile_row", "tile_col", "pixels", "known", *[F.col(f"g.{c}").alias(c) for c in rasters.columns if c != "raster_id"], corners)
+    at = at.select("raster_id", "tile_row", "tile_col", "pixels", "known", *[c for c in rasters.columns if c != "raster_id"], "k.r", "k.c")
+    return at.groupBy("raster_id", "tile_row", "tile_col", "pixels", "known").agg(F.min(x).alias("xmin"), F.min(y).alias("ymin"), F.max(x).alias("xmax"), F.max(y).alias("ymax"))
+
+
+def sample_tiles(points: DataFrame, pixels: DataFrame, rasters: DataFrame) -> DataFrame:
+    """(point_id, raster_id, row, col, z) of the pixels that hold points (point_id, x, y): a row for each raster whose grid a point lies in, z null without data.
+
+    The tiles that points need are known before pixels are read: where these are few, Spark sends them to the scan, which
+    opens no other tile's files. pixels: as readers.read_raster gives them, parted by raster_id, tile_row and tile_col.
+    """
+    row, col = affine_pixel(F.col("x"), F.col("y"))
+    placed = points.select("point_id", "x", "y").crossJoin(F.broadcast(rasters)).withColumn("row", row).withColumn("col", col)  # a row a raster
+    placed = placed.filter((F.col("row") >= 0) & (F.col("row") < F.col("n_rows")) & (F.col("col") >= 0) & (F.col("col") < F.col("n_cols")))
+    placed = placed.select("point_id", "raster_id", "row", "col", *[F.floor(F.col(c) / F.col("tile")).cast("int").alias(f"tile_{c}") for c in ("row", "col")])
+    keys = ["raster_id", "tile_row", "tile_col"]
+    needed = saved(placed.select(*keys).distinct(), "tiles").filter("tile_row >= 0 and tile_col >= 0")
+    read = pixels.join(needed, keys, "left_semi").select("raster_id", "row", "col", "z")
+    return placed.select("point_id", "raster_id", "row", "col").join(read, ["raster_id", "row", "col"], "left")
+
+
 def sample_raster(points: DataFrame, raster: DataFrame) -> DataFrame:
     """points (row, col) with z; null outside and where there is no data."""
     return points.join(raster.select("row", "col", "z"), ["row", "col"], "left")
 
 
-def horn_slope(raster: DataFrame, dx_m: float, dy_m: float) -> DataFrame:
-    """(row, col, slope in percent) by Horn's 3x3 window; null unless all nine pixels have data. Each pixel goes to its nine windows."""
+def pixel_metres(row: Column, lat0: float, dlat: float, dlon: float) -> tuple[Column, Column]:
+    """Width and height in metres, on the ellipsoid, of the pixels of a row of a grid in degrees: at the latitude of the row's middle."""
+    lat, zero = lat0 + (row + 0.5) * dlat, F.lit(0.0)
+    return geodesic_m(lat, zero, lat, F.lit(abs(dlon))), geodesic_m(lat - dlat / 2, zero, lat + dlat / 2, zero)
+
+
+def horn_slope(raster: DataFrame, dx_m: float | Column, dy_m: float | Column) -> DataFrame:
+    """(row, col, slope in percent) by Horn's 3x3 window; null unless all nine pixels have data. Each pixel goes to its nine windows.
+
+    dx_m, dy_m: metres of a pixel, as numbers or as columns of row and col (see pixel_metres).
+    """
     weight = lambda i, j: (float(j * (2 if i == 0 else 1)), float(i * (2 if j == 0 else 1)))
     places = [(i, j, *weight(i, j)) for i in (-1, 0, 1) for j in (-1, 0, 1)]
     spread = F.explode(F.array(*[F.struct((F.col("row") - i).alias("row"), (F.col("col") - j).alias("col"), F.lit(wx).alias("wx"), F.lit(wy).alias("wy"), F.lit(i == 0 and j == 0).alias("own")) for i, j, wx, wy in places])).alias("w")

@@ -50,9 +50,18 @@ def read_training(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("nullValue", "").csv(path)
 
 
-def read_raster(spark: SparkSession, path: str) -> DataFrame:
-    """Pixels (raster_id, row, col, z) of a Parquet table parted by tile."""
-    return spark.read.parquet(path)
+def write_raster(pixels: DataFrame, rasters: DataFrame, path: str) -> None:
+    """pixels (raster_id, row, col, z) as Parquet in a folder for each tile, beside the rasters' metadata (columns of operators.raster.RASTERS)."""
+    tile = [F.floor(F.col(c) / F.col("tile")).cast("int").alias(f"tile_{c}") for c in ("row", "col")]
+    parted = pixels.join(F.broadcast(rasters.select("raster_id", "tile")), "raster_id").select("raster_id", *tile, "row", "col", "z")  # a row a raster
+    parted.repartition("raster_id", "tile_row", "tile_col").write.partitionBy("raster_id", "tile_row", "tile_col").parquet(f"{path}/pixels")
+    rasters.coalesce(1).write.parquet(f"{path}/rasters")
+
+
+def read_raster(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Pixels (row, col, z, raster_id, tile_row, tile_col; parted by the last three) and the rasters' metadata of a folder that write_raster wrote."""
+    pixels = spark.read.schema("row long, col long, z double, raster_id long, tile_row int, tile_col int").parquet(f"{path}/pixels")
+    return pixels, spark.read.parquet(f"{path}/rasters")
 
 
 def read_weather(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
