@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rillwise.functions.geo import geodesic_m
-from rillwise.functions.names import distinctive_tokens
+from rillwise.functions.names import clean_query, distinctive_tokens
 from rillwise.operators.fuzzy import matched_names
 from rillwise.operators.graph import connected_components
+from rillwise.store import saved
 
 # Limits in metres, and kinds of candidates that are too wide.
 UNCERTAINTY_M, AMBIGUITY_M, WARD_M, BOROUGH_M = 750.0, 1000.0, 2500.0, 6000.0
 WIDE = ("country", "region", "postcode", "district", "place")
+STATUSES = ("none", "too_generic", "outside", "name_mismatch", "too_vague", "ambiguous", "ok")
 
 
 def choose_candidate(cands: DataFrame, inside: Column) -> DataFrame:
@@ -78,11 +80,38 @@ def consistency_outliers(rows: DataFrame, group: str, limit: float) -> DataFrame
     edges = near.select(F.col("rec_id").alias("u"), "v").unionByName(own.select(F.col("rec_id").alias("u"), F.col("rec_id").alias("v")))
     placed = own.select("rec_id", "g").join(connected_components(edges).withColumnRenamed("node", "rec_id"), "rec_id")
     sizes = placed.groupBy("g", "component").agg(F.count("*").alias("n"))
-    top = sizes.groupBy("g").agg(F.slice(F.sort_array(F.collect_list("n"), asc=False), 1, 2).alias("t"), F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("total"))
-    tie = F.get("t", F.lit(1)) == F.col("t")[0]
-    judged = placed.join(top, "g").filter("total > 1").withColumn("no_majority", F.coalesce(tie, F.lit(False)))
+    alike = sizes.groupBy("g", "n").agg(F.count("*").alias("alike"), F.max("component").alias("component"))
+    top = alike.groupBy("g").agg(F.max(F.struct("n", "alike", "component")).alias("m"), F.sum(F.col("n") * F.col("alike")).alias("total"))
+    judged = placed.join(top, "g").filter("total > 1").withColumn("no_majority", F.col("m.alike") > 1)
     return judged.filter(F.col("no_majority") | (F.col("component") != F.col("m.component"))).select("rec_id", F.col("g").alias(group), "no_majority")
 
 
 def first_candidate(cands: DataFrame, keys: list[str], rank: str, carry: list[str]) -> DataFrame:
     return cands.groupBy(*keys).agg(F.min(F.struct(rank, *carry)).alias("b")).select(*keys, "b.*")
+
+
+def resolve_pockets(raw: DataFrame, cands: DataFrame, manual: DataFrame, cache: DataFrame, inside: Column) -> tuple[DataFrame, DataFrame]:
+    """Places of location texts, and the texts that are still to be asked for.
+
+    raw: query_id, location, ward, borough; cands: query_id, rank, cand_id, cand_name, kind, lat, lon, extent_m; manual:
+    query_id, lat, lon that someone has verified; cache: query_text. Texts are cleaned, candidates chosen for what is left of
+    them, verified positions come first, and records far from the others of their ward, or else of their borough, are marked.
+    Returns (query_id, query_text, status, cand_id, method, lat, lon, ward, borough, outlier: ward, borough or null), a row
+    for each row of raw; and query_text of the distinct texts that name something and are not in the cache.
+    """
+    texts = saved(raw.withColumn("query_text", clean_query(F.col("location"))).select("query_id", "query_text", "ward", "borough"), "cleaned")
+    chosen = choose_candidate(cands.join(texts.select("query_id", "query_text"), "query_id"), inside).drop("method")
+    placed = texts.join(chosen, "query_id", "left").withColumn("status", F.coalesce("status", F.lit("none")))
+    placed = saved(apply_overrides(placed, manual, ["query_id"]), "placed")
+    known = placed.filter("lat is not null").select(F.col("query_id").alias("rec_id"), "ward", "borough", "lat", "lon")
+    of_ward = saved(consistency_outliers(known, "ward", WARD_M).select(F.col("rec_id").alias("query_id"), F.lit("ward").alias("outlier")), "outliers")
+    rest = known.join(of_ward.select(F.col("query_id").alias("rec_id")), "rec_id", "left_anti")
+    of_borough = consistency_outliers(rest, "borough", BOROUGH_M).select(F.col("rec_id").alias("query_id"), F.lit("borough").alias("outlier"))
+    out = placed.join(of_ward.unionByName(of_borough), "query_id", "left")
+    return out.select("query_id", "query_text", "status", "cand_id", "method", "lat", "lon", "ward", "borough", "outlier"), uncached_queries(texts, cache)
+
+
+def review_counts(resolved: DataFrame) -> DataFrame:
+    """(borough, n, located, manual, outliers, and rows by status) of what resolve_pockets tells."""
+    status = [F.count_if(F.col("status") == s).alias(s) for s in STATUSES]
+    return resolved.groupBy("borough").agg(F.count("*").alias("n"), F.count("lat").alias("located"), F.count_if(F.col("method") == "manual").alias("manual"), F.count("outlier").alias("outliers"), *status)

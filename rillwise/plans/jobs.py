@@ -266,20 +266,6 @@ def clamped_limit(df: DataFrame, keys: list[str], order: list[str], n: int) -> D
     return spatial.top_k(df, keys, order, min(max(n, 1), 10))
 
 
-@query("E10_resolve_pockets")
-def resolve_pockets(spark, sf_dir):
-    """Queries with their chosen place: cleaned text, verified positions first, and outliers of their ward sent back."""
-    from rillwise.functions.geo import in_bbox
-    from rillwise.operators import places
-    from rillwise.plans.places import candidates
-
-    chosen = places.choose_candidate(candidates(spark, sf_dir), in_bbox(F.col("lat"), F.col("lon")))
-    manual = chosen.filter("query_id % 50 = 0").select("query_id", F.lit(22.55).alias("lat"), F.lit(88.35).alias("lon"))
-    placed = saved(places.apply_overrides(chosen.drop("method"), manual, ["query_id"]).withColumn("ward", F.col("query_id") % 144), "placed")
-    out = places.consistency_outliers(placed.select(F.col("query_id").alias("rec_id"), "ward", "lat", "lon"), "ward", places.WARD_M)
-    return placed.join(out.select(F.col("rec_id").alias("query_id"), F.lit(True).alias("outlier")), "query_id", "left").withColumn("outlier", F.coalesce("outlier", F.lit(False)))
-
-
 @query("E8_train_job")
 def train_job(spark, sf_dir):
     """The model's record with its cross-validation, from the labelled points that are first at their place."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rillwise.functions.geo import in_bbox
-from rillwise.functions.names import GENERIC, STREET_TYPES, distinctive_tokens, name_matches_native
+from rillwise.functions.names import CLEANING, GENERIC, STREET_TYPES, clean_query, distinctive_tokens, name_matches_native
 from rillwise.operators import fuzzy as fuzzy_names, places as p
 from rillwise.plans.adapters import adapted, adapters_sql
 from rillwise.plans.registry import query
@@ -105,3 +105,65 @@ z AS (SELECT ward, c, count(*) AS n FROM l JOIN ward_pts ON rec_id = node GROUP
 SELECT rec_id, p.ward, tie AS no_majority FROM ward_pts p JOIN l ON node = rec_id JOIN t ON t.ward = p.ward JOIN k ON k.ward = p.ward WHERE total > 1 AND (tie OR l.c <> t.c)""")
 def outliers(spark, sf_dir):
     return p.consistency_outliers(adapted(spark, sf_dir, "ward_pts"), "ward", p.WARD_M)
+
+
+def outliers_sql(name: str, source: str, group: str, limit: float) -> str:
+    """CTEs that end in name (rec_id): records of source (rec_id, lat, lon and the group) outside the one largest cluster of their group."""
+    n = name
+    return f"""{n}e AS (SELECT a.rec_id AS u, b.rec_id AS v FROM {source} a JOIN {source} b ON a.{group} = b.{group} AND a.rec_id <> b.rec_id AND abs(a.lat - b.lat) < {limit / 100000} AND {lambert('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= {limit}),
+{n}w AS (SELECT rec_id AS node, rec_id AS root FROM {source} UNION SELECT x.v, r.root FROM {n}w r JOIN {n}e x ON x.u = r.node WHERE r.root < x.v), {n}l AS (SELECT node, min(root) AS c FROM {n}w GROUP BY 1),
+{n}z AS (SELECT {group} AS g, c, count(*) AS n FROM {n}l JOIN {source} ON rec_id = node GROUP BY 1, 2), {n}k AS (SELECT g, max(n) AS top, sum(n) AS total FROM {n}z GROUP BY 1),
+{n}t AS (SELECT z.g, count(*) > 1 AS tie, max(c) AS c FROM {n}z z JOIN {n}k k ON z.g = k.g AND n = top GROUP BY 1),
+{n} AS (SELECT rec_id FROM {source} p JOIN {n}l l ON l.node = rec_id JOIN {n}t t ON t.g = p.{group} JOIN {n}k k ON k.g = p.{group} WHERE total > 1 AND (tie OR l.c <> t.c))"""
+
+
+RAW = "CASE query_id % 4 WHEN 0 THEN '46, ' || {0} || ' (portion)' WHEN 1 THEN {0} || ' near Park & Other' WHEN 2 THEN 'jn. ' || {0} ELSE {0} END"
+
+
+def _cleaned_sql(text: str) -> str:
+    for pattern, put in CLEANING:
+        text = f"regexp_replace({text}, '{pattern}', '{put}', 'g')"
+    return f"trim({text}, ' ,.-')"
+
+
+POCKET_TEXTS = f"""{CANDS}, raw AS (SELECT DISTINCT query_id, {RAW.format(SLIPS.format('query_id', 'query_text'))} AS location, query_id % 72 AS ward, query_id % 9 AS borough FROM cands),
+texts AS (SELECT query_id, {_cleaned_sql('location')} AS query_text, ward, borough FROM raw), slips AS (SELECT c.* REPLACE (t.query_text AS query_text) FROM cands c JOIN texts t USING (query_id)), {MATCHED}"""
+RESOLVED = f"""{POCKET_TEXTS}, g AS (SELECT u.*, distinctive, lat BETWEEN 22.45 AND 22.70 AND lon BETWEEN 88.20 AND 88.50 AS ins, named AS like_ FROM u JOIN matched USING (query_text, cand_name)),
+f AS (SELECT *, ins AND like_ AS named, ins AND like_ AND kind <> 'place' AND coalesce(extent_m, 0) <= 750 AS fine FROM g),
+b AS (SELECT query_id, max(distinctive) AS w, count(*) FILTER (ins) AS ni, count(*) FILTER (named) AS nn, count(*) FILTER (fine) AS nf FROM f GROUP BY 1),
+o AS (SELECT * FROM f WHERE fine QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cand_id, kind, coalesce(extent_m, -1)) = 1),
+d AS (SELECT f.query_id, max({lambert('o.lat', 'o.lon', 'f.lat', 'f.lon')}) AS spread FROM f JOIN o ON f.query_id = o.query_id WHERE f.fine GROUP BY 1),
+st AS (SELECT t.query_id, t.query_text, ward, borough, CASE WHEN w = 0 THEN 'too_generic' WHEN ni = 0 THEN 'outside' WHEN nn = 0 THEN 'name_mismatch' WHEN nf = 0 THEN 'too_vague' WHEN spread > 1000 THEN 'ambiguous' WHEN w IS NOT NULL THEN 'ok' ELSE 'none' END AS status FROM texts t LEFT JOIN b USING (query_id) LEFT JOIN d USING (query_id)),
+pl AS (SELECT st.query_id AS rec_id, st.query_text, status, CASE WHEN status = 'ok' THEN o.cand_id END AS cand_id, ward, borough, CASE WHEN st.query_id % 40 = 0 THEN 'manual' WHEN status = 'ok' THEN 'geocoder' END AS method,
+  CASE WHEN st.query_id % 40 = 0 THEN 22.5 + (st.query_id % 997) / 10000.0 WHEN status = 'ok' THEN round(o.lat, 6) END AS lat, CASE WHEN st.query_id % 40 = 0 THEN 88.3 + (st.query_id % 991) / 10000.0 WHEN status = 'ok' THEN round(o.lon, 6) END AS lon FROM st LEFT JOIN o USING (query_id)),
+kn AS (SELECT rec_id, ward, borough, lat, lon FROM pl WHERE lat IS NOT NULL), {outliers_sql('ow', 'kn', 'ward', p.WARD_M)}, kr AS (SELECT * FROM kn WHERE rec_id NOT IN (SELECT rec_id FROM ow)), {outliers_sql('ob', 'kr', 'borough', p.BOROUGH_M)},
+rs AS (SELECT pl.*, CASE WHEN rec_id IN (SELECT rec_id FROM ow) THEN 'ward' WHEN rec_id IN (SELECT rec_id FROM ob) THEN 'borough' END AS outlier FROM pl)"""
+COUNTED = ", ".join(f"count(*) FILTER (status = '{x}') AS {x}" for x in p.STATUSES)
+
+
+def resolved_pockets(spark, sf_dir):
+    c, q = adapted(spark, sf_dir, "cands"), F.col("query_id")
+    raw = c.select("query_id", F.expr(RAW.format(SLIPS.format("query_id", "query_text"))).alias("location"), (q % 72).alias("ward"), (q % 9).alias("borough")).distinct()
+    manual = c.filter("query_id % 40 = 0").select("query_id").distinct().select("query_id", (22.5 + q % 997 / 10000.0).alias("lat"), (88.3 + q % 991 / 10000.0).alias("lon"))
+    ranked = c.drop("query_text").dropDuplicates(["query_id", "cand_id", "kind", "extent_m"]).withColumn("rank", F.struct("cand_id", "kind", F.coalesce("extent_m", F.lit(-1.0)).alias("e")))
+    cache = raw.filter("query_id % 5 = 0").select(clean_query(F.col("location")).alias("query_text"))
+    return p.resolve_pockets(raw, ranked, manual, cache, in_bbox(F.col("lat"), F.col("lon"), (88.20, 22.45, 88.50, 22.70)))
+
+
+@query("E10_resolve_pockets", f"WITH RECURSIVE {RESOLVED} SELECT rec_id AS query_id, query_text, status, cand_id, method, round(lat, 5) AS lat, round(lon, 5) AS lon, outlier FROM rs")
+def resolve(spark, sf_dir):
+    """Every location text with its place: cleaned, matched, chosen, overridden and judged by its ward and borough."""
+    found, _ = resolved_pockets(spark, sf_dir)
+    return found.select("query_id", "query_text", "status", "cand_id", "method", F.round("lat", 5).alias("lat"), F.round("lon", 5).alias("lon"), "outlier")
+
+
+@query("E10_A18_review_counts", f"WITH RECURSIVE {RESOLVED} SELECT borough, count(*) AS n, count(lat) AS located, count(*) FILTER (method = 'manual') AS manual, count(outlier) AS outliers, {COUNTED} FROM rs GROUP BY 1")
+def review(spark, sf_dir):
+    """What is left to review, by borough."""
+    return p.review_counts(resolved_pockets(spark, sf_dir)[0])
+
+
+@query("E10_J13_texts_to_ask", f"WITH RECURSIVE {POCKET_TEXTS} SELECT DISTINCT query_text FROM matched WHERE distinctive > 0 AND query_text NOT IN (SELECT query_text FROM texts WHERE query_id % 5 = 0)")
+def to_ask(spark, sf_dir):
+    """Cleaned texts that name something and that no earlier answer is known for."""
+    return resolved_pockets(spark, sf_dir)[1]
