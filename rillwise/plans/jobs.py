@@ -282,13 +282,3 @@ def trained(rows: DataFrame, features: list[str], source: str) -> DataFrame:
     once = saved(checks.first_by(rows, [F.round("lat", 6), F.round("lon", 6)], ["point_id"]), "training-rows")
     folds = models.spatial_cv(once, features).agg(F.count("*").alias("folds"), F.round(F.avg("auc"), 4).alias("auc"))
     return models.model_metadata(models.train_susceptibility(once, features), once, features, "real_v1").crossJoin(F.broadcast(folds))  # one row each
-
-
-@query("E12_georef_sheets")
-def georef(spark, sf_dir):
-    """Control points of each sheet under its fit, with the gates that it passes."""
-    from rillwise.operators import drawings
-
-    g = adapted(spark, sf_dir, "gcps")
-    fits = saved(drawings.fit_similarity(g, mx0=591500.0, my0=2487900.0, nominal_scale=0.922, nominal_rotation_deg=12.5), "fits")
-    return drawings.apply_transform(g, fits).join(fits.select("sheet", "rms_m", "loo_m", "usable"), "sheet").select("sheet", "gcp_id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), F.round("rms_m", 3).alias("rms_m"), "usable")
