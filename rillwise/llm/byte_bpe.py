@@ -12,38 +12,75 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import cache
 from heapq import heapify, heappop, heappush
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Strings of at most so many bytes are encoded at once, without halves (a power of two, so that halves start at multiples of it).
 LEAF = 16
-#: Encoded strings and pairs kept by each worker; a full cache starts anew.
-CACHED = 250_000
+#: Strings of at most so many bytes look for their least pair in a list, longer ones in a heap.
+SHORT = 48
+#: Encoded strings kept by each worker in each of two generations (what is not met again while one fills is let go), and pairs.
+CACHED = 200_000
 #: Tokens that are decoded at once.
 DECODED = 4096
 
+#: Letters below this one are letters in every version of Unicode.
+PLAIN = "\u0250"
+
 _BESIDE = re.compile(r" \s| \Z")
 
 
+class _Recent(dict):
+    """Strings and what make gives for them, in two generations."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, text: str) -> bytes:
+        known = self.old.get(text)
+        if known is None:
+            known = self.make(text)
+        if len(self) >= CACHED:
+            self.old = dict(self)
+            self.clear()
+        self[text] = known
+        return known
+
+
 class Vocabulary:
-    """Ranks of byte strings; a token is its rank."""
+    """Ranks of byte strings, all single bytes among them; a token is its rank."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
 
         self.ranks, self.texts = ranks, {i: text for text, i in ranks.items()}
         self.matches = regex.compile(pattern).findall
+        # whether the pattern is known to take a space and letters as one
+        self.plain = all(self.matches(x) == [x] for x in (" aZ", "éß", " \u024f", "a"))
         self._pairs: dict[tuple[int, int], bool] = {}
-        self._pieces: dict[str, tuple[int, ...]] = {}
+        self._bare, self._spaced = _Recent(self._packed), _Recent(lambda word: self._packed(" " + word))
+        # tokens of single bytes, ranks of two bytes, and of two tokens that make one
+        self._bytes = [ranks[bytes([i])] for i in range(256)]
+        self._first = [ranks.get(bytes([a, b]), len(ranks)) for a in range(256) for b in range(256)]
+        splits = ((ranks.get(t[:k]), ranks.get(t[k:]), i) for t, i in ranks.items() for k in range(1, len(t)))
+        self._joins = {a << 20 | b: i for a, b, i in splits if a is not None and b is not None}
+        # the bytes of all tokens one after the other, where each begins and how long it is
+        length = np.zeros(max(self.texts, default=-1) + 1, np.int64)
+        length[list(self.texts)] = [len(t) for t in self.texts.values()]
+        self._all, self._length, self._begin = np.frombuffer(b"".join(self.texts.get(i, b"") for i in range(len(length))), np.uint8), length, np.cumsum(length) - length
 
     def merged(self, piece: bytes) -> list[int]:
         """Tokens of a byte string after merging the pair of the least rank, the leftmost of equals, as long as there is one."""
         n, ranks = len(piece), self.ranks
+        if n <= SHORT:
+            return self._merged_short(piece)
         end, begin = list(range(1, n + 1)), list(range(n))  # where the part that starts here ends; where the part that ends after this byte starts
         heap = [(ranks[pair], i, i + 2) for i in range(n - 1) if (pair := piece[i : i + 2]) in ranks]
         heapify(heap)
@@ -64,6 +101,23 @@ class Vocabulary:
             a = end[a]
         return out
 
+    def _merged_short(self, piece: bytes) -> list[int]:
+        get, none = self._joins.get, len(self.ranks)
+        tokens = list(map(self._bytes.__getitem__, piece))
+        pairs = [self._first[a << 8 | b] for a, b in zip(piece, piece[1:])]
+        while pairs:
+            least = min(pairs)
+            if least == none:
+                break
+            i = pairs.index(least)
+            tokens[i] = least
+            del tokens[i + 1], pairs[i]
+            if i:
+                pairs[i - 1] = get(tokens[i - 1] << 20 | least, none)
+            if i < len(pairs):
+                pairs[i] = get(least << 20 | tokens[i + 1], none)
+        return tokens
+
     def stable(self, left: int, right: int) -> bool:
         """Whether the bytes of both tokens together encode to just these."""
         known = self._pairs.get((left, right))
@@ -91,7 +145,7 @@ class Vocabulary:
         """The encoding of a byte string by halves."""
         n = len(piece)
         if n <= LEAF:
-            return self.merged(piece)
+            return self._merged_short(piece)
         half = LEAF << ((n - 1) // LEAF).bit_length() - 1
         return self.joined(self.tree(piece[:half]), self.tree(piece[half:]))
 
@@ -101,27 +155,31 @@ class Vocabulary:
         whole = self.ranks.get(raw)
         return self.tree(raw) if whole is None else [whole]
 
-    def _chunk(self, chunk: str) -> tuple[int, ...]:
-        known = self._pieces.get(chunk)
-        if known is None:
-            if len(self._pieces) >= CACHED:
-                self._pieces.clear()
-            known = self._pieces[chunk] = tuple(chain.from_iterable(map(self.piece, self.matches(chunk))))
-        return known
+    def _packed(self, chunk: str) -> bytes:
+        """Tokens of a chunk as 32-bit numbers."""
+        # letters of the first blocks, with or without a space before them, are one match of the pattern
+        word = chunk[1:] if chunk[:1] == " " else chunk
+        if self.plain and word.isalpha() and max(word) < PLAIN:
+            return array("i", self.piece(chunk)).tobytes()
+        return array("i", [t for match in self.matches(chunk) for t in self.piece(match)]).tobytes()
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
         """Tokens of a text. Where no space stands beside white space, no match of the pattern crosses a space that starts a word."""
         if _BESIDE.search(text):
-            return list(chain.from_iterable(map(self._chunk, self.matches(text))))
-        first, *rest = text.split(" ")
-        return list(chain.from_iterable([self._chunk(first), *(self._chunk(" " + x) for x in rest)]))
+            packed = b"".join(map(self._bare.__getitem__, self.matches(text)))
+        else:
+            first, *rest = text.split(" ")
+            packed = self._bare[first] + b"".join(map(self._spaced.__getitem__, rest))
+        return np.frombuffer(packed, np.int32)
 
-    def decode(self, tokens: list[int]) -> bytes:
+    def decode(self, tokens: np.ndarray) -> bytes:
         """The bytes of the tokens, halves concatenated."""
-        if len(tokens) <= DECODED:
-            return b"".join([self.texts[t] for t in tokens])
-        half = len(tokens) // 2
-        return self.decode(tokens[:half]) + self.decode(tokens[half:])
+        if len(tokens) > DECODED:
+            half = len(tokens) // 2
+            return self.decode(tokens[:half]) + self.decode(tokens[half:])
+        size = self._length[tokens]
+        place = np.arange(size.sum()) + np.repeat(self._begin[tokens] - np.cumsum(size) + size, size)
+        return self._all[place].tobytes()
 
 
 @cache
@@ -134,19 +192,27 @@ def vocabulary(path: str | None = None, pattern: str | None = None) -> Vocabular
     return Vocabulary(ranks, pattern or public_tokenizers.PATTERN)
 
 
-def _replaced(rows: DataFrame, column: str, change: str, path: str | None, pattern: str | None, name: str, kind: str) -> DataFrame:
-    """rows with the column changed by a method of the vocabulary, under another name and type; other columns pass as they are."""
+def _tokens(texts: pa.Array, words: Vocabulary) -> pa.Array:
+    each = [words.encode(t) for t in texts.to_pylist()]
+    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, each)]).astype(np.int32), pa.array(np.concatenate([*each, np.zeros(0, np.int32)]).astype(np.int32)))
+
+
+def _bytes(tokens: pa.Array, words: Vocabulary) -> pa.Array:
+    flat, at = tokens.values.to_numpy(), tokens.offsets.to_numpy()
+    return pa.array([words.decode(flat[a:b]) for a, b in zip(at[:-1], at[1:])], pa.binary())
+
+
+def _replaced(rows: DataFrame, column: str, change: Callable[[pa.Array, Vocabulary], pa.Array], path: str | None, pattern: str | None, name: str, kind: str) -> DataFrame:
+    """rows with the column changed by means of the vocabulary, under another name and type; other columns pass as they are."""
     at, fields = rows.columns.index(column), [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema]
     fields[at] = f"{name} {kind}"
-    out = pa.list_(pa.int32()) if kind == "array<int>" else pa.binary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        call = getattr(vocabulary(path, pattern), change)
+        words = vocabulary(path, pattern)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                new = pa.array([call(x) for x in part.column(at).to_pylist()], out)
-                columns = [new if i == at else c for i, c in enumerate(part.columns)]
+                columns = [change(c, words) if i == at else c for i, c in enumerate(part.columns)]
                 yield pa.RecordBatch.from_arrays(columns, [name if i == at else f for i, f in enumerate(part.schema.names)])
 
     return rows.mapInArrow(run, ", ".join(fields))
@@ -158,12 +224,12 @@ def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None
     The tokens are those of the tiktoken library's encode_ordinary: strings of special tokens are ordinary text. A null text
     counts as empty and has no tokens; repeated rows and null doc_ids are kept. path and pattern name another vocabulary.
     """
-    return _replaced(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "encode", path, pattern, "tokens", "array<int>")
+    return _replaced(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", _tokens, path, pattern, "tokens", "array<int>")
 
 
 def decoded(rows: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """rows with bytes (binary) in place of tokens; tokens that cut a character give parts of one, so these are bytes and no text. Null tokens count as none."""
-    return _replaced(rows.withColumn("tokens", F.coalesce("tokens", F.array().cast("array<int>"))), "tokens", "decode", path, pattern, "bytes", "binary")
+    return _replaced(rows.withColumn("tokens", F.coalesce("tokens", F.array().cast("array<int>"))), "tokens", _bytes, path, pattern, "bytes", "binary")
 
 
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

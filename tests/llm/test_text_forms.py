@@ -203,13 +203,30 @@ def test_encoding_is_the_librarys(library):
     own, rng = bb.vocabulary(), np.random.default_rng(2)
     alphabets = ["ab", "a", "the in on er ", "0123456789", " \n\t\xa0\x85\x1c", "=-_*#.", "éß字😀́", "aAbB'sdt <|endoftext|>"]
     texts = ["", "<|endoftext|>", "a  b", " a", "it's 'll 'S", "x\n y", "\n\n ", "字" * 500, "A" * 5000, "supercalifragilisticexpialidocious" * 20]
+    texts += [chr(c) + "a b" + chr(c) + " " + chr(c) for c in range(0x300)]
     texts += ["".join(rng.choice(list(a), rng.integers(1, 400))) for a in alphabets for _ in range(60)]
     for text in texts:
         ids = own.encode(text)
-        assert ids == library.encode_ordinary(text)
+        assert ids.tolist() == library.encode_ordinary(text)
         assert own.decode(ids) == text.encode()
 
 
+def test_generations_of_the_cache(library, monkeypatch):
+    monkeypatch.setattr(bb, "CACHED", 3)
+    own = bb.Vocabulary(bb.vocabulary().ranks, r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+    for text in ["one two three one four five one six", "two one six", "", " one"] * 3:
+        assert own.encode(text).tolist() == library.encode_ordinary(text)
+    assert len(own._spaced) <= 3 and len(own._spaced.old) <= 3
+
+
+def test_long_and_short_merges_agree():
+    own, rng = bb.vocabulary(), np.random.default_rng(6)
+    for _ in range(200):
+        raw = bytes(rng.choice(np.frombuffer([b"abc", b"ab", b" the", b"\x00\xff\xc3"][rng.integers(4)], np.uint8), rng.integers(0, 90)))
+        short = own._merged_short(raw)
+        assert short == own.merged(raw) and own.decode(np.array(short, np.int64)) == raw
+
+
 def test_tree_of_bytes(library):
     """Joins at any place give what the whole gives, and windows do grow."""
     own, rng = bb.vocabulary(), np.random.default_rng(4)
