@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rillwise.functions.geo import utm_to_latlon
-from rillwise.functions.hydrology import at_most, coverage_class, drain_alert, drain_hazard, manning_capacity, rainfall_multiplier, risk_level, scenario_risk
+from rillwise.functions.hydrology import at_most, coverage_class, drain_alert, drain_hazard, live_state, manning_capacity, rainfall_multiplier, risk_level, scenario_risk, source_state
 from rillwise.operators import checks, layers, models, network, spatial, validation
 from rillwise.plans.adapters import ADAPTERS, adapted, adapters_sql, table
 from rillwise.plans.formulas import depths, hex_grid
@@ -163,10 +163,57 @@ def merge_layers(lines: DataFrame) -> DataFrame:
     return layers.assign_ids(kept, F.concat(F.lit("kmc_w"), F.col("ward"), F.lit("_")), "ward", ["segment_id"])
 
 
-@query("E11_S13_data_status", "SELECT 'pipes' AS layer, count(*) AS n, 'LOADED' AS state FROM part UNION ALL SELECT 'pumps', count(*), 'LOADED' FROM supplier UNION ALL SELECT 'pockets', count(*), 'LOADED' FROM orders")
+@query("E11_S13_data_status", f"""WITH {adapters_sql('pipes', 'pumps', 'boxes', 'pockets', 'wx')}, ly AS (
+SELECT 'pipes' AS name, count(*) AS n, count(*) FILTER (segment_id % 19 = 0) AS dropped, 0 AS bad FROM pipes UNION ALL SELECT 'pumps', count(*), 0, count(*) FILTER (pump_id % 7 = 3) FROM pumps
+UNION ALL SELECT 'water', count(*), 0, 0 FROM boxes WHERE side_m < 0),
+st AS (SELECT name, n, dropped, CASE WHEN n = 0 THEN 'MISSING' WHEN bad > 0 THEN 'ERROR' ELSE 'LOADED' END AS state FROM ly
+UNION ALL SELECT 'pockets', count(*), count(*) FILTER (lat IS NULL OR source IS NULL), CASE WHEN count(*) FILTER (lat IS NOT NULL AND source IS NOT NULL) > 0 THEN 'LOADED' WHEN count(*) > 0 THEN 'ERROR' ELSE 'MISSING' END FROM pockets
+UNION ALL SELECT 'weather', count(*), count(*) FILTER (outcome <> 'ok'), CASE WHEN bool_or(outcome = 'ok') THEN 'LIVE' WHEN count(*) > 0 THEN 'ERROR' ELSE 'UNKNOWN' END FROM wx
+UNION ALL SELECT 'model real_v1', count(*), 0, 'LOADED' FROM pumps)
+SELECT name, n, dropped, state FROM st UNION ALL SELECT 'all', sum(n), sum(dropped), CASE WHEN bool_or(state = 'ERROR') THEN 'ERROR' WHEN bool_or(state = 'MISSING') THEN 'MISSING' ELSE 'LOADED' END FROM st""")
 def status(spark, sf_dir):
-    one = lambda name: adapted(spark, sf_dir, name).agg(F.lit(name).alias("layer"), F.count("*").alias("n"), F.when(F.count("*") > 0, "LOADED").otherwise("MISSING").alias("state"))
-    return one("pipes").unionByName(one("pumps")).unionByName(one("pockets"))
+    """State of all layers, of the records, of the weather feed and of the model, and of all together."""
+    shaped = lambda df, kind: df.select(kind.alias("geom_type"), F.when(kind.isNotNull(), F.array(F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y")))).alias("coords"), F.lit("EPSG:4326").alias("crs"))
+    known = {
+        "pipes": (shaped(adapted(spark, sf_dir, "pipes"), F.when(F.col("segment_id") % 19 != 0, "LineString")), ["LineString", "MultiLineString"]),
+        "pumps": (shaped(adapted(spark, sf_dir, "pumps"), F.when(F.col("pump_id") % 7 == 3, "LineString").otherwise("Point")), ["Point"]),
+        "water": (shaped(adapted(spark, sf_dir, "boxes").filter("side_m < 0"), F.lit("Polygon")), ["Polygon", "MultiPolygon"]),
+    }
+    path = scratch(spark, "models")
+    record = adapted(spark, sf_dir, "pumps").agg(F.count("*").alias("rows")).select(F.to_json(F.struct(F.lit("real_v1").alias("version"), F.array(*[F.lit(c) for c in FEATURES]).alias("features"), "rows")).alias("value"))
+    record.write.text(path)
+    return data_status(known, adapted(spark, sf_dir, "pockets"), adapted(spark, sf_dir, "wx"), readers.model_descriptors(spark, path, "real_v1"))
+
+
+def data_status(known: dict[str, tuple[DataFrame, list[str]]], pockets: DataFrame, calls: DataFrame, descriptors: DataFrame) -> DataFrame:
+    """(name, n, dropped, state) of every source, and of all: the worst state there is (ERROR, MISSING, LOADED).
+
+    known: a layer's rows (see layers.load_layer) and geometry types; pockets: lat, source; calls: outcome; descriptors: see
+    readers.model_descriptors. dropped are rows that can't be used.
+    """
+    rows = None
+    for name, (df, types) in known.items():
+        _, told = layers.load_layer(df, types)
+        one = told.select(F.lit(name).alias("name"), F.col("rows").alias("n"), "dropped", F.col("status").alias("state"))
+        rows = one if rows is None else rows.unionByName(one)
+    lost = F.count_if(F.col("lat").isNull() | F.col("source").isNull())
+    state = source_state(F.count("*") > 0, F.when((F.count("*") > 0) & (lost == F.count("*")), "unusable"))
+    rows = rows.unionByName(pockets.agg(F.lit("pockets").alias("name"), F.count("*").alias("n"), lost.alias("dropped"), state.alias("state")))
+    ok, bad = F.max(F.when(F.col("outcome") == "ok", "ok")), F.max(F.when(F.col("outcome") != "ok", F.col("outcome")))
+    rows = rows.unionByName(calls.agg(F.lit("weather").alias("name"), F.count("*").alias("n"), F.count_if(F.col("outcome") != "ok").alias("dropped"), live_state(F.lit(True), ok, bad).alias("state")))
+    rows = rows.unionByName(descriptors.select(F.concat(F.lit("model "), "version").alias("name"), F.col("rows").alias("n"), F.lit(0).cast("long").alias("dropped"), F.lit("LOADED").alias("state")))
+    worst = F.when(F.bool_or(F.col("state") == "ERROR"), "ERROR").when(F.bool_or(F.col("state") == "MISSING"), "MISSING").otherwise("LOADED")
+    return rows.unionByName(rows.agg(F.lit("all").alias("name"), F.sum("n").alias("n"), F.sum("dropped").alias("dropped"), worst.alias("state")))
+
+
+@query("S12_report", f"""WITH {adapters_sql('pipes')}, c AS (SELECT count(*) FILTER (conduit_type = 'drain') AS drains, count(*) FILTER (pipe_diameter_mm IS NULL) AS unknown FROM pipes)
+SELECT drains = 0 AS ok, CASE WHEN drains > 0 THEN 1 ELSE 0 END AS n_errors, CASE WHEN unknown > 0 THEN 'unknown_diameter' END AS warning FROM c""")
+def report(spark, sf_dir):
+    """The JSON report of a layer's rules, read again."""
+    rules = {"no_drains": ("ERROR", F.col("conduit_type") == "drain"), "unknown_diameter": ("WARN", F.col("pipe_diameter_mm").isNull()), "ward_range": ("ERROR", ~F.col("ward").between(1, 144))}
+    told = layers.report_json(layers.rule_counts(adapted(spark, sf_dir, "pipes"), rules))
+    read = told.select(F.from_json("report", "ok boolean, errors array<string>, warnings array<string>").alias("r"))
+    return read.select("r.ok", F.size("r.errors").alias("n_errors"), F.get("r.warnings", F.lit(0)).alias("warning"))
 
 
 @query("S4_training_csv", f"WITH {adapters_sql('train')} SELECT point_id, label, CASE WHEN point_id % 3 <> 0 THEN round(score, 4) END AS score FROM train")
