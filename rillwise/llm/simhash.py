@@ -88,20 +88,21 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 TRIED = 2
 
 
-def linked_components(postings: DataFrame, close: Column, verify: Callable[[DataFrame], DataFrame] | None = None, finer: Callable[[DataFrame], DataFrame] | None = None, links: DataFrame | None = None) -> DataFrame:
+def linked_components(postings: DataFrame, close: Column, verify: Callable[[DataFrame], DataFrame] | None = None, finer: Callable[[DataFrame], DataFrame] | None = None, links: DataFrame | None = None, last: Column | None = None) -> DataFrame:
     """(node, component) over links between the ids that meet under a key; nodes without a link are not returned.
 
     postings: key, id and what `close`, a condition on a posting and another one (whose columns end in 2), reads. verify
     takes saved pairs (u, v) that are close and returns those that are links. Two rounds compare an id with pivots only, one for
     each key, the second with one that the first reached, so that groups of copies become one component; then ids of a key
-    that are still in different components meet, under the finer keys that `finer` makes of their postings. All of these
-    are joins of written tables, which adaptive execution can split: no task holds a key.
+    that are still in different components meet, under the finer keys or with the further columns that `finer` gives their
+    postings, and with the condition `last` in place of `close` if there is one. All of these are joins of written tables, which adaptive execution can split: no task holds a key.
     """
     live = postings.withColumn("component", F.col("id")).withColumn("alone", F.lit(True))
     own, done = [c for c in live.columns if c not in ("key", "alone")], []
     for turn in range(3):
         if turn == 2 and finer:
             live = finer(live)
+            own = [c for c in live.columns if c not in ("key", "alone")]
         mixed = saved(live.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("key"), "keys")
         live = saved(live.join(mixed, "key"), "postings")
         discard(mixed, *done)
@@ -111,7 +112,7 @@ def linked_components(postings: DataFrame, close: Column, verify: Callable[[Data
             other = saved(live.groupBy("key").agg(one).select("key", F.col("one.nth").alias("nth2"), *(F.col(f"one.{c}").alias(f"{c}2") for c in own)), "pivots")
         else:
             other = live.select("key", *(F.col(c).alias(f"{c}2") for c in own))
-        met = live.join(other, "key").filter(F.col("component") != F.col("component2")).filter(close)
+        met = live.join(other, "key").filter(F.col("component") != F.col("component2")).filter(last if turn == 2 and last is not None else close)
         if turn < 2:
             # a group's pivots are mostly few: each id tries the first of them now, and the others only if it is still apart from them
             met = met.groupBy("id", "id2", "nth2").agg(F.lit(1).alias("one")).withColumn("n", F.row_number().over(W.partitionBy("id").orderBy("nth2", "id2"))).filter(F.col("n") <= TRIED)
@@ -231,6 +232,16 @@ def _parity(shingles: np.ndarray) -> bytes:
     return np.packbits(odd.astype(bool), bitorder="little").tobytes()
 
 
+#: Numbers of 64 bits that a set's short parity bitmap has.
+SHORT = 4
+
+
+def _short_parity(shingles: np.ndarray) -> np.ndarray:
+    """As _parity, always 64 * SHORT bits."""
+    odd = np.bincount((shingles >> np.uint64(20)).astype(np.int64) % (64 * SHORT), minlength=64 * SHORT) % 2
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+
+
 def _differing(one: pd.Series, other: pd.Series) -> pd.Series:
     """Bits in which two parity bitmaps differ, the wider folded to the other's width: no more than the shingles that only one of the sets has."""
     out = []
@@ -281,7 +292,7 @@ def similar_components(docs: DataFrame, similarity: float = SIMILARITY, most_mar
     def described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = list(shingle_sets(tx.utf8(batch["text"])))
-            yield pd.DataFrame({"id": batch["doc_id"], "n": np.array([len(s) for s in sets], np.int32), "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], "parity": [_parity(s) for s in sets]})
+            yield pd.DataFrame({"id": batch["doc_id"], "n": np.array([len(s) for s in sets], np.int32), "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], "parity": [_parity(s) for s in sets], **{f"p{i}": x for i, x in enumerate(np.array([_short_parity(s) for s in sets]).reshape(-1, SHORT).T)}})
 
     several = saved(known.mapInPandas(counted, "key long").groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "shared-keys")
     # a bitmap that most keys would pass is of no use: then all keys become postings, and a join finds the shared ones
@@ -304,7 +315,7 @@ def similar_components(docs: DataFrame, similarity: float = SIMILARITY, most_mar
         for batch in batches:
             yield pd.DataFrame({"id": batch["doc_id"], "grams": [s.view(np.int64) for s in shingle_sets(tx.utf8(batch["text"]))]})
 
-    entries = saved(known.mapInPandas(described, f"id {kind}, n int, digest binary, parity binary").filter("n > 0"), "described")
+    entries = saved(known.mapInPandas(described, f"id {kind}, n int, digest binary, parity binary, {', '.join(f'p{i} long' for i in range(SHORT))}").filter("n > 0"), "described")
     first = saved(entries.groupBy("digest").agg(F.min("id").alias("first")), "distinct-sets")
     same = saved(entries.select("id", "digest").join(first, "digest").filter("id <> first").select(F.col("id").alias("u"), F.col("first").alias("v")), "same-sets")
     # sets that are equal meet once, as the first of them
@@ -326,7 +337,11 @@ def similar_components(docs: DataFrame, similarity: float = SIMILARITY, most_mar
 
     # at the first shingle that two sets share, what follows in both must hold the overlap that the similarity asks for
     close = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) >= _overlap(F.col("n"), F.col("n2"), similarity)
-    labels = linked_components(postings, close, verify, links=same)
+    # the rest meets in pairs, of which short bitmaps rule most out before they are formed
+    shorts = entries.select("id", *[f"p{i}" for i in range(SHORT)])
+    differ = sum((F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"p{i}2"))) for i in range(SHORT)), F.lit(0))
+    last = close & (differ <= F.col("n") + F.col("n2") - 2 * _overlap(F.col("n"), F.col("n2"), similarity))
+    labels = linked_components(postings, close, verify, finer=lambda live: live.join(shorts, "id"), links=same, last=last)
     bits.destroy(), order.destroy()
     gc.collect()  # Python lets go of the plans of all rounds, and so does the JVM
     return labels.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
