@@ -67,3 +67,16 @@ def test_sheets_in_order(spark, tmp_path, folders):
     read = readers.read_sheets(spark, glob)
     assert {(r.sheet, r.extra): r["count"] for r in read.groupBy("sheet", "extra").count().collect()} == {("a", None): 3, ("b", 1): 2}
     assert [(r.sheet, r["rank"]) for r in layers.sheet_rank(read, "sheet", "sheet").orderBy("rank").collect()] == [("a", 1), ("b", 2)]
+
+
+def test_a_frame_holds_a_point_on_its_rounded_side(spark):
+    from rillwise.operators import drawings
+
+    frames = spark.createDataFrame([("s", 1, 3.6 * k, 3.6 * k, 180.0) for k in range(0, 9000, 7)], "sheet string, frame int, cx double, cy double, side double")
+    frames = frames.selectExpr("*", "cx - 5 * side as xmin", "cx + 5 * side as xmax", "cy - 5 * side as ymin", "cy + 5 * side as ymax").withColumn("frame", (frames.cx / 3.6).cast("int"))
+    points = spark.createDataFrame([(k, "s", 3.6 * (k + 250), 3.6 * k) for k in range(0, 9000, 7)], "point_id int, sheet string, x double, y double")
+    rule = "abs(x - cx) <= 5 * side and abs(y - cy) <= 5 * side"
+    got = {r.point_id: r.frame for r in drawings.in_frames(points, frames, "sheet", holds=rule).collect()}
+    want = {r.point_id: r.f for r in points.crossJoin(frames.drop("sheet")).filter(rule).groupBy("point_id").agg({"frame": "min"}).toDF("point_id", "f").collect()}
+    assert got == {k: want.get(k) for k in got}
+    assert got != {r.point_id: r.frame for r in drawings.in_frames(points, frames, "sheet").collect()}
