@@ -232,7 +232,8 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("T1_weather_stream", f"WITH {adapters_sql('wx')} SELECT DISTINCT station, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM wx")
 def observations(spark, sf_dir):
-    out = stream.run_available(stream.weather_stream(event_stream(spark, sf_dir)), "weather")
+    calls = event_stream(spark, sf_dir).withColumn("ts", F.date_trunc("second", "ts"))  # a second, in which times are told, has one observation
+    out = stream.run_available(stream.weather_stream(calls), "weather")
     return out.select("station", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
 
 
