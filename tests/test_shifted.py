@@ -17,7 +17,7 @@ def both(spark, folder, name, tables):
 
 
 def test_calls_of_one_second_are_one_observation(spark, tmp_path):
-    duckdb.sql(f"COPY (SELECT * REPLACE (event_id % 7 AS user_id, TIMESTAMP '2024-01-01' + to_milliseconds(event_id * 300) AS ts) FROM '/root/testdata/sf0.001/events.parquet') TO '{tmp_path}/events.parquet'")
+    duckdb.sql(f"COPY (SELECT * REPLACE (event_id % 7 AS user_id, TIMESTAMP '2024-01-01' + to_milliseconds(event_id * 30) AS ts) FROM '/root/testdata/sf0.001/events.parquet') TO '{tmp_path}/events.parquet'")
     got, want = both(spark, tmp_path, "T1_weather_stream", ["events"])
     assert got == want and len(got) < duckdb.sql(f"SELECT count(*) FROM '{tmp_path}/events.parquet'").fetchall()[0][0]
 
