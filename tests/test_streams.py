@@ -5,7 +5,7 @@ import json
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from rillwise.operators.weather import STALE
 from rillwise.store import scratch, settings
@@ -71,3 +71,54 @@ def test_state_is_bounded(spark, calls, stream):
     progress = [json.loads(p.json) if hasattr(p, "json") else p for p in q.recentProgress]
     held = [s["numRowsTotal"] for p in progress for s in p["stateOperators"]]
     assert max(held) > 400 and held[-1] <= 12
+
+
+class Told:
+    """The state of one station in memory; asked counts the messages that Spark would send."""
+
+    def __init__(self):
+        self.asked, self.timers = 0, []
+
+    def of(self, *_):
+        told, rows = self, {}
+
+        class State:
+            def __getattr__(self, name):
+                told.asked += 1
+                return {
+                    "get": lambda: rows.get("own"), "update": lambda v: rows.update(own=v), "clear": rows.clear, "iterator": lambda: iter(list(rows.items())), "exists": lambda: bool(rows),
+                    "updateValue": lambda k, v: rows.update({k: v}), "removeKey": rows.pop, "containsKey": lambda k: k in rows, "getValue": rows.get,
+                }[name]
+
+        return State()
+
+    getValueState = getMapState = getListState = of
+
+    def registerTimer(self, ms):
+        self.asked += 1
+        self.timers.append(ms)
+
+    def getCurrentWatermarkInMs(self):
+        return self.mark
+
+    def getExpiryTimeInMs(self):
+        return self.fires
+
+
+@pytest.mark.parametrize("at_once", [100_000, 7])
+def test_state_is_asked_little_and_gives_calls_in_order(monkeypatch, at_once):
+    """1,000 calls of a month, of which 900 are passed at the first mark: two messages a call at most, in order, whatever is put in order at once."""
+    monkeypatch.setattr(w, "ORDERED", at_once, raising=False)
+    calls = [Row(us=(START + (i * 7919 % 1000) * 2600) * 1_000_000, event_id=i, outcome="ok" if i % 4 else "auth", value=float(i)) for i in range(1000)]
+    told, good = Told(), w.LastGood()
+    good.init(told)
+    list(good.handleInputRows((5,), iter(calls), told))
+    out = []
+    for told.mark in (1000 * (START + 900 * 2600), 1000 * (START + 1000 * 2600)):
+        while due := sorted(t for t in told.timers if t <= told.mark):
+            told.timers.remove(due[0])
+            told.fires = due[0]
+            out += list(good.handleExpiredTimer((5,), told, told))
+        assert len(out) in (900, 1000)
+    assert [r.event_id for r in out] == [c.event_id for c in sorted(calls, key=lambda c: c.us)]
+    assert at_once < 1000 or told.asked <= 2000 + 50
