@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rillwise.operators import layers
+from rillwise.operators import drawings, layers, spatial
 from rillwise.sources import readers
 
 SCHEMA = "segment_id int, rank int, line array<struct<x:double,y:double>>"
@@ -80,3 +80,30 @@ def test_a_frame_holds_a_point_on_its_rounded_side(spark):
     want = {r.point_id: r.f for r in points.crossJoin(frames.drop("sheet")).filter(rule).groupBy("point_id").agg({"frame": "min"}).toDF("point_id", "f").collect()}
     assert got == {k: want.get(k) for k in got}
     assert got != {r.point_id: r.frame for r in drawings.in_frames(points, frames, "sheet").collect()}
+
+
+def test_links_are_worked_out_once(spark):
+    """Chains read their links several times; the pairs of ends behind them are formed once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(x):
+        seen.add(1)
+        return x
+
+    dashes = spark.createDataFrame([(i, "L", 12.0 * i, 0.0, 12.0 * i + 8, 0.0) for i in range(6)], "dash_id long, layer string, x0 double, y0 double, x1 double, y1 double")
+    links = drawings.link_endpoints(dashes, 5.0).withColumn("dash_id", F.udf(told, "long")("dash_id"))
+    assert sorted((r.dash_id, r.chain, r.place, r.n) for r in drawings.build_chains(dashes, links).collect()) == [(i, 0, i, 6) for i in range(6)]
+    assert seen.value == 10
+
+
+def test_ends_and_arrows_lie_in_few_cells(spark, monkeypatch):
+    """Of 900 places in cells four times as wide as the reach: some two cells each, not nine; the pairs are those of all places with all."""
+    seen, real = [], spatial.reached_cells
+    monkeypatch.setattr(spatial, "reached_cells", lambda *a: seen.append(real(*a)) or seen[-1])
+    lines = spark.range(900).selectExpr("id as segment_id", "(id % 30) * 1.37 as x0", "(id div 30) * 1.21 as y0", "(id % 30) * 1.37 + 0.5 as x1", "(id div 30) * 1.21 + 0.3 as y1")
+    arrows = lines.selectExpr("x0 + 0.4 as tx", "y0 - 0.45 as ty")
+    got = {r.segment_id: r.flow for r in drawings.flow_direction(lines, arrows).collect()}
+    places, tips = [(r.segment_id, r.x0, r.y0, r.x1, r.y1) for r in lines.collect()], [(r.tx, r.ty) for r in arrows.collect()]
+    near = lambda x, y: any((x - a) ** 2 + (y - b) ** 2 <= 0.75**2 for a, b in tips)
+    assert got == {i: "end" if near(c, d) else "start" if near(a, b) else "none" for i, a, b, c, d in places}
+    assert len(seen) == 2 and all(s.count() < 3 * 900 for s in seen)
