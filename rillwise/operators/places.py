@@ -74,9 +74,14 @@ def consistency_outliers(rows: DataFrame, group: str, limit: float) -> DataFrame
     x, y = utm_xy(F.col("lat"), F.col("lon"))
     own = rows.filter("lat is not null and lon is not null").select("rec_id", F.col(group).alias("g"), "lat", "lon", x.alias("x"), y.alias("y"))
     reach = limit * 1.01  # the plane's scale differs from the ellipsoid's by less
-    a = own.withColumn("_cx", F.floor(F.col("x") / reach)).withColumn("_cy", F.floor(F.col("y") / reach))
-    b = reached_cells(own, F.col("x"), F.col("y"), F.col("x"), F.col("y"), reach).select(F.col("rec_id").alias("v"), "g", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), "_cx", "_cy")
-    near = a.join(b, ["g", "_cx", "_cy"]).filter("rec_id < v").filter(geodesic_m(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")) <= limit)
+    own = saved(own, "located")  # the projection is computed once a row
+    wide = 3 * reach  # a record meets those of a cell, as many as in nine of the reach's width, but lies in some three cells, not nine
+    a = own.withColumn("_cx", F.floor(F.col("x") / wide)).withColumn("_cy", F.floor(F.col("y") / wide))
+    b = reached_cells(own, F.col("x"), F.col("y"), F.col("x"), F.col("y"), reach, wide).select(F.col("rec_id").alias("v"), "g", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.col("x").alias("x2"), F.col("y").alias("y2"), "_cx", "_cy")
+    # the plane tells all but those about as far apart as the limit; the ellipsoid is asked for these alone, as it costs far more
+    flat = F.sqrt(F.pow(F.col("x") - F.col("x2"), 2) + F.pow(F.col("y") - F.col("y2"), 2))
+    met = a.join(b, ["g", "_cx", "_cy"]).filter("rec_id < v").withColumn("_flat", flat).filter(F.col("_flat") <= reach)
+    near = met.filter((F.col("_flat") <= limit / 1.01) | (geodesic_m(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")) <= limit))
     edges = near.select(F.col("rec_id").alias("u"), "v").unionByName(own.select(F.col("rec_id").alias("u"), F.col("rec_id").alias("v")))
     placed = own.select("rec_id", "g").join(connected_components(edges).withColumnRenamed("node", "rec_id"), "rec_id")
     sizes = placed.groupBy("g", "component").agg(F.count("*").alias("n"))

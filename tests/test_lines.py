@@ -107,3 +107,38 @@ def test_ends_and_arrows_lie_in_few_cells(spark, monkeypatch):
     near = lambda x, y: any((x - a) ** 2 + (y - b) ** 2 <= 0.75**2 for a, b in tips)
     assert got == {i: "end" if near(c, d) else "start" if near(a, b) else "none" for i, a, b, c, d in places}
     assert len(seen) == 2 and all(s.count() < 3 * 900 for s in seen)
+
+
+def test_records_of_a_group_lie_in_few_cells(spark, monkeypatch):
+    """Outliers among 600 records of six groups as by all pairs; a record lies in some three cells, not nine."""
+    from rillwise.functions.geo import geodesic_m
+    from rillwise.operators import places
+
+    seen, real = [], spatial.reached_cells
+    monkeypatch.setattr(spatial, "reached_cells", lambda *a: seen.append(real(*a)) or seen[-1])
+    rows = spark.range(600).selectExpr("id as rec_id", "id % 6 as ward", "22.4 + (id * 37 % 601) / 601.0D * 0.3 as lat", "88.2 + (id * 101 % 599) / 599.0D * 0.3 as lon").withColumn("lat", F.when(F.col("rec_id") % 50 != 0, F.col("lat")))
+    got = {(r.rec_id, r.no_majority) for r in places.consistency_outliers(rows, "ward", 2500.0).collect()}
+    own = rows.filter("lat is not null")
+    pairs = own.alias("a").join(own.alias("b"), "ward").filter(geodesic_m(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon")) <= 2500)
+    root = {r.rec_id: r.rec_id for r in own.collect()}
+    ward = {r.rec_id: r.ward for r in own.collect()}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for r in pairs.select("a.rec_id", F.col("b.rec_id").alias("v")).collect():
+        a, b = sorted((top(r.rec_id), top(r.v)))
+        root[b] = a
+    size = {}
+    for i in root:
+        size[ward[i], top(i)] = size.get((ward[i], top(i)), 0) + 1
+    want = set()
+    for i in root:
+        most = max(n for (w, _), n in size.items() if w == ward[i])
+        tie = sum(n == most for (w, _), n in size.items() if w == ward[i]) > 1
+        if tie or size[ward[i], top(i)] < most:
+            want.add((i, tie))
+    assert got == want and len(want) > 10
+    assert seen[0].count() < 4 * 588
