@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from rillwise.functions.names import distinctive_tokens, street_types_agree, tokens
+from rillwise.store import saved
 
 RATIO = 0.8
 
@@ -77,7 +78,7 @@ def similar_tokens(pairs: DataFrame, ratio: float = RATIO) -> DataFrame:
     w, h = F.col("w"), F.col("h")
     both = F.length(w) + F.length(h)
     may = lambda letters: 2 * letters >= ratio * both - 1e-9
-    short = pairs.distinct().filter(may(F.least(F.length(w), F.length(h)))).filter(may(_common_letters(w, h)))
+    short = saved(pairs.distinct(), "token-pairs").filter(may(F.least(F.length(w), F.length(h)))).filter(may(_common_letters(w, h)))
     return short.filter(similarity(w, h) >= ratio).select("w", "h")
 
 
@@ -87,9 +88,10 @@ def matched_names(rows: DataFrame, query: str, name: str, ratio: float = RATIO)
     """
     texts = rows.select(F.col(query).alias("q"), F.col(name).alias("n")).filter("q is not null and n is not null").distinct()
     want, have = F.array_distinct(distinctive_tokens(F.col("q"))), tokens(F.col("n"))
-    read = texts.select("q", "n", want.alias("want"), have.alias("have"), street_types_agree(F.col("q"), F.col("n")).alias("agree"))
-    open_ = read.filter("agree and size(want) > 0").withColumn("w", F.explode("want")).withColumn("held", F.contains(F.array_join("have", ""), F.col("w")))
+    # written: what is asked of the tokens would else move below the distinct, to every row, and the rows would be made anew for each use
+    texts = saved(texts.select("q", "n", want.alias("want"), have.alias("have"), street_types_agree(F.col("q"), F.col("n")).alias("agree")), "names")
+    open_ = texts.filter("agree and size(want) > 0").withColumn("w", F.explode("want")).withColumn("held", F.contains(F.array_join("have", ""), F.col("w")))
     asked = open_.filter("not held").select("w", F.explode(F.array_distinct("have")).alias("h"))
     near = similar_tokens(asked, ratio).groupBy("w").agg(F.collect_set("h").alias("near"))  # as many as tokens are similar to one
     found = open_.join(near, "w", "left").groupBy("q", "n").agg(F.min(F.col("held") | F.coalesce(F.arrays_overlap("have", "near"), F.lit(False))).alias("named"))
-    return texts.join(found, ["q", "n"], "left").select(F.col("q").alias(query), F.col("n").alias(name), F.coalesce("named", F.lit(False)).alias("named"))
+    return texts.select("q", "n").join(found, ["q", "n"], "left").select(F.col("q").alias(query), F.col("n").alias(name), F.coalesce("named", F.lit(False)).alias("named"))

@@ -13,6 +13,8 @@ from rillwise.store import saved
 # Limits in metres, and kinds of candidates that are too wide.
 UNCERTAINTY_M, AMBIGUITY_M, WARD_M, BOROUGH_M = 750.0, 1000.0, 2500.0, 6000.0
 WIDE = ("country", "region", "postcode", "district", "place")
+#: Pairs of texts up to which they go to the candidates; of more, both move.
+TEXTS_SENT = 50_000
 STATUSES = ("none", "too_generic", "outside", "name_mismatch", "too_vague", "ambiguous", "ok")
 
 
@@ -21,21 +23,23 @@ def choose_candidate(cands: DataFrame, inside: Column) -> DataFrame:
 
     Gates in order: too_generic, outside, name_mismatch, too_vague, ambiguous (another precise one farther than 1 km from the
     first), ok. cands: query_id, rank, cand_id, query_text, cand_name, kind, lat, lon, extent_m. Names are matched by the
-    similarity ratio of their tokens, each pair of texts once. Queries without candidates have no row.
+    similarity ratio of their tokens, each pair of texts once. Queries without candidates have no row; repeated ones don't matter.
     """
-    c = cands.withColumn("_in", F.coalesce(inside, F.lit(False)))
-    named = matched_names(c.filter("_in"), "query_text", "cand_name")
-    c = c.join(named, ["query_text", "cand_name"], "left").withColumn("_named", F.col("_in") & F.coalesce("named", F.lit(False))).drop("named")
-    c = c.withColumn("_fine", F.col("_named") & ~F.coalesce(F.col("kind").isin(*WIDE), F.lit(False)) & (F.coalesce("extent_m", F.lit(0.0)) <= UNCERTAINTY_M))
-    n = c.groupBy("query_id").agg(
-        F.max(F.size(distinctive_tokens(F.col("query_text")))).alias("distinctive"), F.count_if("_in").alias("n_in"), F.count_if("_named").alias("n_named"), F.count_if("_fine").alias("n_fine"),
-        F.min(F.when(F.col("_fine"), F.struct("rank", "cand_id", "lat", "lon", "extent_m", "kind"))).alias("best"),
-    )
-    far = ambiguous(c.filter("_fine").join(n.select("query_id", "best"), "query_id"))
-    out = n.join(far, "query_id", "left")
+    told = F.coalesce(inside, F.lit(False)).alias("_in")
+    c = saved(cands.select("query_id", "rank", "cand_id", "query_text", "cand_name", "kind", "lat", "lon", "extent_m", told), "candidates")  # read three times
+    texts = saved(c.groupBy("query_text", "cand_name").agg(F.bool_or("_in").alias("_any")), "texts")
+    named = matched_names(texts.filter("_any"), "query_text", "cand_name")
+    each = texts.join(named, ["query_text", "cand_name"], "left").select(F.col("query_text").alias("_q"), F.col("cand_name").alias("_n"), F.coalesce("named", F.lit(False)).alias("_like"), F.size(distinctive_tokens(F.col("query_text"))).alias("_words"))
+    each = saved(each, "matched")
+    c = c.join(F.broadcast(each) if each.count() <= TEXTS_SENT else each, F.col("query_text").eqNullSafe(F.col("_q")) & F.col("cand_name").eqNullSafe(F.col("_n"))).withColumn("_named", F.col("_in") & F.col("_like"))
+    n = c.groupBy("query_id").agg(F.max("_words").alias("distinctive"), F.bool_or("_in").alias("any_in"), F.bool_or("_named").alias("any_named"))
+    precise = ~F.coalesce(F.col("kind").isin(*WIDE), F.lit(False)) & (F.coalesce("extent_m", F.lit(0.0)) <= UNCERTAINTY_M)
+    fine = c.filter(F.col("_named") & precise).select("query_id", F.struct("rank", "cand_id", "lat", "lon", "extent_m", "kind").alias("own"))
+    best = fine.groupBy("query_id").agg(F.min("own").alias("best"))
+    out = n.join(ambiguous(fine.select("query_id", "own.lat", "own.lon").join(best, "query_id")), "query_id", "left")
     status = (
-        F.when(F.col("distinctive") == 0, "too_generic").when(F.col("n_in") == 0, "outside").when(F.col("n_named") == 0, "name_mismatch")
-        .when(F.col("n_fine") == 0, "too_vague").when(F.coalesce("far", F.lit(False)), "ambiguous").otherwise("ok")
+        F.when(F.col("distinctive") == 0, "too_generic").when(~F.col("any_in"), "outside").when(~F.col("any_named"), "name_mismatch")
+        .when(F.col("best").isNull(), "too_vague").when(F.coalesce("far", F.lit(False)), "ambiguous").otherwise("ok")
     )
     ok = status == "ok"
     suffix = F.when(ok, F.when((F.col("best.kind") == "street") & F.col("best.extent_m").isNull(), "street_centroid").otherwise("auto"))
@@ -43,9 +47,9 @@ def choose_candidate(cands: DataFrame, inside: Column) -> DataFrame:
 
 
 def ambiguous(fine: DataFrame) -> DataFrame:
-    """(query_id, far): whether any precise candidate lies more than a kilometre from the best (a struct column)."""
+    """(query_id, best, far): whether any precise candidate lies more than a kilometre from the best (a struct column)."""
     d = geodesic_m(F.col("best.lat"), F.col("best.lon"), F.col("lat"), F.col("lon"))
-    return fine.groupBy("query_id").agg(F.max(d > AMBIGUITY_M).alias("far"))
+    return fine.groupBy("query_id").agg(F.min("best").alias("best"), F.max(d > AMBIGUITY_M).alias("far"))
 
 
 def apply_overrides(rows: DataFrame, manual: DataFrame, keys: list[str]) -> DataFrame:

@@ -49,8 +49,7 @@ def slipped(spark, sf_dir):
 
 
 def candidates(spark, sf_dir):
-    c = slipped(spark, sf_dir).dropDuplicates(["query_id", "cand_id", "kind", "extent_m"])
-    return c.withColumn("rank", F.struct("cand_id", "kind", F.coalesce("extent_m", F.lit(-1.0)).alias("e")))
+    return slipped(spark, sf_dir).withColumn("rank", F.struct("cand_id", "kind", F.coalesce("extent_m", F.lit(-1.0)).alias("e")))
 
 
 @query("F8_J25_choose_candidate", f"""WITH RECURSIVE {SLIPPED}, g AS (SELECT u.*, distinctive, lat BETWEEN 22.45 AND 22.70 AND lon BETWEEN 88.20 AND 88.50 AS ins, named AS like_ FROM u JOIN matched USING (query_text, cand_name)),

@@ -158,6 +158,26 @@ def test_names(spark):
     assert column(spark, names.clean_query(F.col("t")), raw, "t string") == ["Middle Road", "64 Hill", "Heron Lane"]
 
 
+def test_candidates_are_worked_out_once(spark):
+    """Each row of the source is made once, repeats and missing names change nothing."""
+    far = [(1, 10, "Silver Quay", "Silverquay", 22.50, 88.30), (1, 10, "Silver Quay", "Silverquay", 22.50, 88.30), (1, 11, "Silver Quay", "Silver Quay", 22.60, 88.30)]
+    rows = far + [(2, 20, "Silver Quay", "Silverquay", 22.5, 88.3), (2, 21, "Silver Quay", "Quay", 22.5, 88.4), (3, 30, "2nd Lane", None, 22.5, 88.3), (4, 40, "Silver Quay", None, 22.5, 88.3), (5, 50, "Silver Quay", "Silver Quay", 21.0, 88.3)]
+    rows += [(6, 60, "Silver Quay", "Silver Quay", 22.5, 88.3)] * 2
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(len(batch))
+            yield batch
+
+    names_ = "query_id long, cand_id long, query_text string, cand_name string, lat double, lon double"
+    source = spark.createDataFrame(rows, names_).mapInPandas(counted, names_)
+    cands = source.withColumn("kind", F.lit("street")).withColumn("extent_m", F.lit(20.0)).withColumn("rank", F.col("cand_id"))
+    want = {1: ("ambiguous", None), 2: ("ok", 20), 3: ("too_generic", None), 4: ("name_mismatch", None), 5: ("outside", None), 6: ("ok", 60)}
+    got = {r.query_id: (r.status, r.cand_id) for r in places.choose_candidate(cands, F.col("lat") > 22).collect()}
+    assert got == want and made.value == len(rows)
+
+
 def test_ratios_are_those_of_matching_blocks():
     from difflib import SequenceMatcher
 
