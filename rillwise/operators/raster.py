@@ -39,19 +39,32 @@ def tile_catalogue(pixels: DataFrame, rasters: DataFrame) -> DataFrame:
     return at.groupBy("raster_id", "tile_row", "tile_col", "pixels", "known").agg(F.min(x).alias("xmin"), F.min(y).alias("ymin"), F.max(x).alias("xmax"), F.max(y).alias("ymax"))
 
 
+#: Pixels of a folder's side, unless one tile is larger: a folder for each tile would be as many files as there are tiles.
+SIDE = 1024
+#: Tiles up to which they go to the scan.
+TILES_SENT = 50_000
+
+
+def tile_places() -> list[Column]:
+    """Tile and block (the square of tiles that a folder holds) of a pixel, from row, col and the raster's tile."""
+    tile = lambda c: F.floor(F.col(c) / F.col("tile"))
+    a_side = F.greatest(F.lit(1), F.floor(SIDE / F.col("tile")))
+    return [*[tile(c).cast("int").alias(f"tile_{c}") for c in ("row", "col")], *[F.floor(tile(c) / a_side).cast("int").alias(f"block_{c}") for c in ("row", "col")]]
+
+
 def sample_tiles(points: DataFrame, pixels: DataFrame, rasters: DataFrame) -> DataFrame:
     """(point_id, raster_id, row, col, z) of the pixels that hold points (point_id, x, y): a row for each raster whose grid a point lies in, z null without data.
 
-    The tiles that points need are known before pixels are read: where these are few, Spark sends them to the scan, which
-    opens no other tile's files. pixels: as readers.read_raster gives them, parted by raster_id, tile_row and tile_col.
+    The tiles that points need are known before pixels are read: up to TILES_SENT they go to the scan, which opens no other
+    block's files and passes no other tile's pixels. pixels: as readers.read_raster gives them, parted by raster_id, block_row and block_col.
     """
     row, col = affine_pixel(F.col("x"), F.col("y"))
     placed = points.select("point_id", "x", "y").crossJoin(F.broadcast(rasters)).withColumn("row", row).withColumn("col", col)  # a row a raster
     placed = placed.filter((F.col("row") >= 0) & (F.col("row") < F.col("n_rows")) & (F.col("col") >= 0) & (F.col("col") < F.col("n_cols")))
-    placed = placed.select("point_id", "raster_id", "row", "col", *[F.floor(F.col(c) / F.col("tile")).cast("int").alias(f"tile_{c}") for c in ("row", "col")])
-    keys = ["raster_id", "tile_row", "tile_col"]
+    placed = placed.select("point_id", "raster_id", "row", "col", *tile_places())
+    keys = ["raster_id", "tile_row", "tile_col", "block_row", "block_col"]
     needed = saved(placed.select(*keys).distinct(), "tiles").filter("tile_row >= 0 and tile_col >= 0")
-    read = pixels.join(needed, keys, "left_semi").select("raster_id", "row", "col", "z")
+    read = pixels.join(F.broadcast(needed) if needed.count() <= TILES_SENT else needed, keys, "left_semi").select("raster_id", "row", "col", "z")
     return placed.select("point_id", "raster_id", "row", "col").join(read, ["raster_id", "row", "col"], "left")
 
 

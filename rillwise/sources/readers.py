@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rillwise.functions import shapes
+from rillwise.operators.raster import tile_places
 
 FEATURE = "geometry struct<type:string,coordinates:string>, properties map<string,string>"
 GEOJSON = f"features array<struct<{FEATURE.replace(' struct', ':struct').replace(' map', ':map')}>>, crs struct<properties:struct<name:string>>"
@@ -51,16 +52,16 @@ def read_training(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write_raster(pixels: DataFrame, rasters: DataFrame, path: str) -> None:
-    """pixels (raster_id, row, col, z) as Parquet in a folder for each tile, beside the rasters' metadata (columns of operators.raster.RASTERS)."""
-    tile = [F.floor(F.col(c) / F.col("tile")).cast("int").alias(f"tile_{c}") for c in ("row", "col")]
-    parted = pixels.join(F.broadcast(rasters.select("raster_id", "tile")), "raster_id").select("raster_id", *tile, "row", "col", "z")  # a row a raster
-    parted.repartition("raster_id", "tile_row", "tile_col").write.partitionBy("raster_id", "tile_row", "tile_col").parquet(f"{path}/pixels")
+    """pixels (raster_id, row, col, z) as Parquet in a folder for each block of tiles, beside the rasters' metadata (columns of operators.raster.RASTERS)."""
+    folder = ["raster_id", "block_row", "block_col"]
+    parted = pixels.join(F.broadcast(rasters.select("raster_id", "tile")), "raster_id").select("raster_id", "row", "col", "z", *tile_places())  # a row a raster
+    parted.repartition(*folder).write.partitionBy(*folder).parquet(f"{path}/pixels")
     rasters.coalesce(1).write.parquet(f"{path}/rasters")
 
 
 def read_raster(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Pixels (row, col, z, raster_id, tile_row, tile_col; parted by the last three) and the rasters' metadata of a folder that write_raster wrote."""
-    pixels = spark.read.schema("row long, col long, z double, raster_id long, tile_row int, tile_col int").parquet(f"{path}/pixels")
+    """Pixels (row, col, z, tile_row, tile_col, raster_id, block_row, block_col; parted by the last three) and the rasters' metadata of a folder that write_raster wrote."""
+    pixels = spark.read.schema("row long, col long, z double, tile_row int, tile_col int, raster_id long, block_row int, block_col int").parquet(f"{path}/pixels")
     return pixels, spark.read.parquet(f"{path}/rasters")
 
 

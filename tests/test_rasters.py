@@ -4,7 +4,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from rillwise.operators import raster as r
+from rillwise.plans.registry import BROADCAST
 from rillwise.sources import readers
+from rillwise.store import settings
 
 
 def test_only_needed_tiles_are_read(spark, tmp_path):
@@ -29,3 +31,19 @@ def test_pixels_narrow_towards_the_pole(spark):
     dx, dy = r.pixel_metres(F.col("row"), 0.0, 1.0, 1.0)
     got = spark.range(0, 80, 20).withColumnRenamed("id", "row").select(dx, dy).collect()
     assert [round(x[0] / 1000) for x in got] == [111, 104, 85, 55] and got[0][1] < got[3][1]
+
+
+def test_tiles_share_folders_and_only_needed_ones_are_opened(spark, tmp_path):
+    rasters = spark.createDataFrame([(7, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0, 40, 3000, 8)], r.RASTERS)
+    pixels = spark.range(40 * 3000).select(F.lit(7).cast("long").alias("raster_id"), F.floor(F.col("id") / 3000).alias("row"), (F.col("id") % 3000).alias("col"), F.col("id").cast("double").alias("z"))
+    with settings(spark, BROADCAST):
+        readers.write_raster(pixels, rasters, str(tmp_path / "r"))
+        tiles, known = readers.read_raster(spark, str(tmp_path / "r"))
+        files = sorted((tmp_path / "r" / "pixels").glob("*/*/*/*.parquet"))
+        assert len(files) == 3  # of 1,875 tiles
+        found = r.sample_tiles(spark.createDataFrame([(1, 5.5, 3.5), (2, 900.5, 39.5)], "point_id int, x double, y double"), tiles, known)
+        for f in files:
+            if "block_col=0" not in str(f):
+                f.write_bytes(b"not opened")
+                f.with_name(f".{f.name}.crc").unlink(missing_ok=True)
+        assert {x.point_id: (x.row, x.col, x.z) for x in found.collect()} == {1: (3, 5, 9005.0), 2: (39, 900, 117900.0)}
