@@ -278,7 +278,7 @@ def score_stream(spark, sf_dir):
     segs = adapted(spark, sf_dir, "route_segs").withColumn("station", F.col("trip_id") % 150)
     seen = event_stream(spark, sf_dir).filter("outcome = 'ok'").select("station", "ts", "event_id", F.abs("value").alias("rain"))
     stream.score_stream(seen, segs, path).awaitTermination()
-    now = stream.current_scores(spark, path, ["route_id", "seq", "k1", "k2", "k3", "k4", "k5"])
+    now = stream.current_scores(spark, path)
     return now.select("route_id", "seq", "k1", "k2", F.round("rain", 4).alias("rain"), F.round(F.col("probability") + 1e-9, 4).alias("probability"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from rillwise.functions.hydrology import at_most, rainfall_multiplier
 from rillwise.operators.weather import AUTH_BACKOFF, BACKOFF, BACKOFF_MOST, CALLS_AN_HOUR, FAILURE_TTL, GAP, STALE, calls_per_hour
-from rillwise.store import scratch, settings
+from rillwise.store import discard, saved, scratch, settings
 
 
 def weather_stream(observations: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -187,29 +187,35 @@ def hourly_stream(calls: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return calls_per_hour(calls.withWatermark("ts", delay))
 
 
+#: Stations up to which their rain goes to the segments; of more, both move.
+STATIONS_SENT = 100_000
+
+
 def score_stream(observations: DataFrame, segments: DataFrame, path: str) -> StreamingQuery:
     """Writes the segments scored under each station's current rain, a folder `batch=N` for each micro-batch, and returns the running query.
 
     observations: station, ts, event_id, rain; segments: station, prob and keys of their own, a table that does not move. The
     state is one reading a station. A batch rewrites its own folder, so one that is repeated after a failure counts once;
-    of several folders that hold a segment the largest batch is current.
+    of several folders that hold a station's segments the largest batch is current.
     """
 
     def write(changed: DataFrame, batch: int) -> None:
-        met = segments.join(changed.select("station", F.col("now.rain").alias("rain")), "station")
+        now = saved(changed.select("station", F.col("now.rain").alias("rain")), "rain")
+        met = segments.join(F.broadcast(now) if now.count() <= STATIONS_SENT else now, "station")
         p = at_most(F.col("prob") * rainfall_multiplier(F.col("rain")), 1.0)
         met.withColumn("probability", p).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        discard(now)
 
     current = observations.filter("rain is not null").groupBy("station").agg(F.max(F.struct("ts", "event_id", "rain")).alias("now"))
     state = scratch(segments.sparkSession, "score-state")
     return current.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start()
 
 
-def current_scores(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """Of what score_stream wrote, each segment's row of its latest batch."""
+def current_scores(spark: SparkSession, path: str) -> DataFrame:
+    """Of what score_stream wrote, the rows of each station's latest batch: a batch that has a station has all of its segments."""
     rows = spark.read.parquet(path)
-    rest = [c for c in rows.columns if c not in (*keys, "batch")]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_now")).select(*keys, "_now.*")
+    latest = saved(rows.groupBy("station").agg(F.max("batch").alias("batch")), "latest")
+    return rows.join(F.broadcast(latest) if latest.count() <= STATIONS_SENT else latest, ["station", "batch"]).drop("batch")
 
 
 def run_available(stream: DataFrame, name: str) -> DataFrame:

@@ -122,3 +122,21 @@ def test_state_is_asked_little_and_gives_calls_in_order(monkeypatch, at_once):
         assert len(out) in (900, 1000)
     assert [r.event_id for r in out] == [c.event_id for c in sorted(calls, key=lambda c: c.us)]
     assert at_once < 1000 or told.asked <= 2000 + 50
+
+
+def test_scores_of_each_station_are_those_of_its_latest_batch(spark, tmp_path):
+    """Segments do not move, equal ones all stay, and a station that a later batch leaves out keeps its rows."""
+    segs = spark.createDataFrame([(1, 10, 0.5), (1, 10, 0.5), (1, 11, None), (2, 12, 0.5), (3, 13, 0.5)], "station long, seg long, prob double")
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "station long, ts timestamp, event_id long, rain double"
+    when = pd.Timestamp("2024-01-01").to_pydatetime()
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        for day, rows in enumerate([[(1, 0, 90.0), (2, 1, 45.0)], [(1, 2, 0.0)]]):
+            spark.createDataFrame([(s, when + pd.Timedelta(days=day), e, mm) for s, e, mm in rows], schema).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        w.score_stream(stream, segs, out).awaitTermination()
+        now = w.current_scores(spark, out)
+        plan = now._jdf.queryExecution().executedPlan().toString()
+        got = sorted((x.seg, x.rain, x.probability) for x in now.fillna(-1.0).collect())
+    assert got == [(10, 0.0, pytest.approx(0.15)), (10, 0.0, pytest.approx(0.15)), (11, 0.0, -1.0), (12, 45.0, pytest.approx(0.325))]
+    assert "Exchange hashpartitioning" not in plan
