@@ -88,16 +88,23 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 TRIED = 2
 
 
+def _under(live: DataFrame, to: DataFrame) -> DataFrame:
+    """live with the component (id, to) that each id has reached, itself if none, and whether it is still alone."""
+    kept = [c for c in live.columns if c not in ("component", "alone")]
+    return live.join(to, "id", "left").select(*kept, F.coalesce("to", "id").alias("component"), F.col("to").isNull().alias("alone"))
+
+
 def linked_components(postings: DataFrame, close: Column, verify: Callable[[DataFrame], DataFrame] | None = None, finer: Callable[[DataFrame], DataFrame] | None = None, links: DataFrame | None = None, last: Column | None = None) -> DataFrame:
     """(node, component) over links between the ids that meet under a key; nodes without a link are not returned.
 
+    links: known ones (u, v), each u once, v the least node that it reaches by them.
     postings: key, id and what `close`, a condition on a posting and another one (whose columns end in 2), reads. verify
     takes saved pairs (u, v) that are close and returns those that are links. Two rounds compare an id with pivots only, one for
     each key, the second with one that the first reached, so that groups of copies become one component; then ids of a key
     that are still in different components meet, under the finer keys or with the further columns that `finer` gives their
     postings, and with the condition `last` in place of `close` if there is one. All of these are joins of written tables, which adaptive execution can split: no task holds a key.
     """
-    live = postings.withColumn("component", F.col("id")).withColumn("alone", F.lit(True))
+    live = _under(postings.withColumn("component", F.col("id")), links.select(F.col("u").alias("id"), F.col("v").alias("to"))) if links is not None else postings.withColumn("component", F.col("id")).withColumn("alone", F.lit(True))
     own, done = [c for c in live.columns if c not in ("key", "alone")], []
     for turn in range(3):
         if turn == 2 and finer:
@@ -127,14 +134,12 @@ def linked_components(postings: DataFrame, close: Column, verify: Callable[[Data
         # what was reached stays linked by its component
         links = labels.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
         if turn < 2:
-            to = labels.select(F.col("node").alias("id"), F.col("component").alias("to"))
-            kept = [c for c in live.columns if c not in ("component", "alone")]
-            live = live.join(to, "id", "left").select(*kept, F.coalesce("to", "id").alias("component"), F.col("to").isNull().alias("alone"))
+            live = _under(live, labels.select(F.col("node").alias("id"), F.col("component").alias("to")))
     return labels
 
 
-def fingerprint_components(fps: DataFrame, bits: int = BITS) -> DataFrame:
-    """(node, component) of the distinct fingerprints in column fp, over all pairs within bits; only those with a link."""
+def positional_index(prints: DataFrame, bits: int = BITS) -> tuple[DataFrame, Column, Callable[[DataFrame], DataFrame]]:
+    """Postings of prints (id, fp and further columns) under their bytes, when two of them are close (count filter and bits), and their finer keys."""
     shared = 8 - bits
     if shared < 1:
         raise ValueError("bytes guarantee no match for so many bits")
@@ -147,10 +152,10 @@ def fingerprint_components(fps: DataFrame, bits: int = BITS) -> DataFrame:
             out = F.shiftleft(out, 8).bitwiseOR(byte(F.col("fp"), p))
         return out
 
-    postings = fps.select(F.col("fp").alias("id"), F.explode(F.array(*[key(i, s) for i, s in enumerate(sets)])).alias("key"))
+    postings = prints.select(*prints.columns, F.explode(F.array(*[key(i, s) for i, s in enumerate(sets)])).alias("key"))
     # tally of the bytes that two share; fewer than guaranteed can't be near, the others are verified bit by bit
-    tally = sum(((byte(F.col("id"), p) == byte(F.col("id2"), p)).cast("int") for p in range(8)), F.lit(0))
-    close = (tally >= shared) & (F.bit_count(F.col("id").bitwiseXOR(F.col("id2"))) <= bits)
+    tally = sum(((byte(F.col("fp"), p) == byte(F.col("fp2"), p)).cast("int") for p in range(8)), F.lit(0))
+    close = (tally >= shared) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= bits)
 
     def finer(live: DataFrame) -> DataFrame:
         """Each posting under one more byte of those that its key leaves open: near ones share `shared` bytes, more than the key has."""
@@ -158,11 +163,17 @@ def fingerprint_components(fps: DataFrame, bits: int = BITS) -> DataFrame:
         if shared <= width:
             return live
         part = F.shiftright("key", 8 * width)
-        more = F.array(*[F.struct(F.lit(p).alias("at"), byte(F.col("id"), p).alias("byte")) for p in range(8)])
+        more = F.array(*[F.struct(F.lit(p).alias("at"), byte(F.col("fp"), p).alias("byte")) for p in range(8)])
         fixed = F.element_at(F.array(*[F.array(*[F.lit(p) for p in s]) for s in sets]), part.cast("int") + 1)
         rest = live.withColumn("fixed", fixed).withColumn("more", F.explode(more)).filter(~F.array_contains("fixed", F.col("more.at")))
         return rest.withColumn("key", F.shiftleft(F.shiftleft("key", 3).bitwiseOR(F.col("more.at").cast("long")), 8).bitwiseOR(F.col("more.byte"))).drop("fixed", "more")
 
+    return postings, close, finer
+
+
+def fingerprint_components(fps: DataFrame, bits: int = BITS) -> DataFrame:
+    """(node, component) of the distinct fingerprints in column fp, over all pairs within bits; only those with a link."""
+    postings, close, finer = positional_index(fps.select(F.col("fp").alias("id"), "fp"), bits)
     return linked_components(postings, close, finer=finer)
 
 
@@ -262,8 +273,9 @@ def _overlap(n: Column, n2: Column, similarity: float) -> Column:
 def similar_components(docs: DataFrame, similarity: float = SIMILARITY, most_marked: int = MARKED) -> DataFrame:
     """doc_id, component_id: the least doc_id that a document reaches over pairs whose five-word shingles are that similar.
 
-    Exact: every link is verified by Jaccard similarity, and no similar pair of two components is left out. Sets are put in
-    one order, common shingles last; similar sets share one of their first n - ceil(similarity * n) + 1 shingles, the keys.
+    Exact: every link is verified by Jaccard similarity, and no similar pair of two components is left out. SimHash first:
+    the sets' fingerprints meet in the inverted index of byte positions, those within BITS bits are tried and make components.
+    Similar sets may differ in more bits, so what is still apart meets again, by shingles: sets are put in one order, common shingles last; similar sets share one of their first n - ceil(similarity * n) + 1 shingles, the keys.
     A first pass counts keys; a bounded bitmap of those that several documents hold goes to a second, which lets only
     them become postings. Pairs that meet are tried by size and place, then by parity bitmaps, and last by the sets, which
     only documents of such pairs send. doc_id names one text: see drop_near_copies for tables where it doesn't. Rows without
@@ -292,7 +304,7 @@ def similar_components(docs: DataFrame, similarity: float = SIMILARITY, most_mar
     def described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = list(shingle_sets(tx.utf8(batch["text"])))
-            yield pd.DataFrame({"id": batch["doc_id"], "n": np.array([len(s) for s in sets], np.int32), "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], "parity": [_parity(s) for s in sets], **{f"p{i}": x for i, x in enumerate(np.array([_short_parity(s) for s in sets]).reshape(-1, SHORT).T)}})
+            yield pd.DataFrame({"id": batch["doc_id"], "n": np.array([len(s) for s in sets], np.int32), "fp": np.array([_majority(s) if len(s) else 0 for s in sets], np.uint64).view(np.int64), "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], "parity": [_parity(s) for s in sets], **{f"p{i}": x for i, x in enumerate(np.array([_short_parity(s) for s in sets]).reshape(-1, SHORT).T)}})
 
     several = saved(known.mapInPandas(counted, "key long").groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "shared-keys")
     # a bitmap that most keys would pass is of no use: then all keys become postings, and a join finds the shared ones
@@ -315,7 +327,7 @@ def similar_components(docs: DataFrame, similarity: float = SIMILARITY, most_mar
         for batch in batches:
             yield pd.DataFrame({"id": batch["doc_id"], "grams": [s.view(np.int64) for s in shingle_sets(tx.utf8(batch["text"]))]})
 
-    entries = saved(known.mapInPandas(described, f"id {kind}, n int, digest binary, parity binary, {', '.join(f'p{i} long' for i in range(SHORT))}").filter("n > 0"), "described")
+    entries = saved(known.mapInPandas(described, f"id {kind}, n int, fp long, digest binary, parity binary, {', '.join(f'p{i} long' for i in range(SHORT))}").filter("n > 0"), "described")
     first = saved(entries.groupBy("digest").agg(F.min("id").alias("first")), "distinct-sets")
     same = saved(entries.select("id", "digest").join(first, "digest").filter("id <> first").select(F.col("id").alias("u"), F.col("first").alias("v")), "same-sets")
     # sets that are equal meet once, as the first of them
@@ -340,8 +352,13 @@ def similar_components(docs: DataFrame, similarity: float = SIMILARITY, most_mar
     # the rest meets in pairs, of which short bitmaps rule most out before they are formed
     shorts = entries.select("id", *[f"p{i}" for i in range(SHORT)])
     differ = sum((F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"p{i}2"))) for i in range(SHORT)), F.lit(0))
-    last = close & (differ <= F.col("n") + F.col("n2") - 2 * _overlap(F.col("n"), F.col("n2"), similarity))
-    labels = linked_components(postings, close, verify, finer=lambda live: live.join(shorts, "id"), links=same, last=last)
+    may = differ <= F.col("n") + F.col("n2") - 2 * _overlap(F.col("n"), F.col("n2"), similarity)
+    prints, near, finer = positional_index(entries.select("id", "fp", "n").join(same.select(F.col("u").alias("id")), "id", "left_anti"))
+    near = near & (F.least("n", "n2") >= _overlap(F.col("n"), F.col("n2"), similarity))
+    labels = linked_components(prints, near, verify, finer=lambda live: finer(live.join(shorts, "id")), links=same, last=near & may)
+    reached = saved(labels.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")), "by-bits")
+    gc.collect()
+    labels = linked_components(postings, close, verify, finer=lambda live: live.join(shorts, "id"), links=reached, last=close & may)
     bits.destroy(), order.destroy()
     gc.collect()  # Python lets go of the plans of all rounds, and so does the JVM
     return labels.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))

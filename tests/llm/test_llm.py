@@ -771,6 +771,24 @@ def test_near_copies_under_one_doc_id(spark, kind):
     assert sorted((str(r.doc_id), str(r.text)) for r in left.collect()) == sorted((str(a), str(b)) for a, b in want)
 
 
+def test_similar_documents_meet_by_simhash_first(spark, monkeypatch):
+    """Fingerprints under their byte positions link what differs in few bits; what is left goes to the shingles with these links."""
+    runs, linked = [], sh.linked_components
+
+    def seen(postings, *args, **named):
+        out = linked(postings, *args, **named)
+        runs.append((postings.columns, postings.count(), out.filter("node <> component").count()))
+        return out
+
+    monkeypatch.setattr(sh, "linked_components", seen)
+    base = long_text(2000, 7).split()
+    rows = [(i, " ".join(w if k != 5 + i else f"e{i}" for k, w in enumerate(base))) for i in range(20)] + [(30, long_text(400, 8)), (31, None), (32, long_text(400, 8))]
+    got = {r.doc_id: r.component_id for r in sh.similar_components(frame(spark, rows)).collect()}
+    assert got == {**dict.fromkeys(range(20), 0), 30: 30, 32: 30}
+    (columns, n, by_bits), _ = runs
+    assert "fp" in columns and n == 14 * 21 and by_bits > 10
+
+
 def test_a_family_of_edited_copies_meets_few_pairs(spark, monkeypatch):
     """No list of a key's members in one task, and pairs in proportion to the family."""
     kept, saved = {}, sh.saved
