@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from rillwise.functions import shapes
 from rillwise.functions.geo import segment_distance
-from rillwise.operators.graph import connected_components
-from rillwise.operators.spatial import reached_cells
+from rillwise.operators.graph import connected_components, group_links
+from rillwise.operators.spatial import reached_cells, segment_cells
 from rillwise.store import saved
 
 DUPLICATE_M = 3.0
@@ -108,18 +109,26 @@ def dedupe_lines(lines: DataFrame, tol: float = DUPLICATE_M) -> DataFrame:
     return lines if dropped is None else lines.join(dropped.withColumnRenamed("later", "segment_id"), "segment_id", "left_anti")
 
 
+def _meet(a: list, b: list, sign, least, greatest):
+    """Whether edges (x0, y0, x1, y1) share a place: columns or arrays, with the functions for them."""
+    side = lambda px, py, qx, qy, rx, ry: sign((qx - px) * (ry - py) - (qy - py) * (rx - px))
+    A, B, C, D = a[:2], a[2:], b[:2], b[2:]
+    boxes = (greatest(A[0], B[0]) >= least(C[0], D[0])) & (greatest(C[0], D[0]) >= least(A[0], B[0])) & (greatest(A[1], B[1]) >= least(C[1], D[1])) & (greatest(C[1], D[1]) >= least(A[1], B[1]))
+    return boxes & (side(*A, *B, *C) * side(*A, *B, *D) <= 0) & (side(*C, *D, *A) * side(*C, *D, *B) <= 0)
+
+
 def group_touching(edges: DataFrame, polygon: str, reach: float = 500.0) -> DataFrame:
-    """(polygon, component): polygons whose edges meet, directly or through others. edges: polygon, x0, y0, x1, y1."""
-    low, high = [F.least(f"{c}0", f"{c}1") for c in "xy"], [F.greatest(f"{c}0", f"{c}1") for c in "xy"]
-    a = reached_cells(edges, *low, *high, reach).select("_cx", "_cy", F.col(polygon).alias("u"), *[F.col(c).alias(f"a{c}") for c in ("x0", "y0", "x1", "y1")])
-    b = edges.withColumn("_cx", F.explode(F.sequence(F.floor(low[0] / reach), F.floor(high[0] / reach)))).withColumn("_cy", F.explode(F.sequence(F.floor(low[1] / reach), F.floor(high[1] / reach)))).withColumnRenamed(polygon, "v")
-    side = lambda px, py, qx, qy, rx, ry: F.signum((qx - px) * (ry - py) - (qy - py) * (rx - px))
-    A, B, C, D = ([F.col(x) for x in p] for p in (("ax0", "ay0"), ("ax1", "ay1"), ("x0", "y0"), ("x1", "y1")))
-    boxes = (F.greatest(A[0], B[0]) >= F.least(C[0], D[0])) & (F.greatest(C[0], D[0]) >= F.least(A[0], B[0])) & (F.greatest(A[1], B[1]) >= F.least(C[1], D[1])) & (F.greatest(C[1], D[1]) >= F.least(A[1], B[1]))
-    meets = boxes & (side(*A, *B, *C) * side(*A, *B, *D) <= 0) & (side(*C, *D, *A) * side(*C, *D, *B) <= 0)
-    met = a.join(b, ["_cx", "_cy"]).filter("u < v").filter(meets).select("u", "v").distinct()
-    loops = edges.select(F.col(polygon).alias("u"), F.col(polygon).alias("v")).distinct()
-    return connected_components(met.unionByName(loops)).select(F.col("node").alias(polygon), "component")
+    """(polygon, component): polygons whose edges meet, directly or through others. edges: polygon, x0, y0, x1, y1.
+
+    Equal edges meet, so one stands for all of them, under the least polygon. Edges that meet share a place and so the cell (as wide as reach) that it lies in;
+    links within a cell join what meets there, without all of its pairs.
+    """
+    ends = ["x0", "y0", "x1", "y1"]
+    placed = " and ".join(f"coalesce(abs({c}) < double('inf'), false)" for c in ends)  # others meet nothing
+    own = saved(edges.select(F.col(polygon).alias("u"), *ends, F.expr(placed).alias("_placed"), F.min(polygon).over(W.partitionBy(*ends)).alias("v")), "edges-of-polygons")
+    dealt = segment_cells(own.filter("_placed and u = v").dropDuplicates(["u", *ends]), 1e-3, reach)
+    met = group_links(dealt, ["_cx", "_cy"], "u", ends, lambda a, b: _meet(a, b, F.signum, F.least, F.greatest), lambda a, b: _meet(a, b, np.sign, np.minimum, np.maximum))
+    return connected_components(met.unionByName(own.select("u", F.when(F.col("_placed"), F.col("v")).otherwise(F.col("u")).alias("v")))).select(F.col("node").alias(polygon), "component")
 
 
 def bodies(polygons: DataFrame, components: DataFrame, polygon: str, sheet: str, ward: str) -> DataFrame:
