@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from math import sqrt
 
+import numpy as np
 from pyspark.sql import Column, functions as F
 
 # The WGS84 ellipsoid, UTM zone 45 N, the sphere of the haversine distance, local metres of a degree.
@@ -65,15 +66,28 @@ def local_xy_m(lat: Column, lon: Column, lat0: Column, lon0: Column) -> tuple[Co
     return (lon - lon0) * M_PER_DEGREE[0] * F.cos(F.radians(lat0)), (lat - lat0) * M_PER_DEGREE[1]
 
 
+def _lambert(m, lat1, lon1, lat2, lon2):
+    """What is 0 where two places are one, and their distance where they aren't, by the functions of module m: of columns or of arrays."""
+    b1, b2 = (m.atan((1 - F_WGS84) * m.tan(m.radians(c))) for c in (lat1, lat2))
+    a = m.pow(m.sin((b2 - b1) / 2), 2) + m.cos(b1) * m.cos(b2) * m.pow(m.sin(m.radians(lon2 - lon1) / 2), 2)
+    s = 2 * m.asin(m.sqrt(a))
+    p, q = (b1 + b2) / 2, (b2 - b1) / 2
+    x = (s - m.sin(s)) * m.pow(m.sin(p) * m.cos(q) / m.cos(s / 2), 2)
+    y = (s + m.sin(s)) * m.pow(m.cos(p) * m.sin(q) / m.sin(s / 2), 2)
+    return a, A_WGS84 * (s - F_WGS84 / 2 * (x + y))
+
+
 def geodesic_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Distance on the ellipsoid by Lambert's formula: metres per 100 km off at most, made for short ranges."""
-    b1, b2 = (F.atan((1 - F_WGS84) * F.tan(F.radians(c))) for c in (lat1, lat2))
-    a = F.pow(F.sin((b2 - b1) / 2), 2) + F.cos(b1) * F.cos(b2) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    s = 2 * F.asin(F.sqrt(a))
-    p, q = (b1 + b2) / 2, (b2 - b1) / 2
-    x = (s - F.sin(s)) * F.pow(F.sin(p) * F.cos(q) / F.cos(s / 2), 2)
-    y = (s + F.sin(s)) * F.pow(F.cos(p) * F.sin(q) / F.sin(s / 2), 2)
-    return F.when(a == 0, 0.0).otherwise(A_WGS84 * (s - F_WGS84 / 2 * (x + y)))
+    a, d = _lambert(F, lat1, lon1, lat2, lon2)
+    return F.when(a == 0, 0.0).otherwise(d)
+
+
+def geodesic_of(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.ndarray) -> np.ndarray:
+    """geodesic_m of arrays."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        a, d = _lambert(np, lat1, lon1, lat2, lon2)
+    return np.where(a == 0, 0.0, d)
 
 
 def extent_m(south: Column, west: Column, north: Column, east: Column) -> Column:

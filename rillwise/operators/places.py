@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rillwise.functions.geo import geodesic_m
+from rillwise.functions.geo import geodesic_m, geodesic_of
 from rillwise.functions.names import clean_query, distinctive_tokens
 from rillwise.operators.fuzzy import matched_names
-from rillwise.operators.graph import connected_components
+from rillwise.operators.graph import connected_components, group_links
 from rillwise.store import saved
 
 # Limits in metres, and kinds of candidates that are too wide.
@@ -32,11 +33,12 @@ def choose_candidate(cands: DataFrame, inside: Column) -> DataFrame:
     each = texts.join(named, ["query_text", "cand_name"], "left").select(F.col("query_text").alias("_q"), F.col("cand_name").alias("_n"), F.coalesce("named", F.lit(False)).alias("_like"), F.size(distinctive_tokens(F.col("query_text"))).alias("_words"))
     each = saved(each, "matched")
     c = c.join(F.broadcast(each) if each.count() <= TEXTS_SENT else each, F.col("query_text").eqNullSafe(F.col("_q")) & F.col("cand_name").eqNullSafe(F.col("_n"))).withColumn("_named", F.col("_in") & F.col("_like"))
-    n = c.groupBy("query_id").agg(F.max("_words").alias("distinctive"), F.bool_or("_in").alias("any_in"), F.bool_or("_named").alias("any_named"))
     precise = ~F.coalesce(F.col("kind").isin(*WIDE), F.lit(False)) & (F.coalesce("extent_m", F.lit(0.0)) <= UNCERTAINTY_M)
-    fine = c.filter(F.col("_named") & precise).select("query_id", F.struct("rank", "cand_id", "lat", "lon", "extent_m", "kind").alias("own"))
-    best = fine.groupBy("query_id").agg(F.min("own").alias("best"))
-    out = n.join(ambiguous(fine.select("query_id", "own.lat", "own.lon").join(best, "query_id")), "query_id", "left")
+    own = F.struct("rank", "cand_id", "lat", "lon", "extent_m", "kind")
+    told = [F.max("_words").alias("distinctive"), F.bool_or("_in").alias("any_in"), F.bool_or("_named").alias("any_named"), F.min(F.when(F.col("_named") & precise, own)).alias("best")]
+    n = saved(c.groupBy("query_id").agg(*told), "gates")
+    fine = c.filter(F.col("_named") & precise).select("query_id", "lat", "lon").distinct()
+    out = n.join(ambiguous(fine.join(n.select("query_id", "best"), "query_id")).select("query_id", "far"), "query_id", "left")
     status = (
         F.when(F.col("distinctive") == 0, "too_generic").when(~F.col("any_in"), "outside").when(~F.col("any_named"), "name_mismatch")
         .when(F.col("best").isNull(), "too_vague").when(F.coalesce("far", F.lit(False)), "ambiguous").otherwise("ok")
@@ -70,45 +72,69 @@ def consistency_outliers(rows: DataFrame, group: str, limit: float) -> DataFrame
     """(rec_id, group, no_majority): located records outside the one largest cluster of their group.
 
     Records within limit of each other link; clusters are the components. If two clusters are the largest, all records of the
-    group are outliers; a group of one is left alone. Pairs come from grid cells of the group, not from all its records.
+    group are outliers; a group of one is left alone. Records of a group at one place are one site; links come from grid cells
+    of the group, not from all its pairs.
     """
     from rillwise.functions.geo import utm_xy
     from rillwise.operators.spatial import reached_cells
 
+    own = saved(rows.filter("lat is not null and lon is not null").select("rec_id", F.col(group).alias("g"), "lat", "lon"), "located")
     x, y = utm_xy(F.col("lat"), F.col("lon"))
-    own = rows.filter("lat is not null and lon is not null").select("rec_id", F.col(group).alias("g"), "lat", "lon", x.alias("x"), y.alias("y"))
+    sites = own.groupBy("g", "lat", "lon").agg(F.min("rec_id").alias("site"), F.count("*").alias("n"))
+    sites = saved(sites.select("*", x.alias("x"), y.alias("y")), "sites")  # the projection is computed once a place
     reach = limit * 1.01  # the plane's scale differs from the ellipsoid's by less
-    own = saved(own, "located")  # the projection is computed once a row
-    wide = 3 * reach  # a record meets those of a cell, as many as in nine of the reach's width, but lies in some three cells, not nine
-    a = own.withColumn("_cx", F.floor(F.col("x") / wide)).withColumn("_cy", F.floor(F.col("y") / wide))
-    b = reached_cells(own, F.col("x"), F.col("y"), F.col("x"), F.col("y"), reach, wide).select(F.col("rec_id").alias("v"), "g", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.col("x").alias("x2"), F.col("y").alias("y2"), "_cx", "_cy")
+    # of two sites within reach both are within half of it of the cell that holds their middle; a site lies in some two cells
+    dealt = reached_cells(sites, F.col("x"), F.col("y"), F.col("x"), F.col("y"), reach / 2, 3 * reach)
+
     # the plane tells all but those about as far apart as the limit; the ellipsoid is asked for these alone, as it costs far more
-    flat = F.sqrt(F.pow(F.col("x") - F.col("x2"), 2) + F.pow(F.col("y") - F.col("y2"), 2))
-    met = a.join(b, ["g", "_cx", "_cy"]).filter("rec_id < v").withColumn("_flat", flat).filter(F.col("_flat") <= reach)
-    near = met.filter((F.col("_flat") <= limit / 1.01) | (geodesic_m(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")) <= limit))
-    edges = near.select(F.col("rec_id").alias("u"), "v").unionByName(own.select(F.col("rec_id").alias("u"), F.col("rec_id").alias("v")))
-    placed = own.select("rec_id", "g").join(connected_components(edges).withColumnRenamed("node", "rec_id"), "rec_id")
-    sizes = placed.groupBy("g", "component").agg(F.count("*").alias("n"))
+    def near(a: list[Column], b: list[Column]) -> Column:
+        flat = F.sqrt(F.pow(a[2] - b[2], 2) + F.pow(a[3] - b[3], 2))
+        return (flat <= reach) & ((flat <= limit / 1.01) | (geodesic_m(*a[:2], *b[:2]) <= limit))
+
+    def near_all(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+        flat = np.hypot(a[2] - b[2], a[3] - b[3])
+        met = flat <= limit / 1.01
+        i, j = np.nonzero((flat <= reach) & ~met)
+        met[i, j] = geodesic_of(a[0][i, 0], a[1][i, 0], b[0][0, j], b[1][0, j]) <= limit
+        return met
+
+    edges = group_links(dealt, ["g", "_cx", "_cy"], "site", ["lat", "lon", "x", "y"], near, near_all)
+    alone = sites.select(F.col("site").alias("u"), F.col("site").alias("v"))
+    placed = saved(sites.select("site", "g", "lat", "lon", "n").join(connected_components(edges.unionByName(alone)).withColumnRenamed("node", "site"), "site"), "clusters")
+    sizes = placed.groupBy("g", "component").agg(F.sum("n").alias("n"))
     alike = sizes.groupBy("g", "n").agg(F.count("*").alias("alike"), F.max("component").alias("component"))
     top = alike.groupBy("g").agg(F.max(F.struct("n", "alike", "component")).alias("m"), F.sum(F.col("n") * F.col("alike")).alias("total"))
     judged = placed.join(top, "g").filter("total > 1").withColumn("no_majority", F.col("m.alike") > 1)
-    return judged.filter(F.col("no_majority") | (F.col("component") != F.col("m.component"))).select("rec_id", F.col("g").alias(group), "no_majority")
+    out = judged.filter(F.col("no_majority") | (F.col("component") != F.col("m.component"))).select("g", "lat", "lon", "no_majority")
+    return own.join(out, ["g", "lat", "lon"]).select("rec_id", F.col("g").alias(group), "no_majority")
 
 
 def first_candidate(cands: DataFrame, keys: list[str], rank: str, carry: list[str]) -> DataFrame:
     return cands.groupBy(*keys).agg(F.min(F.struct(rank, *carry)).alias("b")).select(*keys, "b.*")
 
 
-def resolve_pockets(raw: DataFrame, cands: DataFrame, manual: DataFrame, cache: DataFrame, inside: Column) -> tuple[DataFrame, DataFrame]:
-    """Places of location texts, and the texts that are still to be asked for.
+def _cleaned(raw: DataFrame) -> DataFrame:
+    """raw with query_text, cleaned once for each distinct location."""
+    texts = saved(raw.select("location").distinct().withColumn("query_text", clean_query(F.col("location"))), "cleaned-texts")
+    return raw.join(F.broadcast(texts) if texts.count() <= TEXTS_SENT else texts, "location", "left")
+
+
+def texts_to_ask(raw: DataFrame, known: DataFrame) -> DataFrame:
+    """query_text of the distinct cleaned texts of raw (location) that name something and are none of those of known (location)."""
+    told = [df.select("location").distinct().select(clean_query(F.col("location")).alias("query_text")) for df in (raw, known)]
+    return uncached_queries(*told)
+
+
+def resolve_pockets(raw: DataFrame, cands: DataFrame, manual: DataFrame, inside: Column) -> DataFrame:
+    """Places of location texts.
 
-    raw: query_id, location, ward, borough; cands: query_id, rank, cand_id, cand_name, kind, lat, lon, extent_m; manual:
-    query_id, lat, lon that someone has verified; cache: query_text. Texts are cleaned, candidates chosen for what is left of
+    raw: query_id, location, ward, borough; cands: query_id, rank, cand_id, cand_name, kind, lat, lon, extent_m (repeated ones don't
+    matter); manual: query_id, lat, lon that someone has verified. Texts are cleaned, candidates chosen for what is left of
     them, verified positions come first, and records far from the others of their ward, or else of their borough, are marked.
     Returns (query_id, query_text, status, cand_id, method, lat, lon, ward, borough, outlier: ward, borough or null), a row
-    for each row of raw; and query_text of the distinct texts that name something and are not in the cache.
+    for each row of raw.
     """
-    texts = saved(raw.withColumn("query_text", clean_query(F.col("location"))).select("query_id", "query_text", "ward", "borough"), "cleaned")
+    texts = saved(_cleaned(raw).select("query_id", "query_text", "ward", "borough"), "cleaned")
     chosen = choose_candidate(cands.join(texts.select("query_id", "query_text"), "query_id"), inside).drop("method")
     placed = texts.join(chosen, "query_id", "left").withColumn("status", F.coalesce("status", F.lit("none")))
     placed = saved(apply_overrides(placed, manual, ["query_id"]), "placed")
@@ -117,7 +143,7 @@ def resolve_pockets(raw: DataFrame, cands: DataFrame, manual: DataFrame, cache:
     rest = known.join(of_ward.select(F.col("query_id").alias("rec_id")), "rec_id", "left_anti")
     of_borough = consistency_outliers(rest, "borough", BOROUGH_M).select(F.col("rec_id").alias("query_id"), F.lit("borough").alias("outlier"))
     out = placed.join(of_ward.unionByName(of_borough), "query_id", "left")
-    return out.select("query_id", "query_text", "status", "cand_id", "method", "lat", "lon", "ward", "borough", "outlier"), uncached_queries(texts, cache)
+    return out.select("query_id", "query_text", "status", "cand_id", "method", "lat", "lon", "ward", "borough", "outlier")
 
 
 def review_counts(resolved: DataFrame) -> DataFrame:

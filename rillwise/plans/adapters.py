@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 ADAPTERS = {
     "pts": "SELECT c_custkey AS point_id, 22.40 + 0.35 * ((c_custkey * 5417) % 10007) / 10007.0e0 AS lat, 88.20 + 0.35 * ((c_custkey * 7919) % 10007) / 10007.0e0 AS lon FROM {customer}",
@@ -62,7 +62,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def adapted(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = RASTER["spark"] if name == "raster" else ADAPTERS[name]
-    return spark.sql(sql, **{t: table(spark, sf_dir, t) for t in _tables(sql)})
+    tables = {t: table(spark, sf_dir, t) for t in _tables(sql)}
+    if name == "cands":  # texts are the names of some of the first 200 parts: all candidates of a text would else meet in one task
+        sql, tables["asked"] = sql.replace("{part} q", "{asked} q"), F.broadcast(tables["part"].filter("abs(p_partkey) < 200"))
+    return spark.sql(sql, **tables)
 
 def adapters_sql(*names: str) -> str:
     """WITH clauses (without the keyword) of adapters for the oracle."""

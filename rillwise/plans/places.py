@@ -9,6 +9,7 @@ from rillwise.functions.names import CLEANING, GENERIC, STREET_TYPES, clean_quer
 from rillwise.operators import fuzzy as fuzzy_names, places as p
 from rillwise.plans.adapters import adapted, adapters_sql
 from rillwise.plans.registry import query
+from rillwise.store import saved
 
 F_ = 1 / 298.257223563
 
@@ -140,29 +141,35 @@ rs AS (SELECT pl.*, CASE WHEN rec_id IN (SELECT rec_id FROM ow) THEN 'ward' WHEN
 COUNTED = ", ".join(f"count(*) FILTER (status = '{x}') AS {x}" for x in p.STATUSES)
 
 
+def location_texts(spark, sf_dir):
+    """query_id and location of all texts; a row for each candidate."""
+    return adapted(spark, sf_dir, "cands").select("query_id", F.expr(RAW.format(SLIPS.format("query_id", "query_text"))).alias("location"))
+
+
 def resolved_pockets(spark, sf_dir):
     c, q = adapted(spark, sf_dir, "cands"), F.col("query_id")
-    raw = c.select("query_id", F.expr(RAW.format(SLIPS.format("query_id", "query_text"))).alias("location"), (q % 72).alias("ward"), (q % 9).alias("borough")).distinct()
-    manual = c.filter("query_id % 40 = 0").select("query_id").distinct().select("query_id", (22.5 + q % 997 / 10000.0).alias("lat"), (88.3 + q % 991 / 10000.0).alias("lon"))
-    ranked = c.drop("query_text").dropDuplicates(["query_id", "cand_id", "kind", "extent_m"]).withColumn("rank", F.struct("cand_id", "kind", F.coalesce("extent_m", F.lit(-1.0)).alias("e")))
-    cache = raw.filter("query_id % 5 = 0").select(clean_query(F.col("location")).alias("query_text"))
-    return p.resolve_pockets(raw, ranked, manual, cache, in_bbox(F.col("lat"), F.col("lon"), (88.20, 22.45, 88.50, 22.70)))
+    raw = location_texts(spark, sf_dir).distinct().withColumns({"ward": q % 72, "borough": q % 9})
+    raw = saved(raw, "texts-asked")
+    manual = raw.filter("query_id % 40 = 0").select("query_id").distinct().select("query_id", (22.5 + q % 997 / 10000.0).alias("lat"), (88.3 + q % 991 / 10000.0).alias("lon"))
+    ranked = c.drop("query_text").withColumn("rank", F.struct("cand_id", "kind", F.coalesce("extent_m", F.lit(-1.0)).alias("e")))
+    return p.resolve_pockets(raw, ranked, manual, in_bbox(F.col("lat"), F.col("lon"), (88.20, 22.45, 88.50, 22.70)))
 
 
 @query("E10_resolve_pockets", f"WITH RECURSIVE {RESOLVED} SELECT rec_id AS query_id, query_text, status, cand_id, method, round(lat, 5) AS lat, round(lon, 5) AS lon, outlier FROM rs")
 def resolve(spark, sf_dir):
     """Every location text with its place: cleaned, matched, chosen, overridden and judged by its ward and borough."""
-    found, _ = resolved_pockets(spark, sf_dir)
-    return found.select("query_id", "query_text", "status", "cand_id", "method", F.round("lat", 5).alias("lat"), F.round("lon", 5).alias("lon"), "outlier")
+    return resolved_pockets(spark, sf_dir).select("query_id", "query_text", "status", "cand_id", "method", F.round("lat", 5).alias("lat"), F.round("lon", 5).alias("lon"), "outlier")
 
 
 @query("E10_A18_review_counts", f"WITH RECURSIVE {RESOLVED} SELECT borough, count(*) AS n, count(lat) AS located, count(*) FILTER (method = 'manual') AS manual, count(outlier) AS outliers, {COUNTED} FROM rs GROUP BY 1")
 def review(spark, sf_dir):
     """What is left to review, by borough."""
-    return p.review_counts(resolved_pockets(spark, sf_dir)[0])
+    return p.review_counts(resolved_pockets(spark, sf_dir))
 
 
 @query("E10_J13_texts_to_ask", f"WITH RECURSIVE {POCKET_TEXTS} SELECT DISTINCT query_text FROM matched WHERE distinctive > 0 AND query_text NOT IN (SELECT query_text FROM texts WHERE query_id % 5 = 0)")
 def to_ask(spark, sf_dir):
     """Cleaned texts that name something and that no earlier answer is known for."""
-    return resolved_pockets(spark, sf_dir)[1]
+    asked = location_texts(spark, sf_dir).select("location", (F.col("query_id") % 5 == 0).alias("known"))
+    asked = saved(asked.distinct(), "locations")
+    return p.texts_to_ask(asked, asked.filter("known"))

@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rillwise import plans
+from rillwise.functions.geo import geodesic_m, geodesic_of
 from rillwise.operators import graph, layers, places, spatial
 
 
@@ -64,3 +66,52 @@ def test_bodies_of_crowded_polygons(spark, linked):
     got = {tuple(r) for r in layers.bodies(df, layers.group_touching(spatial.box_edges(df, "body_id"), "body_id"), "body_id", "source_sheet", "ward").collect()}
     assert got == {(0, 300, "s0,s1,s2", "0,1,2,3"), (300, 1, "s0", "0"), (301, 1, "s1", "1")}
     assert linked[0] < 302 * 8
+
+
+def test_clusters_of_crowded_records(spark, linked):
+    """Records that crowd a ward, some at one place: outliers as by all pairs, from some links a site."""
+    rng = np.random.default_rng(2)
+    lat, lon = np.concatenate([rng.normal(22.5, 0.02, 500), np.full(40, 22.7), rng.uniform(22.3, 22.9, 60)]), np.concatenate([rng.normal(88.3, 0.02, 500), np.full(40, 88.5), rng.uniform(88.0, 88.7, 60)])
+    df = spark.createDataFrame([(i, i % 2, float(a), float(b)) for i, (a, b) in enumerate(zip(lat, lon))], "rec_id int, ward int, lat double, lon double")
+    pairs = df.alias("a").crossJoin(df.alias("b")).filter("a.ward = b.ward and a.rec_id < b.rec_id").filter(geodesic_m(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon")) <= 2500)
+    met = {(r[0], r[1]) for r in pairs.select("a.rec_id", F.col("b.rec_id").alias("v")).collect()}
+    part = parts(len(lat), lambda i, j: (j, i) in met)
+    most = {w: max(set(part[w::2]), key=part[w::2].count) for w in (0, 1)}
+    got = {r.rec_id for r in places.consistency_outliers(df, "ward", 2500.0).collect()}
+    assert got == {i for i, c in enumerate(part) if c != most[i % 2]} and len(got) > 60
+    assert linked[0] < len(met) / 3, (linked, len(met))
+
+
+def test_distances_of_arrays_are_those_of_columns(spark):
+    rng = np.random.default_rng(1)
+    at = [*rng.uniform(22, 23, (2, 50)), *rng.uniform(88, 89, (2, 50))]
+    at[1][:5], at[3][:5] = at[0][:5], at[2][:5]
+    df = spark.createDataFrame([tuple(map(float, v)) for v in zip(*at)], "a double, c double, b double, d double")
+    want = [r[0] for r in df.select(geodesic_m(F.col("a"), F.col("b"), F.col("c"), F.col("d"))).collect()]
+    assert geodesic_of(at[0], at[2], at[1], at[3]).tolist() == pytest.approx(want, abs=1e-6) and want[0] == 0
+
+
+def test_texts_to_ask_choose_no_candidate(spark, monkeypatch):
+    """Which texts are still to be asked for needs neither their candidates nor their places."""
+    monkeypatch.setattr(places, "choose_candidate", None)
+    assert plans.queries()["E10_J13_texts_to_ask"](spark, "/root/testdata/sf0.001").count() > 20
+    raw = spark.createDataFrame([("46, Lake Rd (portion)",), ("Lake Road",), ("jn. Canal",), ("Main Road",), (None,)], "location string")
+    assert [r[0] for r in places.texts_to_ask(raw, raw.limit(0)).orderBy("query_text").collect()] == ["Canal", "Lake Road"]
+    assert [r[0] for r in places.texts_to_ask(raw, raw.filter("location = 'Lake Road'")).collect()] == ["Canal"]
+
+
+def test_a_location_is_cleaned_once(spark, monkeypatch):
+    """Of 300 texts with three locations three are cleaned; repeated candidates change nothing."""
+    seen, real = spark.sparkContext.accumulator(0), places.clean_query
+
+    def told(x):
+        seen.add(1)
+        return x
+
+    monkeypatch.setattr(places, "clean_query", lambda c: real(F.udf(told, "string")(c)))
+    raw = spark.range(300).selectExpr("id as query_id", "element_at(array('Lake Rd', 'Canal near X', 'Main Road'), cast(id % 3 + 1 as int)) as location", "id % 2 as ward", "id % 5 as borough")
+    c = raw.selectExpr("query_id", "struct(7L as cand_id) as rank", "7L as cand_id", "'Lake Road' as cand_name", "'street' as kind", "22.5D as lat", "88.3D as lon", "cast(null as double) as extent_m")
+    got = places.resolve_pockets(raw, c.unionByName(c), raw.limit(0).selectExpr("query_id", "1D as lat", "1D as lon"), F.lit(True))
+    n = {r.borough: r for r in places.review_counts(got).collect()}
+    assert sum(r.n for r in n.values()) == 300 and all((r.ok, r.name_mismatch, r.too_generic, r.outliers) == (20, 20, 20, 0) for r in n.values())
+    assert seen.value == 3
