@@ -91,12 +91,13 @@ def duplicate_pairs(lines: DataFrame, tol: float = DUPLICATE_M) -> DataFrame:
 def dedupe_lines(lines: DataFrame, tol: float = DUPLICATE_M) -> DataFrame:
     """Lines but for those that duplicate an accepted line of an earlier sheet; parallels within a sheet stay.
 
-    lines: segment_id, rank and line (array of x, y), or x0, y0, x1, y1 of lines of two vertices. A line is settled once all its earlier duplicates are: dropped if one of them was accepted. Rounds are as many as the longest chain.
+    lines: segment_id (two sheets may give the same one), rank and line (array of x, y), or x0, y0, x1, y1 of lines of two vertices. A line is settled once all its earlier duplicates are: dropped if one of them was accepted. Rounds are as many as the longest chain.
     """
+    known = F.struct("rank", "segment_id").alias("segment_id")
     if "line" in lines.columns:
-        shaped = lines.select("segment_id", "rank", "line")
+        shaped = lines.select(known, "rank", "line")
     else:
-        shaped = lines.select("segment_id", "rank", F.array(*[F.struct(F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y")) for k in "01"]).alias("line"))
+        shaped = lines.select(known, "rank", F.array(*[F.struct(F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y")) for k in "01"]).alias("line"))
     pairs = saved(duplicate_pairs(shaped, tol), "duplicate-lines")
     dropped = None
     while not pairs.isEmpty():
@@ -106,7 +107,7 @@ def dedupe_lines(lines: DataFrame, tol: float = DUPLICATE_M) -> DataFrame:
         dropped = sure if dropped is None else dropped.unionByName(sure)
         rest = pairs.join(sure, "later", "left_anti").join(sure.withColumnRenamed("later", "earlier"), "earlier", "left_anti")
         pairs = saved(rest, "duplicate-lines")
-    return lines if dropped is None else lines.join(dropped.withColumnRenamed("later", "segment_id"), "segment_id", "left_anti")
+    return lines if dropped is None else lines.join(dropped.select("later.*"), ["rank", "segment_id"], "left_anti")
 
 
 def _meet(a: list, b: list, sign, least, greatest):

@@ -27,3 +27,10 @@ def test_plots_whose_numbers_run_into_those_of_copies(spark, tmp_path, shift):
     duckdb.sql(f"COPY (SELECT * REPLACE (p_partkey + i * {shift} AS p_partkey) FROM '/root/testdata/sf0.001/part.parquet', range(2) r(i) WHERE i = 0 OR {shift} > 0) TO '{tmp_path}/part.parquet'")
     got, want = both(spark, tmp_path, "S1_read_geojson", ["part"])
     assert got == want and len(got) == 4
+
+
+@pytest.mark.parametrize("name", ["J17_dedupe_lines", "E9_merge_layers"])
+def test_lines_whose_numbers_run_into_those_of_other_sheets(spark, tmp_path, name):
+    duckdb.sql(f"COPY (SELECT * REPLACE (p_partkey + i * 999900 AS p_partkey) FROM '/root/testdata/sf0.001/part.parquet', range(2) r(i)) TO '{tmp_path}/part.parquet'")
+    got, want = both(spark, tmp_path, name, ["part"])
+    assert got == want and len({r[0] for r in got}) < len(got)
