@@ -148,19 +148,19 @@ def merge(spark, sf_dir):
 def merge_layers(lines: DataFrame) -> DataFrame:
     """Lines of all sheets with ids by ward, without those that repeat a line of an earlier sheet. Raises if a rule of layers or of drainage is broken.
 
-    lines: segment_id, sheet (in the order of its name), line (array of x, y in metres of UTM 45 N), ward, conduit_type,
+    lines: segment_id (of its sheet: the layer's ids are new), sheet (in the order of its name), line (array of x, y in metres of UTM 45 N), ward, conduit_type,
     pipe_diameter_mm, diameter_source.
     """
     ranks = layers.sheet_rank(lines, "sheet", "sheet")
     kept = saved(layers.dedupe_lines(lines.join(F.broadcast(ranks), "sheet")), "merged-lines")  # a row a sheet
     broken = [r["check"] for r in layers.rule_counts(kept, layers.drainage_rules()).filter("severity = 'ERROR'").collect()]  # a row a rule
     lonlat = F.transform("line", lambda p: F.struct(utm_to_latlon(p["x"], p["y"])[1].alias("x"), utm_to_latlon(p["x"], p["y"])[0].alias("y")))
-    shaped = kept.select("segment_id", "ward", "conduit_type", F.lit("LineString").alias("geom_type"), lonlat.alias("coords"))
-    spec = validation.LayerSpec("segment_id", ("LineString", "MultiLineString"), ("ward", "conduit_type"), ("conduit_type",), box=(88.0, 22.0, 90.0, 23.0), min_length_m=1.0)
+    shaped = kept.select(F.concat_ws("/", "sheet", "segment_id").alias("line_id"), "ward", "conduit_type", F.lit("LineString").alias("geom_type"), lonlat.alias("coords"))
+    spec = validation.LayerSpec("line_id", ("LineString", "MultiLineString"), ("ward", "conduit_type"), ("conduit_type",), box=(88.0, 22.0, 90.0, 23.0), min_length_m=1.0)
     broken += [r["check"] for r in validation.validate_layer(shaped, spec).collect()]  # a row a rule
     if broken:
         raise ValueError(f"layer is not valid: {', '.join(sorted(broken))}")
-    return layers.assign_ids(kept, F.concat(F.lit("kmc_w"), F.col("ward"), F.lit("_")), "ward", ["segment_id"])
+    return layers.assign_ids(kept, F.concat(F.lit("kmc_w"), F.col("ward"), F.lit("_")), "ward", ["segment_id", "rank"])
 
 
 @query("E11_S13_data_status", f"""WITH {adapters_sql('pipes', 'pumps', 'boxes', 'pockets', 'wx')}, ly AS (
